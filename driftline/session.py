@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -17,8 +18,12 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application.
 
     Python workers import the package by name; on a cluster they do not share
-    the driver's sys.path, so the sources travel as a zip with the job.
+    the driver's sys.path, so the sources travel as a zip with the job. Where the
+    rows of an Arrow batch are left at Spark's default, they are lowered: rows
+    here are whole texts, and a worker holds a batch several times over.
     """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
