@@ -136,8 +136,8 @@ def naive_ppm(counts, context, symbol):
         if not n:
             continue
         if symbol in held:
-            return p * held[symbol] / (n + len(held))
-        p *= len(held) / (n + len(held))
+            return p * (2 * held[symbol] - 1) / (2 * n)
+        p *= len(held) / (2 * n)
         excluded |= set(held)
     return p / (SYMBOLS - len(excluded))
 
