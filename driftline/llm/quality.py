@@ -198,6 +198,9 @@ def references(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lan
     parts = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(task, "lang string, kind string, item string, n long")
     summed = parts.select(F.explode(F.array_distinct(F.array("lang", F.lit(POOL)))).alias("lang"), "kind", "item", "n")
     summed = summed.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    # a common word is at least a thousandth of its language's words, so no more than a thousand are ranked
+    total = summed.filter("kind = 'total'").select(F.col("lang").alias("of"), F.col("n").alias("all"))
+    summed = summed.join(total, F.col("lang") == F.col("of")).filter("kind != 'word' or 1000 * n >= all")
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     return summed.withColumn("rank", rank).filter((F.col("kind") != "word") | (F.col("rank") <= rules.common_words)).select("lang", "kind", "item", "n")
 
