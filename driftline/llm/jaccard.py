@@ -11,17 +11,20 @@ equal sets are one class and are never expanded into pairs.
 1. Order. Every set is sorted rarest shingle first: one pass over all documents
    collects the frequent shingles (Misra-Gries), which go last; the rest go by
    hash. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each.
-2. Index. These prefixes are inverted. In each list, sorted by size, the range of
-   sizes that can link is found by bisection and the rest skipped as a block, as
-   are positions that leave too few shingles. Classes without a candidate are done.
+2. Index. These prefixes are inverted. In each list, sorted by size, rows of sizes
+   that cannot link are skipped as a block, as are positions that leave too few
+   shingles. Pairs that meet are held against a bound of their symmetric difference
+   from parity maps of about half a bit to one bit for each shingle. Classes without
+   a candidate are done. Lists beyond SMALL_LIST rows are left for step 4.
 3. Families. Candidates with the same min-hash are compared in blocks. In a block
    the overlaps of a set with all others are derived from those of the linked set
    through which it was reached: only the lists of the shingles in which they
    differ are read. Sets that are connected already are not compared again. Large
    families are dealt into blocks that share pivots.
-4. Rest. Lists are inverted again over families' components; two components that
-   meet in a list are compared in full, in blocks, until a link is found. So no
-   link between different texts is lost, and dense groups cost no square.
+4. Rest. Pairs left between different components are compared one by one. Long
+   lists are inverted again over the families' components; two components that
+   meet in one are compared in full, in blocks, until a link is found. So no link
+   between different texts is lost, and dense groups cost no square.
 
 Defined cases: null and empty texts have no set, size 0, and are linked with
 nothing (component: own id); a null id links like any other row, but a
@@ -40,14 +43,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop, new_path, stored
 from .arrowtext import coded, hashes, mixed, owners, slices, texts_of, windows, words_of
 from .components import components
-from .scratch import drop, new_path, stored
 
-FREQUENT = 65_536
+FREQUENT = 1 << 18
 SMALL_LIST = 64
 #: A block holds about so many sets, and shingles.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Up to so many rows of four numbers (32 MB) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 PIVOTS = 64
 SEEN = 1 << 20
 EMPTY = 0
@@ -113,7 +118,7 @@ def frequent_shingles(df: DataFrame, width: int, size: int = FREQUENT) -> np.nda
             for lo, hi in slices(texts):
                 _, values = shingles(texts.slice(lo, hi - lo), width)
                 values, counts = np.unique(values, return_counts=True)
-                held = fold(held, values[counts > 2], counts[counts > 2])
+                held = fold(held, values[counts > 1], counts[counts > 1])
         yield row(held)
 
     def merged(batches):
@@ -164,6 +169,8 @@ def _signed(order, width: int, percent: int):
                 cls[full] = set_hash(values, starts)
                 if len(full):
                     low[full] = np.minimum.reduceat(mixed(values ^ np.uint64(0x2545F4914F6CDD1D)), starts)
+                words, begin = parity(rows, values, n)
+                bits = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), as_long(words))
                 first = np.zeros(hi - lo, bool)
                 for k in full:
                     c = int(cls[k])
@@ -180,65 +187,166 @@ def _signed(order, width: int, percent: int):
                 inside = np.arange(len(rows)) - begin[rows] < length[rows]
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), as_long(values[inside]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(n, pa.int64()), as_long(cls), as_long(low), prefix], ["rid", "doc_id", "n", "cid", "low", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(n, pa.int64()), as_long(cls), as_long(low), prefix, bits], ["rid", "doc_id", "n", "cid", "low", "prefix", "bits"])
 
     return task
 
 
-def _runs(keys: np.ndarray):
-    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    return zip(edges[:-1].tolist(), edges[1:].tolist())
+def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists sorted by key and size: pairs of rows that size and position allow, and the rows of lists beyond ``small``.
+
+    Row i meets row i + d of its list for d = 1, 2, ... All lists go side by side,
+    and a row leaves as soon as the next size is too large: the rest of its list is skipped.
+    """
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    length = np.diff(edges)
+    large = np.repeat(length > small, length)
+    end = np.repeat(edges[1:], length)
+    row = np.flatnonzero(~large & (np.arange(len(key)) + 1 < end))
+    out_i, out_j = [], []
+    for d in range(1, small):
+        row = row[row + d < end[row]]
+        row = row[n[row + d] * percent <= n[row] * 100]
+        if not len(row):
+            break
+        least = -(-percent * (n[row] + n[row + d]) // (100 + percent))
+        ok = row[np.minimum(n[row] - pos[row], n[row + d] - pos[row + d]) >= least]
+        out_i.append(ok)
+        out_j.append(ok + d)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_i or none), np.concatenate(out_j or none), np.flatnonzero(large)
+
+
+def block_pairs(n: np.ndarray, pos: np.ndarray, percent: int, block: int):
+    """The same for one long list, in pairs of blocks; those whose sizes are too far apart are skipped."""
+    for lo in range(0, len(n), block):
+        last = int(np.searchsorted(n, n[min(lo + block, len(n)) - 1] * 100 // percent, side="right"))
+        for at in range(lo, last, block):
+            rows = np.arange(lo, min(lo + block, len(n)))
+            if at > lo:
+                rows = np.concatenate([rows, np.arange(at, min(at + block, len(n)))])
+            i, j = partners(n[rows], pos[rows], percent)
+            yield rows[i], rows[j]
 
 
 def partners(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list, sorted by size, that size and position allow; blocks of sizes too large are skipped whole."""
+    """Pairs of one list, sorted by size, that size and position allow."""
     last = np.searchsorted(n, n * 100 // percent, side="right")
     count = np.maximum(last - np.arange(len(n)) - 1, 0)
     i = np.repeat(np.arange(len(n)), count)
     j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
     least = -(-percent * (n[i] + n[j]) // (100 + percent))
-    ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= least
+    ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
     return i[ok], j[ok]
 
 
-def _candidates(percent: int):
-    """Classes that have a candidate, from postings sorted by (hash, n, cid). Lists beyond SMALL_LIST pass as they are."""
+def _met(percent: int, blocks: bool):
+    """Distinct pairs (a < b) of ids that meet in a list, from postings (hash, n, pos, id) sorted by hash and size.
+
+    Long lists: with ``blocks`` in pairs of blocks, else (hash, hash) tells that there is one."""
+
+    small, block = SMALL_LIST, BLOCK  # the driver's values, whatever a worker's module says
+
+    def distinct(pair):
+        pair = np.stack([pair.min(1), pair.max(1)], 1) if len(pair) else pair.reshape(0, 2)
+        pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+        fresh = np.ones(len(pair), bool)
+        fresh[1:] = (pair[1:] != pair[:-1]).any(1)
+        return pair[fresh]
+
+    def pairs(rows):
+        key, n, pos, name = rows
+        i, j, large = list_pairs(key, n, pos, percent, small)
+        pair = np.stack([name[i], name[j]], 1)
+        found = [pair[pair[:, 0] != pair[:, 1]]]
+        if len(large) and blocks:
+            edges = np.flatnonzero(np.concatenate([[True], key[large][1:] != key[large][:-1], [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = large[a:b]
+                if (name[own] != name[own[0]]).any():
+                    for x, y in block_pairs(n[own], pos[own], percent, block):
+                        pair = np.stack([name[own[x]], name[own[y]]], 1)
+                        found.append(distinct(pair[pair[:, 0] != pair[:, 1]]))
+        elif len(large):
+            found.append(np.stack([key[large], key[large]], 1))
+        return distinct(np.concatenate(found))
+
+    def batch_of(pair):
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["a", "b"])
 
     def task(batches):
-        held = np.zeros((0, 4), np.int64)
-        large = None  # the hash whose list is known to be large
-
-        def done(rows):
-            out = []
-            for a, b in _runs(rows[:, 0]):
-                part = rows[a:b]
-                keep = np.ones(b - a, bool)
-                keep[1:] = (part[1:, 1] != part[:-1, 1]) | (part[1:, 2] != part[:-1, 2])
-                part = part[keep]
-                if len(part) > SMALL_LIST or part[0, 0] == large:
-                    out.append(part[:, 1])
-                elif len(part) > 1:
-                    i, j = partners(part[:, 2], part[:, 3], percent)
-                    out += [part[i, 1], part[j, 1]]
-            return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
+        held, long_list = np.zeros((4, 0), np.int64), None
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], 1)
-            rows = np.concatenate([held, rows])
-            if not len(rows):
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
+            if not blocks:  # one row for each class of a list, however many documents there are of it
+                rows = rows[:, np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])])] if rows.shape[1] else rows
+            rows = np.concatenate([held, rows], 1)
+            if not rows.shape[1]:
                 continue
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            found = done(rows[:cut]) if cut else np.zeros(0, np.int64)
-            held = rows[cut:]
-            if len(held) > 64 * SMALL_LIST and len(np.unique(held[:, 1])) > SMALL_LIST:
-                large, found, held = held[0, 0], np.unique(np.concatenate([found, held[:, 1]])), held[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["cid"])
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(done(held), pa.int64())], ["cid"])
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if cut:
+                yield batch_of(pairs(rows[:, :cut]))
+            held = rows[:, cut:]
+            if not blocks and held.shape[1] and (held.shape[1] > small or held[0, 0] == long_list):
+                if held[0, 0] != long_list:  # a long list is told once and never held
+                    long_list = held[0, 0]
+                    yield batch_of(np.array([[long_list, long_list]]))
+                held = held[:, :0]
+        if held.shape[1]:
+            yield batch_of(pairs(held))
 
     return task
 
 
+def map_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity map of a set of n shingles: a power of two from n / 2 on, 64 at least."""
+    return 64 << np.ceil(np.log2(np.maximum(n, 128) / 128)).astype(np.int64)
+
+
+def parity(rows: np.ndarray, values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, as 64-bit words, the parity of how many of its shingles fall on each bit; and where its words begin."""
+    bits = map_bits(n)
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    at = ends[:-1][rows] + (mixed(values ^ np.uint64(0x9FB21C651E98DF25)) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(ends[-1])).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64), ends // 64
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference from two maps; the longer one is folded, which keeps parities."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _near(percent: int):
+    """Of pairs (a, b, na, nb, bits_a, bits_b): those whose sets may link."""
+
+    def task(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            words, starts = [], []
+            for k in (4, 5):
+                column = batch.column(k)
+                starts.append(column.offsets.to_numpy())
+                words.append(column.values.to_numpy(zero_copy_only=False).view(np.uint64))
+            (wa, wb), (sa, sb) = words, starts
+            far = np.fromiter((apart(wa[sa[k] : sa[k + 1]], wb[sb[k] : sb[k + 1]]) for k in range(batch.num_rows)), np.int64, batch.num_rows)
+            keep = pa.array(far * (100 + percent) <= (100 - percent) * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+
+    return task
+
+
+def may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that pass the parity bound; classes: (cid, n, bits)."""
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near(percent), "a long, b long")
+
+
 class Block:
     """Some sets with an inverted index over all their shingles."""
 
@@ -339,31 +447,6 @@ def _compared(width: int, percent: int):
     return task
 
 
-def _met(percent: int):
-    """Pairs of components that meet in a list, from postings (hash, n, pos, comp) sorted by hash and size."""
-
-    def task(batches):
-        for table in _grouped(batches, 1):
-            n, pos, comp = (table.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
-            found = []
-            for lo in range(0, len(n), BLOCK):  # a long list in blocks, each against what follows
-                last = int(np.searchsorted(n, n[min(lo + BLOCK, len(n)) - 1] * 100 // percent, side="right"))
-                for at in range(lo, last, BLOCK):
-                    rows = np.arange(lo, min(lo + BLOCK, len(n)))
-                    if at > lo:
-                        rows = np.concatenate([rows, np.arange(at, min(at + BLOCK, len(n)))])
-                    if (comp[rows] == comp[rows[0]]).all():
-                        continue
-                    i, j = partners(n[rows], pos[rows], percent)
-                    a, b = comp[rows[i]], comp[rows[j]]
-                    pair = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
-                    found.append(np.unique(pair, axis=0))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
-
-    return task
-
-
 def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``df``; needs percent > 50."""
     spark = df.sparkSession
@@ -371,16 +454,27 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     docs = keyed(df, key, text)
     order = spark.sparkContext.broadcast(frequent_shingles(docs.select("text"), width))
     signed_at = new_path(spark, "signed")
-    signed = stored(docs.mapInArrow(_signed(order, width, percent), "rid long, doc_id long, n long, cid long, low long, prefix array<long>"), "signed", signed_at)
+    signed = stored(docs.mapInArrow(_signed(order, width, percent), "rid long, doc_id long, n long, cid long, low long, prefix array<long>, bits array<long>"), "signed", signed_at)
 
-    # classes that have a candidate at all
-    postings = signed.select("cid", "n", F.posexplode("prefix").alias("pos", "hash")).select("hash", "cid", "n", "pos")
+    # pairs of classes that meet in a short list and may link; long lists are kept for later
+    indexed = signed.filter("size(prefix) > 0")
+    postings = indexed.select("cid", "n", F.posexplode("prefix").alias("pos", "hash")).select("hash", "n", "pos", "cid")
     dealt = postings.repartition(shuffle, "hash").sortWithinPartitions("hash", "n", "cid")
-    active = stored(dealt.mapInArrow(_candidates(percent), "cid long").distinct(), "candidates")
-
-    # their texts, one for each class
-    reps = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rid", "n", "low")).alias("r")).join(active, "cid").select("cid", "r.*")
-    members = stored(docs.select("rid", "text").join(reps, "rid").select("cid", "n", "low", "text"), "members")
+    found = stored(dealt.mapInArrow(_met(percent, False), "a long, b long").distinct(), "candidates")
+    classes = indexed.select("cid", "n", "bits").dropDuplicates(["cid"])
+    near = stored(may_link(found.filter("a != b"), classes, percent), "near")
+    long_lists = found.filter("a = b").select(F.col("a").alias("hash"))
+    any_long = long_lists.limit(1).count() > 0
+    active = near.select(F.explode(F.array("a", "b")).alias("cid"))
+    if any_long:
+        crowded = stored(postings.join(long_lists, "hash").distinct(), "long-lists")
+        active = active.unionByName(crowded.select("cid"))
+
+    # their texts, one for each class; few classes are sent to where the texts are, many meet them in a shuffle
+    reps = indexed.groupBy("cid").agg(F.min(F.struct("rid", "n", "low")).alias("r")).join(active.distinct(), "cid").select("cid", "r.*")
+    reps = stored(reps, "reps")
+    named = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    members = stored(docs.select("rid", "text").join(named, "rid").select("cid", "n", "low", "text"), "members")
 
     # families: equal min-hash, in blocks with shared pivots
     sizes = members.groupBy("low").agg(F.count("*").alias("size"), blocks_of(F.count("*"), F.sum("n")).alias("blocks")).filter("size > 1")
@@ -390,30 +484,20 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     family = family.select("low", F.explode(block).alias("block"), "cid", "text").repartition(shuffle, "low", "block").sortWithinPartitions("low", "block", "cid")
     first = components(family.mapInArrow(_families(width, percent), "a long, b long"))
 
-    # components that meet in a list of the index
     labelled = members.select("cid", "n").distinct().join(first.withColumnsRenamed({"node": "cid", "label": "comp"}), "cid", "left")
-    labelled = stored(labelled.select("cid", F.coalesce("comp", "cid").alias("comp"), F.col("n").alias("size")), "labelled")
-    entries = signed.filter("size(prefix) > 0").select("cid", "n", "prefix").join(labelled.select("cid", "comp"), "cid")
-    entries = entries.select("n", "comp", F.posexplode("prefix").alias("pos", "hash")).groupBy("hash", "comp", "n").agg(F.min("pos").alias("pos")).select("hash", "n", "pos", "comp")
-    entries = entries.repartition(shuffle, "hash").sortWithinPartitions("hash", "n", "comp")
-    met = stored(entries.mapInArrow(_met(percent), "a long, b long").distinct(), "met")
-
-    # each such pair in full: the smaller component's members against the larger one's, block by block
-    size = labelled.groupBy("comp").agg(F.sum("size").alias("size"), blocks_of(F.count("*"), F.sum("size")).alias("blocks"))
-    left, right = (size.select(F.col("comp").alias(c), F.col("size").alias(f"n{c}"), F.col("blocks").alias(f"k{c}")) for c in "ab")
-    pairs = met.join(left, "a").join(right, "b")
-    swap = F.col("na") < F.col("nb")
-    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    pairs = stored(pairs.select(pick("b", "a").alias("home"), pick("a", "b").alias("other"), pick("kb", "ka").alias("parts"), pick("na", "nb").alias("asked")), "pairs")
-    texts = members.select("cid", "text").join(labelled.select("cid", "comp"), "cid").select("comp", "cid", "text")
-    homes = pairs.groupBy("home", "parts").agg(blocks_of(F.count("*"), F.sum("asked")).alias("rounds"))
-    targets = texts.join(homes, F.col("comp") == F.col("home")).select(
-        "home", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), F.col("home").alias("other"), "text"
-    )
-    asking = pairs.join(homes.select("home", "rounds"), "home").join(texts, F.col("comp") == F.col("other"))
-    asking = asking.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("other"), F.col("rounds")).cast("int").alias("round"), "other", "text")
-    compared = targets.unionByName(asking).repartition(shuffle, "home", "part", "round").sortWithinPartitions("home", "part", "round", "other")
-    second = components(compared.mapInArrow(_compared(width, percent), "a long, b long"))
+    labelled = stored(labelled.select("cid", F.coalesce("comp", "cid").alias("comp"), "n"), "labelled")
+    comp_of = lambda c: labelled.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
+
+    # what is left: pairs of classes in different components, and components that meet in a long list
+    left = stored(near.join(comp_of("a"), "a").join(comp_of("b"), "b").filter("comp_a != comp_b").select("a", "b"), "left")
+    links = compared(left, members.select(F.col("cid").alias("unit"), "cid", "n", "text"), width, percent, shuffle)
+    if any_long:
+        entries = crowded.join(labelled.select("cid", "comp"), "cid").select("hash", "n", "pos", "comp").repartition(shuffle, "hash").sortWithinPartitions("hash", "n", "comp")
+        met = stored(entries.mapInArrow(_met(percent, True), "a long, b long").distinct(), "met")
+        units = members.join(labelled.select("cid", "comp"), "cid").select(F.col("comp").alias("unit"), "cid", "n", "text")
+        links = links.unionByName(compared(met, units, width, percent, shuffle))
+    links = links.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")
+    second = components(links.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
 
     final = labelled.join(second.withColumnsRenamed({"node": "comp", "label": "whole"}), "comp", "left").select("cid", F.coalesce("whole", "comp").alias("whole"))
     rows = signed.select("rid", "doc_id", "n", "cid").join(final, "cid", "left")
@@ -425,6 +509,27 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "rid", F.coalesce("first", "rid").alias("first"))
 
 
+def compared(pairs: DataFrame, units: DataFrame, width: int, percent: int, shuffle: int) -> DataFrame:
+    """Those pairs (a, b) of units of which a member links with one of the other's; units: (unit, cid, n, text).
+
+    The larger unit's members lie in blocks; the smaller unit's come to each of them."""
+    size = units.groupBy("unit").agg(F.sum("n").alias("size"), blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
+    for side in "ab":
+        pairs = pairs.join(size.select(F.col("unit").alias(side), F.col("size").alias(f"n{side}"), F.col("blocks").alias(f"k{side}")), side)
+    swap = F.col("na") < F.col("nb")
+    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    pairs = stored(pairs.select(pick("b", "a").alias("home"), pick("a", "b").alias("other"), pick("kb", "ka").alias("parts"), pick("na", "nb").alias("asked")), "pairs")
+    homes = pairs.groupBy("home", "parts").agg(blocks_of(F.count("*"), F.sum("asked")).alias("rounds"))
+    texts = units.select("unit", "cid", "text")
+    targets = texts.join(homes, F.col("unit") == F.col("home")).select(
+        "home", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), F.col("home").alias("other"), "text"
+    )
+    asking = pairs.join(homes.select("home", "rounds"), "home").join(texts, F.col("unit") == F.col("other"))
+    asking = asking.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("other"), F.col("rounds")).cast("int").alias("round"), "other", "text")
+    dealt = targets.unionByName(asking).repartition(shuffle, "home", "part", "round").sortWithinPartitions("home", "part", "round", "other")
+    return stored(dealt.mapInArrow(_compared(width, percent), "a long, b long"), "links")
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(rid, doc_id, text); rid is a hash of the row's content, the same whenever and wherever the row is read."""
     doc_id, body = F.col(key).cast("long"), F.col(text)
@@ -442,7 +547,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     Rows without words are linked with nothing and all stay. Of rows that are the
     same in key and text one stays.
     """
-    found = jaccard_components(df, width, percent, key, text)
-    kept = found.filter("rid = first").select("rid").distinct()
+    found = stored(jaccard_components(df, width, percent, key, text).select("rid", "first"), "found")
+    removed = found.filter("rid != first").select(F.col("rid").alias("_rid")).distinct()
+    repeated = found.groupBy(F.col("rid").alias("_rid")).agg(F.count("*").alias("n")).filter("n > 1").select("_rid")
     rows = df.withColumn("_rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
-    return rows.join(kept.withColumnRenamed("rid", "_rid"), "_rid", "left_semi").dropDuplicates(["_rid"]).select(*df.columns)
+    few = removed.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(removed) if few else removed, "_rid", "left_anti")
+    if repeated.limit(1).count():  # only then do whole rows have to meet
+        rows = rows.join(repeated, "_rid", "left_anti").unionByName(rows.join(repeated, "_rid", "left_semi").dropDuplicates(["_rid"]))
+    return rows.select(*df.columns)
