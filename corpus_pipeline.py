@@ -14,7 +14,7 @@ from driftline.llm.jaccard import near_duplicates
 from driftline.llm.mixing import mix_sources
 from driftline.llm.packing import pack, pieces
 from driftline.llm.quality import quality_rules
-from driftline.llm.scratch import stored
+from driftline.scratch import stored
 from driftline.session import ship
 
 TOKENIZER = "word_bpe_49k.json"

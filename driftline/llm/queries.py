@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
 from ..session import ship
 from .html import extract
 from .jaccard import jaccard_components
@@ -15,7 +16,6 @@ from .mixing import mix_sources
 from .packing import pack, pieces
 from .ppm import score_documents
 from .quality import quality_rules
-from .scratch import new_path
 from .sharding import shard
 from .token_counts import token_counts
 from .token_store import read_store, write_store
