@@ -467,18 +467,17 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     any_long = long_lists.limit(1).count() > 0
     active = near.select(F.explode(F.array("a", "b")).alias("cid"))
     if any_long:
-        crowded = stored(postings.join(long_lists, "hash").distinct(), "long-lists")
+        crowded = stored(postings.join(sent(long_lists), "hash").distinct(), "long-lists")
         active = active.unionByName(crowded.select("cid"))
 
     # their texts, one for each class; few classes are sent to where the texts are, many meet them in a shuffle
     reps = indexed.groupBy("cid").agg(F.min(F.struct("rid", "n", "low")).alias("r")).join(active.distinct(), "cid").select("cid", "r.*")
     reps = stored(reps, "reps")
-    named = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-    members = stored(docs.select("rid", "text").join(named, "rid").select("cid", "n", "low", "text"), "members")
+    members = stored(docs.select("rid", "text").join(sent(reps), "rid").select("cid", "n", "low", "text"), "members")
 
     # families: equal min-hash, in blocks with shared pivots
     sizes = members.groupBy("low").agg(F.count("*").alias("size"), blocks_of(F.count("*"), F.sum("n")).alias("blocks")).filter("size > 1")
-    family = members.join(sizes, "low")
+    family = members.join(sent(stored(sizes, "sizes")), "low")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("cid"), F.col("size")) < PIVOTS)
     block = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")))
     family = family.select("low", F.explode(block).alias("block"), "cid", "text").repartition(shuffle, "low", "block").sortWithinPartitions("low", "block", "cid")
@@ -530,6 +529,11 @@ def compared(pairs: DataFrame, units: DataFrame, width: int, percent: int, shuff
     return stored(dealt.mapInArrow(_compared(width, percent), "a long, b long"), "links")
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A narrow stored table, to be broadcast if it is small by count and joined by shuffle if not."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(rid, doc_id, text); rid is a hash of the row's content, the same whenever and wherever the row is read."""
     doc_id, body = F.col(key).cast("long"), F.col(text)
@@ -551,8 +555,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     removed = found.filter("rid != first").select(F.col("rid").alias("_rid")).distinct()
     repeated = found.groupBy(F.col("rid").alias("_rid")).agg(F.count("*").alias("n")).filter("n > 1").select("_rid")
     rows = df.withColumn("_rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
-    few = removed.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(removed) if few else removed, "_rid", "left_anti")
+    rows = rows.join(sent(removed), "_rid", "left_anti")
     if repeated.limit(1).count():  # only then do whole rows have to meet
         rows = rows.join(repeated, "_rid", "left_anti").unionByName(rows.join(repeated, "_rid", "left_semi").dropDuplicates(["_rid"]))
     return rows.select(*df.columns)
