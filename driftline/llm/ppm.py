@@ -7,11 +7,13 @@ shorter contexts, and last a uniform choice of 256 bytes and an end. A text's
 score is the sum of log10 probabilities of its bytes and its end.
 
 Counts cover all training text: windows of ORDER + 1 symbols, pre-aggregated in
-each task and summed by Spark. The tables for scoring hold the most frequent
-contexts of each order (NODES, model parameters that bound what is collected
-and broadcast: at most NODES[k] * 258 counts); a text in another context is
-predicted from the longest one held, as PPM does for contexts never seen. All
-code lengths of a context are worked out once, on the driver.
+each task and summed by Spark. The model is the whole table; the most frequent
+contexts of each order are a broadcast cache of it (NODES bounds what is collected
+and broadcast: at most NODES[k] * 258 counts), whose code lengths are worked out
+once, on the driver. A window whose longest context may stand outside the cache is
+left open: its document lists it, and the distinct open windows are priced by joins
+with the full counts of each order (``priced``). Orders 0 and 1 are broadcast there,
+as they have at most 258 contexts; above, a context has at most 257 distinct windows.
 
 The base score is that of single words with one added to each count. Counts of
 the FREQUENT most frequent words are broadcast; the other words of a document are
@@ -40,7 +42,7 @@ from ..scratch import drop, new_path, stored
 from .arrowtext import bytes_of, coded, hashes, owners, slices, sums, texts_of, words_of
 
 ORDER = 5
-#: Contexts held of order 0, 1, ..., ORDER.
+#: Contexts in the broadcast cache of order 0, 1, ..., ORDER.
 NODES = (1, 258, 1 << 14, 1 << 15, 1 << 16, 1 << 16)
 FREQUENT = 1 << 18
 END, PAD, BITS, SYMBOLS = 256, 257, 9, 257
@@ -96,6 +98,8 @@ class Trie:
         self.compact[seen] = np.arange(len(seen))
         self.compact[PAD] = len(seen) + 1
         self.children: list[np.ndarray] = []
+        #: By order: whether a context that is not held was never seen in training.
+        self.whole = [True]
         tables, places = [], [{0: 0}]
         counts = self._counts(levels[0], {0: 0})
         chain = [(counts, np.zeros(1, np.int64))]
@@ -105,6 +109,7 @@ class Trie:
             contexts = np.unique(levels[k][0])
             parents = contexts & ((1 << BITS * (k - 1)) - 1) if k > 1 else np.zeros(len(contexts), np.int64)
             held = np.array([int(p) in places[k - 1] for p in parents], bool)
+            self.whole.append(len(contexts) < NODES[k] and bool(held.all()))
             contexts, parents = contexts[held], parents[held]
             place = {int(c): i for i, c in enumerate(contexts)}
             up = np.array([places[k - 1][int(p)] for p in parents], np.int64)
@@ -146,32 +151,95 @@ class Trie:
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """log10 probability of each (lower-cased) text."""
+        """log10 probability of each (lower-cased) text, without its open windows."""
+        return self.opened(texts)[0]
+
+    def opened(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores, and text and code of each window whose longest context may not be held."""
         raw, ends = symbols(texts)
         s = self.compact[raw]
         now = s[ORDER:]
-        row, best = np.zeros(len(now), np.int32), np.zeros(len(now), np.int64)
+        row, best, depth = np.zeros(len(now), np.int32), np.zeros(len(now), np.int64), np.zeros(len(now), np.int8)
         for k, child in enumerate(self.children, 1):
             near = s[ORDER - k : len(s) - k]
             row = np.where(row >= 0, child.ravel()[np.maximum(row, 0).astype(np.int64) * self.width + near], -1)
             best = np.where(row >= 0, self.first[k] + row, best)
+            depth[row >= 0] = k
         cost = self.table.ravel()[best * self.width + now].astype(np.float64)
         cost[raw[ORDER:] == PAD] = 0
+        lacks = np.array([*(not w for w in self.whole[1:]), False])
+        at = np.flatnonzero(lacks[depth] & (raw[ORDER:] != PAD)) if lacks.any() else np.zeros(0, np.int64)
+        cost[at] = 0
+        code = np.zeros(len(at), np.int64)
+        for k in range(ORDER + 1):
+            code = (code << BITS) | raw[at + k].astype(np.int64)
         total = np.concatenate([[0.0], np.cumsum(cost)])
-        return total[ends[1:] - ORDER] - total[np.maximum(ends[:-1] - ORDER, 0)] if len(texts) else np.zeros(0)
+        scores = total[ends[1:] - ORDER] - total[np.maximum(ends[:-1] - ORDER, 0)] if len(texts) else np.zeros(0)
+        return scores, np.searchsorted(ends, at + ORDER, "right") - 1, code
 
 
-def levels_of(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Counts of the most frequent contexts of every order, from the table of windows."""
-    out = []
+def levels_of(table: DataFrame) -> tuple[list[DataFrame], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Counts of all contexts of every order, from the table of windows, and those of the most frequent contexts."""
+    full, out = [], []
     for k in range(ORDER + 1):
         digits = BITS * (k + 1)
         level = table.groupBy(F.col("code").bitwiseAND(F.lit((1 << digits) - 1)).alias("code")).agg(F.sum("n").alias("n"))
         level = stored(level.select(F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol"), "n"), f"order-{k}")
         top = level.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(NODES[k])
         rows = level.join(top.select("context"), "context", "left_semi").toArrow()
+        full.append(level)
         out.append(tuple(rows[c].to_numpy().astype(np.int64) for c in ("context", "symbol", "n")))
-    return out
+    return full, out
+
+
+def _low(code: str, digits: int) -> Column:
+    return F.col(code).bitwiseAND(F.lit((1 << BITS * digits) - 1))
+
+
+def _followed(level: DataFrame) -> DataFrame:
+    """Of each context: count, number and counts of its followers."""
+    return level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next"))
+
+
+def _contexts(full: list[DataFrame], k: int) -> DataFrame:
+    """All contexts of order k; ``inner``: how often their followers follow the context one shorter."""
+    own = _followed(full[k])
+    if k == 0:
+        return own.withColumn("inner", F.lit(0).cast("long"))
+    up = _followed(full[k - 1]).select(F.col("context").alias("parent"), F.col("next").alias("all"))
+    met = own.withColumn("parent", _low("context", k - 1)).join(F.broadcast(up) if k <= 2 else up, "parent")
+    inner = F.aggregate(F.map_keys("next"), F.lit(0).cast("long"), lambda a, s: a + F.try_element_at("all", s))
+    return met.select("context", "total", "kinds", "next", inner.alias("inner"))
+
+
+def _share(inner: Column, kinds: Column) -> Column:
+    """Probability of a symbol in the context of a row, with the ``kinds`` followers of the longer context (``inner`` here) excluded."""
+    left = 2 * (F.col("total") - inner)
+    found = F.when(F.col("n") > 0, (2 * F.col("n") - 1) / left)
+    return found.when(F.col("total").isNull() | (left == 0), F.col("tail")).otherwise((F.col("kinds") - kinds) / left * F.col("tail"))
+
+
+def _met(need: DataFrame, full: list[DataFrame], k: int) -> DataFrame:
+    """For each code of order k: the symbol's count, its context's figures, and ``tail``, its probability after an escape from there."""
+    rows = need.select("code", F.shiftright("code", BITS).alias("context"), _low("code", 1).alias("symbol"))
+    table = _contexts(full, k)
+    met = rows.join(F.broadcast(table) if k <= 1 else table, "context", "left")
+    met = met.select("code", "total", "kinds", "inner", F.coalesce(F.try_element_at("next", F.col("symbol")), F.lit(0)).alias("n"))
+    if k == 0:
+        return met.withColumn("tail", 1 / F.greatest(SYMBOLS - F.col("kinds"), F.lit(1)))
+    met = stored(met.withColumn("low", _low("code", k)), f"met-{k}")
+    lower = _met(met.filter("n = 0").select(F.col("low").alias("code")).distinct(), full, k - 1)
+    nought = F.lit(0).cast("long")
+    lower = lower.withColumnsRenamed({"code": "low", "inner": "inner_"})
+    own = met.select("code", "low", *(F.col(c).alias(f"own_{c}") for c in ("total", "kinds", "inner", "n")))
+    tail = _share(F.coalesce("own_inner", nought), F.coalesce("own_kinds", nought))
+    return own.join(lower, "low", "left").select("code", *(F.col(f"own_{c}").alias(c) for c in ("total", "kinds", "inner", "n")), F.when(F.col("own_n") == 0, tail).alias("tail"))
+
+
+def priced(need: DataFrame, full: list[DataFrame]) -> DataFrame:
+    """(code, cost): log10 probability of each of the distinct windows, from the full counts."""
+    nought = F.lit(0).cast("long")
+    return _met(need, full, ORDER).select("code", F.log10(_share(nought, nought)).alias("cost"))
 
 
 class Base:
@@ -189,7 +257,16 @@ class Base:
         return np.log10((np.asarray(counts, np.float64) + 1) / self.denominator)
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,n:int>>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,n:int>>, open array<struct<h:long,n:int>>"
+
+
+def _listed(row: np.ndarray, which: np.ndarray, names: np.ndarray, rows: int) -> pa.ListArray:
+    """For each row its distinct names with their number; ``which`` are places in ``names``."""
+    width = max(len(names), 1)
+    pair, times = np.unique(row * np.int64(width) + which, return_counts=True)
+    lists = np.concatenate([[0], np.cumsum(np.bincount(pair // width, minlength=rows))]).astype(np.int32)
+    struct = pa.StructArray.from_arrays([pa.array(names[pair % width], pa.int64()), pa.array(times, pa.int32())], ["h", "n"])
+    return pa.ListArray.from_arrays(pa.array(lists), struct)
 
 
 def _scored(model):
@@ -207,16 +284,14 @@ def _scored(model):
                 value = np.where(known, base.log(base.counts[at]), 0) if len(base.hashes) else np.zeros(len(h))
                 n = np.diff(offsets)
                 rare = ~known[codes]
-                pair = owners(offsets)[rare] * np.int64(max(len(h), 1)) + codes[rare]
-                pair, times = np.unique(pair, return_counts=True)
-                row, word = pair // max(len(h), 1), pair % max(len(h), 1)
-                lists = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
-                struct = pa.StructArray.from_arrays([pa.array(h[word], pa.int64()), pa.array(times, pa.int32())], ["h", "n"])
+                score, row, code = trie.opened(part)
+                code, which = np.unique(code, return_inverse=True)
                 end_known = int(base.end > 0)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(n + 1, pa.int64()), pa.array(sums(known[codes].astype(np.int8), offsets) + end_known, pa.int64()),
-                     pa.array(sums(value[codes], offsets) + base.log(base.end), pa.float64()), pa.array(trie.scores(part), pa.float64()), pa.ListArray.from_arrays(pa.array(lists), struct)],
-                    ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                     pa.array(sums(value[codes], offsets) + base.log(base.end), pa.float64()), pa.array(score, pa.float64()),
+                     _listed(owners(offsets)[rare], codes[rare], h, hi - lo), _listed(row, which, code, hi - lo)],
+                    ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "open"],
                 )
 
     return task
@@ -234,18 +309,25 @@ def score_documents(df: DataFrame, held: Column | None = None, key: str = "doc_i
     total = lambda kind, what: size[kind][what] if kind in size else 0
     common = words.select("code", "n").orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
     base = Base(common, total(WORD, "n"), total(WORD, "distinct"), total(DOCS, "n"))
-    trie = Trie(levels_of(counts.filter(F.col("kind") == GRAM)))
+    full, levels = levels_of(counts.filter(F.col("kind") == GRAM))
+    trie = Trie(levels)
     model = spark.sparkContext.broadcast((trie, base))
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
     scored = stored(rows.mapInArrow(_scored(model), SCORED), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("w")).select("rid", F.col("w.h").alias("code"), F.col("w.n").alias("times"))
-    found = rare.join(words.select("code", "n"), "code", "left")
+    listed = lambda name: scored.select("rid", F.explode(name).alias("w")).select("rid", F.lit(name == "open").alias("window"), F.col("w.h").alias("code"), F.col("w.n").alias("times"))
+    rare, known = listed("rare"), words.select(F.lit(False).alias("window"), "code", "n", F.lit(None).cast("double").alias("cost"))
+    if not all(trie.whole):
+        rare = rare.unionByName(listed("open"))
+        cost = priced(listed("open").select("code").distinct(), full)
+        known = known.unionByName(cost.select(F.lit(True).alias("window"), "code", F.lit(None).cast("long").alias("n"), "cost"))
+    found = rare.join(known, ["window", "code"], "left")
     share = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(base.denominator)))
-    found = found.groupBy("rid").agg(F.sum(F.col("times") * share).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("met"))
-    out = scored.drop("rare").join(found, "rid", "left")
+    word = F.when(~F.col("window"), F.col("times"))
+    found = found.groupBy("rid").agg(F.sum(word * share).alias("more"), F.sum(F.when(F.col("n").isNotNull(), word).otherwise(0)).alias("met"), F.sum(F.col("times") * F.col("cost")).alias("open_score"))
+    out = scored.drop("rare", "open").join(found, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"), F.lit(int(base.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("open_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -186,6 +186,14 @@ def test_ppm_rare_words_join(docs, monkeypatch):
         assert math.isclose(r["base_score"], want[r["doc_id"], r["n_tokens"]], rel_tol=1e-9)
 
 
+def test_ppm_scores_do_not_depend_on_the_cache(docs, monkeypatch):
+    want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in score_documents(docs).collect()}
+    for nodes in ((1, 258, 1 << 14, 1 << 15, 1 << 16, 50), (1, 258, 20, 30, 20, 40)):
+        monkeypatch.setattr(ppm, "NODES", nodes)
+        for r in score_documents(docs).collect():
+            assert math.isclose(r["score"], want[r["doc_id"], r["n_tokens"]], rel_tol=1e-5, abs_tol=1e-4)
+
+
 def test_ppm_distributions_sum_to_one():
     text = pa.array(["abracadabra abracadabra"])
     code, n = np.unique(ppm.grams(ppm.symbols(text)[0]), return_counts=True)
