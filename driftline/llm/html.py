@@ -5,8 +5,11 @@ path of block elements from the root to it. Text length without links and
 punctuation are summed up for each path and divided by the path's number of
 nodes; the nodes' values in page order are smoothed, both are fused, and nodes
 above a threshold (a share of the page's standard deviation) are content.
-Elements that say what they are (navigation, forms, adverts, comments and so on,
-by name, class, id or role) hold no candidates. The chosen nodes then vote for
+Elements that are navigation, forms, asides and so on by element name or role, or
+hidden, hold no candidates. A class or id that reads like boilerplate (advert,
+comments, widget ...) is a hint: such an element is dropped unless a block in it, not
+mostly links, stands on the path of the page's best ratio (inline ones always are); an
+``article`` or ``main`` is not judged by its class. The chosen nodes then vote for
 their container, an ``article`` or ``main`` if there is one, and the rest of its
 blocks (headings, short paragraphs) joins them unless it is mostly links.
 
@@ -54,11 +57,11 @@ PUNCTUATION = frozenset(".,;:!?…。，、！？")
 SHARE_OF_DEVIATION = 0.4
 KERNEL = (0.25, 0.5, 0.25)
 MOST_LINKS = 0.6
-_ATTRIBUTES: dict[tuple[str, str], tuple[bool, bool]] = {}
+_ATTRIBUTES: dict[tuple[str, str], tuple[bool, bool, bool]] = {}
 
 
-def judged(name: str, attributes: str) -> tuple[bool, bool]:
-    """(is boilerplate, is marked as the main part) of an element, by its attributes."""
+def judged(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(is out, is marked as the main part, has a name like boilerplate) of an element, by its attributes."""
     key = (name, attributes)
     if key not in _ATTRIBUTES:
         if len(_ATTRIBUTES) > 100_000:
@@ -67,20 +70,20 @@ def judged(name: str, attributes: str) -> tuple[bool, bool]:
     return _ATTRIBUTES[key]
 
 
-def _judge(name: str, attributes: str) -> tuple[bool, bool]:
+def _judge(name: str, attributes: str) -> tuple[bool, bool, bool]:
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     role, style = found.get("role", "").lower(), SPACE.sub("", found.get("style", "").lower())
     main = role == "main" or found.get("itemprop", "").lower() == "articlebody"
     if role in ROLES or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-        return True, main
-    if name in ("html", "body", "main", "h1", "h2"):
-        return False, main
+        return True, main, False
+    if name in ("html", "body", "article", "main", "h1", "h2"):
+        return False, main, False
     for names in (found.get("class", ""), found.get("id", "")):
         for one in names.split():
             words = {w.lower() for w in WORD.findall(one)}
             if words & BOILERPLATE and not words & NEUTRAL:
-                return True, main
-    return False, main
+                return False, main, True
+    return False, main, False
 
 
 class Block:
@@ -93,11 +96,11 @@ class Block:
 
 
 class Page:
-    """Blocks of a page outside boilerplate, and the tree of block elements above them."""
+    """Blocks of a page outside what is out, and the tree of block elements above them."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.parents, self.mains = [-1], [False]
+        self.parents, self.mains, self.named = [-1], [False], [False]
         self._names: list[str] = []
         self._out: list[bool] = []
         self._nodes: list[int] = []
@@ -153,7 +156,8 @@ class Page:
         if name in INLINE:
             if name == "a":
                 self._link = True
-            if attributes and judged(name, attributes)[0] and not (self._out and self._out[-1]):
+            out, _, named = judged(name, attributes) if attributes else (False, False, False)
+            if (out or named) and not (self._out and self._out[-1]):
                 self._push(name, True, False)
             return
         self._flush()
@@ -163,19 +167,20 @@ class Page:
             if other in self._names:
                 self._pop(other, SCOPE[name])
         out = bool(self._out and self._out[-1]) or name in ASIDE
-        boilerplate, main = judged(name, attributes) if attributes else (False, False)
+        boilerplate, main, named = judged(name, attributes) if attributes else (False, False, False)
         out = out or boilerplate or name == "header" and not any(n in MAIN for n in self._names) or name == "head"
         if name == "body":
             while "head" in self._names:
                 self._names.pop(), self._out.pop(), self._nodes.pop()
             out = boilerplate
-        self._push(name, out, main or name in MAIN)
+        self._push(name, out, main or name in MAIN, named)
         if not attributes.endswith("/"):
             return
 
-    def _push(self, name: str, out: bool, main: bool) -> None:
+    def _push(self, name: str, out: bool, main: bool, named: bool = False) -> None:
         self.parents.append(self._nodes[-1] if self._nodes else 0)
         self.mains.append(main and not out)
+        self.named.append(named)
         self._names.append(name)
         self._out.append(out)
         self._nodes.append(len(self.parents) - 1)
@@ -231,9 +236,27 @@ def scores(blocks: list[Block]) -> list[float]:
     return [t * math.sqrt(1 + m) for t, m in zip(text, marks)]
 
 
+def candidates(page: Page) -> list[Block]:
+    """The blocks outside elements named like boilerplate, and those of such elements that hold a block of the page's best path."""
+    hints = [[n for n in page.chain(b.parent) if page.named[n]] for b in page.blocks]
+    if not any(hints):
+        return page.blocks
+    totals: dict[tuple, list[float]] = {}
+    keys = [(b.path, len(names)) for b, names in zip(page.blocks, hints)]
+    for key, b in zip(keys, page.blocks):
+        t = totals.setdefault(key, [0, 0, 0])
+        t[0] += max(0, b.size - b.links)
+        t[1] += b.marks
+        t[2] += 1
+    ratio = {key: t / n * math.sqrt(1 + m / n) for key, (t, m, n) in totals.items()}
+    best = max(ratio.values())
+    kept = {n for key, b, names in zip(keys, page.blocks, hints) if ratio[key] >= best and b.links <= MOST_LINKS * b.size for n in names}
+    return [b for b, names in zip(page.blocks, hints) if kept.issuperset(names)]
+
+
 def main_text(html: str | None) -> str:
     page = Page(html or "")
-    blocks = page.blocks
+    blocks = candidates(page)
     if not blocks:
         return ""
     score = scores(blocks)

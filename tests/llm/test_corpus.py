@@ -238,6 +238,15 @@ def test_html_without_semantics():
     assert text.startswith("Head Sentence 0,") and text.endswith("for a while.") and "Privacy" not in text and "Home" not in text
 
 
+PARAGRAPHS = "".join(f"<p>Sentence {i}, with a clause of its own, and then the rest of it. It goes on for a while.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("tag", ["article class='post category-legal'", "article class='post tag-search'", "div class='elementor-widget'", "div id='promo'"])
+def test_html_names_are_hints(tag):
+    text = main_text(f"<body><div>Home page</div><{tag}><h1>Head</h1>{PARAGRAPHS}<div class='ad'>Buy, now!</div></{tag.split()[0]}><div class='share'>Tell others</div></body>")
+    assert "Head Sentence 0," in text and text.count("for a while.") == 6 and "Buy" not in text and "Tell" not in text
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html>", "<!-- never closed <p>x", "<script>var x = '<p>no</p>'", "<nav>menu</nav>"])
 def test_html_empty(page):
     assert main_text(page) == ""
