@@ -9,9 +9,11 @@ Elements that are navigation, forms, asides and so on by element name or role, o
 hidden, hold no candidates. A class or id that reads like boilerplate (advert,
 comments, widget ...) is a hint: such an element is dropped unless a block in it, not
 mostly links, stands on the path of the page's best ratio (inline ones always are); an
-``article`` or ``main`` is not judged by its class. The chosen nodes then vote for
-their container, an ``article`` or ``main`` if there is one, and the rest of its
-blocks (headings, short paragraphs) joins them unless it is mostly links.
+``article`` or ``main`` is not judged by its class. The chosen nodes
+then vote for their container: the ``article`` or ``main`` elements whose mean path
+ratio by text is above the threshold (of nested ones the innermost that holds most of
+the chosen text), else the deepest element with most of it. Of the other blocks in
+there its headings and short ones join, unless they are mostly links.
 
 Text: character references decoded, white space inside a block made one space,
 trimmed, blocks joined in page order by one space.
@@ -57,6 +59,9 @@ PUNCTUATION = frozenset(".,;:!?…。，、！？")
 SHARE_OF_DEVIATION = 0.4
 KERNEL = (0.25, 0.5, 0.25)
 MOST_LINKS = 0.6
+#: Characters of a block that joins without a ratio of its own; headings may be longer.
+SHORT = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ATTRIBUTES: dict[tuple[str, str], tuple[bool, bool, bool]] = {}
 
 
@@ -254,6 +259,23 @@ def candidates(page: Page) -> list[Block]:
     return [b for b, names in zip(page.blocks, hints) if kept.issuperset(names)]
 
 
+def containers(page: Page, blocks: list[Block], score: list[float], limit: float, weight: dict[int, int], chains: list[list[int]]) -> list[int]:
+    """The main elements, none within another, that hold chosen text (``weight``) and have a mean score by text above the limit."""
+    mains = [n for n in weight if page.mains[n] and weight[n]]
+    above = {n: [a for a in page.chain(page.parents[n]) if page.mains[a]] for n in mains}
+    found, open_ = [], [n for n in mains if not above[n]]
+    while open_:
+        n = open_.pop()
+        below = [m for m in mains if n in above[m] and 10 * weight[m] >= 7 * weight[n]]
+        if below:
+            open_.append(max(below, key=lambda m: (-len(above[m]), weight[m])))
+            continue
+        own = [k for k, nodes in enumerate(chains) if n in nodes]
+        if sum(score[k] * blocks[k].size for k in own) >= limit * sum(blocks[k].size for k in own):
+            found.append(n)
+    return found
+
+
 def main_text(html: str | None) -> str:
     page = Page(html or "")
     blocks = candidates(page)
@@ -269,11 +291,19 @@ def main_text(html: str | None) -> str:
     for b, own, nodes in zip(blocks, chosen, chains):
         for node in nodes:
             weight[node] = weight.get(node, 0) + (b.size if own else 0)
-    mains = [n for n in weight if page.mains[n] and not any(page.mains[a] for a in page.chain(page.parents[n]))]
-    if mains:
-        best = max(weight[n] for n in mains)
-        inside = {n for n in mains if 2 * weight[n] >= best}
-        return " ".join(b.text for b, nodes in zip(blocks, chains) if inside.intersection(nodes))
+    inside = containers(page, blocks, score, limit, weight, chains)
+    if inside:
+        out = []
+        for n in inside:
+            own = [k for k, nodes in enumerate(chains) if n in nodes]
+            first, last = (f(k for k in own if chosen[k]) for f in (min, max))
+            for k in own:
+                b = blocks[k]
+                tag = b.path[-1] if b.path else ""
+                near = tag in HEADINGS or b.size <= SHORT and (first <= k <= last or tag == "p")
+                if chosen[k] or near and b.links <= MOST_LINKS * b.size:
+                    out.append(k)
+        return " ".join(blocks[k].text for k in sorted(out))
     total = sum(b.size for b, own in zip(blocks, chosen) if own)
     holders = [n for n in weight if 10 * weight[n] >= 7 * total and total]
     home = max(holders, key=lambda n: len(page.chain(n)), default=0)

@@ -247,6 +247,20 @@ def test_html_names_are_hints(tag):
     assert "Head Sentence 0," in text and text.count("for a while.") == 6 and "Buy" not in text and "Tell" not in text
 
 
+def test_html_selects_inside_the_container():
+    links = "".join(f'<li><a href="/{i}">Another page, number {i}</a></li>' for i in range(5))
+    text = main_text(f"<main><article><h1>Head</h1>{PARAGRAPHS}<ul>{links}</ul><p>End.</p></article><div><div>Side column</div><ul>{links}</ul></div></main>")
+    assert text.startswith("Head Sentence 0,") and text.endswith("for a while. End.") and "Another" not in text and "Side" not in text
+    text = main_text(f"<main><h1>Head</h1>{PARAGRAPHS}<ul>{links}</ul><p>End.</p></main>")
+    assert text.endswith("for a while. End.") and "Another" not in text
+
+
+def test_html_keeps_smaller_articles():
+    more = "<p>A second article, shorter than the first one; it has a single paragraph. But it is text.</p>"
+    text = main_text(f"<body><article><h1>Head</h1>{PARAGRAPHS}</article><article>{more}</article><article><a href='/x'>To another page, by its title</a></article></body>")
+    assert text.endswith("But it is text.") and text.startswith("Head")
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html>", "<!-- never closed <p>x", "<script>var x = '<p>no</p>'", "<nav>menu</nav>"])
 def test_html_empty(page):
     assert main_text(page) == ""
