@@ -14,8 +14,10 @@ File format, a folder:
         a later one refers to it.
     manifest/*.parquet        part, docs, tokens, start, root.
 
-Reading checks every chunk's digest, every recipe's root and count, and fails
-on a difference.
+Reading first compares the recipes with the manifest, part by part (documents,
+tokens, start, root), and finds each document starting where the one before ends;
+then it checks every chunk's digest, every recipe's root and count. It fails on a
+difference, and on a store without a manifest.
 
 Defined cases: a null text is an empty one and holds the end id alone; repeated
 rows and equal ids are documents of their own, in the order of their place in
@@ -35,6 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,15 +217,42 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, text:
     recipes.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     drop(spark, at)
     written = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
-    leaves = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
-    manifest = written.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.min("start").alias("start"), leaves.alias("roots"))
+    _summed(written).write.parquet(f"{path}/manifest")
+
+
+MANIFEST = "part int, docs long, tokens long, start long, root binary"
+
+
+def _summed(recipes: DataFrame) -> DataFrame:
+    """The manifest of these recipes; its tokens are null where a part's documents do not follow each other."""
+    leaves = F.array_sort(F.collect_list(F.struct("start", "n_tokens", "root")))
+    parts = recipes.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.min("start").alias("start"), leaves.alias("leaves"))
 
     def rooted(batches):
         for batch in batches:
-            roots = [merkle(r) for r in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(roots, pa.binary())], ["part", "docs", "tokens", "start", "root"])
-
-    manifest.mapInArrow(rooted, "part int, docs long, tokens long, start long, root binary").write.parquet(f"{path}/manifest")
+            tokens, roots = [], []
+            for total, leaves in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                whole = all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(leaves, leaves[1:]))
+                tokens.append(total if whole else None)
+                roots.append(merkle([x["root"] for x in leaves]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(tokens, pa.int64()), batch.column(3), pa.array(roots, pa.binary())], ["part", "docs", "tokens", "start", "root"])
+
+    return parts.mapInArrow(rooted, MANIFEST)
+
+
+def _check_manifest(recipes: DataFrame, path: str) -> None:
+    spark = recipes.sparkSession
+    try:
+        manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        raise ValueError(f"token store: the manifest is missing or damaged in {path}") from e
+    names = ("docs", "tokens", "start", "root")
+    found = _summed(recipes).select("part", F.struct(*names).alias("found"))
+    told = manifest.select("part", F.struct(*names).alias("told"))
+    bad = told.join(found, "part", "full").filter(~F.col("told").eqNullSafe(F.col("found")) | F.col("found.tokens").isNull())
+    parts = sorted(r["part"] for r in bad.select("part").limit(10).collect())
+    if parts:
+        raise ValueError(f"token store: parts {parts} differ from the manifest, or are damaged")
 
 
 READ = "part int, doc_id long, rid long, start long, n_tokens long, root binary, ids binary"
@@ -243,6 +273,7 @@ def _checked(row: dict, width: int, as_crc: bool) -> dict:
 def read_store(spark: SparkSession, path: str, width: int = 2, as_crc: bool = False) -> DataFrame:
     """Every document, rebuilt from the files and checked: ids as little-endian unsigned 32-bit integers, or with ``as_crc`` their crc32."""
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    _check_manifest(recipes.select("part", "start", "n_tokens", "root"), path)
     last = ("ids_crc32", pa.int64()) if as_crc else ("ids", pa.binary())
     made = pa.schema([*list(ARROW)[:6], pa.field(*last)])
 

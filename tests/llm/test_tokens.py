@@ -1,5 +1,6 @@
 """Token store, packing and token counts against the tokenizers library."""
 
+import shutil
 import zlib
 from collections import defaultdict
 
@@ -58,6 +59,26 @@ def test_store_finds_damage(spark, docs, tmp_path):
         read_store(spark, f"{path}2").collect()
 
 
+@pytest.mark.parametrize("lost", ["part", "row", "manifest"])
+def test_store_compares_the_manifest(spark, tmp_path, lost):
+    path = tmp_path / "store"
+    rows = [(i, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)]
+    write_store(spark.createDataFrame(rows, "doc_id long, text string"), str(path), WORD, part_tokens=(1000, 1000))
+    parts = sorted((path / "recipes").glob("part=*"), key=lambda p: int(p.name[5:]))
+    assert len(parts) > 2 and read_store(spark, str(path)).count() == 30
+    if lost == "row":
+        last = spark.read.parquet(str(parts[1])).orderBy("start")
+        last.limit(last.count() - 1).write.parquet(str(tmp_path / "less"))
+    if lost != "manifest":
+        shutil.rmtree(parts[1])
+    if lost == "row":
+        shutil.move(tmp_path / "less", parts[1])
+    if lost == "manifest":
+        shutil.rmtree(path / "manifest")
+    with pytest.raises(ValueError, match="manifest"):
+        read_store(spark, str(path)).collect()
+
+
 def test_store_of_nothing(nothing, spark, tmp_path):
     write_store(nothing, str(tmp_path / "s"), WORD)
     assert read_store(spark, str(tmp_path / "s")).collect() == []
