@@ -6,14 +6,15 @@ of each distinct follower goes to the escape) and symbol exclusion on the way do
 shorter contexts, and last a uniform choice of 256 bytes and an end. A text's
 score is the sum of log10 probabilities of its bytes and its end.
 
-Counts cover all training text: windows of ORDER + 1 symbols, pre-aggregated in
-each task and summed by Spark. The model is the whole table; the most frequent
-contexts of each order are a broadcast cache of it (NODES bounds what is collected
-and broadcast: at most NODES[k] * 258 counts), whose code lengths are worked out
-once, on the driver. A window whose longest context may stand outside the cache is
-left open: its document lists it, and the distinct open windows are priced by joins
-with the full counts of each order (``priced``). Orders 0 and 1 are broadcast there,
-as they have at most 258 contexts; above, a context has at most 257 distinct windows.
+The trie is never cut and never in one place. A window is a symbol with the ORDER
+before it. Distinct windows of all documents are counted, pre-aggregated in each
+task and summed by Spark, and dealt by the SPLIT bytes next to the symbol: all
+contexts of SPLIT bytes and more that a window's price needs are in its own
+part, and the shorter ones are broadcast: at most 257 ** SPLIT counts, whatever
+the corpus. So every distinct window gets its exact price in one pass
+(``priced``). Of these prices the CACHE most frequent windows' are broadcast, and
+texts are scored against them; what a document has beyond is listed and joined
+with the table of all prices. The score does not depend on CACHE.
 
 The base score is that of single words with one added to each count. Counts of
 the FREQUENT most frequent words are broadcast; the other words of a document are
@@ -38,17 +39,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import drop, new_path, stored
+from ..scratch import new_path, stored
 from .arrowtext import bytes_of, coded, hashes, owners, slices, sums, texts_of, words_of
 
-ORDER = 5
-#: Contexts in the broadcast cache of order 0, 1, ..., ORDER.
-NODES = (1, 258, 1 << 14, 1 << 15, 1 << 16, 1 << 16)
-FREQUENT = 1 << 18
+ORDER, SPLIT = 5, 3
+#: Prices of windows and counts of words that are broadcast; the others are joined.
+CACHE, FREQUENT = 1 << 20, 1 << 18
 END, PAD, BITS, SYMBOLS = 256, 257, 9, 257
 WORD, GRAM, DOCS = 0, 1, 2
 #: A task sorts the windows of so many bytes at once, and scores so many; both take about 40 times the memory.
 TRAIN_BYTES, SCORE_BYTES = 6 << 20, 3 << 20
+#: Distinct windows that a counting task holds before it hands them on.
+HELD = 1 << 21
 
 
 def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:
@@ -73,173 +75,227 @@ def grams(s: np.ndarray) -> np.ndarray:
     return code[s[ORDER:] != PAD]
 
 
-def _trained(batches):
+def summed(code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct codes in rising order, and the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[at], *(np.add.reduceat(n[order], at) if len(at) else n[:0] for n in counts)
+
+
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = np.sort(code)
+    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[at], np.diff(np.append(at, len(code)))
+
+
+COUNTS = "kind int, code long, n long, seen long"
+
+
+def _counts(kind: int, code: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind), pa.int32()), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64())], ["kind", "code", "n", "seen"])
+
+
+def _counted(batches):
+    """Words of training texts, and windows of all texts: ``n`` counts in training, ``seen`` in all."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        return summed(*(np.concatenate(x) for x in zip(*held)))
+
     for batch in batches:
-        texts = texts_of(batch.column(0))
+        texts, out = texts_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi in slices(texts, TRAIN_BYTES):
             part = pc.ascii_lower(texts.slice(lo, hi - lo))
-            codes, distinct = coded(words_of(part)[0])
-            code, n = np.unique(grams(symbols(part)[0]), return_counts=True)
-            counts = np.bincount(codes, minlength=len(distinct))
-            kind = np.repeat([WORD, GRAM, DOCS], [len(distinct), len(code), 1])
-            value = np.concatenate([hashes(distinct).view(np.int64), code.view(np.int64), [0]])
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(np.concatenate([counts, n, [hi - lo]]), pa.int64())], ["kind", "code", "n"])
-
-
-class Trie:
-    """Rows of contexts by order, with the log10 probability of every symbol in each."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels[k]``: (context code, symbol, count) of order k; the nearest byte of a context is its lowest digit."""
-        seen = np.unique(levels[0][1]) if len(levels[0][1]) else np.zeros(0, np.int64)
-        #: Compact symbols: those seen, one for all others, and the pad.
-        self.width = len(seen) + 2
-        self.compact = np.full(SYMBOLS + 1, len(seen), np.int32)
-        self.compact[seen] = np.arange(len(seen))
-        self.compact[PAD] = len(seen) + 1
-        self.children: list[np.ndarray] = []
-        #: By order: whether a context that is not held was never seen in training.
-        self.whole = [True]
-        tables, places = [], [{0: 0}]
-        counts = self._counts(levels[0], {0: 0})
-        chain = [(counts, np.zeros(1, np.int64))]
-        tables.append(self._log(chain, np.zeros(1, np.int64)))
-        self.first = [0, 1]
-        for k in range(1, len(levels)):
-            contexts = np.unique(levels[k][0])
-            parents = contexts & ((1 << BITS * (k - 1)) - 1) if k > 1 else np.zeros(len(contexts), np.int64)
-            held = np.array([int(p) in places[k - 1] for p in parents], bool)
-            self.whole.append(len(contexts) < NODES[k] and bool(held.all()))
-            contexts, parents = contexts[held], parents[held]
-            place = {int(c): i for i, c in enumerate(contexts)}
-            up = np.array([places[k - 1][int(p)] for p in parents], np.int64)
-            child = np.full((max(1, len(places[k - 1])), self.width), -1, np.int32)
-            child[up, self.compact[contexts >> BITS * (k - 1)]] = np.arange(len(contexts))
-            self.children.append(child)
-            chain.append((self._counts(levels[k], place), up))
-            tables.append(self._log(chain, np.arange(len(contexts))))
-            places.append(place)
-            self.first.append(self.first[-1] + len(contexts))
-        self.table = np.concatenate(tables).astype(np.float32)
-
-    def _counts(self, level, place: dict[int, int]) -> np.ndarray:
-        out = np.zeros((len(place), self.width), np.float32)
-        code, symbol, n = level
-        row = np.array([place.get(int(c), -1) for c in code], np.int64)
-        ok = row >= 0
-        out[row[ok], self.compact[symbol[ok]]] = n[ok]
-        return out
-
-    def _log(self, chain, rows: np.ndarray) -> np.ndarray:
-        """log10 probabilities of all symbols in these rows of the chain's last order."""
-        out = np.empty((len(rows), self.width), np.float32)
-        for lo in range(0, len(rows), 4096):
-            at = rows[lo : lo + 4096]
-            p = np.zeros((len(at), self.width))
-            left, excluded = np.ones((len(at), 1)), np.zeros((len(at), self.width), bool)
-            for counts, up in reversed(chain):
-                c = np.where(excluded, 0, counts[at]).astype(np.float64)
-                n, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                twice = np.maximum(2 * n, 1)
-                p += left * np.maximum(2 * c - 1, 0) / twice
-                left = np.where(n > 0, left * distinct / twice, left)
-                excluded |= c > 0
-                at = up[at]
-            free = SYMBOLS - excluded.sum(1, keepdims=True)
-            p += np.where(excluded, 0, left / np.maximum(free, 1))
-            out[lo : lo + 4096] = np.log10(np.maximum(p, 1e-300))
-        return out
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """log10 probability of each (lower-cased) text, without its open windows."""
-        return self.opened(texts)[0]
+            for trained in (True, False):
+                own = part.filter(pa.array(out[lo:hi] != trained))
+                if not len(own):
+                    continue
+                code, n = counted(grams(symbols(own)[0]).view(np.int64))
+                held.append((code, n if trained else np.zeros_like(n), n))
+                if trained:
+                    codes, distinct = coded(words_of(own)[0])
+                    words = np.bincount(codes, minlength=len(distinct))
+                    yield _counts(WORD, hashes(distinct).view(np.int64), words, words)
+                    yield _counts(DOCS, np.zeros(1, np.int64), np.array([len(own)]), np.array([len(own)]))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield _counts(GRAM, *held.pop())
+    if held:
+        yield _counts(GRAM, *merged())
+
+
+class Level:
+    """Counts of one order: of each (context, symbol), and of each context the total, the number of followers, and
+    ``inner``, how often these followers stand after the context one shorter."""
+
+    def __init__(self, k: int, code: np.ndarray, n: np.ndarray, below: Level | None):
+        self.k, self.code, self.n = k, code, n
+        context = code >> BITS
+        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(code) else np.zeros(0, np.int64)
+        add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0, np.int64)
+        self.context, self.total, self.kinds = context[at], add(n), add(np.ones(len(code), np.int64))
+        self.inner = add(below.count(code & mask(k))) if below else np.zeros(len(at), np.int64)
+
+    @classmethod
+    def of(cls, k: int, code: np.ndarray, n: np.ndarray, below: Level | None) -> Level:
+        """Level k from (longer) windows."""
+        return cls(k, *summed(code & mask(k + 1), n), below)
+
+    def count(self, code: np.ndarray) -> np.ndarray:
+        if not len(self.code):
+            return np.zeros(len(code), np.int64)
+        at, met = self._found(self.code, code)
+        return np.where(met, self.n[at], 0)
+
+    @staticmethod
+    def _found(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        return at, names[at] == asked
+
+    def figures(self, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Total, followers and inner count of each code's context; 0 where it was not met in training."""
+        if not len(self.context):
+            return (np.zeros(len(code), np.int64),) * 3
+        at, met = self._found(self.context, code >> BITS)
+        return tuple(np.where(met, x[at], 0) for x in (self.total, self.kinds, self.inner))
+
+
+def mask(digits: int) -> int:
+    return (1 << BITS * digits) - 1
+
+
+def low_levels(code: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels 0 to SPLIT - 1 from the counts of the last of them."""
+    out: list[Level] = []
+    for k in range(SPLIT):
+        out.append(Level.of(k, code, n, out[-1] if out else None))
+    return out
+
+
+def prices(code: np.ndarray, n: np.ndarray, low: list[Level]) -> np.ndarray:
+    """log10 probability of each of these distinct windows; they are all there are of their SPLIT-byte contexts."""
+    levels = list(low)
+    known = n > 0
+    for k in range(SPLIT, ORDER + 1):
+        levels.append(Level.of(k, code[known], n[known], levels[-1]))
+    p, left = np.ones(len(code)), np.ones(len(code), bool)
+    inner, kinds = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)  # what the longer context's followers take away
+    for level in reversed(levels):
+        own = code & mask(level.k + 1)
+        total, followers, below = level.figures(own)
+        c, free = level.count(own), total - inner
+        open_ = left & (free > 0)
+        twice = 2 * np.maximum(free, 1)
+        p = np.where(open_, p * np.where(c > 0, 2 * c - 1, followers - kinds) / twice, p)
+        left &= ~(open_ & (c > 0))
+        inner, kinds = np.where(total > 0, below, inner), np.where(total > 0, followers, kinds)
+    return np.log10(np.where(left, p / np.maximum(SYMBOLS - kinds, 1), p))
+
+
+def _priced(low):
+    def task(batches):
+        parts = [[b.column(k).to_numpy() for k in range(3)] for b in batches]
+        if not parts:
+            return
+        code, n, seen = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(code)
+        code, n, seen = code[order], n[order], seen[order]
+        cost = prices(code, n, low.value)
+        for lo in range(0, len(code), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (code, seen, cost)], ["code", "seen", "cost"])
+
+    return task
+
+
+def priced(windows: DataFrame) -> DataFrame:
+    """(code, seen, cost) of all distinct windows (code, n, seen)."""
+    spark = windows.sparkSession
+    digits = F.col("code").bitwiseAND(F.lit(mask(SPLIT)))
+    short = windows.filter("n > 0").groupBy(digits.alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    low = spark.sparkContext.broadcast(low_levels(short["code"].to_numpy(), short["n"].to_numpy()))
+    near = F.shiftright("code", BITS).bitwiseAND(F.lit(mask(SPLIT)))
+    return windows.select("code", "n", "seen").repartition(near).mapInArrow(_priced(low), "code long, seen long, cost double")
+
+
+def frequent(table: DataFrame, by: str, limit: int) -> int:
+    """The least value of ``by`` for which no more than ``limit`` rows have it or more; values count in steps of an eighth of a doubling."""
+    step = F.floor(8 * F.log2(F.col(by).cast("double"))).cast("int")
+    cut, total = None, 0
+    for r in sorted(table.filter(F.col(by) > 0).groupBy(step.alias("step")).agg(F.min(by).alias("least"), F.count("*").alias("rows")).collect(), reverse=True):
+        total += r["rows"]
+        if total > limit:
+            break
+        cut = r["least"]
+    return cut if cut is not None else (1 << 63) - 1
+
+
+class Cache:
+    """Prices of the most frequent windows: two hash tables with one place for each slot, and a sorted list of what found none."""
+
+    MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, code: np.ndarray, cost: np.ndarray):
+        self.code, self.cost = code, cost
+        self.tables = None
+
+    def __getstate__(self):
+        return self.code, self.cost
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _slot(self, k: int, bits: int, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * self.MIX[k]) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _build(self) -> None:
+        code, cost = self.code, self.cost
+        self.tables = []
+        for k in range(2):
+            bits = max(4, int(4 * len(code)).bit_length())
+            names, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float64)
+            slot = self._slot(k, bits, code)
+            names[slot], values[slot] = code, cost
+            values[slot] = np.where(names[slot] == code, cost, values[slot])
+            self.tables.append((bits, names, values))
+            out = names[slot] != code
+            code, cost = code[out], cost[out]
+        order = np.argsort(code)
+        self.rest = code[order], cost[order]
+
+    def costs(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The price of each window (0 where there is none here), and the places of those without."""
+        if self.tables is None:
+            self._build()
+        cost, open_ = np.zeros(len(code)), None
+        for k, (bits, names, values) in enumerate(self.tables):
+            asked = code if open_ is None else code[open_]
+            slot = self._slot(k, bits, asked)
+            hit = names[slot] == asked
+            if open_ is None:
+                cost = np.where(hit, values[slot], 0)
+                open_ = np.flatnonzero(~hit)
+            else:
+                cost[open_[hit]] = values[slot[hit]]
+                open_ = open_[~hit]
+        names, values = self.rest
+        if len(names) and len(open_):
+            at = np.minimum(np.searchsorted(names, code[open_]), len(names) - 1)
+            hit = names[at] == code[open_]
+            cost[open_[hit]] = values[at[hit]]
+            open_ = open_[~hit]
+        return cost, open_
 
     def opened(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The scores, and text and code of each window whose longest context may not be held."""
+        """log10 probability of each (lower-cased) text without its windows that are not here, and text and code of each of these."""
         raw, ends = symbols(texts)
-        s = self.compact[raw]
-        now = s[ORDER:]
-        row, best, depth = np.zeros(len(now), np.int32), np.zeros(len(now), np.int64), np.zeros(len(now), np.int8)
-        for k, child in enumerate(self.children, 1):
-            near = s[ORDER - k : len(s) - k]
-            row = np.where(row >= 0, child.ravel()[np.maximum(row, 0).astype(np.int64) * self.width + near], -1)
-            best = np.where(row >= 0, self.first[k] + row, best)
-            depth[row >= 0] = k
-        cost = self.table.ravel()[best * self.width + now].astype(np.float64)
-        cost[raw[ORDER:] == PAD] = 0
-        lacks = np.array([*(not w for w in self.whole[1:]), False])
-        at = np.flatnonzero(lacks[depth] & (raw[ORDER:] != PAD)) if lacks.any() else np.zeros(0, np.int64)
-        cost[at] = 0
-        code = np.zeros(len(at), np.int64)
-        for k in range(ORDER + 1):
-            code = (code << BITS) | raw[at + k].astype(np.int64)
-        total = np.concatenate([[0.0], np.cumsum(cost)])
-        scores = total[ends[1:] - ORDER] - total[np.maximum(ends[:-1] - ORDER, 0)] if len(texts) else np.zeros(0)
-        return scores, np.searchsorted(ends, at + ORDER, "right") - 1, code
-
-
-def levels_of(table: DataFrame) -> tuple[list[DataFrame], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Counts of all contexts of every order, from the table of windows, and those of the most frequent contexts."""
-    full, out = [], []
-    for k in range(ORDER + 1):
-        digits = BITS * (k + 1)
-        level = table.groupBy(F.col("code").bitwiseAND(F.lit((1 << digits) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        level = stored(level.select(F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol"), "n"), f"order-{k}")
-        top = level.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(NODES[k])
-        rows = level.join(top.select("context"), "context", "left_semi").toArrow()
-        full.append(level)
-        out.append(tuple(rows[c].to_numpy().astype(np.int64) for c in ("context", "symbol", "n")))
-    return full, out
-
-
-def _low(code: str, digits: int) -> Column:
-    return F.col(code).bitwiseAND(F.lit((1 << BITS * digits) - 1))
-
-
-def _followed(level: DataFrame) -> DataFrame:
-    """Of each context: count, number and counts of its followers."""
-    return level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next"))
-
-
-def _contexts(full: list[DataFrame], k: int) -> DataFrame:
-    """All contexts of order k; ``inner``: how often their followers follow the context one shorter."""
-    own = _followed(full[k])
-    if k == 0:
-        return own.withColumn("inner", F.lit(0).cast("long"))
-    up = _followed(full[k - 1]).select(F.col("context").alias("parent"), F.col("next").alias("all"))
-    met = own.withColumn("parent", _low("context", k - 1)).join(F.broadcast(up) if k <= 2 else up, "parent")
-    inner = F.aggregate(F.map_keys("next"), F.lit(0).cast("long"), lambda a, s: a + F.try_element_at("all", s))
-    return met.select("context", "total", "kinds", "next", inner.alias("inner"))
-
-
-def _share(inner: Column, kinds: Column) -> Column:
-    """Probability of a symbol in the context of a row, with the ``kinds`` followers of the longer context (``inner`` here) excluded."""
-    left = 2 * (F.col("total") - inner)
-    found = F.when(F.col("n") > 0, (2 * F.col("n") - 1) / left)
-    return found.when(F.col("total").isNull() | (left == 0), F.col("tail")).otherwise((F.col("kinds") - kinds) / left * F.col("tail"))
-
-
-def _met(need: DataFrame, full: list[DataFrame], k: int) -> DataFrame:
-    """For each code of order k: the symbol's count, its context's figures, and ``tail``, its probability after an escape from there."""
-    rows = need.select("code", F.shiftright("code", BITS).alias("context"), _low("code", 1).alias("symbol"))
-    table = _contexts(full, k)
-    met = rows.join(F.broadcast(table) if k <= 1 else table, "context", "left")
-    met = met.select("code", "total", "kinds", "inner", F.coalesce(F.try_element_at("next", F.col("symbol")), F.lit(0)).alias("n"))
-    if k == 0:
-        return met.withColumn("tail", 1 / F.greatest(SYMBOLS - F.col("kinds"), F.lit(1)))
-    met = stored(met.withColumn("low", _low("code", k)), f"met-{k}")
-    lower = _met(met.filter("n = 0").select(F.col("low").alias("code")).distinct(), full, k - 1)
-    nought = F.lit(0).cast("long")
-    lower = lower.withColumnsRenamed({"code": "low", "inner": "inner_"})
-    own = met.select("code", "low", *(F.col(c).alias(f"own_{c}") for c in ("total", "kinds", "inner", "n")))
-    tail = _share(F.coalesce("own_inner", nought), F.coalesce("own_kinds", nought))
-    return own.join(lower, "low", "left").select("code", *(F.col(f"own_{c}").alias(c) for c in ("total", "kinds", "inner", "n")), F.when(F.col("own_n") == 0, tail).alias("tail"))
-
-
-def priced(need: DataFrame, full: list[DataFrame]) -> DataFrame:
-    """(code, cost): log10 probability of each of the distinct windows, from the full counts."""
-    nought = F.lit(0).cast("long")
-    return _met(need, full, ORDER).select("code", F.log10(_share(nought, nought)).alias("cost"))
+        own = raw[ORDER:] != PAD
+        code = grams(raw).view(np.int64)
+        cost, open_ = self.costs(code)
+        edges = np.concatenate([[0], np.cumsum(np.diff(ends) - ORDER)])
+        assert edges[-1] == len(code) == own.sum()
+        return sums(cost, edges), np.searchsorted(edges, open_, "right") - 1, code[open_]
 
 
 class Base:
@@ -271,7 +327,7 @@ def _listed(row: np.ndarray, which: np.ndarray, names: np.ndarray, rows: int) ->
 
 def _scored(model):
     def task(batches):
-        trie, base = model.value
+        cache, base = model.value
         for batch in batches:
             texts = texts_of(batch.column(3))
             for lo, hi in slices(texts, SCORE_BYTES):
@@ -284,7 +340,7 @@ def _scored(model):
                 value = np.where(known, base.log(base.counts[at]), 0) if len(base.hashes) else np.zeros(len(h))
                 n = np.diff(offsets)
                 rare = ~known[codes]
-                score, row, code = trie.opened(part)
+                score, row, code = cache.opened(part)
                 code, which = np.unique(code, return_inverse=True)
                 end_known = int(base.end > 0)
                 yield pa.RecordBatch.from_arrays(
@@ -301,26 +357,24 @@ def score_documents(df: DataFrame, held: Column | None = None, key: str = "doc_i
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows with ``held`` are not trained on."""
     spark = df.sparkSession
     held = held_out(F.col(key)) if held is None else F.coalesce(held, F.lit(False))
-    counts = df.filter(~held).select(F.col(text).alias("text")).mapInArrow(_trained, "kind int, code long, n long")
-    counted_at = new_path(spark, "counts")
-    counts = stored(counts.groupBy("kind", "code").agg(F.sum("n").alias("n")), "counts", counted_at)
+    counts = df.select(F.col(text).alias("text"), held.alias("held")).mapInArrow(_counted, COUNTS)
+    counted_at, prices_at = new_path(spark, "counts"), new_path(spark, "prices")
+    counts = stored(counts.groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "counts", counted_at)
     words = counts.filter(F.col("kind") == WORD)
-    size = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
+    size = {r["kind"]: r for r in counts.filter(F.col("kind") != GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     total = lambda kind, what: size[kind][what] if kind in size else 0
-    common = words.select("code", "n").orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    common = words.filter(F.col("n") >= frequent(words, "n", FREQUENT)).select("code", "n").toArrow()
     base = Base(common, total(WORD, "n"), total(WORD, "distinct"), total(DOCS, "n"))
-    full, levels = levels_of(counts.filter(F.col("kind") == GRAM))
-    trie = Trie(levels)
-    model = spark.sparkContext.broadcast((trie, base))
+    cost = stored(priced(counts.filter(F.col("kind") == GRAM)), "prices", prices_at)
+    often = frequent(cost, "seen", CACHE)
+    held_here = cost.filter(F.col("seen") >= often).select("code", "cost").toArrow()
+    model = spark.sparkContext.broadcast((Cache(held_here["code"].to_numpy(), held_here["cost"].to_numpy()), base))
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
     scored = stored(rows.mapInArrow(_scored(model), SCORED), "scored")
     listed = lambda name: scored.select("rid", F.explode(name).alias("w")).select("rid", F.lit(name == "open").alias("window"), F.col("w.h").alias("code"), F.col("w.n").alias("times"))
-    rare, known = listed("rare"), words.select(F.lit(False).alias("window"), "code", "n", F.lit(None).cast("double").alias("cost"))
-    if not all(trie.whole):
-        rare = rare.unionByName(listed("open"))
-        cost = priced(listed("open").select("code").distinct(), full)
-        known = known.unionByName(cost.select(F.lit(True).alias("window"), "code", F.lit(None).cast("long").alias("n"), "cost"))
-    found = rare.join(known, ["window", "code"], "left")
+    known = words.select(F.lit(False).alias("window"), "code", "n", F.lit(None).cast("double").alias("cost"))
+    known = known.unionByName(cost.filter(F.col("seen") < often).select(F.lit(True).alias("window"), "code", F.lit(None).cast("long").alias("n"), "cost"))
+    found = listed("rare").unionByName(listed("open")).join(known, ["window", "code"], "left")
     share = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(base.denominator)))
     word = F.when(~F.col("window"), F.col("times"))
     found = found.groupBy("rid").agg(F.sum(word * share).alias("more"), F.sum(F.when(F.col("n").isNotNull(), word).otherwise(0)).alias("met"), F.sum(F.col("times") * F.col("cost")).alias("open_score"))

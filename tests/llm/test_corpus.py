@@ -14,7 +14,7 @@ import corpus_pipeline
 from driftline.llm import ppm
 from driftline.llm.html import extract, main_text
 from driftline.llm.mixing import Mix, calibrated, mix_sources, rake
-from driftline.llm.ppm import SYMBOLS, Trie, adaptive_score, score_documents
+from driftline.llm.ppm import SYMBOLS, adaptive_score, score_documents
 from driftline.llm.quality import Rules, js_distance, quality_rules
 from driftline.llm.sharding import shard, write_shards
 
@@ -188,29 +188,21 @@ def test_ppm_rare_words_join(docs, monkeypatch):
 
 def test_ppm_scores_do_not_depend_on_the_cache(docs, monkeypatch):
     want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in score_documents(docs).collect()}
-    for nodes in ((1, 258, 1 << 14, 1 << 15, 1 << 16, 50), (1, 258, 20, 30, 20, 40)):
-        monkeypatch.setattr(ppm, "NODES", nodes)
+    for limit in (0, 500):
+        monkeypatch.setattr(ppm, "CACHE", limit)
         for r in score_documents(docs).collect():
-            assert math.isclose(r["score"], want[r["doc_id"], r["n_tokens"]], rel_tol=1e-5, abs_tol=1e-4)
+            assert math.isclose(r["score"], want[r["doc_id"], r["n_tokens"]], rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_ppm_distributions_sum_to_one():
-    text = pa.array(["abracadabra abracadabra"])
-    code, n = np.unique(ppm.grams(ppm.symbols(text)[0]), return_counts=True)
-    levels = []
-    for k in range(ppm.ORDER + 1):
-        mask = (1 << ppm.BITS * (k + 1)) - 1
-        own = Counter()
-        for c, m in zip(code.tolist(), n.tolist()):
-            own[c & mask] += m
-        keys = np.array(sorted(own))
-        levels.append((keys >> ppm.BITS, keys & (1 << ppm.BITS) - 1, np.array([own[k] for k in sorted(own)])))
-    trie = Trie(levels)
-    p = 10 ** trie.table.astype(float)
-    seen = trie.width - 2
-    assert np.allclose(p[:, :seen].sum(1) + p[:, seen] * (SYMBOLS - seen), 1, atol=1e-4)
-    good, bad = trie.scores(pa.array(["abracadabra", "qzkwxqzkwxq"]))
-    assert good > bad
+    code, n = ppm.counted(ppm.grams(ppm.symbols(pa.array(["abracadabra abracadabra"]))[0]).view(np.int64))
+    low = ppm.low_levels(*ppm.summed(code & ppm.mask(ppm.SPLIT), n))
+    contexts = np.unique(np.concatenate([code >> ppm.BITS, [ord("q")]]))
+    every = np.sort(((contexts[:, None] << ppm.BITS) + np.arange(SYMBOLS)).ravel())
+    at = np.searchsorted(code, every)
+    times = np.where(code[np.minimum(at, len(code) - 1)] == every, n[np.minimum(at, len(code) - 1)], 0)
+    p = 10 ** ppm.prices(every, times, low)
+    assert np.allclose(p.reshape(-1, SYMBOLS).sum(1), 1)
 
 
 def test_ppm_edges(nothing, docs):
