@@ -48,9 +48,9 @@ CACHE, FREQUENT = 1 << 20, 1 << 18
 END, PAD, BITS, SYMBOLS = 256, 257, 9, 257
 WORD, GRAM, DOCS = 0, 1, 2
 #: A task sorts the windows of so many bytes at once, and scores so many; both take about 40 times the memory.
-TRAIN_BYTES, SCORE_BYTES = 6 << 20, 3 << 20
+TRAIN_BYTES, SCORE_BYTES = 4 << 20, 3 << 20
 #: Distinct windows that a counting task holds before it hands them on.
-HELD = 1 << 21
+HELD = 3 << 19
 
 
 def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:
