@@ -25,8 +25,9 @@ the input (rid); a null doc_id sorts first; an empty table gives an empty store;
 other input columns are not stored.
 
 Shuffles: digests and places of all chunks (about 40 bytes for each 256 ids),
-the ids once to bring them into order, and on reading only what documents
-with foreign chunks need. Hot chunks are counted by partial aggregation; the
+the ids once to bring them into order (a document's part is known when it is
+encoded, from cuts by text bytes), and on reading only what documents with
+foreign chunks need. Hot chunks are counted by partial aggregation; the
 join that fetches them is an equi-join that AQE splits.
 """
 
@@ -42,14 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import drop, new_path, stored
-from .arrowtext import texts_of
+from .arrowtext import lists_of, texts_of
 from .tokens import encoded_slices
 
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 1024
-PART_TOKENS = (2_000_000, 64_000_000)
-SAMPLES = 64
+PART_BYTES = (8 << 20, 128 << 20)
+SAMPLES = 8
 GEAR = np.uint32(0x9E3779B1)
-STAGED = "doc_id long, rid long, n long, ids binary, lengths array<int>, digests binary"
+STAGED = "part int, doc_id long, rid long, n long, ids binary, lengths array<int>, digests binary"
 CHUNKS = "array<struct<digest:binary,n:int,shared:boolean,ids:binary>>"
 RECIPES = f"part int, doc_id long, rid long, start long, n_tokens long, root binary, chunks {CHUNKS}"
 DIGEST = 16
@@ -95,12 +96,13 @@ def chunk_lengths(marks: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def _encode(path: str, end_id: int, width: int):
+def _encode(path: str, end_id: int, width: int, parts: Parts):
     kind = np.dtype(f"<u{width}")
 
     def task(batches):
         for batch in batches:
-            texts, doc_ids, rids = texts_of(batch.column(0)), batch.column(1), batch.column(2)
+            texts, doc_ids, rids = texts_of(batch.column(0)), batch.column(1).cast(pa.int64()), batch.column(2)
+            part = pa.array(parts.of(doc_ids.fill_null(Parts.LEAST_ID).to_numpy(zero_copy_only=False), rids.to_numpy(zero_copy_only=False)), pa.int32())
             for lo, hi, flat, ends in encoded_slices(path, texts):
                 flat = np.insert(flat, ends[1:], end_id).astype(kind)
                 ends = ends + np.arange(len(ends))
@@ -116,15 +118,15 @@ def _encode(path: str, end_id: int, width: int):
                     lengths.append(own)
                     digests.append(b"".join(digest(data[x:y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(lo, hi - lo).cast(pa.int64()), rids.slice(lo, hi - lo), pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.binary())],
-                    ["doc_id", "rid", "n", "ids", "lengths", "digests"],
+                    [part.slice(lo, hi - lo), doc_ids.slice(lo, hi - lo), rids.slice(lo, hi - lo), pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.binary())],
+                    ["part", "doc_id", "rid", "n", "ids", "lengths", "digests"],
                 )
 
     return task
 
 
 class Parts:
-    """Cuts of the order (doc_id, rid), null ids first, into parts of about equal numbers of tokens."""
+    """Cuts of the order (doc_id, rid), null ids first, into parts of about equal numbers of text bytes."""
 
     LEAST_ID = -(1 << 63)
 
@@ -142,14 +144,18 @@ class Parts:
         return out
 
 
-def _dealt(parts: Parts):
-    def task(batches):
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(Parts.LEAST_ID).to_numpy(zero_copy_only=False)
-            rids = batch.column(batch.schema.get_field_index("rid")).to_numpy(zero_copy_only=False)
-            yield batch.append_column("part", pa.array(parts.of(ids, rids), pa.int32()))
+def _binaries(lengths: np.ndarray, data: pa.Buffer, valid: np.ndarray | None = None) -> pa.Array:
+    """A binary array whose values lie one after another in ``data``."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    bits = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [bits, pa.py_buffer(offsets), data])
 
-    return task
+
+def _data(values: pa.Array) -> pa.Buffer:
+    """The bytes of a binary array without nulls, one value after another."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)
+    whole = values.buffers()[2]
+    return pa.py_buffer(b"") if whole is None else whole.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
 
 
 def _recipes(starts: dict[int, int], width: int):
@@ -157,23 +163,25 @@ def _recipes(starts: dict[int, int], width: int):
 
     def group(key, staged: pa.Table, places: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        order = staged.sort_by([("doc_id", "ascending"), ("rid", "ascending")])
-        nulls = np.argsort(~order["doc_id"].is_null().to_numpy(), kind="stable")
-        order = order.take(pa.array(nulls)).to_pylist()
-        foreign, shared = set(), set()
-        for rid, pos, own in zip(places["rid"].to_pylist(), places["pos"].to_pylist(), places["own"].to_pylist()):
-            (shared if own else foreign).add((rid, pos))
-        start, rows = starts[part], []
-        for d in order:
-            chunks, at = [], 0
-            for pos, n in enumerate(d["lengths"]):
-                name = d["digests"][DIGEST * pos : DIGEST * (pos + 1)]
-                here = (d["rid"], pos) not in foreign
-                chunks.append({"digest": name, "n": n, "shared": (d["rid"], pos) in shared, "ids": d["ids"][at * width : (at + n) * width] if here else None})
-                at += n
-            rows.append({"part": part, "doc_id": d["doc_id"], "rid": d["rid"], "start": start, "n_tokens": d["n"], "root": merkle([c["digest"] for c in chunks]), "chunks": chunks})
-            start += d["n"]
-        return pa.Table.from_pylist(rows, ARROW)
+        ids = staged["doc_id"].fill_null(Parts.LEAST_ID).to_numpy()
+        docs = staged.take(pa.array(np.lexsort((staged["rid"].to_numpy(), ids, staged["doc_id"].is_valid().to_numpy())))).combine_chunks()
+        n, rids = docs["n"].to_numpy(), docs["rid"].to_numpy()
+        lengths, edges = lists_of(docs["lengths"].chunk(0))
+        lengths = lengths.to_numpy(zero_copy_only=False)
+        names = _binaries(np.full(len(lengths), DIGEST), _data(docs["digests"].chunk(0)))
+        by_rid = np.argsort(rids)
+        at = edges[by_rid[np.searchsorted(rids, places["in_rid"].to_numpy(), sorter=by_rid)]] + places["pos"].to_numpy()
+        own = places["own"].to_numpy().astype(bool)
+        here, shared = np.ones(len(lengths), bool), np.zeros(len(lengths), bool)
+        here[at[~own]], shared[at[own]] = False, True
+        leaves = names.to_pylist()
+        roots = [merkle(leaves[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        chunk = pa.StructArray.from_arrays(
+            [names, pa.array(lengths, pa.int32()), pa.array(shared), _binaries(lengths.astype(np.int64) * width, _data(docs["ids"].chunk(0)), here)], fields=list(ARROW.field("chunks").type.value_type)
+        )
+        chunks = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), chunk)
+        start = starts[part] + np.cumsum(n) - n
+        return pa.Table.from_arrays([pa.array(np.full(len(n), part), pa.int32()), docs["doc_id"], docs["rid"], pa.array(start), docs["n"], pa.array(roots, pa.binary()), chunks], schema=ARROW)
 
     return group
 
@@ -184,36 +192,39 @@ ARROW = pa.schema(
 )
 
 
-def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, text: str = "text", key: str = "doc_id", width: int = 2, part_tokens: tuple[int, int] = PART_TOKENS) -> None:
+def _cuts(rows: DataFrame, part_bytes: tuple[int, int]) -> Parts:
+    """Cuts from a sample by size: SAMPLES rows for each part, so what comes to the driver follows the number of parts."""
+    sizes = rows.select("doc_id", "rid", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 64).alias("size"))
+    whole = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    n_parts = max(1, -(-whole // min(max(whole // 1000, part_bytes[0]), part_bytes[1])))
+    if n_parts == 1:
+        return Parts([], 1)
+    draw = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 30)) / float(1 << 30)
+    picked = sizes.filter(draw < F.col("size") * (SAMPLES * n_parts / whole)).select("doc_id", "rid").toArrow()
+    return Parts(list(zip(picked["doc_id"].to_pylist(), picked["rid"].to_pylist())), n_parts)
+
+
+def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, text: str = "text", key: str = "doc_id", width: int = 2, part_bytes: tuple[int, int] = PART_BYTES) -> None:
     """Encode ``df`` and write the store to ``path``. ``width``: bytes of an id (2 for vocabularies up to 65,536).
 
-    A part holds a thousandth of all tokens, but at least and at most ``part_tokens``: one part is one task's group.
+    A part holds a thousandth of all text, but at least and at most about ``part_bytes``: one part is one task's group.
     """
     spark = df.sparkSession
     rows = df.select(F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"))
     at = new_path(spark, "encoded")
-    staged = stored(rows.mapInArrow(_encode(tokenizer, end_id, width), STAGED), "encoded", at)
-    # cuts: SAMPLES rows for each part, so what comes to the driver follows the number of parts
-    size = staged.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    n_parts = max(1, -(-size["tokens"] // min(max(size["tokens"] // 1000, part_tokens[0]), part_tokens[1])))
-    share = min(1.0, SAMPLES * n_parts / max(size["docs"], 1))
-    picked = staged.select("doc_id", "rid").filter(F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 30)) < int(share * (1 << 30))) if n_parts > 1 else staged.select("doc_id", "rid").limit(0)
-    parts = Parts([(r["doc_id"], r["rid"]) for r in picked.collect()], n_parts)
-    dealt = staged.mapInArrow(_dealt(parts), f"{STAGED}, part int")
-    light = staged.select("doc_id", "rid", "n").mapInArrow(_dealt(parts), "doc_id long, rid long, n long, part int")
+    staged = stored(rows.mapInArrow(_encode(tokenizer, end_id, width, _cuts(rows, part_bytes)), STAGED), "encoded", at)
     starts, total = {}, 0
-    for r in sorted(light.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+    for r in sorted(staged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
         starts[r["part"]] = total
         total += r["n"]
     # of digests that stand in several places, the first place owns the chunk
-    places = staged.select("doc_id", "rid", "digests", F.posexplode("lengths").alias("pos", "length")).select(
-        "doc_id", "rid", "pos", F.expr(f"substring(digests, {DIGEST} * pos + 1, {DIGEST})").alias("digest")
+    places = staged.select("part", "doc_id", "rid", "digests", F.posexplode("lengths").alias("pos", "length")).select(
+        "part", "doc_id", "rid", "pos", F.expr(f"substring(digests, {DIGEST} * pos + 1, {DIGEST})").alias("digest")
     )
     owners = places.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "rid", "pos")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("digest", "first.rid", "first.pos")
     owners = owners.withColumnsRenamed({"rid": "owner", "pos": "owner_pos"})
-    told = places.join(owners, "digest").select("doc_id", "rid", "pos", ((F.col("rid") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))).alias("own"))
-    told = told.mapInArrow(_dealt(parts), "doc_id long, rid long, pos int, own boolean, part int")
-    recipes = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_recipes(starts, width), RECIPES)
+    told = places.join(owners, "digest").select(F.col("part").alias("in_part"), F.col("rid").alias("in_rid"), "pos", ((F.col("rid") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))).alias("own"))
+    recipes = staged.groupBy("part").cogroup(told.groupBy("in_part")).applyInArrow(_recipes(starts, width), RECIPES)
     recipes.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     drop(spark, at)
     written = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
@@ -259,15 +270,22 @@ READ = "part int, doc_id long, rid long, start long, n_tokens long, root binary,
 DIGESTED = "part int, doc_id long, rid long, start long, n_tokens long, root binary, ids_crc32 long"
 
 
-def _checked(row: dict, width: int, as_crc: bool) -> dict:
-    """The document's ids (or their checksum), after every digest, the root and the count are found right."""
-    names = [c["digest"] for c in row["chunks"]]
-    data = b"".join(c["ids"] for c in row["chunks"])
-    if any(digest(c["ids"]) != c["digest"] for c in row["chunks"]) or merkle(names) != row["root"] or len(data) != row["n_tokens"] * width:
-        raise ValueError(f"token store: document {row['doc_id']} is damaged")
-    ids = np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
-    head = {k: row[k] for k in ("part", "doc_id", "rid", "start", "n_tokens", "root")}
-    return head | ({"ids_crc32": zlib.crc32(ids)} if as_crc else {"ids": ids})
+def _rebuilt(docs: pa.Table, bodies: list[bytes], width: int, as_crc: bool, made: pa.Schema) -> pa.Table:
+    """The documents' ids (or their checksums) from their chunks' bytes, after every digest, root and count is found right."""
+    chunks, edges = lists_of(docs["chunks"].combine_chunks())
+    names, edges = chunks.field("digest").to_pylist(), edges.tolist()
+    n = docs["n_tokens"].to_numpy()
+    size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)))])[edges]
+    whole = np.diff(size) == n * width
+    good = [digest(x) == y for x, y in zip(bodies, names)]
+    for k, (a, b, root) in enumerate(zip(edges[:-1], edges[1:], docs["root"].to_pylist())):
+        if not whole[k] or not all(good[a:b]) or merkle(names[a:b]) != root:
+            raise ValueError(f"token store: document {docs['doc_id'][k].as_py()} is damaged")
+    data = memoryview(np.frombuffer(b"".join(bodies), f"<u{width}").astype("<u4").tobytes())
+    ends = (size // width * 4).tolist()
+    own = [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if as_crc else pa.array([bytes(x) for x in own], pa.binary())
+    return pa.Table.from_arrays([*(docs[name] for name in made.names[:-1]), last], schema=made)
 
 
 def read_store(spark: SparkSession, path: str, width: int = 2, as_crc: bool = False) -> DataFrame:
@@ -277,19 +295,20 @@ def read_store(spark: SparkSession, path: str, width: int = 2, as_crc: bool = Fa
     last = ("ids_crc32", pa.int64()) if as_crc else ("ids", pa.binary())
     made = pa.schema([*list(ARROW)[:6], pa.field(*last)])
 
+    def bodies_of(docs: pa.Table) -> list[bytes | None]:
+        return lists_of(docs["chunks"].combine_chunks())[0].field("ids").to_pylist()
+
     def whole(batches):
         for batch in batches:
-            rows = [_checked(r, width, as_crc) for r in batch.to_pylist()]
-            yield from pa.Table.from_pylist(rows, made).to_batches()
+            docs = pa.Table.from_batches([batch])
+            yield from _rebuilt(docs, bodies_of(docs), width, as_crc, made).to_batches()
 
     def filled(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-        ids = {(r, p): i for r, p, i in zip(found["in_rid"].to_pylist(), found["pos"].to_pylist(), found["ids"].to_pylist())}
-        rows = docs.to_pylist()
-        for row in rows:
-            for pos, c in enumerate(row["chunks"]):
-                if c["ids"] is None:
-                    c["ids"] = ids[row["rid"], pos]
-        return pa.Table.from_pylist([_checked(r, width, as_crc) for r in rows], made)
+        bodies, edges = bodies_of(docs), lists_of(docs["chunks"].combine_chunks())[1]
+        first = dict(zip(docs["rid"].to_pylist(), edges[:-1].tolist()))
+        for rid, pos, ids in zip(found["in_rid"].to_pylist(), found["pos"].to_pylist(), found["ids"].to_pylist()):
+            bodies[first[rid] + pos] = ids
+        return _rebuilt(docs, bodies, width, as_crc, made)
 
     schema = DIGESTED if as_crc else READ
     lacking = F.exists("chunks", lambda c: c["ids"].isNull())

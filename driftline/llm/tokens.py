@@ -9,6 +9,7 @@ file is of this kind.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
@@ -88,7 +89,11 @@ class WordEncoder:
         return [t.id for t in self.model.tokenize(lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.spelling))]
 
     def _learn(self, words: list[str]) -> None:
-        answers = [self._word(w) for w in words]
+        gc.disable()  # hundreds of thousands of small lists, none in a cycle
+        try:
+            answers = [self._word(w) for w in words]
+        finally:
+            gc.enable()
         rest = [k for k, ids in enumerate(answers) if ids is None]
         for k, e in zip(rest, self.full.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
             answers[k] = e.ids
@@ -146,7 +151,7 @@ class WordEncoder:
         return pa.array(out, pa.string())
 
 
-def encoded_slices(path: str, texts: pa.Array, limit: int = 4 << 20):
+def encoded_slices(path: str, texts: pa.Array, limit: int = 8 << 20):
     """(lo, hi, flat ids, ranges) for row ranges of about ``limit`` bytes."""
     own = encoder(path)
     for lo, hi in slices(texts, limit):

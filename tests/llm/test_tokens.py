@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 from driftline.llm.packing import Plan, pack, pieces, place, sequences
 from driftline.llm.token_counts import token_counts
+from driftline.llm.tokens import encoder
 from driftline.llm.token_store import chunk_lengths, merkle, read_store, write_store
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -29,7 +31,7 @@ def crc(ids):
 
 def test_store_round_trip(docs, rows, spark, tmp_path):
     path = str(tmp_path / "store")
-    write_store(docs, path, WORD, end_id=1, part_tokens=(3000, 3000))
+    write_store(docs, path, WORD, end_id=1, part_bytes=(9000, 9000))
     want = sorted((-1 if r[0] is None else r[0], [*ids, 1]) for r, ids in zip(rows, ids_of(WORD, rows)))
     got = read_store(spark, path).orderBy("start").collect()
     assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == [k for k, _ in want]
@@ -63,7 +65,7 @@ def test_store_finds_damage(spark, docs, tmp_path):
 def test_store_compares_the_manifest(spark, tmp_path, lost):
     path = tmp_path / "store"
     rows = [(i, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)]
-    write_store(spark.createDataFrame(rows, "doc_id long, text string"), str(path), WORD, part_tokens=(1000, 1000))
+    write_store(spark.createDataFrame(rows, "doc_id long, text string"), str(path), WORD, part_bytes=(2000, 2000))
     parts = sorted((path / "recipes").glob("part=*"), key=lambda p: int(p.name[5:]))
     assert len(parts) > 2 and read_store(spark, str(path)).count() == 30
     if lost == "row":
@@ -160,3 +162,12 @@ def test_token_counts(docs, rows, nothing):
     want = sorted((str(r[0]), len((r[1] or "").encode()), len(ids)) for r, ids in zip(rows, ids_of(BYTE, rows)))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert token_counts(nothing, BYTE).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzAZéÉßÿÖñİıΣσςǅﬁ́̈ .,;:!?'\"<>|#*09  \t\n\x0b\x1c中日🙂ªº×÷µ") | st.characters(codec="utf-8"), max_size=40), min_size=1, max_size=40))
+def test_word_encoder_is_the_library(texts):
+    texts = [*texts, "<|endoftext|> A<|startoftext|>b", "Étude, naïve! ÉCOLE."]
+    flat, ends = encoder(WORD).encode(pa.array(texts, pa.string()))
+    library = Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [e.ids for e in library]
