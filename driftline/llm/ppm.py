@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import new_path, stored
-from .arrowtext import bytes_of, coded, hashes, owners, slices, sums, texts_of, words_of
+from .arrowtext import bytes_of, coded, hashes, owners, slices, summed, sums, texts_of, words_of
 
 ORDER, SPLIT = 5, 3
 #: Prices of windows and counts of words that are broadcast; the others are joined.
@@ -75,14 +75,6 @@ def grams(s: np.ndarray) -> np.ndarray:
     return code[s[ORDER:] != PAD]
 
 
-def summed(code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct codes in rising order, and the sums of their counts."""
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    return code[at], *(np.add.reduceat(n[order], at) if len(at) else n[:0] for n in counts)
-
-
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = np.sort(code)
     at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)

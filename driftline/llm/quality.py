@@ -3,9 +3,11 @@
 A document is compared with references of its language: the distribution of
 its characters over classes, and of its words over the language's most common
 words. The distance is Jensen-Shannon's (square root of the divergence in
-bits, 0 to 1). References are counted over all documents, by one pass of
-mergeable summaries: exact class counts, and heavy hitters among the words
-whose counts are short by at most 1/SUMMARY of a task's words.
+bits, 0 to 1). References are exact counts over all documents: classes of
+characters, and words by language, pre-aggregated in each task and summed by
+Spark; the most common ones are ranked part by part before they meet, so no
+language is one task's work. Words are told apart by 64-bit hashes. Counts do not
+depend on how rows are dealt.
 
 Guards: below ``min_chars`` code points the class test is not applied, below
 ``min_words`` words the word test is not. The word test's limit for n words is
@@ -14,8 +16,8 @@ text strays from its language's by chance alone. So short clean texts stay.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 null or unknown language is compared with the pooled reference of all
-languages; each repeated row is judged by itself; an empty table gives an empty
-result; an input column that has the name of the result column is replaced.
+languages; more than MAX_LANGS languages are an error; each repeated row is judged
+by itself; an empty table gives an empty result; an input column that has the name of the result column is replaced.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import HeavyHitters, bytes_of, coded, hashes, lists_of, mixed, owners, slices, strings, sums, texts_of, windows, words_of
+from ..scratch import stored
+from .arrowtext import bytes_of, coded, hashes, lists_of, mixed, owners, slices, summed, sums, texts_of, windows, words_of
 
-SUMMARY = 4096
+#: Distinct words that a counting task holds before it hands them on, and languages with a reference of their own.
+HELD, MAX_LANGS = 1 << 20, 1 << 14
 SYMBOLS = "#*$%&|<>"
 #: Character classes: lower, upper, digit, white space, sentence marks, other marks, symbols, other letters.
 CLASSES = 8
@@ -160,49 +164,63 @@ def diverges(texts: pa.Array, n_words: np.ndarray, by_class: np.ndarray, by_word
     return long_enough & (by_class > rules.max_class_distance) | (n_words >= rules.min_words) & (by_word > limit)
 
 
-def references(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts of all documents: (lang, kind, item, n), kind 'class' or 'word', with the common words only; lang '' is the pool."""
+CLASS, TOTAL, COMMON = 0, 1, 2
+
+
+def _counted(batches):
+    """(lang, kind, item, n): characters by class, words in all, and each word (by its hash) but the empty one."""
+    fixed: dict[str, np.ndarray] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def rows(lang: str, kind: int, item: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(item), pa.string()), pa.array(np.full(len(item), kind), pa.int32()), pa.array(item, pa.int64()), pa.array(n, pa.int64())], ["lang", "kind", "item", "n"])
+
+    def merged():
+        for lang, parts in held.items():
+            yield lang, summed(*(np.concatenate(x) for x in zip(*parts)))
+
+    for batch in batches:
+        texts = texts_of(batch.column(0))
+        lang_codes, langs = coded(pc.fill_null(batch.column(1).cast(pa.string()), POOL))
+        langs = langs.to_pylist()
+        for lo, hi in slices(texts):
+            part, of = texts.slice(lo, hi - lo), lang_codes[lo:hi]
+            counts = class_counts(part)
+            words = Words.of(part)
+            plain_codes, plain = coded(plain_words(words.distinct))
+            codes = plain_codes[words.codes] if len(words.codes) else words.codes
+            names, real = hashes(plain).view(np.int64), pc.binary_length(plain).to_numpy(zero_copy_only=False) > 0
+            row = owners(words.offsets)
+            for k in np.unique(of):
+                lang, mine = langs[k], of == k
+                n = np.bincount(codes[mine[row]], minlength=len(names))
+                fixed[lang] = fixed.get(lang, 0) + np.append(counts[mine].sum(0), n.sum())
+                at = np.flatnonzero((n > 0) & real)
+                held.setdefault(lang, []).append((names[at], n[at]))
+                size += len(at)
+            if size > HELD:
+                held = {lang: [own] for lang, own in merged()}
+                size = sum(len(own[0][0]) for own in held.values())
+                if size > HELD // 2:
+                    yield from (rows(lang, COMMON, *own[0]) for lang, own in held.items())
+                    held, size = {}, 0
+    for lang, n in fixed.items():
+        yield rows(lang, CLASS, np.arange(CLASSES), n[:CLASSES])
+        yield rows(lang, TOTAL, np.zeros(1, np.int64), n[CLASSES:])
+    for lang, own in merged():
+        yield rows(lang, COMMON, *own)
 
-    def task(batches):
-        chars: dict[str, np.ndarray] = {}
-        total: dict[str, int] = {}
-        words: dict[str, HeavyHitters] = {}
-        for batch in batches:
-            texts = texts_of(batch.column(0))
-            langs = np.array(pc.fill_null(batch.column(1).cast(pa.string()), POOL).to_pylist(), object)
-            for lo, hi in slices(texts):
-                part = texts.slice(lo, hi - lo)
-                counts = class_counts(part)
-                codes, distinct, offsets = Words.of(part)
-                plain_codes, plain = coded(plain_words(distinct))
-                codes = plain_codes[codes] if len(codes) else codes
-                keys = strings(plain)
-                row = owners(offsets)
-                for code in set(langs[lo:hi]):
-                    mine = langs[lo:hi] == code
-                    if code not in chars:
-                        chars[code], total[code], words[code] = np.zeros(CLASSES, np.int64), 0, HeavyHitters(SUMMARY)
-                    chars[code] += counts[mine].sum(0)
-                    n = np.bincount(codes[mine[row]], minlength=len(keys))
-                    total[code] += int(n.sum())
-                    at = np.flatnonzero(n)
-                    words[code].add(keys[at].tolist(), n[at].tolist())
-        out = []
-        for code in chars:
-            words[code].shrink()
-            out += [(code, "class", str(k), int(n)) for k, n in enumerate(chars[code])] + [(code, "total", "", total[code])]
-            out += [(code, "word", w, int(n)) for w, n in words[code].counts.items() if w]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "kind", "item", "n"])
-
-    parts = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(task, "lang string, kind string, item string, n long")
-    summed = parts.select(F.explode(F.array_distinct(F.array("lang", F.lit(POOL)))).alias("lang"), "kind", "item", "n")
-    summed = summed.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    # a common word is at least a thousandth of its language's words, so no more than a thousand are ranked
-    total = summed.filter("kind = 'total'").select(F.col("lang").alias("of"), F.col("n").alias("all"))
-    summed = summed.join(total, F.col("lang") == F.col("of")).filter("kind != 'word' or 1000 * n >= all")
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    return summed.withColumn("rank", rank).filter((F.col("kind") != "word") | (F.col("rank") <= rules.common_words)).select("lang", "kind", "item", "n")
+
+def references(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Counts of all documents: (lang, kind, item, n) of every class, the words in all and the most common words (ties: the lesser hash); lang '' is the pool."""
+    parts = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(_counted, "lang string, kind int, item long, n long")
+    own = stored(parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
+    pool = own.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "kind", "item", "n")
+    every = own.filter(F.col("lang") != POOL).unionByName(pool)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    common = every.filter(F.col("kind") == COMMON).withColumn("rank", rank).filter(F.col("rank") <= rules.common_words).drop("rank")
+    return every.filter(F.col("kind") != COMMON).unionByName(common)
 
 
 class Reference:
@@ -210,40 +228,42 @@ class Reference:
 
     def __init__(self, rows):
         self.chars: dict[str, np.ndarray] = {}
-        self.words: dict[str, dict[str, int]] = {}
-        self.total: dict[str, int] = {}
+        words: dict[str, list[tuple[int, int]]] = {}
+        total: dict[str, int] = {}
         for r in rows:
-            if r["kind"] == "class":
-                self.chars.setdefault(r["lang"], np.zeros(CLASSES))[int(r["item"])] = r["n"]
-            elif r["kind"] == "total":
-                self.total[r["lang"]] = r["n"]
+            if r["kind"] == CLASS:
+                self.chars.setdefault(r["lang"], np.zeros(CLASSES))[r["item"]] = r["n"]
+            elif r["kind"] == TOTAL:
+                total[r["lang"]] = r["n"]
             else:
-                self.words.setdefault(r["lang"], {})[r["item"]] = r["n"]
-        self.langs = sorted(self.chars)
-        self.place = {code: k for k, code in enumerate(self.langs)}
-        self.vocabulary = sorted({w for words in self.words.values() for w in words})
-        width = len(self.vocabulary)
-        self.char_rows = np.array([self.chars[code] for code in self.langs]).reshape(-1, CLASSES)
-        self.word_rows = np.zeros((len(self.langs), width + 1))
-        for k, code in enumerate(self.langs):
-            own = self.words.get(code, {})
-            for j, w in enumerate(self.vocabulary):
-                self.word_rows[k, j] = own.get(w, 0)
-            self.word_rows[k, width] = max(0, self.total.get(code, 0) - sum(own.values()))
-
-    def distances(self, texts: pa.Array, words: Words, langs) -> tuple[np.ndarray, np.ndarray]:
+                words.setdefault(r["lang"], []).append((r["item"], r["n"]))
+        #: By language: the hashes of its common words in rising order, and their counts with that of all others last.
+        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for lang in self.chars:
+            own = np.array(sorted(words.get(lang, [])), np.int64).reshape(-1, 2)
+            self.words[lang] = own[:, 0].copy(), np.append(own[:, 1], max(0, total.get(lang, 0) - own[:, 1].sum())).astype(float)
+
+    def distances(self, texts: pa.Array, words: Words, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Class distance and word distance of each text from its language's reference."""
-        codes, distinct, offsets = words
-        at = np.array([self.place.get(code, self.place.get(POOL, 0)) for code in langs], int)
-        chars = js_distance(class_counts(texts), self.char_rows[at])
-        width = len(self.vocabulary)
-        found = pc.index_in(plain_words(distinct), value_set=pa.array(self.vocabulary, pa.string()))
-        column = pc.fill_null(found, width).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else codes
-        own = self.word_rows[:, :width][at] > 0
-        counts = np.bincount(owners(offsets) * (width + 1) + column, minlength=len(texts) * (width + 1)).reshape(len(texts), width + 1)
-        counts[:, width] += np.where(own, 0, counts[:, :width]).sum(1)  # another language's common word is any other word here
-        counts[:, :width] *= own
-        return chars, js_distance(counts, self.word_rows[at])
+        counts, row = class_counts(texts), owners(words.offsets)
+        names = hashes(plain_words(words.distinct)).view(np.int64)
+        by_class, by_word = np.zeros(len(texts)), np.zeros(len(texts))
+        of, values = coded(pa.array([x if x in self.chars else POOL for x in langs], pa.string()))
+        for k, lang in enumerate(values.to_pylist()):
+            mine = np.flatnonzero(of == k)
+            by_class[mine] = js_distance(counts[mine], self.chars[lang][None, :])
+            common, reference = self.words[lang]
+            column = np.full(len(names), len(common))
+            if len(common):
+                at = np.minimum(np.searchsorted(common, names), len(common) - 1)
+                column = np.where(common[at] == names, at, len(common))
+            place = np.zeros(len(texts), np.int64)
+            place[mine] = np.arange(len(mine))
+            own = of[row] == k
+            width = len(common) + 1
+            cells = place[row[own]] * width + column[words.codes[own]]
+            by_word[mine] = js_distance(np.bincount(cells, minlength=len(mine) * width).reshape(len(mine), width), reference[None, :])
+        return by_class, by_word
 
 
 MEASURES = T.StructType(
@@ -257,9 +277,12 @@ def quality_rules(df: DataFrame, rules: Rules = Rules(), text: str = "text", lan
     """``df`` with a struct column ``out`` of MEASURES; with ``only_kept``, the kept rows as they came, without it.
 
     The references are collected to the driver: CLASSES + common_words + 1
-    numbers for each language, whatever the number of documents.
+    numbers for each of at most MAX_LANGS languages, whatever the number of documents.
     """
-    reference = Reference(references(df, rules, text, lang).collect())
+    found = references(df, rules, text, lang).limit((CLASSES + rules.common_words + 1) * (MAX_LANGS + 1)).collect()
+    reference = Reference(found)
+    if len(reference.chars) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages in {lang}")
     names = [c for c in df.columns if only_kept or c != out]
     at_text, at_lang = df.columns.index(text), df.columns.index(lang)
     keep_at = [df.columns.index(c) for c in names]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import ppm
+from driftline.llm import ppm, quality
 from driftline.llm.html import extract, main_text
 from driftline.llm.mixing import Mix, calibrated, mix_sources, rake
 from driftline.llm.ppm import SYMBOLS, adaptive_score, score_documents
@@ -60,6 +60,44 @@ def test_quality_keeps_columns(docs, nothing):
     assert quality_rules(nothing).collect() == []
 
 
+def reference_of(rows, width):
+    """By language and for '' (all): class counts, all words and the most common ones, from the definition."""
+    kinds, total, words = defaultdict(Counter), Counter(), defaultdict(Counter)
+    for r in rows:
+        for lang in {r[2] or "", ""}:
+            kinds[lang].update(quality.CLASS_OF[c.encode()[0]] for c in r[1] or "")
+            for w in SPACE.findall(r[1] or ""):
+                total[lang] += 1
+                words[lang][w.lower().strip(".,;:!?'\"()")] += 1
+    return kinds, total, {k: {w: n for w, n in c.items() if w} for k, c in words.items()}
+
+
+def js(p, q):
+    p, q = {k: n / sum(p.values()) for k, n in p.items()}, {k: n / sum(q.values()) for k, n in q.items()}
+    half = lambda a: sum(x * math.log2(x / ((p.get(k, 0) + q.get(k, 0)) / 2)) for k, x in a.items() if x)
+    return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+
+def test_quality_distances_by_brute_force(docs, rows, monkeypatch):
+    kinds, total, words = reference_of(rows, 48)
+    rank = lambda c: sorted(c.items(), key=lambda x: (-x[1], int(quality.hashes(pa.array([x[0]])).view(np.int64)[0])))[:48]
+    common = {k: dict(rank(c)) for k, c in words.items()}
+    monkeypatch.setattr(quality, "HELD", 50)
+    runs = [quality_rules(docs.select("doc_id", "text", "lang").repartition(n)).select("doc_id", "text", "lang", "quality.*").collect() for n in (1, 7)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    rules = Rules()
+    for r in runs[0]:
+        text, lang = r["text"] or "", r["lang"] or ""
+        found = SPACE.findall(text)
+        own = Counter(w if w in common[lang] else None for w in (x.lower().strip(".,;:!?'\"()") for x in found))
+        reference = {**common[lang], None: total[lang] - sum(common[lang].values())}
+        by_class = js(Counter(quality.CLASS_OF[c.encode()[0]] for c in text), kinds[lang]) if text else 0.0
+        by_word = js(own, reference) if found else 0.0
+        assert math.isclose(r["class_distance"], by_class, abs_tol=1e-6) and math.isclose(r["word_distance"], by_word, abs_tol=1e-6)
+        out = len(text) >= rules.min_chars and by_class > rules.max_class_distance or len(found) >= rules.min_words and by_word > rules.max_word_distance + rules.word_allowance / math.sqrt(max(1, len(found)))
+        assert r["kept"] == (not r["base_failed"] and not out)
+
+
 def test_js_distance():
     p, q = np.array([[1, 1, 0], [4, 4, 0], [0, 0, 0]]), np.array([[1, 1, 0], [0, 0, 5], [1, 2, 3]])
     assert js_distance(p, q).round(9).tolist() == [0, 1, 0]
