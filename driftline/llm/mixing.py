@@ -1,135 +1,152 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed up by cell (source, language, topic). The cells' weights are
-raked: scaled in turn so that the shares of each source, each language and each
-topic meet their targets, until all three do. A document of a cell is then kept
-with the probability with which the cell's share of the budget is met in
-expectation, decided by a digest of its id, so a repeated run or a lost task
-decides alike.
-
-Only cells whose three values are named in the targets take part; the targets
-are parameters, so the number of cells is bounded by them (MAX_CELLS) before any
-are collected. With ``targets`` left out, margins are taken from the data with
-the exponent ``temperature``; their number is checked in the same way.
-
-Defined cases: a null source, language or text counts as the value '' (no
-words, topic 'empty'); a document outside the targets has probability 0; cells
-whose margins cannot be met together get the closest fit of ROUNDS rounds;
-repeated rows share id and fate; an empty table gives an empty result; input
-columns that have the name of the result column are replaced.
+Tokens are summed up by cell (source, language, topic). The cells' probabilities
+are raked: one factor for each source, language and topic is adjusted in turn until
+the kept tokens of every one of them meet its target. No probability exceeds 1: a
+cell that would is kept whole and the raking goes on with the others, so targets
+still hold. Where they cannot be met at the budget asked for, the largest budget at
+which they can is taken; where at none, the closest fit is, with a warning and
+``met`` false. A document is kept with its cell's probability, decided by a digest of
+its id, so a repeated run or a lost task decides alike.
+
+Targets are shares by value; what the named ones leave of 1 goes to the values
+without a name, by their shares in the data to the power ``temperature``. If they
+leave nothing, documents of other values have probability 0. The number of cells
+is checked (MAX_CELLS) before any are collected.
+
+Defined cases: a null source, language or topic counts as the value ''; a null
+token weight as 0; values that the data lack give up their share to the others of
+the margin; repeated rows share id and fate; an empty table gives an empty result;
+input columns that have the name of the result column are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CELLS = 1 << 18
-ROUNDS = 200
-TOLERANCE = 1e-9
+from .names import fresh
+
+MAX_CELLS = 1 << 16
+ROUNDS, TOLERANCE, HALVINGS = 400, 1e-6, 20
 SEED = 20240611
 MARGINS = ("source", "lang", "topic")
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Target shares by margin; a margin left out follows the data's shares to the power ``temperature``."""
+    """Target shares by margin, and the tokens to keep, in expectation, as a share of all."""
 
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     temperature: float = 0.7
-    #: Tokens to keep, in expectation, as a share of those that take part.
     budget: float = 0.6
     seed: int = SEED
 
 
-def topic_of(text: Column) -> Column:
-    """A topic by surface form, from the text's first-order statistics alone; give your own column for real topics."""
-    body = F.coalesce(text, F.lit(""))
-    n = F.length(body)
-    letters = F.length(F.translate(body, "0123456789", ""))
-    lines = n - F.length(F.translate(body, "\n", "")) + 1
-    return (
-        F.when(n == 0, "empty").when(n - letters > 0.02 * n, "numeric").when(lines * 60 > n, "listing").when(n >= 6000, "long prose").when(n >= 1000, "prose").otherwise("note")
-    )
+class Fit(NamedTuple):
+    """Probability of each cell, and whether the margins of what is kept meet their targets."""
+
+    probability: np.ndarray
+    met: bool
 
 
-def n_words(text: Column) -> Column:
-    """The token weight: words, which cost no tokenizer; give your own column for exact tokens."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^ \\x09-\\x0D]+")), F.lit(0)).cast("long")
+def shares(values: list[str], tokens: np.ndarray, named: dict[str, float], temperature: float) -> np.ndarray:
+    """Target shares of a margin's values, which hold ``tokens``."""
+    if not all(x >= 0 for x in named.values()) or sum(named.values()) > 1 + 1e-9:
+        raise ValueError("target shares must be 0 or more and add up to 1 at most")
+    fixed = np.array([named.get(v, 0.0) for v in values])
+    free = np.array([v not in named for v in values]) & (tokens > 0)
+    spread = np.where(free, tokens, 0.0) ** temperature * free
+    rest = max(0.0, 1 - sum(named.values()))
+    out = fixed + (rest * spread / spread.sum() if free.any() else 0.0)
+    return out / max(out.sum(), 1e-300)
 
 
-def rake(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Cell weights whose margins meet the targets; starts from ``weights`` and keeps their interactions."""
-    w = weights / max(weights.sum(), 1e-300)
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Fit:
+    """Probabilities of at most 1 with which each margin's kept tokens are ``targets`` (in tokens, all of one sum)."""
+    total = max(targets[0].sum(), 1e-300)
+    factors = [np.full(len(t), 1.0) for t in targets]
+    factors[0] *= total / max(tokens.sum(), 1e-300)
+    chance = lambda: np.minimum(1.0, np.prod([f[c] for f, c in zip(factors, codes)], axis=0))
     for _ in range(rounds):
         worst = 0.0
-        for code, target in zip(codes, targets):
-            now = np.bincount(code, w, len(target))
-            reachable = np.where(now > 0, target, 0)
-            reachable = reachable / max(reachable.sum(), 1e-300)
-            worst = max(worst, float(np.abs(now - reachable).max(initial=0)))
-            w = w * np.divide(reachable, now, out=np.zeros_like(now), where=now > 0)[code]
+        for f, code, target in zip(factors, codes, targets):
+            now = np.bincount(code, tokens * chance(), len(target))
+            worst = max(worst, float(np.abs(now - target).max()) / total)
+            f *= np.divide(target, now, out=np.zeros_like(now), where=now > 0)
+            np.clip(f, 0, 1e12, out=f)
         if worst < tolerance:
-            break
-    return w
+            return Fit(chance(), True)
+    return Fit(chance(), False)
 
 
-def calibrated(cells: list[dict], mix: Mix) -> list[tuple[str, str, str, float, float]]:
-    """(source, lang, topic, target share, probability) of every cell."""
+def calibrated(cells: list[dict], mix: Mix) -> tuple[list[tuple[str, str, str, float]], bool, float]:
+    """(source, lang, topic, probability) of every cell, whether the targets are met, and the budget in tokens."""
     if not cells:
-        return []
+        return [], True, 0.0
     tokens = np.array([c["tokens"] for c in cells], float)
-    codes, targets = [], []
+    codes, goals = [], []
     for m in MARGINS:
-        named = mix.targets.get(m)
-        values = sorted(named) if named else sorted({c[m] for c in cells})
+        values = sorted({c[m] for c in cells})
         place = {v: k for k, v in enumerate(values)}
-        code = np.array([place[c[m]] for c in cells])
-        share = np.array([named[v] for v in values], float) if named else np.bincount(code, tokens, len(values)) ** mix.temperature
-        codes.append(code)
-        targets.append(share / max(share.sum(), 1e-300))
-    goal = rake(tokens, codes, targets)
-    rate = np.divide(goal, tokens, out=np.zeros_like(goal), where=tokens > 0)
-    probability = np.minimum(1.0, rate * filling(rate, tokens, mix.budget * tokens.sum()))
-    return [(*(c[m] for m in MARGINS), float(g), float(p)) for c, g, p in zip(cells, goal, probability)]
-
-
-def filling(rate: np.ndarray, tokens: np.ndarray, wanted: float) -> float:
-    """The factor x for which the sum of min(1, x * rate) * tokens is ``wanted``: scarce cells are kept whole, the others share what is left."""
-    order = np.argsort(-rate)
-    rate, tokens = rate[order], tokens[order]
-    whole = np.concatenate([[0], np.cumsum(tokens)])
-    rest = np.cumsum((rate * tokens)[::-1])[::-1]
-    for k in range(len(rate)):
-        if rest[k] <= 0:
-            break
-        x = (wanted - whole[k]) / rest[k]
-        if x * rate[k] <= 1:
-            return max(x, 0.0)
-    return 1 / max(rate[rate > 0].min(initial=1.0), 1e-300)
-
-
-def mix_sources(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", topic: Column | None = None, tokens: Column | None = None, out: str = "mix") -> DataFrame:
-    """``df`` with a struct column ``out`` of topic, n_tokens, share (of the cell), probability and kept."""
-    spark = df.sparkSession
-    names = [c for c in df.columns if c != out]
-    label = topic_of(F.col(text)) if topic is None else topic
-    made = df.select(*names, F.struct(F.coalesce(label, F.lit("")).alias("topic"), (n_words(F.col(text)) if tokens is None else tokens).alias("n_tokens")).alias(out))
-    margin = {"source": F.coalesce(F.col("source"), F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "topic": F.col(f"{out}.topic")}
-    cells = made.select(*(margin[m].alias(m) for m in MARGINS), F.col(f"{out}.n_tokens").alias("n"))
-    for m, named in mix.targets.items():
-        cells = cells.filter(F.col(m).isin(*named))
+        codes.append(np.array([place[c[m]] for c in cells]))
+        goals.append(shares(values, np.bincount(codes[-1], tokens), mix.targets.get(m, {}), mix.temperature))
+    wanted = mix.budget * tokens.sum()
+    fit = rake(tokens, codes, [wanted * g for g in goals])
+    if not fit.met:  # the largest budget that can be met, by halving; each margin's scarcest value bounds it from above
+        low, high, best = 0.0, min(wanted, *(float(np.min(np.bincount(c, tokens)[g > 0] / g[g > 0])) for c, g in zip(codes, goals))), None
+        for _ in range(HALVINGS):
+            middle = (low + high) / 2
+            tried = rake(tokens, codes, [middle * g for g in goals])
+            if tried.met:
+                low, best = middle, tried
+            else:
+                high = middle
+        if best is None:
+            warnings.warn("the targets of source, language and topic cannot be met together; the mixture is the closest fit", stacklevel=2)
+        else:
+            fit, wanted = best, low
+    return [(*(c[m] for m in MARGINS), float(p)) for c, p in zip(cells, fit.probability)], fit.met, wanted
+
+
+def rates(cells: DataFrame, mix: Mix) -> tuple[list[tuple[str, str, str, float]], bool]:
+    """``calibrated`` over rows (source, lang, topic, n): the cells are summed up by Spark, and only they are collected."""
     table = cells.groupBy(*MARGINS).agg(F.sum("n").alias("tokens")).filter("tokens > 0")
     found = table.limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic: name the targets, or use coarser margins")
-    rows = calibrated(sorted((r.asDict() for r in found), key=lambda c: tuple(c[m] for m in MARGINS)), mix)
-    rates = spark.createDataFrame(rows, "_source string, _lang string, _topic string, _share double, _probability double")
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col(key).cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    joined = made.join(F.broadcast(rates), (margin["source"] == F.col("_source")) & (margin["lang"] == F.col("_lang")) & (margin["topic"] == F.col("_topic")), "left")
-    probability = F.coalesce(F.col("_probability"), F.lit(0.0))
-    struct = F.struct(f"{out}.topic", f"{out}.n_tokens", F.coalesce(F.col("_share"), F.lit(0.0)).alias("share"), probability.alias("probability"), (draw < probability).alias("kept"))
-    return joined.select(*[F.col(c) for c in names], struct.alias(out))
+        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic: use coarser margins")
+    rows, met, _ = calibrated(sorted((r.asDict() for r in found), key=lambda c: tuple(c[m] for m in MARGINS)), mix)
+    return rows, met
+
+
+def drawn(key: Column, seed: int = SEED) -> Column:
+    """A number from 0 to 1 that depends on seed and key alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def mix_sources(
+    df: DataFrame, tokens: Column, topic: Column, mix: Mix = Mix(), key: str = "doc_id", source: str = "source", lang: str = "lang", out: str = "mix", weighed: DataFrame | None = None
+) -> DataFrame:
+    """``df`` with a struct column ``out`` of topic, probability, kept and met.
+
+    ``weighed``: the rows (source, lang, topic, n) whose tokens are raked, where they come cheaper than from ``df`` itself."""
+    names = [c for c in df.columns if c != out]
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    margin = dict(zip(MARGINS, (value(F.col(source)), value(F.col(lang)), value(topic))))
+    if weighed is None:
+        weighed = df.select(*(margin[m].alias(m) for m in MARGINS), F.coalesce(tokens, F.lit(0)).alias("n"))
+    else:
+        weighed = weighed.select(*(value(F.col(m)).alias(m) for m in MARGINS), "n")
+    rows, met = rates(weighed, mix)
+    own = fresh(df, *MARGINS, "probability")
+    table = df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in zip(own, ("string", "string", "string", "double"))))
+    where = [margin[m] == F.col(c) for m, c in zip(MARGINS, own)]
+    probability = F.coalesce(F.col(own[3]), F.lit(0.0))
+    struct = F.struct(margin["topic"].alias("topic"), probability.alias("probability"), (drawn(F.col(key), mix.seed) < probability).alias("kept"), F.lit(met).alias("met"))
+    joined = df.join(F.broadcast(table), where[0] & where[1] & where[2], "left")  # MAX_CELLS rows at most
+    return joined.select(*[F.col(f"`{c}`") for c in names], struct.alias(out))

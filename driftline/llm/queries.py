@@ -8,17 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_path
+from ..scratch import new_path, stored
 from ..session import ship
 from .html import extract
 from .jaccard import jaccard_components
-from .mixing import mix_sources
+from .mixing import Mix, mix_sources
 from .packing import pack, pieces
 from .ppm import score_documents
 from .quality import quality_rules
 from .sharding import shard
 from .token_counts import token_counts
 from .token_store import read_store, write_store
+from .topics import TopicModel, with_topics
 from .topk import top_k
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -46,8 +47,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > 512).alias("over_limit"))
 
 
+#: The mixture of the registered query and of the pipeline: the hot source held down, languages and topics by name, other sources by size.
+MIXTURE = Mix(targets={"source": {"src0": 0.1}, "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}, "topic": {"good": 0.85, "poor": 0.14, "toxic": 0.01}}, budget=0.5)
+
+
+def topic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> TopicModel:
+    """Topics good, poor and toxic, from the documents that ``labels`` covers."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    topic = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return TopicModel.fit(docs, labels.select("doc_id", topic.alias("topic")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "mix.*")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    model = topic_model(spark, docs, sf_dir)
+    weighed = stored(with_topics(docs, model, tokenizer=public_tokenizers.path(WORD_BPE), keep_text=False), "weighed")
+    return mix_sources(weighed, F.col("n_tokens"), F.col("topic"), MIXTURE).select("doc_id", "source", "lang", "n_tokens", "mix.*")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .arrowtext import coded, slices, strings, words_of
+from .arrowtext import coded, slices, strings, sums, words_of
 
 #: Distinct words that one worker keeps; beyond, the cache starts afresh. Bounds its memory at about 100 MB.
 CACHE_WORDS = 600_000
@@ -110,27 +110,36 @@ class WordEncoder:
             found[new] = np.fromiter(map(self.known.__getitem__, words[new]), np.int64, int(new.sum()))
         return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids (uint32) of all texts and each text's range in them."""
+    def _pieces(self, distinct: pa.Array) -> np.ndarray:
+        """For each distinct word the cache entries of its core and of the sentence marks after it."""
         if len(self.known) > CACHE_WORDS:
             self.reset()
-        flat, offsets = words_of(texts)
-        codes, distinct = coded(flat)
-        if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         # ASCII words are lowered here already, and sentence marks after a letter or digit split off: fewer distinct keys
         plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<")))
         lowered = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
         core = pc.ascii_rtrim(lowered, characters=MARKS)
         split = pc.match_substring_regex(core, "[\\pL\\pN]$")  # I with a dot above is the one letter whose lower case ends in a mark
         core = pc.if_else(pc.and_(split, pc.invert(pc.ends_with(core, "\u0130"))), core, lowered)
-        tail = self._tails(lowered, core)
         entries = []
-        for piece in (core, tail):
+        for piece in (core, self._tails(lowered, core)):
             piece_codes, piece_distinct = coded(piece)
             entries.append(self._entries(piece_distinct)[piece_codes])
-        counts = np.stack([self.counts[e] for e in entries], 1).astype(np.int64)
-        starts = np.stack([self.starts[e] for e in entries], 1)
+        return np.stack(entries, 1)
+
+    def counted(self, codes: np.ndarray, distinct: pa.Array, offsets: np.ndarray) -> np.ndarray:
+        """Number of ids of each text, given as its words."""
+        if not len(codes):
+            return np.zeros(len(offsets) - 1, np.int64)
+        return sums(self.counts[self._pieces(distinct)].sum(1)[codes], offsets)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids (uint32) of all texts and each text's range in them."""
+        flat, offsets = words_of(texts)
+        codes, distinct = coded(flat)
+        if not len(codes):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        entries = self._pieces(distinct)
+        counts, starts = self.counts[entries].astype(np.int64), self.starts[entries]
         word_ids = self.ids[ragged(starts.ravel(), counts.ravel())]
         per_word = counts.sum(1)
         word_starts = np.cumsum(per_word) - per_word

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from driftline.llm.html import extract, main_text
 from driftline.llm.mixing import Mix, calibrated, mix_sources, rake
 from driftline.llm.ppm import SYMBOLS, adaptive_score, score_documents
 from driftline.llm.quality import Rules, js_distance, quality_rules
+from driftline.llm.topics import TopicModel, with_topics
 from driftline.llm.sharding import shard, write_shards
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,32 +110,62 @@ def test_rake_meets_margins():
     cells = [(a, b, c) for a in range(4) for b in range(3) for c in range(2)]
     codes = [np.array([x[k] for x in cells]) for k in range(3)]
     targets = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.25, 0.25]), np.array([0.7, 0.3])]
-    w = rake(rng.uniform(1, 50, len(cells)), codes, targets)
-    for code, target in zip(codes, targets):
-        assert np.allclose(np.bincount(code, w), target, atol=1e-6)
+    tokens = rng.uniform(1, 50, len(cells))
+    for budget in (0.05, 0.4):  # at the larger one some cells are kept whole
+        fit = rake(tokens, codes, [budget * tokens.sum() * t for t in targets])
+        assert fit.met and fit.probability.max() <= 1 and (budget < 0.4 or (fit.probability == 1).any())
+        for code, target in zip(codes, targets):
+            assert np.allclose(np.bincount(code, tokens * fit.probability), budget * tokens.sum() * target, rtol=1e-4)
+
+
+def test_mixing_takes_the_largest_budget():
+    cells = [{"source": s, "lang": v, "topic": "x", "tokens": n} for s, v, n in [("a", "en", 900), ("a", "de", 50), ("b", "en", 40), ("b", "de", 10)]]
+    rows, met, wanted = calibrated(cells, Mix(targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}}, budget=0.9))
+    kept = {r[:2]: r[3] * c["tokens"] for r, c in zip(rows, cells)}
+    # b has 50 tokens, so 100 is the most; its 10 German ones leave 40 for German in a
+    assert met and abs(wanted - 100) < 1 and abs(kept["b", "en"] - 40) < 1 and abs(kept["a", "de"] - 40) < 1 and abs(kept["a", "en"] - 10) < 1
+    with pytest.warns(UserWarning):
+        assert not calibrated(cells[:1] + cells[3:], Mix(targets={"source": {"a": 0.5}, "lang": {"en": 0.1}}))[1]
 
 
 def test_mixing(docs, rows, nothing):
-    mix = Mix(targets={"source": {"hot": 0.2, "a": 0.4, "b": 0.4}, "lang": {"en": 0.5, "de": 0.3, "": 0.2}}, budget=0.3)
-    got = mix_sources(docs.withColumn("mix", F.lit(1)), mix).select("doc_id", "source", "lang", "text", "mix.*").collect()
-    assert len(got) == len(rows)
-    tokens, rate = Counter(), {}
+    mix = Mix(targets={"source": {"hot": 0.2, "a": 0.4, "b": 0.4}, "lang": {"en": 0.5, "de": 0.3, "": 0.2}}, budget=0.2)
+    words = lambda r: len(SPACE.findall(r["text"] or ""))
+    df = docs.withColumns({"mix": F.lit(1), "probability": F.lit("p"), "topic": F.lit(3)})
+    topic, tokens = F.when(F.length("text") > 300, "long").otherwise("short"), F.regexp_count("text", F.lit("[^ \\x09-\\x0D]+"))
+    out = mix_sources(df, tokens, topic, mix)
+    assert out.columns == df.columns[: df.columns.index("mix")] + df.columns[df.columns.index("mix") + 1 :] + ["mix"]
+    got = out.select("doc_id", "source", "lang", "text", "mix.*").collect()
+    assert len(got) == len(rows) and all(r["met"] for r in got)
+    cells, kept = defaultdict(float), defaultdict(float)
     for r in got:
-        assert r["n_tokens"] == len(SPACE.findall(r["text"] or ""))
-        cell = (r["source"] or "", r["lang"] or "", r["topic"])
-        if cell[0] in mix.targets["source"] and cell[1] in mix.targets["lang"]:
-            tokens[cell] += r["n_tokens"]
-            rate[cell] = r["probability"]
-        else:
+        for m, v in (("source", r["source"] or ""), ("lang", r["lang"] or "")):
+            kept[m, v] += words(r) * r["probability"]
+        cells["all"] += words(r) * r["probability"]
+        assert r["topic"] == ("long" if len(r["text"] or "") > 300 else "short")
+        if r["source"] is None or (r["lang"] or "") not in mix.targets["lang"]:
             assert r["probability"] == 0 and not r["kept"]
-    cells = [dict(zip(("source", "lang", "topic"), c), tokens=n) for c, n in sorted(tokens.items()) if n]
-    want = {x[:3]: x[4] for x in calibrated(cells, mix)}
-    assert all(abs(rate[c] - p) < 1e-12 for c, p in want.items())
-    expected = sum(tokens[c] * p for c, p in want.items())
-    assert abs(expected - 0.3 * sum(tokens.values())) < 1e-6 * expected
-    kept = [r["doc_id"] for r in got if r["kept"]]
-    assert kept and sorted(map(str, kept)) == sorted(str(r["doc_id"]) for r in mix_sources(docs.repartition(3), mix).filter("mix.kept").collect())
-    assert mix_sources(nothing).collect() == []
+    for m, named in mix.targets.items():
+        for v, share in named.items():
+            assert abs(kept[m, v] / cells["all"] - share) < 1e-4
+    assert abs(cells["all"] / sum(map(words, got)) - 0.2) < 1e-4
+    chosen = [r["doc_id"] for r in got if r["kept"]]
+    assert chosen and sorted(map(str, chosen)) == sorted(str(r["doc_id"]) for r in mix_sources(df.repartition(3), tokens, topic, mix).filter("mix.kept").collect())
+    assert mix_sources(nothing, F.lit(1), F.lit("x")).collect() == []
+
+
+def test_topics_and_tokens(spark, docs, rows, nothing):
+    from tokenizers import Tokenizer
+
+    labelled = docs.filter("doc_id < 300").select("doc_id", F.when(F.col("text").contains("edit"), "copy").otherwise("plain").alias("topic"))
+    model = TopicModel.fit(docs, labelled)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = with_topics(docs, model, tokenizer=path).collect()
+    library = Tokenizer.from_file(path)
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(r[0]), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+    assert sum((r["topic"] == "copy") == ("edit" in r["text"]) for r in got if r["text"]) > 0.95 * len(rows)
+    assert [r["topic"] for r in got if not r["text"]] == ["plain"] * sum(not r[1] for r in rows)
+    assert with_topics(nothing, TopicModel.fit(docs, labelled.filter("false"))).collect() == []
 
 
 def test_sharding(docs, rows, spark, tmp_path, monkeypatch):
@@ -308,10 +340,11 @@ def test_html_rows(spark):
     assert extract(df.filter("false")).collect() == []
 
 
-def test_pipeline_stages(spark, docs, rows):
-    now = docs.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+def test_pipeline_stages(spark, docs, rows, tmp_path):
+    spark.range(0, 300, 2).selectExpr("id as doc_id", "cast(id % 10 > 0 as int) as quality", "cast(id % 40 = 0 as int) as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.length("text").cast("long")).withColumn("mix", F.lit("m")).withColumn("topic", F.lit("t"))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, now, "")
+        after = stage(spark, now, str(tmp_path))
         if k < 3:
             assert after.columns == now.columns
             assert not Counter(after.collect()) - Counter(now.collect())  # stages only choose
