@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftline.llm.jaccard import near_duplicates
 from driftline.llm.mixing import mix_sources
+from driftline.llm.names import fresh
 from driftline.llm.packing import pack, pieces
 from driftline.llm.quality import quality_rules
+from driftline.llm.queries import MIXTURE, topic_model
+from driftline.llm.topics import with_topics
 from driftline.scratch import stored
 from driftline.session import ship
 
@@ -33,9 +37,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with their cells' calibrated probabilities."""
+    """Documents drawn with their cells' calibrated probabilities: one pass weighs the cells in tokens, a second one draws."""
     ship(spark)
-    return mix_sources(docs).filter("mix.kept").select(*docs.columns)
+    (topic, out), names = fresh(docs, "topic", "mix"), docs.columns
+    model = topic_model(spark, docs, sf_dir)
+    cells = with_topics(docs.select("source", "lang", "text"), model, tokenizer=public_tokenizers.path(TOKENIZER), keep_text=False)
+    weighed = cells.select("source", "lang", "topic", F.col("n_tokens").alias("n"))
+    known = with_topics(docs, model, topic=topic)
+    return mix_sources(known, F.lit(0), F.col(topic), MIXTURE, out=out, weighed=weighed).filter(F.col(out)["kept"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
