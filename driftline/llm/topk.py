@@ -1,21 +1,28 @@
 """Exact top-k inner-product search by no-random-access aggregation (NRA).
 
-Vectors are turned into whole numbers, floor(scale * x). For a block of
-candidates every dimension is a list sorted by value, read from the top for a
-positive query weight and from the bottom for a negative one. All lists are read
-in rounds of equal depth. After a round a candidate's score has an upper bound
-(what is unread counts as the list's current value) and a lower bound (unread
-counts as the list's last value). Reading stops for a query when no outsider's
-upper bound reaches the k-th best lower bound; scores of those that remain are
-then resolved by reading their lists to the end.
-
-The bounds of all queries of a block come from two matrix products a round: with
-q = q+ + q-, upper = q+ . max(x, value at depth) + q- . min(x, value at depth from
-below). Numbers stay whole and below 2^53, so doubles are exact.
+Vectors are turned into whole numbers, floor(scale * x). In a block of candidates
+every component is a list sorted by value. Lists are read in order, from both ends
+at once, STEPS rounds to the middle, and a candidate's score gathers what was read
+of it. What is unread of a list lies between its two frontiers, so after each round
+every score has a lower and an upper bound. Reading stops for a query when at most
+a few candidates have an upper bound that reaches the k-th best lower bound; their
+scores are resolved by the components that they lack. No component of any other
+candidate is read further.
+
+Both ends are read since weights have both signs: lists are shared by all queries
+of a block, and the frontiers close in on the middle from above and below. On
+components without structure most of each list has to be read before bounds part
+(about three quarters at 64 normal components); ``nra`` returns how many were.
+
+Whole numbers below LARGE are held as doubles, in which all sums stay exact;
+vectors with larger components are searched in Python's whole numbers. A score
+that 64 bits do not hold is an error.
 
 Queries and candidates are dealt into blocks of bounded size and every pair of a
-query block and a candidate block is one task's group; the best k of each query
-and block are merged by a top-k with pre-aggregation. Nothing is broadcast.
+query block and a candidate block is one task's group; a vector is copied once for
+each block of the other kind, so blocks are as large as a task can hold. The best k
+of each query and block are merged by a top-k with pre-aggregation. Nothing is
+broadcast.
 
 Defined cases: vectors that are null, or hold a null or a component that is not
 finite, take no part, nor do rows without an id; vectors of another length than
@@ -31,57 +38,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 8192, 2048
-DEPTHS = (1 / 16, 1 / 4)
+CANDIDATES, QUERIES = 1 << 15, 1 << 13
+#: Queries that read a block's lists together, and rounds from the ends of a list to its middle.
+TOGETHER, STEPS = 64, 12
+#: Components up to here multiply and add up within the 53 bits of a double, for up to 8,192 of them.
+LARGE = 1 << 20
 
 
-def quantized(vector: Column, scale: int) -> Column:
-    """Whole numbers floor(scale * x), with x as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * float(scale)).cast("long"))
+def whole_numbers(flat: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as doubles, or as Python's whole numbers where one of them is too large for exact sums."""
+    out = np.floor(flat * float(scale))
+    if not len(out) or np.abs(out).max() <= LARGE:
+        return out
+    return np.array([int(x) * scale if abs(x) > 1 << 53 else int(np.floor(x * scale)) for x in flat.tolist()], object)
 
 
-def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and scores of each query's best k among ``x`` (ties: smaller id), its own id left out."""
-    n, _ = x.shape
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    rising = np.sort(x, axis=0)
-    bottom = rising[0], rising[-1]
-    same = query_ids[:, None] == ids[None, :]
+def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Ids and scores of each query's best k among ``x`` (ties: smaller id), its own id left out, and how many components were read in all."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    order = np.argsort(x, axis=0, kind="stable")
+    read = 0
+    for lo in range(0, len(queries), TOGETHER):
+        got, n = _together(queries[lo : lo + TOGETHER], query_ids[lo : lo + TOGETHER], x, ids, k, order)
+        found += got
+        read += n
+    return found, read
+
+
+def _together(queries, query_ids, x, ids, k, order):
+    n, d = x.shape
     live = np.arange(len(queries))
-    remain: dict[int, np.ndarray] = {}
-    for depth in DEPTHS:
-        d = max(1, int(depth * n))
-        if d >= n or n <= 4 * k or not len(live):
+    gathered = np.zeros((n, len(live)), x.dtype)
+    lacking = np.ones((n, d), bool)
+    found: list = [None] * len(queries)
+    few, done, read = max(2 * k, n // 64), 0, 0
+    step = max(1, -(-n // (2 * STEPS)))
+    while len(live):
+        low, high = done, min(done + step, (n + 1) // 2)
+        for j in range(d):
+            rows = np.concatenate([order[low:high, j], order[max(n - high, high) : n - low, j]])
+            gathered[rows] += x[rows, j][:, None] * queries[live, j][None, :]
+            lacking[rows, j] = False
+            read += len(rows) * len(live)
+        done = high
+        own = query_ids[live][None, :] == ids[:, None]
+        if 2 * done >= n:
+            for c, q in enumerate(live):
+                found[q] = _best(gathered[:, c], ids, np.flatnonzero(~own[:, c]), k)
             break
-        high, low = rising[n - d], rising[d - 1]
-        seen_high, seen_low = x >= high, x <= low
-        upper = up[live] @ np.where(seen_high, x, high).T + down[live] @ np.where(seen_low, x, low).T
-        lower = up[live] @ np.where(seen_high, x, bottom[0]).T + down[live] @ np.where(seen_low, x, bottom[1]).T
-        lower[same[live]] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        outside = (upper >= kth[:, None]).sum(1)
-        settled = outside <= max(4 * k, n // 64)
-        for q, row in zip(live[settled], upper[settled] >= kth[settled][:, None]):
-            remain[int(q)] = np.flatnonzero(row)
-        live = live[~settled]
-    whole = np.arange(n)
-    exact = {int(q): row for q, row in zip(live, queries[live] @ x.T)} if len(live) else {}
-    out = []
-    for q in range(len(queries)):
-        at = remain.get(q, whole)
-        score = exact[q] if q in exact else x[at] @ queries[q]
-        keep = ids[at] != query_ids[q]
-        at, score = at[keep], score[keep]
-        if len(at) > k:
-            cut = np.partition(score, len(score) - k)[len(score) - k]
-            top = score >= cut
-            at, score = at[top], score[top]
-        order = np.lexsort((ids[at], -score))[:k]
-        out.append((ids[at][order], score[order]))
-    return out
-
-
-def _searched(k: int):
+        bottom, top = x[order[done, np.arange(d)], np.arange(d)], x[order[n - 1 - done, np.arange(d)], np.arange(d)]
+        weights = queries[live]
+        most = np.maximum(weights * bottom, weights * top)  # of one unread component, by query
+        least = np.minimum(weights * bottom, weights * top)
+        open_ = lacking.astype(x.dtype)
+        lower = np.where(own, -np.inf, gathered + open_ @ least.T)
+        upper = np.where(own, -np.inf, gathered + open_ @ most.T)
+        if n - 1 < k:
+            continue
+        kth = np.partition(lower, n - k, axis=0)[n - k]
+        reach = upper >= kth[None, :]
+        stop = reach.sum(0) <= few
+        for c in np.flatnonzero(stop):
+            at = np.flatnonzero(reach[:, c])
+            score = np.array([gathered[r, c] + (x[r, lacking[r]] * weights[c, lacking[r]]).sum() for r in at])
+            read += int(lacking[at].sum())
+            whole = np.zeros(n, x.dtype)
+            whole[at] = score
+            found[live[c]] = _best(whole, ids, at, k)
+        live, gathered = live[~stop], gathered[:, ~stop]
+    return found, read
+
+
+def _best(score: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    own = score[at]
+    if len(at) > k:
+        cut = np.partition(own, len(own) - k)[len(own) - k]
+        at, own = at[own >= cut], own[own >= cut]
+    best = np.lexsort((ids[at], -own))[:k]
+    return ids[at][best], own[best]
+
+
+def _searched(k: int, scale: int):
     def group(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy()
         ids = table.column("id").to_numpy()
@@ -89,17 +126,24 @@ def _searched(k: int):
         width = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy().astype(np.float64)
         starts = np.cumsum(width) - width
-        found = ([], [], [])
+        found: list[list] = [[], [], []]
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
-            vectors = flat[(starts[rows][:, None] + np.arange(w)).ravel()].reshape(len(rows), w)
-            asking = ask[rows]
-            if not asking.any() or asking.all():
-                continue
-            for q, (best, score) in zip(ids[rows][asking], nra(vectors[asking], ids[rows][asking], vectors[~asking], ids[rows][~asking], k)):
-                found[0].append(np.full(len(best), q))
-                found[1].append(best)
-                found[2].append(score)
+            raw = flat[(starts[rows][:, None] + np.arange(w)).ravel()].reshape(len(rows), w)
+            large = (np.abs(raw) * scale > LARGE).any(1) if w else np.zeros(len(rows), bool)
+            for big in (False, True):
+                for other in (False, True):
+                    q, c = rows[ask[rows] & (large == big)], rows[~ask[rows] & (large == other)]
+                    if not len(q) or not len(c):
+                        continue
+                    kind = object if big or other else float
+                    vectors = [whole_numbers(raw[np.searchsorted(rows, r)].ravel(), scale).reshape(len(r), w).astype(kind) for r in (q, c)]
+                    for name, (best, score) in zip(ids[q], nra(vectors[0], ids[q], vectors[1], ids[c], k)[0]):
+                        if any(abs(s) >= 1 << 63 for s in score.tolist()):
+                            raise ValueError(f"the score of vector {name} and another one does not fit 64 bits")
+                        found[0].append(np.full(len(best), name))
+                        found[1].append(best)
+                        found[2].append(np.array([int(s) for s in score.tolist()], np.int64))
         made = [np.concatenate(x) if x else np.zeros(0) for x in found]
         return pa.table([pa.array(x.astype(np.int64)) for x in made], ["query_id", "vec_id", "score"])
 
@@ -110,14 +154,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: st
     """(query_id, rank, vec_id, score) of the k best candidates of every row for which ``is_query`` holds."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).filter(whole)
-    rows = rows.select(F.col(key).cast("long").alias("id"), quantized(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).distinct()
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).distinct()
     size = rows.agg(F.count("*").alias("n"), F.count_if("ask").alias("asks")).first()
     c_blocks, q_blocks = -(-max(size["n"], 1) // CANDIDATES), -(-max(size["asks"], 1) // QUERIES)
     block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select(block(c_blocks, 1).alias("c"), all_of(q_blocks).alias("q"), F.lit(False).alias("ask"), "id", "v")
     asking = rows.filter("ask").select(all_of(c_blocks).alias("c"), block(q_blocks, 2).alias("q"), "ask", "id", "v")
-    found = candidates.unionByName(asking).groupBy("c", "q").applyInArrow(_searched(k), "query_id long, vec_id long, score long")
+    found = candidates.unionByName(asking).groupBy("c", "q").applyInArrow(_searched(k, scale), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

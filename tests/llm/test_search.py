@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm.components import components
@@ -117,12 +118,41 @@ def test_top_k(spark, monkeypatch):
     assert top_k(df.filter("vec_id in (0, 1)"), F.col("vec_id") % 5 == 0).count() == 1
 
 
+def exact(q, x, ids, k):
+    want = x @ q
+    order = np.lexsort((ids, -want))[:k]
+    return ids[order].tolist(), want[order].tolist()
+
+
 def test_nra_stops_early_and_is_exact():
     rng = np.random.default_rng(1)
-    x = np.floor(256 * np.concatenate([rng.normal(size=(2000, 6)), 9 + rng.normal(size=(12, 6))]))
-    q = np.floor(256 * np.abs(rng.normal(size=(7, 6))))
-    ids = rng.permutation(len(x))
-    for query, (best, score) in zip(q, nra(q, np.full(7, -1), x, ids, 5)):
-        want = x @ query
-        order = np.lexsort((ids, -want))[:5]
-        assert best.tolist() == ids[order].tolist() and score.tolist() == want[order].tolist()
+    near = np.floor(256 * np.concatenate([rng.normal(size=(2000, 6)), 9 + rng.normal(size=(12, 6))]))
+    plain = np.floor(256 * rng.normal(size=(4000, 64)))
+    for x, most in ((near, 0.75), (plain, 0.95)):
+        q = np.floor(256 * rng.normal(size=(70, x.shape[1])))
+        ids = rng.permutation(len(x))
+        found, read = nra(q, np.full(len(q), -1), x, ids, 5)
+        assert read < most * q.size * len(x)  # brute force reads every component of every candidate
+        for query, (best, score) in zip(q, found):
+            assert (best.tolist(), score.tolist()) == exact(query, x, ids, 5)
+
+
+def test_nra_small_and_tied():
+    for n, k in ((1, 5), (2, 1), (5, 5), (9, 3), (40, 4)):
+        x, ids = np.floor(np.arange(n * 2).reshape(n, 2) % 3.0), np.arange(n)[::-1].copy()
+        for query, (best, score) in zip(x, nra(x, np.full(n, -1), x, ids, k)[0]):
+            assert (best.tolist(), score.tolist()) == exact(query, x, ids, k)
+
+
+def test_top_k_of_large_components(spark):
+    data = [(0, [3.0, -2.0]), (1, [1e13, 1.0]), (2, [1e13, 1.00390625]), (3, [0.5, 7.0]), (4, [-1e13, 2.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    v = {i: [int(256 * c) if abs(c) < 1e9 else int(c) * 256 for c in x] for i, x in data}
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") % 3 == 0, 4).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in (0, 3):
+        order = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(order)]
+    assert got == want
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        top_k(spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e300, 1.0])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
