@@ -5,8 +5,8 @@ only); with fewer words, the whole sequence as one shingle. Two documents link
 when 100 * |intersection| >= percent * |union|. The result is one row for each
 document with its set's size and component.
 
-Shingles are 64-bit hashes; a set is known by a 64-bit hash of its shingles, so
-equal sets are one class and are never expanded into pairs.
+Shingles are 64-bit hashes; a set is known by a 64-bit hash of its shingles, which a
+second one confirms, so equal sets are one class and are never expanded into pairs.
 
 1. Order. Every set is sorted rarest shingle first: one pass over all documents
    collects the frequent shingles (Misra-Gries), which go last; the rest go by
@@ -40,12 +40,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop, new_path, stored
 from .arrowtext import coded, hashes, mixed, owners, slices, texts_of, windows, words_of
 from .components import components
+from .names import fresh
+from .skew import join_by_size
 
 FREQUENT = 1 << 18
 SMALL_LIST = 64
@@ -55,6 +57,7 @@ BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 64
 SEEN = 1 << 20
+CHECK = 0x632BE59BD9B4E019
 EMPTY = 0
 
 
@@ -80,10 +83,11 @@ def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[fresh], values[fresh]
 
 
-def set_hash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def set_hash(values: np.ndarray, starts: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each run of values from ``starts`` on, whatever their order."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    values = mixed(values + np.uint64(seed)) if seed else values
     total = np.add.reduceat(mixed(values), starts)
     other = np.bitwise_xor.reduceat(mixed(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
     return mixed(total * np.uint64(0x9E3779B97F4A7C15) + other)
@@ -165,15 +169,15 @@ def _signed(order, width: int, percent: int):
                 n = np.bincount(rows, minlength=hi - lo)
                 full = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[full]
-                cls, low = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-                cls[full] = set_hash(values, starts)
+                cls, check, low = (np.zeros(hi - lo, np.uint64) for _ in range(3))
+                cls[full], check[full] = set_hash(values, starts), set_hash(values, starts, CHECK)
                 if len(full):
                     low[full] = np.minimum.reduceat(mixed(values ^ np.uint64(0x2545F4914F6CDD1D)), starts)
                 words, begin = parity(rows, values, n)
                 bits = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), as_long(words))
                 first = np.zeros(hi - lo, bool)
                 for k in full:
-                    c = int(cls[k])
+                    c = int(cls[k]), int(check[k])
                     first[k] = c not in seen
                     seen.add(c)
                 if len(seen) > SEEN:
@@ -187,7 +191,7 @@ def _signed(order, width: int, percent: int):
                 inside = np.arange(len(rows)) - begin[rows] < length[rows]
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), as_long(values[inside]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(n, pa.int64()), as_long(cls), as_long(low), prefix, bits], ["rid", "doc_id", "n", "cid", "low", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(n, pa.int64()), as_long(cls), as_long(check), as_long(low), prefix, bits], ["rid", "doc_id", "n", "cid", "check", "low", "prefix", "bits"])
 
     return task
 
@@ -218,15 +222,26 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, sm
 
 
 def block_pairs(n: np.ndarray, pos: np.ndarray, percent: int, block: int):
-    """The same for one long list, in pairs of blocks; those whose sizes are too far apart are skipped."""
-    for lo in range(0, len(n), block):
-        last = int(np.searchsorted(n, n[min(lo + block, len(n)) - 1] * 100 // percent, side="right"))
-        for at in range(lo, last, block):
-            rows = np.arange(lo, min(lo + block, len(n)))
-            if at > lo:
-                rows = np.concatenate([rows, np.arange(at, min(at + block, len(n)))])
-            i, j = partners(n[rows], pos[rows], percent)
-            yield rows[i], rows[j]
+    """The same for one long list, in pairs of blocks.
+
+    The list is cut into bands of like size, and in a band sorted by position: a block's
+    sizes and the most shingles that any of its rows has left are narrow. Blocks whose
+    sizes are too far apart, or whose rows stand too late in their sets, are skipped whole.
+    """
+    band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
+    order = np.lexsort((pos, band))
+    blocks = []
+    for run in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        blocks += [run[k : k + block] for k in range(0, len(run), block)]
+    least, most, room = (np.array([f(rows) for rows in blocks]) for f in (lambda r: n[r].min(), lambda r: n[r].max(), lambda r: (n[r] - pos[r]).max()))
+    for k, rows in enumerate(blocks):
+        far = (least[k:] * percent > most[k] * 100) | (least[k] * percent > most[k:] * 100)
+        late = np.minimum(room[k:], room[k]) < -(-percent * (least[k:] + least[k]) // (100 + percent))
+        for m in np.flatnonzero(~(far | late)) + k:
+            own = rows if m == k else np.concatenate([rows, blocks[m]])
+            own = own[np.argsort(n[own], kind="stable")]
+            i, j = partners(n[own], pos[own], percent)
+            yield own[i], own[j]
 
 
 def partners(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -368,6 +383,14 @@ class Block:
         at = np.repeat(a - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
         return np.bincount(self.members[at], minlength=len(self.n))
 
+    def answers(self, x: np.ndarray, base: np.ndarray | None, overlap: np.ndarray | None) -> np.ndarray:
+        """``lists`` of set ``x``: derived from those of ``base`` where the two differ in less than x holds, else read in full."""
+        if base is not None:
+            gone, new = np.setdiff1d(base, x, True), np.setdiff1d(x, base, True)
+            if len(gone) + len(new) < len(x):
+                return overlap - self.lists(gone) + self.lists(new)
+        return self.lists(x)
+
     def links(self, overlap: np.ndarray, n: int) -> np.ndarray:
         return 100 * overlap >= self.percent * (self.n + n - overlap)
 
@@ -382,12 +405,7 @@ class Block:
             stack = [(start, None, None)]
             while stack and open_.any():
                 x, base, overlap = stack.pop()
-                if base is None:
-                    overlap = self.lists(self.sets[x])
-                else:  # derived from the overlaps of the linked set ``base``
-                    mine, theirs = self.sets[x], self.sets[base]
-                    gone, new = np.setdiff1d(theirs, mine, True), np.setdiff1d(mine, theirs, True)
-                    overlap = overlap - self.lists(gone) + self.lists(new)
+                overlap = self.answers(self.sets[x], None if base is None else self.sets[base], overlap)
                 found = np.flatnonzero(open_ & self.links(overlap, int(self.n[x])))
                 label[found], open_[found] = start, False
                 stack += [(int(y), x, overlap) for y in found]
@@ -438,9 +456,12 @@ def _compared(width: int, percent: int):
             if target.all() or not target.any():
                 continue
             block = Block(texts_of(table.column("text").combine_chunks()), width, percent)
-            linked = set()
-            for k in np.flatnonzero(~target):
-                if other[k] not in linked and (target & block.links(block.lists(block.sets[k]), int(block.n[k]))).any():
+            linked, base, overlap = set(), None, None
+            for k in np.flatnonzero(~target):  # sorted by component, so the set before is a similar one as a rule
+                if other[k] in linked:
+                    continue
+                overlap, base = block.answers(block.sets[k], base, overlap), block.sets[k]
+                if (target & block.links(overlap, int(block.n[k]))).any():
                     linked.add(other[k])
             yield pa.RecordBatch.from_arrays([pa.array([home] * len(linked), pa.int64()), pa.array(list(linked), pa.int64())], ["a", "b"])
 
@@ -454,7 +475,13 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     docs = keyed(df, key, text)
     order = spark.sparkContext.broadcast(frequent_shingles(docs.select("text"), width))
     signed_at = new_path(spark, "signed")
-    signed = stored(docs.mapInArrow(_signed(order, width, percent), "rid long, doc_id long, n long, cid long, low long, prefix array<long>, bits array<long>"), "signed", signed_at)
+    signed = stored(docs.mapInArrow(_signed(order, width, percent), "rid binary, doc_id long, n long, cid long, check long, low long, prefix array<long>, bits array<long>"), "signed", signed_at)
+    # different sets of one hash, if ever there are any, become classes of their own
+    torn = signed.filter("n > 0").groupBy("cid").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least != most").select("cid")
+    if torn.limit(1).count():
+        here = F.broadcast(torn.withColumn("torn", F.lit(True)))
+        own = F.when(F.col("torn"), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
+        signed = stored(signed.join(here, "cid", "left").withColumn("cid", own).drop("torn"), "signed-apart")
 
     # pairs of classes that meet in a short list and may link; long lists are kept for later
     indexed = signed.filter("size(prefix) > 0")
@@ -502,10 +529,10 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     rows = signed.select("rid", "doc_id", "n", "cid").join(final, "cid", "left")
     rows = stored(rows.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("whole", "cid")).alias("whole")), "rows")
     drop(spark, signed_at)
-    names = rows.filter("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    rows = rows.join(names.select("whole", "component_id", F.col("first.rid").alias("first")), "whole", "left")
-    alone = F.col("n") == 0
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "rid", F.coalesce("first", "rid").alias("first"))
+    names = rows.filter("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count("*").alias("size"))
+    names = stored(names.select("whole", "component_id", F.col("first.rid").alias("first"), "size"), "names")
+    linked = join_by_size(rows.filter("whole is not null"), names, "whole", "size").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid", "first")
+    return linked.unionByName(rows.filter("whole is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid", F.col("rid").alias("first")))
 
 
 def compared(pairs: DataFrame, units: DataFrame, width: int, percent: int, shuffle: int) -> DataFrame:
@@ -534,10 +561,16 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def rid_of(doc_id: Column, body: Column) -> Column:
+    """128 bits of a row's key and text, the same whenever and wherever the row is read."""
+    told = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(body.isNull(), F.lit("-")).otherwise(F.lit(":")), F.coalesce(body, F.lit("")))
+    return F.unhex(F.md5(told.cast("binary")))
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(rid, doc_id, text); rid is a hash of the row's content, the same whenever and wherever the row is read."""
+    """(rid, doc_id, text)."""
     doc_id, body = F.col(key).cast("long"), F.col(text)
-    return df.select(F.xxhash64(doc_id, body).alias("rid"), doc_id.alias("doc_id"), body.alias("text"))
+    return df.select(rid_of(doc_id, body).alias("rid"), doc_id.alias("doc_id"), body.alias("text"))
 
 
 def blocks_of(sets, shingles_):
@@ -548,14 +581,16 @@ def blocks_of(sets, shingles_):
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each component of linked documents: that with the least key, nulls last.
 
-    Rows without words are linked with nothing and all stay. Of rows that are the
-    same in key and text one stays.
+    Rows without words are linked with nothing and all stay. Of rows with words that
+    are the same in key and text one stays, whatever their other columns hold.
     """
-    found = stored(jaccard_components(df, width, percent, key, text).select("rid", "first"), "found")
-    removed = found.filter("rid != first").select(F.col("rid").alias("_rid")).distinct()
-    repeated = found.groupBy(F.col("rid").alias("_rid")).agg(F.count("*").alias("n")).filter("n > 1").select("_rid")
-    rows = df.withColumn("_rid", F.xxhash64(F.col(key).cast("long"), F.col(text)))
-    rows = rows.join(sent(removed), "_rid", "left_anti")
+    found = stored(jaccard_components(df, width, percent, key, text).filter("n_shingles > 0").select("rid", "first"), "found")
+    (rid,) = fresh(df, "rid")
+    removed = found.filter("rid != first").select(F.col("rid").alias(rid)).distinct()
+    repeated = found.groupBy(F.col("rid").alias(rid)).agg(F.count("*").alias("n")).filter("n > 1").select(rid)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(*names, rid_of(F.col(key).cast("long"), F.col(text)).alias(rid))
+    rows = rows.join(sent(removed), rid, "left_anti")
     if repeated.limit(1).count():  # only then do whole rows have to meet
-        rows = rows.join(repeated, "_rid", "left_anti").unionByName(rows.join(repeated, "_rid", "left_semi").dropDuplicates(["_rid"]))
-    return rows.select(*df.columns)
+        rows = rows.join(repeated, rid, "left_anti").unionByName(rows.join(repeated, rid, "left_semi").dropDuplicates([rid]))
+    return rows.select(*names)

@@ -74,6 +74,27 @@ def test_near_duplicates_keep_one_of_each_group(docs, rows, nothing):
     assert near_duplicates(nothing).collect() == [] and jaccard_components(nothing).collect() == []
 
 
+def test_near_duplicates_keep_wordless_rows_and_columns(spark):
+    rows = [(1, "", "a"), (1, "", "b"), (2, None, "c"), (2, None, "d"), (3, "same text here", "e"), (3, "same text here", "f"), (4, "same text here", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string").withColumn("_rid", F.col("rid"))
+    kept = near_duplicates(df, 2, 80)
+    got = kept.orderBy("doc_id", "rid").collect()
+    assert kept.columns == df.columns and [r["rid"] for r in got[:4]] == ["a", "b", "c", "d"] and all(r["rid"] == r["_rid"] for r in got)
+    assert len(got) == 5 and got[4]["rid"] in "ef"
+
+
+def test_position_blocks_lose_no_pair():
+    from driftline.llm.jaccard import block_pairs
+
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 200, 300)
+    pos = (rng.random(300) ** 2 * n).astype(int)
+    for block in (7, 64, 1000):
+        got = {tuple(sorted((int(i), int(j)))) for x, y in block_pairs(n, pos, 80, block) for i, j in zip(x, y)}
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if min(n[i], n[j]) * 100 >= 80 * max(n[i], n[j]) and min(n[i] - pos[i], n[j] - pos[j]) * 180 >= 80 * (n[i] + n[j])}
+        assert want == got
+
+
 def test_partners_keep_every_pair_that_may_link():
     n, pos = np.array([10, 10, 12, 20]), np.array([0, 9, 1, 0])
     assert list(zip(*(x.tolist() for x in partners(n, pos, 80)))) == [(0, 2)]
