@@ -27,8 +27,8 @@ other input columns are not stored.
 Shuffles: digests and places of all chunks (about 40 bytes for each 256 ids),
 the ids once to bring them into order (a document's part is known when it is
 encoded, from cuts by text bytes), and on reading only what documents with
-foreign chunks need. Hot chunks are counted by partial aggregation; the
-join that fetches them is an equi-join that AQE splits.
+foreign chunks need. Chunks are counted by partial aggregation, and those of very many
+places meet them by broadcast (``join_by_size``).
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import drop, new_path, stored
 from .arrowtext import lists_of, texts_of
+from .skew import join_by_size
 from .tokens import encoded_slices
 
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 1024
@@ -221,9 +222,9 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, text:
     places = staged.select("part", "doc_id", "rid", "digests", F.posexplode("lengths").alias("pos", "length")).select(
         "part", "doc_id", "rid", "pos", F.expr(f"substring(digests, {DIGEST} * pos + 1, {DIGEST})").alias("digest")
     )
-    owners = places.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "rid", "pos")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("digest", "first.rid", "first.pos")
-    owners = owners.withColumnsRenamed({"rid": "owner", "pos": "owner_pos"})
-    told = places.join(owners, "digest").select(F.col("part").alias("in_part"), F.col("rid").alias("in_rid"), "pos", ((F.col("rid") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))).alias("own"))
+    owners = places.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "rid", "pos")).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    owners = stored(owners.select("digest", "times", F.col("first.rid").alias("owner"), F.col("first.pos").alias("owner_pos")), "owners")
+    told = join_by_size(places, owners, "digest", "times").select(F.col("part").alias("in_part"), F.col("rid").alias("in_rid"), "pos", ((F.col("rid") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))).alias("own"))
     recipes = staged.groupBy("part").cogroup(told.groupBy("in_part")).applyInArrow(_recipes(starts, width), RECIPES)
     recipes.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     drop(spark, at)
