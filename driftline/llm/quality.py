@@ -218,8 +218,10 @@ def references(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lan
     own = stored(parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
     pool = own.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "kind", "item", "n")
     every = own.filter(F.col("lang") != POOL).unionByName(pool)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
-    common = every.filter(F.col("kind") == COMMON).withColumn("rank", rank).filter(F.col("rank") <= rules.common_words).drop("rank")
+    common = every.filter(F.col("kind") == COMMON)
+    for by in (["lang", F.pmod("item", F.lit(32))], ["lang"]):  # first among a 32nd of the words, so that few meet in one task
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "item"))
+        common = common.withColumn("rank", rank).filter(F.col("rank") <= rules.common_words).drop("rank")
     return every.filter(F.col("kind") != COMMON).unionByName(common)
 
 
