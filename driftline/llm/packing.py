@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from ..scratch import stored
 from .arrowtext import texts_of
+from .names import fresh
 from .tokens import encoded_slices
 
 CAPACITY = 2048
@@ -190,17 +191,19 @@ def place(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
 
 def pack(df: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """``df``, whose rows are pieces, with sequence_id and offset; sequences are gapless from offset 0."""
-    df = df.select(*[c for c in df.columns if c not in ("sequence_id", "offset")])
-    parted = stored(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "pieces")
-    counts = parted.groupBy("_part", length).agg(F.count("*").alias("_n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("_n")).collect()}  # capacity rows at most
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("sequence_id", "offset")])
+    names = [F.col(f"`{c}`") for c in df.columns]
+    part, at, n, base, rank = fresh(df, "part", "at", "n", "base", "rank")
+    parted = stored(df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "pieces")
+    counts = parted.groupBy(part, length).agg(F.count("*").alias(n))
+    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum(n)).collect()}  # capacity rows at most
     plan = Plan(histogram, capacity)
     table = df.sparkSession.sparkContext.broadcast(plan.table())
-    before = Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_part", length).orderBy("_at")
-    ranked = parted.withColumn("_rank", F.row_number().over(inside) - 1).join(base, ["_part", length]).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    ranked = ranked.select(*df.columns, "_rank")
+    before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    inside = Window.partitionBy(part, length).orderBy(at)
+    ranked = parted.withColumn(rank, F.row_number().over(inside) - 1).join(bases, [part, length])
+    ranked = ranked.select(*names, (F.col(rank) + F.col(base)).alias(rank))
     at_length = df.columns.index(length)
     schema = T.StructType([*df.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

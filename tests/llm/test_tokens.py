@@ -153,6 +153,14 @@ def test_packing(docs, rows, spark):
     assert sorted((str(r[0]), r[1], r[2]) for r in digests) == sorted((str(r["doc_id"]), r["piece"], zlib.crc32(r["ids"])) for r in got)
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20).withColumn("length", F.col("id") % 7 + 1).withColumns({c: F.col("id") for c in ("part", "_part", "at", "_at", "n", "base", "rank", "sequence_id")})
+    got = pack(df, 8).collect()
+    assert len(got) == 20 and all(r["part"] == r["_part"] == r["rank"] == r["id"] for r in got) and sum(r["length"] for r in got if r["sequence_id"] == 0) <= 8
+
+
 def test_packing_of_nothing(nothing):
     assert pack(pieces(nothing, WORD)).collect() == []
 
