@@ -4,16 +4,21 @@ A page is read once by a tolerant scanner into text blocks. Each block has the
 path of block elements from the root to it. Text length without links and
 punctuation are summed up for each path and divided by the path's number of
 nodes; the nodes' values in page order are smoothed, both are fused, and nodes
-above a threshold (a share of the page's standard deviation) are content.
-Elements that are navigation, forms, asides and so on by element name or role, or
-hidden, hold no candidates. A class or id that reads like boilerplate (advert,
-comments, widget ...) is a hint: such an element is dropped unless a block in it, not
-mostly links, stands on the path of the page's best ratio (inline ones always are); an
-``article`` or ``main`` is not judged by its class. The chosen nodes
-then vote for their container: the ``article`` or ``main`` elements whose mean path
-ratio by text is above the threshold (of nested ones the innermost that holds most of
+above a threshold (a share of the page's standard deviation) are content, unless
+they are mostly links. All visible blocks take part, those of menus and footers
+too. What an element's name, role, class or id says is a prior: blocks in
+navigation, footers, asides, forms, page headers and elements whose class or id
+reads like boilerplate (advert, comments, widget ...) count LOW times their score.
+A class or id is not believed where the element holds a block, not mostly links, of
+the page's best path, nor is a form that holds most of the page's text, nor the
+class of an ``article`` or ``main``. Only what is not shown is left out at once:
+scripts, styles, the head, hidden elements, and inline elements with such names.
+The chosen nodes
+then vote for their container: the ``article`` or ``main`` elements whose mean
+score by text is above the threshold (of nested ones the innermost that holds most of
 the chosen text), else the deepest element with most of it. Of the other blocks in
-there its headings and short ones join, unless they are mostly links.
+there its headings and short ones join, unless they are mostly links or have the
+low prior.
 
 Text: character references decoded, white space inside a block made one space,
 trimmed, blocks joined in page order by one space.
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -50,23 +55,27 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login search share sharing social comment comments disqus reply replies "
-    "respond related recommended recommendations teaser teasers widget widgets toolbar pagination pager copyright legal disclaimer topbar topnav sitemap tags".split()
+    "feedback opinion opinions discussion discussions talkback respond related recommended recommendations teaser teasers widget widgets toolbar pagination pager copyright legal disclaimer topbar topnav sitemap tags".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEUTRAL = frozenset("with has no wrapper container layout page body".split())
 MAIN = frozenset(["article", "main"])
 PUNCTUATION = frozenset(".,;:!?…。，、！？")
 SHARE_OF_DEVIATION = 0.4
+#: The prior's factor, and the least score of content.
+LOW, FLOOR = 0.05, 2.0
+#: A form with so much of the page's text is its frame.
+FRAME = 0.8
 KERNEL = (0.25, 0.5, 0.25)
 MOST_LINKS = 0.6
 #: Characters of a block that joins without a ratio of its own; headings may be longer.
 SHORT = 200
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_ATTRIBUTES: dict[tuple[str, str], tuple[bool, bool, bool]] = {}
+_ATTRIBUTES: dict[tuple[str, str], tuple[bool, bool, bool, bool]] = {}
 
 
-def judged(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(is out, is marked as the main part, has a name like boilerplate) of an element, by its attributes."""
+def judged(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(is hidden, has a role beside the content, is marked as the main part, has a name like boilerplate) of an element, by its attributes."""
     key = (name, attributes)
     if key not in _ATTRIBUTES:
         if len(_ATTRIBUTES) > 100_000:
@@ -75,37 +84,36 @@ def judged(name: str, attributes: str) -> tuple[bool, bool, bool]:
     return _ATTRIBUTES[key]
 
 
-def _judge(name: str, attributes: str) -> tuple[bool, bool, bool]:
+def _judge(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     role, style = found.get("role", "").lower(), SPACE.sub("", found.get("style", "").lower())
     main = role == "main" or found.get("itemprop", "").lower() == "articlebody"
-    if role in ROLES or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-        return True, main, False
-    if name in ("html", "body", "article", "main", "h1", "h2"):
-        return False, main, False
+    hidden = found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    if hidden or role in ROLES or name in ("html", "body", "article", "main", "h1", "h2"):
+        return hidden, role in ROLES, main, False
     for names in (found.get("class", ""), found.get("id", "")):
         for one in names.split():
             words = {w.lower() for w in WORD.findall(one)}
             if words & BOILERPLATE and not words & NEUTRAL:
-                return False, main, True
-    return False, main, False
+                return False, False, main, True
+    return False, False, main, False
 
 
 class Block:
-    __slots__ = ("links", "marks", "parent", "path", "size", "text")
+    __slots__ = ("links", "low", "marks", "parent", "path", "size", "text")
 
-    def __init__(self, text: str, links: int, parent: int, path: tuple[str, ...]):
-        self.text, self.links, self.parent, self.path = text, links, parent, path
+    def __init__(self, text: str, links: int, parent: int, path: tuple[str, ...], low: bool = False):
+        self.text, self.links, self.parent, self.path, self.low = text, links, parent, path, low
         self.size = len(text)
         self.marks = sum(c in PUNCTUATION for c in text)
 
 
 class Page:
-    """Blocks of a page outside what is out, and the tree of block elements above them."""
+    """Blocks of a page that are shown, and the tree of block elements above them."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.parents, self.mains, self.named = [-1], [False], [False]
+        self.parents, self.mains, self.named, self.beside = [-1], [False], [False], [""]
         self._names: list[str] = []
         self._out: list[bool] = []
         self._nodes: list[int] = []
@@ -124,18 +132,20 @@ class Page:
             if m.start() > at:
                 self._add(html[at : m.start()])
             at = m.end()
-            if m[2] is None:
+            # the second form is a tag with a quote that is never closed: it ends at the next '>'
+            slash, name, attributes = m.group(1, 2, 3) if m[2] is not None else m.group(4, 5, 6)
+            if name is None:
                 continue
-            name = m[2].lower()
-            if m[1]:
+            name = name.lower()
+            if slash:
                 self._close(name)
             elif name in RAW:
-                if m[3].endswith("/") and name in ("svg", "math"):
+                if attributes.endswith("/") and name in ("svg", "math"):
                     continue
                 done = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = done.end() if done else end
             else:
-                self._open(name, m[3])
+                self._open(name, attributes)
 
     def _add(self, text: str) -> None:
         if not (self._out and self._out[-1]):
@@ -161,8 +171,8 @@ class Page:
         if name in INLINE:
             if name == "a":
                 self._link = True
-            out, _, named = judged(name, attributes) if attributes else (False, False, False)
-            if (out or named) and not (self._out and self._out[-1]):
+            hidden, beside, _, named = judged(name, attributes) if attributes else (False,) * 4
+            if (hidden or beside or named) and not (self._out and self._out[-1]):
                 self._push(name, True, False)
             return
         self._flush()
@@ -171,21 +181,20 @@ class Page:
         for other in SIBLINGS.get(name, ()):
             if other in self._names:
                 self._pop(other, SCOPE[name])
-        out = bool(self._out and self._out[-1]) or name in ASIDE
-        boilerplate, main, named = judged(name, attributes) if attributes else (False, False, False)
-        out = out or boilerplate or name == "header" and not any(n in MAIN for n in self._names) or name == "head"
+        hidden, beside, main, named = judged(name, attributes) if attributes else (False,) * 4
+        out = bool(self._out and self._out[-1]) or hidden or name == "head"
+        beside = beside or name in ASIDE or name == "header" and not any(n in MAIN for n in self._names)
         if name == "body":
             while "head" in self._names:
                 self._names.pop(), self._out.pop(), self._nodes.pop()
-            out = boilerplate
-        self._push(name, out, main or name in MAIN, named)
-        if not attributes.endswith("/"):
-            return
+            out = hidden
+        self._push(name, out, main or name in MAIN, named, name if beside else "")
 
-    def _push(self, name: str, out: bool, main: bool, named: bool = False) -> None:
+    def _push(self, name: str, out: bool, main: bool, named: bool = False, beside: str = "") -> None:
         self.parents.append(self._nodes[-1] if self._nodes else 0)
         self.mains.append(main and not out)
         self.named.append(named)
+        self.beside.append(beside)
         self._names.append(name)
         self._out.append(out)
         self._nodes.append(len(self.parents) - 1)
@@ -228,35 +237,54 @@ def smoothed(values: list[float]) -> list[float]:
     return [sum(w * padded[i + k] for k, w in enumerate(KERNEL)) for i in range(len(values))]
 
 
-def scores(blocks: list[Block]) -> list[float]:
-    """The fused ratio of each node: text by node of its path, weighted by punctuation by node."""
-    totals: dict[tuple[str, ...], list[float]] = {}
-    for b in blocks:
-        t = totals.setdefault(b.path, [0, 0, 0])
+def ratios(blocks: list[Block], keys: list) -> dict:
+    """Of each key: text without links by node, and punctuation by node."""
+    totals: dict = {}
+    for key, b in zip(keys, blocks):
+        t = totals.setdefault(key, [0, 0, 0])
         t[0] += max(0, b.size - b.links)
         t[1] += b.marks
         t[2] += 1
-    text = smoothed([totals[b.path][0] / totals[b.path][2] for b in blocks])
-    marks = smoothed([totals[b.path][1] / totals[b.path][2] for b in blocks])
-    return [t * math.sqrt(1 + m) for t, m in zip(text, marks)]
+    return {key: (text / n, marks / n) for key, (text, marks, n) in totals.items()}
 
 
-def candidates(page: Page) -> list[Block]:
-    """The blocks outside elements named like boilerplate, and those of such elements that hold a block of the page's best path."""
-    hints = [[n for n in page.chain(b.parent) if page.named[n]] for b in page.blocks]
+def scores(blocks: list[Block]) -> list[float]:
+    """The fused ratio of each node: text by node of its path, weighted by punctuation by node, times the prior."""
+    keys = [(b.path, b.low) for b in blocks]
+    of = ratios(blocks, keys)
+    text, marks = (smoothed([of[key][k] for key in keys]) for k in (0, 1))
+    return [t * math.sqrt(1 + m) * (LOW if b.low else 1.0) for t, m, b in zip(text, marks, blocks)]
+
+
+def threshold(blocks: list[Block], score: list[float]) -> float:
+    """A share of the scores' standard deviation, but at most half of the best score outside low elements; nothing is content without one."""
+    mean = sum(score) / len(score)
+    deviation = math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
+    best = max((s for s, b in zip(score, blocks) if not b.low), default=math.inf)
+    return max(FLOOR, min(SHARE_OF_DEVIATION * deviation, best / 2) if best < math.inf else math.inf)
+
+
+def weigh(page: Page) -> None:
+    """Tell which blocks have the low prior."""
+    chains = [page.chain(b.parent) for b in page.blocks]
+    plain = [max(0, b.size - b.links) for b in page.blocks]
+    held: dict[int, int] = {}
+    for nodes, n in zip(chains, plain):
+        for node in nodes:
+            if page.beside[node] == "form":
+                held[node] = held.get(node, 0) + n
+    frames = {node for node, n in held.items() if n >= FRAME * sum(plain)}
+    for b, nodes in zip(page.blocks, chains):
+        b.low = any(page.beside[node] and node not in frames for node in nodes)
+    hints = [[] if b.low else [n for n in nodes if page.named[n]] for b, nodes in zip(page.blocks, chains)]
     if not any(hints):
-        return page.blocks
-    totals: dict[tuple, list[float]] = {}
-    keys = [(b.path, len(names)) for b, names in zip(page.blocks, hints)]
-    for key, b in zip(keys, page.blocks):
-        t = totals.setdefault(key, [0, 0, 0])
-        t[0] += max(0, b.size - b.links)
-        t[1] += b.marks
-        t[2] += 1
-    ratio = {key: t / n * math.sqrt(1 + m / n) for key, (t, m, n) in totals.items()}
+        return
+    keys = [(b.path, b.low, len(names)) for b, names in zip(page.blocks, hints)]
+    ratio = {key: text * math.sqrt(1 + marks) for key, (text, marks) in ratios(page.blocks, keys).items() if not key[1]}
     best = max(ratio.values())
-    kept = {n for key, b, names in zip(keys, page.blocks, hints) if ratio[key] >= best and b.links <= MOST_LINKS * b.size for n in names}
-    return [b for b, names in zip(page.blocks, hints) if kept.issuperset(names)]
+    kept = {n for key, b, names in zip(keys, page.blocks, hints) if names and ratio[key] >= best and b.links <= MOST_LINKS * b.size for n in names}
+    for b, names in zip(page.blocks, hints):
+        b.low = b.low or not kept.issuperset(names)
 
 
 def containers(page: Page, blocks: list[Block], score: list[float], limit: float, weight: dict[int, int], chains: list[list[int]]) -> list[int]:
@@ -271,20 +299,19 @@ def containers(page: Page, blocks: list[Block], score: list[float], limit: float
             open_.append(max(below, key=lambda m: (-len(above[m]), weight[m])))
             continue
         own = [k for k, nodes in enumerate(chains) if n in nodes]
-        if sum(score[k] * blocks[k].size for k in own) >= limit * sum(blocks[k].size for k in own):
+        if sum(score[k] * blocks[k].size for k in own) >= limit * sum(blocks[k].size for k in own if not blocks[k].low):
             found.append(n)
     return found
 
 
 def main_text(html: str | None) -> str:
     page = Page(html or "")
-    blocks = candidates(page)
+    blocks = page.blocks
     if not blocks:
         return ""
+    weigh(page)
     score = scores(blocks)
-    mean = sum(score) / len(score)
-    deviation = math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
-    limit = min(SHARE_OF_DEVIATION * deviation, max(score) / 2)
+    limit = threshold(blocks, score)
     chosen = [s >= limit and b.links <= MOST_LINKS * b.size for s, b in zip(score, blocks)]
     weight: dict[int, int] = {}
     chains = [page.chain(b.parent) for b in blocks]
@@ -301,7 +328,7 @@ def main_text(html: str | None) -> str:
                 b = blocks[k]
                 tag = b.path[-1] if b.path else ""
                 near = tag in HEADINGS or b.size <= SHORT and (first <= k <= last or tag == "p")
-                if chosen[k] or near and b.links <= MOST_LINKS * b.size:
+                if chosen[k] or near and not b.low and b.links <= MOST_LINKS * b.size:
                     out.append(k)
         return " ".join(blocks[k].text for k in sorted(out))
     total = sum(b.size for b, own in zip(blocks, chosen) if own)
@@ -312,7 +339,7 @@ def main_text(html: str | None) -> str:
     out = []
     for k, (b, nodes) in enumerate(zip(blocks, chains)):
         near = home in nodes and (first <= k <= last or b.path[-1:] and b.path[-1] in ("h1", "h2", "h3", "p"))
-        if chosen[k] and (home in nodes or home == 0) or near and b.links <= MOST_LINKS * b.size:
+        if chosen[k] and (home in nodes or home == 0) or near and not b.low and b.links <= MOST_LINKS * b.size:
             out.append(b.text)
     return " ".join(out)
 

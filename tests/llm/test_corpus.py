@@ -1,6 +1,7 @@
 """Quality rules, mixing, sharding, PPM scores, HTML extraction and the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import ppm, quality
+from driftline.llm import html, ppm, quality
 from driftline.llm.html import extract, main_text
 from driftline.llm.mixing import Mix, calibrated, mix_sources, rake
 from driftline.llm.ppm import SYMBOLS, adaptive_score, score_documents
@@ -333,6 +334,51 @@ def test_html_broken():
     assert main_text("<article><p>1 < 2 and 3 > 2 <span>in</span>line</p>") == "1 < 2 and 3 > 2 inline"
 
 
+@pytest.mark.parametrize("wrap", ['div class="tags-article content share"', 'div id="comments-archive-article"', 'form id="page"'])
+def test_html_frames_are_read(wrap):
+    text = main_text(f"<body><nav><a href='/'>Home</a></nav><{wrap}>{PARAGRAPHS}</{wrap.split()[0]}></body>")
+    assert text.startswith("Sentence 0,") and text.count("for a while.") == 6
+
+
+@pytest.mark.parametrize("name", ["reader-feedback", "user-opinions", "comments"])
+def test_html_reader_comments_go(name):
+    comments = f'<div class="{name}"><p>I like this post, thanks.</p><p>Me too, I think so, it is great; my view is the very same as yours here.</p></div>'
+    for page in (f"<article>{PARAGRAPHS}{comments}</article>", f"<article>{PARAGRAPHS}</article>{comments}", f"<div><div>{PARAGRAPHS}</div>{comments}</div>"):
+        assert main_text(page).endswith("for a while.")
+
+
+def test_html_unbalanced_quotes():
+    assert main_text('<p title="x>Hello there, world.</p>') == "Hello there, world."
+    assert main_text('<article><p>See <a href="x>link</a> here, please.</p></article>') == "See link here, please."
+
+
+def test_html_scores_decide(monkeypatch):
+    want = main_text(PAGE)
+    monkeypatch.setattr(html, "scores", lambda blocks: [100.0] * len(blocks))
+    assert main_text(PAGE) != want and "Buy this" in main_text(PAGE)
+
+
+def test_html_scores_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        blocks = [
+            html.Block("".join(rng.choice("ab ,.") for _ in range(rng.randint(1, 60))) + "x", 0, 0, rng.choice([("body", "p"), ("body", "div"), ("body", "div", "p"), ()]), rng.random() < 0.3)
+            for _ in range(rng.randint(1, 12))
+        ]
+        for b in blocks:
+            b.links = rng.randint(0, b.size)
+        mine = lambda b: [x for x in blocks if x.path == b.path and x.low == b.low]
+        text = [sum(x.size - x.links for x in mine(b)) / len(mine(b)) for b in blocks]
+        marks = [sum(sum(c in ",." for c in x.text) for x in mine(b)) / len(mine(b)) for b in blocks]
+        near = lambda v, i: 0.25 * v[max(i - 1, 0)] + 0.5 * v[i] + 0.25 * v[min(i + 1, len(v) - 1)]
+        want = [near(text, i) * (1 + near(marks, i)) ** 0.5 * (0.05 if b.low else 1) for i, b in enumerate(blocks)]
+        got = html.scores(blocks)
+        assert np.allclose(got, want)
+        best = [w for w, b in zip(want, blocks) if not b.low]
+        limit = max(2.0, min(0.4 * np.std(want), max(best) / 2)) if best else math.inf
+        assert math.isclose(html.threshold(blocks, got), limit)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = extract(df).orderBy("page_id").collect()
