@@ -130,7 +130,8 @@ class WordEncoder:
         """Number of ids of each text, given as its words."""
         if not len(codes):
             return np.zeros(len(offsets) - 1, np.int64)
-        return sums(self.counts[self._pieces(distinct)].sum(1)[codes], offsets)
+        entries = self._pieces(distinct)  # may replace self.counts
+        return sums(self.counts[entries].sum(1)[codes], offsets)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) of all texts and each text's range in them."""
