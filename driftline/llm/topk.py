@@ -38,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 1 << 15, 1 << 13
-#: Queries that read a block's lists together, and rounds from the ends of a list to its middle.
-TOGETHER, STEPS = 64, 12
+#: Candidates of a block (few candidates: at least the first, so that all tasks have some), and queries of a block.
+CANDIDATES, QUERIES = (1 << 12, 1 << 16), 1 << 13
+#: Rounds from the ends of a list to its middle, those after which bounds are compared, and scores held at a time.
+STEPS, COMPARED, CELLS = 12, (3, 6, 8, 9, 10, 11), 1 << 21
 #: Components up to here multiply and add up within the 53 bits of a double, for up to 8,192 of them.
 LARGE = 1 << 20
 
@@ -58,8 +59,9 @@ def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     found: list[tuple[np.ndarray, np.ndarray]] = []
     order = np.argsort(x, axis=0, kind="stable")
     read = 0
-    for lo in range(0, len(queries), TOGETHER):
-        got, n = _together(queries[lo : lo + TOGETHER], query_ids[lo : lo + TOGETHER], x, ids, k, order)
+    together = max(16, CELLS // max(1, len(x)))
+    for lo in range(0, len(queries), together):
+        got, n = _together(queries[lo : lo + together], query_ids[lo : lo + together], x, ids, k, order)
         found += got
         read += n
     return found, read
@@ -68,44 +70,43 @@ def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
 def _together(queries, query_ids, x, ids, k, order):
     n, d = x.shape
     live = np.arange(len(queries))
-    gathered = np.zeros((n, len(live)), x.dtype)
+    gathered = np.zeros((len(live), n), x.dtype)
     lacking = np.ones((n, d), bool)
     found: list = [None] * len(queries)
-    few, done, read = max(2 * k, n // 64), 0, 0
+    few, done, read, column = max(2 * k, n // 64), 0, 0, np.arange(d)
     step = max(1, -(-n // (2 * STEPS)))
-    while len(live):
+    for turn in range(1, n + 1):
         low, high = done, min(done + step, (n + 1) // 2)
-        for j in range(d):
-            rows = np.concatenate([order[low:high, j], order[max(n - high, high) : n - low, j]])
-            gathered[rows] += x[rows, j][:, None] * queries[live, j][None, :]
-            lacking[rows, j] = False
-            read += len(rows) * len(live)
+        rows = np.concatenate([order[low:high], order[max(n - high, high) : n - low]])
+        fresh = np.zeros((n, d), x.dtype)  # what this round reads; nothing elsewhere
+        fresh[rows, column] = x[rows, column]
+        lacking[rows, column] = False
+        gathered += queries[live] @ fresh.T
+        read += rows.size * len(live)
         done = high
-        own = query_ids[live][None, :] == ids[:, None]
+        own = query_ids[live][:, None] == ids[None, :]
         if 2 * done >= n:
             for c, q in enumerate(live):
-                found[q] = _best(gathered[:, c], ids, np.flatnonzero(~own[:, c]), k)
+                found[q] = _best(gathered[c], ids, np.flatnonzero(~own[c]), k)
             break
-        bottom, top = x[order[done, np.arange(d)], np.arange(d)], x[order[n - 1 - done, np.arange(d)], np.arange(d)]
-        weights = queries[live]
-        most = np.maximum(weights * bottom, weights * top)  # of one unread component, by query
-        least = np.minimum(weights * bottom, weights * top)
-        open_ = lacking.astype(x.dtype)
-        lower = np.where(own, -np.inf, gathered + open_ @ least.T)
-        upper = np.where(own, -np.inf, gathered + open_ @ most.T)
-        if n - 1 < k:
+        if turn not in COMPARED or n <= k:
             continue
-        kth = np.partition(lower, n - k, axis=0)[n - k]
-        reach = upper >= kth[None, :]
-        stop = reach.sum(0) <= few
+        bottom, top = x[order[done, column], column], x[order[n - 1 - done, column], column]
+        ends = queries[live] * bottom, queries[live] * top  # an unread component lies between, for either sign
+        open_ = lacking.astype(x.dtype).T
+        lower, upper = (np.where(own, -np.inf, gathered + f(*ends) @ open_) for f in (np.minimum, np.maximum))
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        reach = upper >= kth[:, None]
+        stop = reach.sum(1) <= few
         for c in np.flatnonzero(stop):
-            at = np.flatnonzero(reach[:, c])
-            score = np.array([gathered[r, c] + (x[r, lacking[r]] * weights[c, lacking[r]]).sum() for r in at])
+            at = np.flatnonzero(reach[c])
             read += int(lacking[at].sum())
-            whole = np.zeros(n, x.dtype)
-            whole[at] = score
-            found[live[c]] = _best(whole, ids, at, k)
-        live, gathered = live[~stop], gathered[:, ~stop]
+            score = gathered[c].copy()
+            score[at] += np.where(lacking[at], x[at], 0) @ queries[live[c]]
+            found[live[c]] = _best(score, ids, at, k)
+        live, gathered = live[~stop], gathered[~stop]
+        if not len(live):
+            break
     return found, read
 
 
@@ -156,7 +157,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: st
     rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).filter(whole)
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).distinct()
     size = rows.agg(F.count("*").alias("n"), F.count_if("ask").alias("asks")).first()
-    c_blocks, q_blocks = -(-max(size["n"], 1) // CANDIDATES), -(-max(size["asks"], 1) // QUERIES)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least, most = CANDIDATES
+    c_blocks, q_blocks = -(-max(size["n"], 1) // min(max(size["n"] // tasks, least), most)), -(-max(size["asks"], 1) // QUERIES)
     block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select(block(c_blocks, 1).alias("c"), all_of(q_blocks).alias("q"), F.lit(False).alias("ask"), "id", "v")

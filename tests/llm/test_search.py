@@ -124,7 +124,7 @@ def brute_top(ids, x, k):
 def test_top_k(spark, monkeypatch):
     from driftline.llm import topk
 
-    monkeypatch.setattr(topk, "CANDIDATES", 70)
+    monkeypatch.setattr(topk, "CANDIDATES", (70, 70))
     monkeypatch.setattr(topk, "QUERIES", 20)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8)).astype(np.float32)
