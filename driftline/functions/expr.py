@@ -85,11 +85,14 @@ def human_bytes(n: Column) -> Column:
 
 
 def bandwidth_kib(literal: Column) -> Column:
-    """KiB per second of a limit such as 512, 512k, 2m or 1g; null if it is malformed."""
-    text = F.lower(F.trim(literal))
-    number = F.regexp_extract(text, r"^(\d+)[kmg]?$", 1).try_cast("long")
-    unit = F.regexp_extract(text, r"^\d+([kmg]?)$", 1)
-    return number * F.when(unit == "m", 1024).when(unit == "g", 1024 * 1024).otherwise(1).cast("long")
+    """KiB per second of a limit such as 512, 512k, 2 m or 1g; null if it is malformed, the largest long where it overflows."""
+    shape = r"^\s*\+?(\d+)\s*([kKmMgG])\s*$|^\s*\+?(\d+)\s*$"
+    digits = F.concat(F.regexp_extract(literal, shape, 1), F.regexp_extract(literal, shape, 3))
+    unit = F.lower(F.regexp_extract(literal, shape, 2))
+    number = digits.try_cast("decimal(38,0)")
+    times = F.when(unit == "m", 1024).when(unit == "g", 1024 * 1024).otherwise(1)
+    least = F.least((number * times).cast("decimal(38,0)"), F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
+    return F.when(number <= F.lit(str((1 << 64) - 1)).cast("decimal(38,0)"), least)
 
 
 def megabits_per_second(n: Column, seconds: Column) -> Column:
@@ -113,20 +116,28 @@ def write_concurrency(total: Column, files: Column) -> Column:
 
 
 def prefix_allowed(prefixes: Column, path: Column) -> Column:
-    """Whether a path is a listed prefix or lies below one; '/' allows all."""
-    return F.exists(prefixes, lambda p: (p == "/") | (path == p) | F.startswith(path, F.concat(p, F.lit("/"))))
+    """Whether a path is a listed prefix or lies below one; '/' allows all, and no list (null) nothing."""
+    return F.coalesce(F.exists(prefixes, lambda p: (p == "/") | (path == p) | F.startswith(path, F.concat(p, F.lit("/")))), F.lit(False))
 
 
 def normalized_prefix(prefix: Column) -> Column:
-    """A prefix as it is stored: '' and '/' allow all, slashes around go, unsafe ones are null."""
+    """A prefix as it is stored: '' and '/' allow all, slashes around go; null if it is unsafe."""
     text = F.trim(prefix)
     return F.when(text.isin("", "/"), F.lit("/")).otherwise(sanitized(F.regexp_replace(text, "^/+", "")))
 
 
 def normalized_prefixes(prefixes: Column) -> Column:
-    """Distinct normalised prefixes in their order; any '/' makes it the only one, and so does an empty list."""
-    done = F.array_distinct(F.filter(F.transform(prefixes, normalized_prefix), lambda p: p.isNotNull()))
-    return F.when(F.array_contains(done, "/") | (F.size(done) == 0), F.array(F.lit("/"))).otherwise(done)
+    """Distinct normalised prefixes in their order; a '/' makes it the only one, and so does an empty list.
+
+    An unsafe or null prefix before any '/' refuses the whole list: the result is null, which
+    allows nothing (``prefix_allowed``)."""
+    done = F.transform(prefixes, normalized_prefix)
+    slash = F.array_position(done, F.lit("/"))
+    bad = F.array_position(F.transform(done, lambda p: p.isNull()), F.lit(True))
+    return (
+        F.when((F.size(prefixes) == 0) | (slash > 0) & ((bad == 0) | (slash < bad)), F.array(F.lit("/")))
+        .when(bad == 0, F.array_distinct(done))
+    )
 
 
 def profile_component(name: Column) -> Column:
@@ -146,21 +157,37 @@ def fingerprint(certificate: Column) -> Column:
 
 
 def endpoint(text: Column, scheme: str = "sync") -> Column:
-    """struct(kind, user, host, port, path): quic for ``scheme://``, ssh for ``ssh://`` and host:path, else local."""
-    url = rf"^(?:{scheme}|ssh)://(?:([^@/]*)@)?([^:/]+)(?::(\d+))?(/.*)?$"
-    scp = r"^(?:([^@/:]+)@)?([^/:@]{2,}):(.*)$"
-    some = lambda c: F.when(c != "", c)
-    is_url, is_scp = text.rlike(url), text.rlike(scp) & ~F.contains(text, F.lit("://"))
-    kind = F.when(is_url & F.startswith(text, F.lit(f"{scheme}://")), "quic").when(is_url | is_scp, "ssh").otherwise("local")
-    pick = lambda u, s: F.when(is_url, some(F.regexp_extract(text, url, u))).when(is_scp, some(F.regexp_extract(text, scp, s)))
-    port = F.when(is_url, F.regexp_extract(text, url, 3).try_cast("long"))
-    path = F.when(is_url, F.coalesce(some(F.regexp_extract(text, url, 4)), F.lit("/"))).when(is_scp, F.coalesce(some(F.regexp_extract(text, scp, 3)), F.lit("."))).otherwise(text)
-    return F.struct(kind.alias("kind"), pick(1, 1).alias("user"), pick(2, 2).alias("host"), port.alias("port"), path.alias("path"))
+    """struct(kind, user, host, port, path, error): quic for ``scheme://``, ssh for ``ssh://`` and host:path, else local.
+
+    A remote endpoint that is malformed has an error and nothing else: no path (or '/' alone) after
+    ``scheme://``, an empty user or host, a port that is no number up to 65535."""
+    is_quic, is_ssh = F.startswith(text, F.lit(f"{scheme}://")), F.startswith(text, F.lit("ssh://"))
+    is_url = is_quic | is_ssh
+    rest = F.regexp_replace(text, "^[a-z]+://", "")
+    # host:path, unless absolute or like a drive (one letter and a colon)
+    is_scp = ~is_url & ~F.startswith(text, F.lit("/")) & ~text.rlike("^[A-Za-z]:") & text.rlike(r"(?s)^[^:/]+:.+$")
+    cut = F.instr(F.when(is_url, rest).otherwise(text), F.when(is_url, "/").otherwise(":"))
+    peer = F.when(is_url, F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest)).when(is_scp, F.substring(text, F.lit(1), cut - 1))
+    path = F.when(is_url, F.substring(rest, cut, F.length(rest))).when(is_scp, F.substring(text, cut + 1, F.length(text))).otherwise(text)
+    at = F.instr(peer, "@")
+    place = F.when(at > 0, F.substring(peer, at + 1, F.length(peer))).otherwise(peer)
+    one_port = place.rlike("^[^:]*:[^:]*$")  # more colons are an address without a port
+    port = F.when(one_port & F.regexp_extract(place, r":\+?(\d+)$", 1).rlike("."), F.regexp_extract(place, r":\+?(\d+)$", 1).try_cast("long"))
+    error = (
+        F.when(is_url & (cut == 0), "missing path").when(at == 1, "remote user is empty").when(peer.isNotNull() & (place == ""), "remote host is empty")
+        .when(one_port & ~F.coalesce(port.between(0, 65535), F.lit(False)), "invalid remote port").when(is_url & (path == "/"), "remote path is empty")
+    )
+    kind = F.when(is_quic, "quic").when(is_ssh | is_scp, "ssh").otherwise("local")
+    sound = lambda c: F.when(error.isNull(), c)
+    host = F.when(one_port, F.regexp_extract(place, "^([^:]*):", 1)).otherwise(place)
+    return F.struct(
+        sound(kind).alias("kind"), sound(F.when(at > 0, F.substring(peer, F.lit(1), at - 1))).alias("user"), sound(host).alias("host"), sound(port).alias("port"), sound(path).alias("path"), error.alias("error")
+    )
 
 
 def transport(chosen: Column, kind: Column) -> Column:
-    """The transport for an endpoint: what was chosen, or with 'auto' what its kind says; null where they contradict."""
-    return F.when(kind == "local", F.lit("local")).when(chosen == "auto", kind).when(chosen == kind, kind)
+    """The transport for an endpoint: local, ssh or quic as chosen, or with 'auto' what its kind says; null for any other word."""
+    return F.when(chosen.isin("local", "ssh", "quic"), chosen).when(chosen == "auto", F.when(kind.isin("quic", "ssh"), kind).otherwise("local"))
 
 
 def private_mode(mode: Column) -> Column:

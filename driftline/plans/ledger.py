@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +11,11 @@ KEY = "relative_path"
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = KEY, order: str | None = None) -> DataFrame:
-    """``table`` with rows replaced or added by key; of several new rows of a key the last by ``order`` wins."""
-    if order:
-        rest = [c for c in rows.columns if c != key]
-        rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
-    return table.join(rows.select(key), key, "left_anti").unionByName(rows)
+    """``table`` with rows replaced or added by key; of several new rows of a key the last one wins, by ``order`` or as they come."""
+    rest = [c for c in rows.columns if c != key]
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.col(order) if order else F.col("_at"))
+    news = (rows if order else rows.withColumn("_at", F.monotonically_increasing_id())).groupBy(key).agg(last.alias("_r")).select(key, "_r.*")
+    return table.join(news.select(key), key, "left_anti").unionByName(news.select(*rows.columns))
 
 
 def completed(complete: DataFrame, partial: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,31 +35,46 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+#: A pointer's name tells the version and the folder with its rows.
+POINTER = "CURRENT-{version:012d}-{name}"
+
+
 def save_snapshot(df: DataFrame, folder: str) -> str:
-    """Write the next version, then move a pointer to it: a reader sees the old state or the new one, never a part."""
+    """Write the next version to a folder of its own, then name it by a new pointer file.
+
+    Nothing is replaced or removed: a reader takes the largest pointer, so it sees the old
+    state or the new one, never a part, and of two writers at once one comes last."""
     spark = df.sparkSession
     version = (current_version(spark, folder) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{folder}/v{version}")
-    fs, pointer = _fs(spark, f"{folder}/CURRENT")
-    _, temporary = _fs(spark, f"{folder}/CURRENT.next")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(temporary, pointer)
-    return f"{folder}/v{version}"
+    name = f"v{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    fs, made = _fs(spark, f"{folder}/.{name}")
+    fs.create(made, True).close()
+    if not fs.rename(made, _fs(spark, f"{folder}/{POINTER.format(version=version, name=name)}")[1]):
+        raise OSError(f"cannot name version {version} in {folder}")
+    return f"{folder}/{name}"
+
+
+def _current(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    fs, where = _fs(spark, folder)
+    if not fs.exists(where):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    found = max((n for n in names if n.startswith("CURRENT-")), default=None)
+    return None if found is None else (int(found.split("-")[1]), found.split("-", 2)[2])
 
 
 def current_version(spark: SparkSession, folder: str) -> int | None:
-    for name in ("CURRENT", "CURRENT.next"):
-        fs, pointer = _fs(spark, f"{folder}/{name}")
-        if fs.exists(pointer):
-            line = spark.read.text(f"{folder}/{name}").first()
-            return json.loads(line[0])["version"]
-    return None
+    found = _current(spark, folder)
+    return found and found[0]
+
+
+def due(mutations: int, force: bool = False, every: int = 1024) -> bool:
+    """Whether a snapshot is to be saved after so many changes since the last one."""
+    return mutations > 0 and (force or mutations >= every)
 
 
 def load_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The current version; without any, an empty table. A damaged version fails."""
-    version = current_version(spark, folder)
-    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{folder}/v{version}")
+    found = _current(spark, folder)
+    return spark.createDataFrame([], schema) if found is None else spark.read.schema(schema).parquet(f"{folder}/{found[1]}")

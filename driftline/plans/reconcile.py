@@ -132,13 +132,60 @@ def cached_hashes(manifest: DataFrame, cache: DataFrame, chunk_size: int) -> Dat
     return manifest.join(side, KEY, "left").select(*[F.col(c) for c in manifest.columns], F.when(hit, F.col("hit_file_hash")).alias("cached_hash"))
 
 
+def first_of(df: DataFrame, key: str) -> DataFrame:
+    """The first row of each key, in the order in which ``df`` comes."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != key]
+    return df.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.min_by(F.struct(*rest), "_at").alias("_r")).select(key, "_r.*")
+
+
 def authorized(connections: DataFrame, policy: DataFrame) -> DataFrame:
-    """connections (fingerprint_sha256) + client_id, allowed_prefixes, accepted, reason."""
-    side = policy.select("fingerprint_sha256", "client_id", "allowed_prefixes", "revoked", F.lit(True).alias("_known")).dropDuplicates(["fingerprint_sha256"])
+    """connections (fingerprint_sha256) + client_id, allowed_prefixes, accepted, reason; of several policy rows of a fingerprint the first counts."""
+    side = first_of(policy.select("fingerprint_sha256", "client_id", "allowed_prefixes", "revoked"), "fingerprint_sha256").withColumn("_known", F.lit(True))
     reason = F.when(F.col("fingerprint_sha256").isNull(), "no certificate").when(F.col("_known").isNull(), "unknown certificate").when(F.col("revoked"), "revoked")
     return connections.join(side, "fingerprint_sha256", "left").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_known", "revoked")
 
 
+def named_profiles(asked: DataFrame, store: DataFrame, strict: bool = True) -> DataFrame:
+    """Profiles by name: ``asked`` (name) with the columns of the first such row of ``store``; a name without one
+    fails the query, or with ``strict=False`` has an error."""
+    found = asked.join(first_of(store, "name").withColumn("_known", F.lit(True)), "name", "left")
+    missing = F.when(F.col("_known").isNull(), F.concat(F.lit("profile '"), F.col("name"), F.lit("' not found")))
+    if not strict:
+        return found.withColumn("error", missing).drop("_known")
+    return found.filter(F.when(missing.isNotNull(), F.raise_error(missing).cast("boolean")).otherwise(True)).drop("_known")
+
+
+def stale_xattrs(files: DataFrame, current: str = "current", desired: str = "desired") -> DataFrame:
+    """``files`` + stale: names of attributes (arrays of struct with a name) that are there and no longer wanted, in order."""
+    names = lambda c: F.transform(c, lambda x: x["name"])
+    return files.withColumn("stale", F.array_sort(F.array_except(names(F.col(current)), names(F.col(desired)))))
+
+
+def init_requests(manifest: DataFrame, chunk_size: int, update_only: bool = False, resume: bool = True, xattrs: bool = False) -> DataFrame:
+    """What a sender tells of each file before sending: identity, chunks, and the attributes' signature if these are kept."""
+    sig = F.col("xattr_sig") if xattrs else F.lit(None).cast("string")
+    return manifest.select(
+        KEY, "size", "mode", "mtime_sec", sig.alias("xattr_sig"), F.lit(update_only).alias("update_only"), "file_hash", F.lit(chunk_size).cast("long").alias("chunk_size"), "total_chunks", F.lit(resume).alias("resume")
+    )
+
+
+NO_XATTRS = "array<struct<name:string,value:binary>>"
+
+
+def metadata_entries(plan: DataFrame, xattrs: bool = False) -> DataFrame:
+    """The metadata alone of files whose plan asks for it (metadata_sync_required)."""
+    kept = F.col("xattrs") if xattrs else F.array().cast(NO_XATTRS)
+    return plan.filter("metadata_sync_required").select(KEY, "size", "file_hash", "mode", "mtime_sec", "uid", "gid", kept.alias("xattrs"))
+
+
+def late_digests(plan: DataFrame, contents: DataFrame, content: str = "content") -> DataFrame:
+    """``plan`` with quick tokens of the files to be uploaded replaced by digests: only their contents (relative_path, ``content``) are read."""
+    pending = (F.col("action") == "UPLOAD") & is_quick_token(F.col("file_hash"))
+    names = [F.when(F.col("_hash").isNotNull(), F.col("_hash")).otherwise(F.col("file_hash")).alias("file_hash") if c == "file_hash" else F.col(f"`{c}`") for c in plan.columns]
+    made = contents.join(plan.filter(pending).select(KEY), KEY, "left_semi").select(KEY, F.sha2(content, 256).alias("_hash"))
+    return plan.join(made, KEY, "left").select(*names)
+
+
 def zipped(requests: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("batch_id", "pos")) -> DataFrame:
     """Requests with their results by position; a row without its counterpart fails the query."""
     both = requests.withColumn("_r", F.lit(1)).join(results.withColumn("_s", F.lit(1)), list(keys), "full_outer")

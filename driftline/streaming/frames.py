@@ -9,6 +9,7 @@ that come early wait in state for those before them.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.frames import CODEC, LITTLE, MAGIC, PREFIX, PROTOCOL
+
 #: seq long, frame_type string (start, chunk, end, done), relative_path string, kind string, size long, chunk_len long, files long
 FILES = "stream_id string, seq long, relative_path string, kind string, bytes long, error string"
 PROGRESS = "key string, seq long, accepted boolean, message string, next_chunk long, written long"
@@ -208,20 +211,28 @@ def progress_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 
 class FrameBuffer:
-    """Cuts a byte stream into frames: whatever the reads, frames come whole; too large or cut-off ones are errors."""
+    """Cuts a byte stream into frames: whatever the reads, frames come whole.
+
+    A prefix of another magic, protocol, codec or endianness is an error before its lengths are
+    believed, and so are a frame over the limit and a stream that ends within one."""
 
     def __init__(self, limit: int):
         self.limit, self.held = limit, b""
 
+    def _size(self) -> int:
+        magic, protocol, codec, endianness, head, body = struct.unpack_from(">4sHBBII", self.held)
+        for name, got, want in (("magic", magic, MAGIC), ("protocol", protocol, PROTOCOL), ("codec", codec, CODEC), ("endianness", endianness, LITTLE)):
+            if got != want:
+                raise ValueError(f"{name} mismatch: {got!r}")
+        size = PREFIX + head + body
+        if size > self.limit:
+            raise ValueError(f"frame of {size} bytes is over the limit of {self.limit}")
+        return size
+
     def feed(self, data: bytes) -> list[bytes]:
         self.held += data
         out = []
-        while len(self.held) >= 16:
-            size = 16 + int.from_bytes(self.held[8:12], "big") + int.from_bytes(self.held[12:16], "big")
-            if size > self.limit:
-                raise ValueError(f"frame of {size} bytes is over the limit of {self.limit}")
-            if len(self.held) < size:
-                break
+        while len(self.held) >= PREFIX and len(self.held) >= (size := self._size()):
             out.append(self.held[:size])
             self.held = self.held[size:]
         return out
@@ -229,3 +240,46 @@ class FrameBuffer:
     def close(self) -> None:
         if self.held:
             raise ValueError("stream ends within a frame")
+
+
+FRAMES = "stream_id string, frame_no long, frame binary, error string"
+
+
+def _cut(buffer: FrameBuffer, first: int, reads: Iterator[bytes], last: bool) -> tuple[list[dict], bool]:
+    """Frames of these reads, numbered from ``first``, and whether the stream has failed."""
+    out: list[dict] = []
+    try:
+        for data in reads:
+            out += [{"frame_no": first + len(out) + k, "frame": f, "error": None} for k, f in enumerate(buffer.feed(data))]
+        if last:
+            buffer.close()
+    except ValueError as e:
+        return [*out, {"frame_no": first + len(out), "frame": None, "error": str(e)}], True
+    return out, False
+
+
+def framed(reads: DataFrame, limit: int) -> DataFrame:
+    """Frames of byte streams at rest (stream_id, seq, data), in order of seq; the first error of a stream ends it."""
+
+    def group(key, frame):
+        return _frame([r | {"stream_id": key[0]} for r in _cut(FrameBuffer(limit), 0, map(bytes, frame.sort_values("seq")["data"]), True)[0]], FRAMES)
+
+    return reads.groupBy("stream_id").applyInPandas(group, FRAMES)
+
+
+def framed_stream(reads: DataFrame, limit: int) -> DataFrame:
+    """``framed`` on a streaming DataFrame whose reads of a stream arrive in order; what is cut off waits in state."""
+
+    def group(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, number, failed = state.get if state.exists else (b"", 0, False)
+        buffer = FrameBuffer(limit)
+        buffer.held = bytes(held)
+        out: list[dict] = []
+        for part in parts:
+            if not failed:
+                more, failed = _cut(buffer, number + len(out), map(bytes, part.sort_values("seq")["data"]), False)
+                out += more
+        state.update((buffer.held, number + len(out), failed))
+        yield _frame([r | {"stream_id": key[0]} for r in out], FRAMES)
+
+    return reads.groupBy("stream_id").applyInPandasWithState(group, FRAMES, "held binary, number long, failed boolean", "append", GroupStateTimeout.NoTimeout)

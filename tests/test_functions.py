@@ -39,7 +39,24 @@ def test_patterns():
     ],
 )
 def test_endpoints(spark, text, want):
-    assert tuple(one(spark, expr.endpoint(F.col("t")), t=text)) == want
+    assert tuple(one(spark, expr.endpoint(F.col("t")), t=text))[:5] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("sync://host", "missing path"), ("sync://host/", "remote path is empty"), ("ssh://@h/p", "remote user is empty"), ("ssh://u@/p", "remote host is empty"), ("ssh://h:99999/p", "invalid remote port"), ("ssh://h:x/p", "invalid remote port"),
+        ("@h:d", "remote user is empty"), ("host:", ("local", None, None, None, "host:")), ("u@h:d", ("ssh", "u", "h", None, "d")), ("1:d", ("ssh", None, "1", None, "d")), ("ssh://u@a:b:c/p", ("ssh", "u", "a:b:c", None, "/p")),
+    ],
+)
+def test_endpoint_traps(spark, text, want):
+    got = tuple(one(spark, expr.endpoint(F.col("t")), t=text))
+    assert got == ((None,) * 5 + (want,) if isinstance(want, str) else (*want, None))
+
+
+def test_transport(spark):
+    got = [one(spark, expr.transport(F.lit(a), F.lit(b))) for a, b in (("auto", "quic"), ("auto", "ssh"), ("auto", "local"), ("ssh", "local"), ("local", "quic"), ("tcp", "ssh"))]
+    assert got == ["quic", "ssh", "local", "ssh", "local", None]
 
 
 def test_tokens(spark):
@@ -59,13 +76,16 @@ def test_sizes(spark):
 def test_prefixes(spark):
     allowed = lambda p, path: one(spark, expr.prefix_allowed(F.array(*map(F.lit, p)), F.lit(path)))
     assert allowed(["team-a"], "team-a/x") and allowed(["team-a"], "team-a") and not allowed(["team-a"], "team-ab/x") and allowed(["/"], "any")
-    assert one(spark, expr.normalized_prefixes(F.array(*map(F.lit, [" /a/b/ ", "a/b", "c/../d"])))) == ["a/b"]
+    of = lambda *p: one(spark, expr.normalized_prefixes(F.array(*map(F.lit, p)).cast("array<string>")))
+    assert of(" /a/b/ ", "a/b") == ["a/b"] and of() == ["/"] and of("a", "", "../x") == ["/"]
+    assert of("../x") is None and of("a", "c/../d", "/") is None and of("///") is None
+    assert one(spark, expr.prefix_allowed(expr.normalized_prefixes(F.array(F.lit("../x"))), F.lit("any"))) is False
     assert one(spark, expr.normalized_prefixes(F.array(F.lit("a"), F.lit("")))) == ["/"]
 
 
 def test_bandwidth_and_rates(spark):
-    got = [one(spark, expr.bandwidth_kib(F.lit(t))) for t in ("512", "3k", " 2M ", "1g", "", "x")]
-    assert got == [512, 3, 2048, 1048576, None, None]
+    got = [one(spark, expr.bandwidth_kib(F.lit(t))) for t in ("512", "3k", " 2M ", "1g", "", "x", "10 k", "k", "1 0", "9223372036854775807g", "18446744073709551616")]
+    assert got == [512, 3, 2048, 1048576, None, None, 10, None, None, (1 << 63) - 1, None]
     assert one(spark, expr.rate(F.lit(0), F.lit(1.0))) == 0 and one(spark, expr.ratio_text(F.lit(1.0), F.lit(0.0))) == "inf"
 
 

@@ -45,6 +45,9 @@ def test_snapshots(spark, tmp_path):
     ledger.save_snapshot(merged.select("relative_path", "n"), folder)
     assert sorted(map(tuple, ledger.load_snapshot(spark, folder, schema).collect())) == [("a", 1), ("b", 4), ("c", 5)]
     assert ledger.current_version(spark, folder) == 2
+    twice = spark.createDataFrame([("b", 8), ("d", 1), ("b", 9)], schema).coalesce(1)
+    assert sorted(map(tuple, ledger.upsert(merged.select("relative_path", "n"), twice).collect())) == [("a", 1), ("b", 9), ("c", 5), ("d", 1)]
+    assert not ledger.due(1023) and ledger.due(1024) and ledger.due(1, force=True) and not ledger.due(0, force=True)
 
 
 def naive(sizes, limit):
@@ -145,7 +148,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_frame_buffer():
-    frame = b"SPS1" + b"\0" * 4 + (2).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"hhppp"
+    frame = b"SPS1" + b"\0\2\1\1" + (2).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"hhppp"
     data, buffer = frame * 3, FrameBuffer(64)
     assert [f for i in range(0, len(data), 5) for f in buffer.feed(data[i : i + 5])] == [frame] * 3
     buffer.close()
@@ -154,6 +157,9 @@ def test_frame_buffer():
         buffer.close()
     with pytest.raises(ValueError, match="limit"):
         FrameBuffer(16).feed(frame)
+    for at, what in ((0, "magic"), (5, "protocol"), (6, "codec"), (7, "endianness")):
+        with pytest.raises(ValueError, match=what):
+            FrameBuffer(64).feed(frame[:at] + b"\x09" + frame[at + 1 :])
 
 
 def test_throttle_lets_large_items_pass(spark):
