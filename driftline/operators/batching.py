@@ -50,6 +50,11 @@ def keep_limit(payload: int) -> Limit:
     return Limit(max(payload - (128 << 10), 8 << 10), 1 << 62)
 
 
+def framed_limit(payload: int, overhead: int) -> Limit:
+    """Entries whose encoded sizes, with the frame's own ``overhead``, fit one payload."""
+    return Limit(payload - overhead, 1 << 62)
+
+
 def chunk_limit(payload: int, chunk: int) -> Limit:
     return Limit(1 << 62, max(1, (payload - (64 << 10)) // (chunk + 16)), 8 << 20)
 
@@ -65,40 +70,52 @@ def next_starts(sizes: np.ndarray, limit: Limit) -> np.ndarray:
     return np.clip(np.maximum(out, np.arange(n) + 1), 0, n)
 
 
-def greedy_batches(df: DataFrame, order: list[str], size: Column, limit: Limit, partitions: int | None = None) -> DataFrame:
+PART_BYTES = 64 << 20
+
+
+def _partitions(df: DataFrame) -> int:
+    """As many ranges as the planner's estimate of the table's bytes asks for."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(max(1, -(-size // PART_BYTES)), 1 << 16)
+
+
+def greedy_batches(df: DataFrame, order: list[str], size: Column, limit: Limit, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """``df`` + batch_id (from 0, in order), pos (in the batch, from 0) and offset (bytes before it in the batch).
 
-    ``order`` must identify rows. Two passes over the sizes; between them a few
-    numbers a partition come to the driver.
+    ``order`` must identify rows; a null size counts as 0. With ``strict`` a row that is larger than ``max_bytes`` alone fails
+    the query. Two passes over the sizes; between them a few numbers a range come to the driver: of sizes only those at its
+    head that are above 0, up to one limit's worth.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_size", size.cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    n = partitions or _partitions(df)
+    own = F.coalesce(size, F.lit(0)).cast("long")
+    if strict:
+        own = F.when(own > limit.max_bytes, F.raise_error(F.lit("a single row exceeds the limit")).cast("long")).otherwise(own)
+    dealt = df.withColumn("_size", own).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     dealt = stored(dealt, "ordered")
     # pass 1: (part, rows, table of the entries that matter: start -> start in the next partition)
     light = dealt.select("_part", *order, "_size")
 
     def tails(key, table):
         sizes = table.sort_by([(c, "ascending") for c in order])["_size"].to_numpy()
-        step = next_starts(sizes, limit)
-        return pa.table({"part": [key[0].as_py()], "sizes": [np.ascontiguousarray(sizes[: _reach(sizes, limit)]).tobytes()], "open": [_opens(sizes, step)]}, _TAILS)
+        at, heads = _head(sizes, limit)
+        opens = _opens(sizes, next_starts(sizes, limit), limit)
+        return pa.table({"part": [key[0].as_py()], "rows": [len(sizes)], "bytes": [int(sizes.sum())], "at": [at], "sizes": [heads], "open": [opens]}, _TAILS)
 
     # a partition's entry is the row at which the batch carried over from before closes; the carry is (rows, bytes)
-    rows = light.groupBy("_part").applyInArrow(tails, "part int, sizes binary, open array<struct<start:long,rows:long,bytes:long,batches:long>>").collect()
+    rows = light.groupBy("_part").applyInArrow(tails, "part int, rows long, bytes long, at array<long>, sizes array<long>, open array<struct<start:long,rows:long,bytes:long,batches:long>>").collect()
     entry, first = {}, {}
     carry_rows, carry_bytes, batches = 0, 0, 0
     for r in sorted(rows, key=lambda x: x["part"]):
-        sizes = np.frombuffer(r["sizes"], np.int64)
-        start = _closes(sizes, carry_rows, carry_bytes, limit) if carry_rows else 0
+        start = _closes(np.array(r["at"], np.int64), np.array(r["sizes"], np.int64), r["rows"], carry_rows, carry_bytes, limit) if carry_rows else 0
         entry[r["part"]] = (start, carry_rows, carry_bytes)
         first[r["part"]] = batches
-        known = {o["start"]: o for o in r["open"]}
-        if start in known:
-            o = known[start]
+        if start < r["rows"]:
+            o = next(o for o in r["open"] if o["start"] == start)
             batches += o["batches"] + (carry_rows > 0)
             carry_rows, carry_bytes = o["rows"], o["bytes"]
         else:  # the carried batch swallows the whole partition
-            carry_rows, carry_bytes = carry_rows + len(sizes), carry_bytes + int(sizes.sum())
+            carry_rows, carry_bytes = carry_rows + r["rows"], carry_bytes + r["bytes"]
     plan = spark.sparkContext.broadcast((entry, first))
     fields = df.schema.fields
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("batch_id", "pos", "offset"))])
@@ -126,35 +143,50 @@ def greedy_batches(df: DataFrame, order: list[str], size: Column, limit: Limit,
     return dealt.groupBy("_part").applyInArrow(cut, schema)
 
 
-_TAILS = pa.schema([("part", pa.int32()), ("sizes", pa.binary()), ("open", pa.list_(pa.struct([("start", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("batches", pa.int64())])))])
+_OPEN = pa.struct([("start", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("batches", pa.int64())])
+_TAILS = pa.schema([("part", pa.int32()), ("rows", pa.int64()), ("bytes", pa.int64()), ("at", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("open", pa.list_(_OPEN))])
 
 
-def _reach(sizes: np.ndarray, limit: Limit) -> int:
-    """How many rows at the head a batch from before can still take: until one limit's worth is through."""
-    by_bytes = int(np.searchsorted(np.cumsum(sizes), limit.max_bytes, side="right")) + 1
-    if limit.close_after is not None:
-        by_bytes = min(by_bytes, int(np.searchsorted(np.cumsum(sizes), limit.close_after, side="left")) + 1)
-    return min(len(sizes), by_bytes, limit.max_count)
+def _head(sizes: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with bytes at the head, and their sizes, until a batch from before must have closed."""
+    at = np.flatnonzero(sizes)
+    at = at[: np.searchsorted(at, limit.max_count, side="right")]
+    most = max(limit.max_bytes, limit.close_after or 0)
+    return at[: np.searchsorted(np.cumsum(sizes[at]), most, side="right") + 1], sizes[at[: np.searchsorted(np.cumsum(sizes[at]), most, side="right") + 1]]
 
 
-def _opens(sizes: np.ndarray, step: np.ndarray) -> list[dict]:
-    """For each possible first start: the batch left open at the partition's end, and how many closed before it."""
+def _opens(sizes: np.ndarray, step: np.ndarray, limit: Limit) -> list[dict]:
+    """For each possible first start: the batch left open at the partition's end, and how many closed before it.
+
+    A batch from before closes by count within ``max_count`` rows, or by bytes at a row that has some, or right after one."""
     n = len(sizes)
-    last, closed = np.arange(n), np.zeros(n, np.int64)
-    for i in range(n - 1, -1, -1):
-        if step[i] < n:
-            last[i], closed[i] = last[step[i]], closed[step[i]] + 1
+    if not n:
+        return []
+    last, closed = np.where(step < n, step, np.arange(n)), (step < n).astype(np.int64)
+    while True:  # each pass doubles the number of batches gone through
+        further = last[last]
+        if (further == last).all():
+            break
+        closed, last = closed + closed[last], further
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    head = min(n, int(step[0]) + 1) if n else 0
-    return [{"start": i, "rows": int(n - last[i]), "bytes": int(ends[n] - ends[last[i]]), "batches": int(closed[i])} for i in range(head)]
-
-
-def _closes(sizes: np.ndarray, rows: int, size: int, limit: Limit) -> int:
-    """The row at which a batch closes that already has ``rows`` rows of ``size`` bytes."""
-    for k, s in enumerate(sizes.tolist()):
-        if rows >= limit.max_count or size + s > limit.max_bytes or limit.close_after is not None and size >= limit.close_after:
-            return k
-        rows, size = rows + 1, size + s
-    if rows >= limit.max_count or limit.close_after is not None and size >= limit.close_after:
-        return len(sizes)
-    return len(sizes)
+    head = min(n, int(step[0]) + 1)
+    starts = np.arange(head)
+    if limit.max_count >= n:
+        starts = starts[(starts == 0) | (sizes[:head] > 0) | np.concatenate([[False], sizes[: head - 1] > 0])]
+    return [{"start": int(i), "rows": int(n - last[i]), "bytes": int(ends[n] - ends[last[i]]), "batches": int(closed[i])} for i in starts]
+
+
+def _closes(at: np.ndarray, sizes: np.ndarray, total: int, rows: int, size: int, limit: Limit) -> int:
+    """The row at which a batch closes that already has ``rows`` rows of ``size`` bytes; ``total`` if it takes them all."""
+    ends = size + np.cumsum(sizes)
+    out = [total, max(0, limit.max_count - rows)]
+    over = int(np.searchsorted(ends, limit.max_bytes, side="right"))
+    if over < len(at):
+        out.append(int(at[over]))
+    if limit.close_after is not None:
+        if size >= limit.close_after:
+            return 0
+        full = int(np.searchsorted(ends, limit.close_after, side="left"))
+        if full < len(at):
+            out.append(int(at[full]) + 1)
+    return min(out)

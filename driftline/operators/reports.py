@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import parent, write_concurrency
@@ -36,6 +36,11 @@ def parents(df: DataFrame, path: str = "relative_path") -> DataFrame:
     return df.select(parent(F.col(path)).alias("parent")).filter("parent != ''").distinct()
 
 
+def keep_count(keep: DataFrame, path: str = "relative_path") -> DataFrame:
+    """How many distinct paths a keep set holds."""
+    return keep.agg(F.count_distinct(path).alias("keep_paths"))
+
+
 def client_status(policy: DataFrame) -> DataFrame:
     return policy.agg(F.count("*").alias("total"), F.count_if(~F.col("revoked")).alias("active"), F.count_if("revoked").alias("revoked"))
 
@@ -57,9 +62,25 @@ def xor_digest(values: DataFrame, column: str = "value") -> DataFrame:
     return values.agg(F.coalesce(F.bit_xor(column), F.lit(0)).alias("digest"))
 
 
-def medians(runs: DataFrame) -> DataFrame:
-    """Median of each (transport, key) over runs."""
-    return runs.groupBy("transport", "key").agg(F.median("value").alias("median"))
+def medians(runs: DataFrame, spread: float = 0.002) -> DataFrame:
+    """Exact median of each (transport, key) over runs; the mean of the two middle values where their number is even. Null values are left out.
+
+    Sketches bracket the middle by ranks (their error is a tenth of ``spread``), so only values inside
+    the bracket are sorted, and what lies below is counted: no group's values meet in one task."""
+    by = ["transport", "key"]
+    known = runs.filter(F.col("value").isNotNull())
+    marks = F.percentile_approx("value", F.array(F.lit(0.5 - spread), F.lit(0.5 + spread)), F.lit(int(10 / spread)))
+    ends = known.groupBy(*by).agg(marks.alias("m")).select(*by, F.col("m")[0].alias("low"), F.col("m")[1].alias("high"))
+    df = known.join(F.broadcast(ends), by)  # a row for each group; groups are named in the gate's thresholds
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("value") < F.col("low")).alias("below"))
+    same = df.filter(F.col("value").between(F.col("low"), F.col("high"))).groupBy(*by, "value").agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(*by).orderBy("value"))
+    ranked = same.withColumn("upto", upto).join(F.broadcast(counts), by).withColumn("last", F.col("below") + F.col("upto"))
+    first = F.col("last") - F.col("times")  # ranks first ... last - 1 hold this value
+    holds = lambda rank: (first <= rank) & (rank < F.col("last"))
+    half = F.call_function("div", F.col("n"), F.lit(2))
+    low, high = F.max(F.when(holds(F.call_function("div", F.col("n") - 1, F.lit(2))), F.col("value"))), F.max(F.when(holds(half), F.col("value")))
+    return ranked.groupBy(*by).agg(((low + high) / 2).alias("median"))
 
 
 def gate(medians_: DataFrame, thresholds: DataFrame) -> DataFrame:

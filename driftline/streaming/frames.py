@@ -1,20 +1,24 @@
 """Replay of framed source streams and upload progress as keyed state.
 
-The state machines are written once, over plain rows, and run in two ways: in
-batch with ``applyInPandas`` per key, and on a stream with
-``applyInPandasWithState``. The stream of one key is ordered by ``seq``; rows
-that come early wait in state for those before them.
+The state machines are written once, over plain rows, and run in two ways. At rest,
+rows are dealt by key and sorted by (key, seq), and a task carries one machine along
+its Arrow batches: no key's rows are gathered, so a hot key streams through. On a
+stream, ``applyInPandasWithState`` keeps the machine as state, and rows that come
+early wait in it for those before them.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.frames import CODEC, LITTLE, MAGIC, PREFIX, PROTOCOL
@@ -86,6 +90,15 @@ class Replay:
         return out
 
 
+    def at_rest(self, row: dict) -> list[dict]:
+        """The outcome of the next frame in order of seq; repeated ones, and all behind a gap, are ignored."""
+        if row["seq"] != self.s["next"]:
+            return []
+        self.s["next"] += 1
+        found = self.step(row)
+        return [found | {"seq": row["seq"]}] if found else []
+
+
 class Progress:
     """Uploads of one path, in order of arrival: late ones are acknowledged, early ones rejected, the due one applied."""
 
@@ -117,19 +130,21 @@ class DeleteSession:
     """Begin resets, AddKeep gathers, Apply uses the keep set once; anything out of turn is refused."""
 
     def __init__(self, state: dict | None = None):
-        self.s = state or {"open": False, "keep": []}
+        self.s = state or {"open": False}
+        self.keep = set(self.s.get("keep", ()))
 
     def step(self, row: dict) -> dict:
         s, stage = self.s, row["stage"]
         if stage == "begin":
-            s.update({"open": True, "keep": []})
+            s["open"] = True
+            self.keep.clear()
             return {"accepted": True, "message": "ready", "keep_paths": 0}
         if not s["open"]:
             return {"accepted": False, "message": "no session", "keep_paths": 0}
         if stage == "add":
-            s["keep"] = sorted({*s["keep"], *row["paths"]})
-            return {"accepted": True, "message": "added", "keep_paths": len(s["keep"])}
-        n, s["open"] = len(s["keep"]), False
+            self.keep.update(row["paths"])
+            return {"accepted": True, "message": "added", "keep_paths": len(self.keep)}
+        n, s["open"] = len(self.keep), False
         return {"accepted": True, "message": "applied", "keep_paths": n}
 
 
@@ -153,21 +168,38 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names).astype(object)
 
 
-def replay(frames: DataFrame) -> DataFrame:
-    """Finished files and the first error of each stream, from frames at rest."""
+def by_key(rows: DataFrame, key: str, machine: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:
+    """What a machine, new for each key, says to the key's rows in order of seq."""
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def group(key, frame):
-        return _frame([r | {"stream_id": key[0]} for r in Replay().feed(_plain(frame.sort_values("seq")))], FILES)
+    def task(batches):
+        now, step = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if step is None or row[key] != now:
+                    now, step = row[key], machine()
+                for answer in step(row):
+                    answer[key] = now
+                    out.append(answer)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, made)
 
-    return frames.groupBy("stream_id").applyInPandas(group, FILES)
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(task, schema)
+
+
+def replay(frames: DataFrame) -> DataFrame:
+    """Finished files and the first error of each stream, from frames at rest."""
+    used = ("stream_id", "seq", "frame_type", "relative_path", "kind", "size", "chunk_len", "files")
+    return by_key(frames.select(*used), "stream_id", lambda: Replay().at_rest, FILES)
 
 
 def _ordered(frames: DataFrame, key: str, machine, schema: str) -> DataFrame:
-    def group(k, frame):
+    def new():
         own = machine()
-        return _frame([own.step(r) | {key: k[0], "seq": r["seq"]} for r in _plain(frame.sort_values("seq"))], schema)
+        return lambda row: [own.step(row) | {"seq": row["seq"]}]
 
-    return frames.groupBy(key).applyInPandas(group, schema)
+    return by_key(frames, key, new, schema)
 
 
 def progress(events: DataFrame) -> DataFrame:
