@@ -4,7 +4,9 @@ Tokens are summed up by cell (source, language, topic). The cells' probabilities
 are raked: one factor for each source, language and topic is adjusted in turn until
 the kept tokens of every one of them meet its target. No probability exceeds 1: a
 cell that would is kept whole and the raking goes on with the others, so targets
-still hold. Where they cannot be met at the budget asked for, the largest budget at
+still hold. A source, language or topic that has fewer tokens than its target is kept
+whole, and what it lacks goes to the others of its margin by their shares. Where the
+three margins cannot be met together at the budget asked for, the largest budget at
 which they can is taken; where at none, the closest fit is, with a warning and
 ``met`` false. A document is kept with its cell's probability, decided by a digest of
 its id, so a repeated run or a lost task decides alike.
@@ -67,6 +69,18 @@ def shares(values: list[str], tokens: np.ndarray, named: dict[str, float], tempe
     return out / max(out.sum(), 1e-300)
 
 
+def supplied(share: np.ndarray, have: np.ndarray, wanted: float) -> np.ndarray:
+    """``wanted`` tokens by these shares, but of no value more than it has: the others take over what it lacks."""
+    whole = np.zeros(len(share), bool)
+    while True:
+        left = np.where(whole, 0.0, share)
+        out = np.where(whole, have, max(0.0, wanted - have[whole].sum()) * left / max(left.sum(), 1e-300))
+        short = (out > have) & ~whole
+        if not short.any():
+            return out
+        whole |= short
+
+
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Fit:
     """Probabilities of at most 1 with which each margin's kept tokens are ``targets`` (in tokens, all of one sum)."""
     total = max(targets[0].sum(), 1e-300)
@@ -96,13 +110,15 @@ def calibrated(cells: list[dict], mix: Mix) -> tuple[list[tuple[str, str, str, f
         place = {v: k for k, v in enumerate(values)}
         codes.append(np.array([place[c[m]] for c in cells]))
         goals.append(shares(values, np.bincount(codes[-1], tokens), mix.targets.get(m, {}), mix.temperature))
-    wanted = mix.budget * tokens.sum()
-    fit = rake(tokens, codes, [wanted * g for g in goals])
-    if not fit.met:  # the largest budget that can be met, by halving; each margin's scarcest value bounds it from above
-        low, high, best = 0.0, min(wanted, *(float(np.min(np.bincount(c, tokens)[g > 0] / g[g > 0])) for c, g in zip(codes, goals))), None
+    have = [np.bincount(c, tokens) for c in codes]
+    goal = lambda budget: [supplied(g, h, budget) for g, h in zip(goals, have)]
+    wanted = min(mix.budget * tokens.sum(), *(float(h[g > 0].sum()) for g, h in zip(goals, have)))
+    fit = rake(tokens, codes, goal(wanted))
+    if not fit.met:  # the largest budget that can be met, by halving
+        low, high, best = 0.0, wanted, None
         for _ in range(HALVINGS):
             middle = (low + high) / 2
-            tried = rake(tokens, codes, [middle * g for g in goals])
+            tried = rake(tokens, codes, goal(middle))
             if tried.met:
                 low, best = middle, tried
             else:

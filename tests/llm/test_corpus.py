@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from driftline.llm import html, ppm, quality
 from driftline.llm.html import extract, main_text
-from driftline.llm.mixing import Mix, calibrated, mix_sources, rake
+from driftline.llm.mixing import Mix, calibrated, mix_sources, rake, supplied
 from driftline.llm.ppm import SYMBOLS, adaptive_score, score_documents
 from driftline.llm.quality import Rules, js_distance, quality_rules
 from driftline.llm.topics import TopicModel, with_topics
@@ -119,14 +119,24 @@ def test_rake_meets_margins():
             assert np.allclose(np.bincount(code, tokens * fit.probability), budget * tokens.sum() * target, rtol=1e-4)
 
 
-def test_mixing_takes_the_largest_budget():
+def test_mixing_keeps_scarce_values_whole():
     cells = [{"source": s, "lang": v, "topic": "x", "tokens": n} for s, v, n in [("a", "en", 900), ("a", "de", 50), ("b", "en", 40), ("b", "de", 10)]]
-    rows, met, wanted = calibrated(cells, Mix(targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}}, budget=0.9))
+    rows, met, wanted = calibrated(cells, Mix(targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}}, budget=0.5))
     kept = {r[:2]: r[3] * c["tokens"] for r, c in zip(rows, cells)}
-    # b has 50 tokens, so 100 is the most; its 10 German ones leave 40 for German in a
-    assert met and abs(wanted - 100) < 1 and abs(kept["b", "en"] - 40) < 1 and abs(kept["a", "de"] - 40) < 1 and abs(kept["a", "en"] - 10) < 1
+    # b has 50 tokens and German 60, less than half of 500: all are kept, and English in a fills up
+    assert met and abs(wanted - 500) < 1e-6 and np.allclose([kept["b", "en"], kept["b", "de"], kept["a", "de"], kept["a", "en"]], [40, 10, 50, 400], atol=0.01)
+    assert np.allclose(supplied(np.array([0.5, 0.3, 0.2]), np.array([10.0, 100.0, 100.0]), 100), [10, 54, 36])
+
+
+def test_mixing_takes_the_largest_budget():
+    # half of the tokens in a, half in German: both lie in one cell, so no more than 30 of each can be had
+    cells = [{"source": s, "lang": v, "topic": "x", "tokens": n} for s, v, n in [("a", "de", 30), ("b", "de", 70), ("b", "en", 100)]]
+    rows, met, wanted = calibrated(cells, Mix(targets={"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.3, "de": 0.7}}, budget=0.9))
+    kept = [r[3] * c["tokens"] for r, c in zip(rows, cells)]
+    assert met and abs(sum(kept) - wanted) < 0.01 and wanted > 100 and max(r[3] for r in rows) <= 1
     with pytest.warns(UserWarning):
-        assert not calibrated(cells[:1] + cells[3:], Mix(targets={"source": {"a": 0.5}, "lang": {"en": 0.1}}))[1]
+        cells = [{"source": s, "lang": v, "topic": "x", "tokens": 50} for s, v in (("a", "en"), ("b", "de"))]
+        assert not calibrated(cells, Mix(targets={"source": {"a": 0.5}, "lang": {"en": 0.1}}, budget=0.1))[1]
 
 
 def test_mixing(docs, rows, nothing):
