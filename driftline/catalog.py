@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digests, expr, frames, globs
-from .operators import batching, chunks, reports, throttle
+from .operators import batching, chunks, reports
 from .plans import ledger, reconcile
 from .sources import tables as sources
 from .sources.fixtures import CHUNK, SQL, Tables
@@ -47,9 +47,11 @@ def manifest_totals(t):
     return reports.manifest_totals(t.manifest())
 
 
-@query("s6_p2_p3_quick_manifest", "SELECT relative_path, 'qc:' || size || ':' || mtime_sec AS file_hash, size AS token_size, mtime_sec AS token_mtime, total_chunks FROM manifest")
+@query("s6_p2_p3_quick_manifest", """SELECT relative_path, 'qc:' || size || ':' || mtime_sec || CASE k % 5 WHEN 1 THEN 'x' WHEN 2 THEN ':1' ELSE '' END AS file_hash, CASE WHEN k % 5 NOT IN (1, 2) THEN size END AS token_size,
+  CASE WHEN k % 5 NOT IN (1, 2) THEN mtime_sec END AS token_mtime, total_chunks FROM manifest""")
 def quick_manifest(t):
-    df = t.manifest().withColumn("file_hash", expr.quick_token(F.col("size"), F.col("mtime_sec")))
+    more = F.when(F.col("k") % 5 == 1, "x").when(F.col("k") % 5 == 2, ":1").otherwise("")
+    df = t.manifest().withColumn("file_hash", F.concat(expr.quick_token(F.col("size"), F.col("mtime_sec")), more))
     parsed = expr.parsed_token(F.col("file_hash"))
     return df.select("relative_path", "file_hash", parsed["size"].alias("token_size"), parsed["mtime"].alias("token_mtime"), "total_chunks")
 
@@ -67,7 +69,8 @@ def keep_list(t):
 
 @query("s21_a12_synthetic_paths", "SELECT bit_xor(range)::BIGINT AS digest, count(*) AS paths, min('root/' || lpad((range % 10000)::VARCHAR, 4, '0') || '/group/' || lpad(range::VARCHAR, 8, '0') || '.bin') AS first FROM range(100000)")
 def synthetic(t):
-    return sources.synthetic_paths(t.spark, 100_000).agg(F.bit_xor("i").alias("digest"), F.count("*").alias("paths"), F.min("relative_path").alias("first"))
+    paths = sources.synthetic_paths(t.spark, 100_000)
+    return reports.xor_digest(paths, "i").crossJoin(F.broadcast(paths.agg(F.count("*").alias("paths"), F.min("relative_path").alias("first"))))  # one row each
 
 
 @query("k3_cold_manifest", "SELECT relative_path, size, mode, mtime_sec, true AS cold_start FROM manifest")
@@ -104,7 +107,8 @@ def authorized_paths(t):
   FROM customer LEFT JOIN policy ON c_custkey % 7 <> 0 AND fingerprint_sha256 = sha256('Supplier#' || lpad(c_custkey::VARCHAR, 9, '0'))""")
 def connections(t):
     made = F.when(F.col("c_custkey") % 7 != 0, F.sha2(F.format_string("Supplier#%09d", "c_custkey").cast("binary"), 256))
-    return reconcile.authorized(t.customer.select("c_custkey", made.alias("fingerprint_sha256")), t.policy()).select("c_custkey", "reason", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    twice = t.policy().unionByName(t.policy().withColumn("revoked", ~F.col("revoked")))  # the first one counts
+    return reconcile.authorized(t.customer.select("c_custkey", made.alias("fingerprint_sha256")), twice).select("c_custkey", "reason", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 _DIRTY = "CASE p_partkey % 5 WHEN 0 THEN '/abs/' || p_partkey WHEN 1 THEN './a//b/./' || p_partkey WHEN 2 THEN 'a/../' || p_partkey WHEN 3 THEN './' ELSE 'x/' || p_name END"
@@ -157,10 +161,10 @@ def human(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", expr.human_bytes(b).alias("size"))
 
 
-@query("p13_bandwidth", "SELECT o_orderkey, (o_custkey * CASE o_orderkey % 4 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 ELSE 1 END)::BIGINT AS kib FROM orders")
+@query("p13_bandwidth", """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 4 THEN NULL WHEN 6 THEN 9223372036854775807 ELSE (o_custkey * CASE o_orderkey % 7 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 WHEN 5 THEN 1024 ELSE 1 END)::BIGINT END AS kib FROM orders""")
 def bandwidth(t):
-    unit = F.element_at(F.array(F.lit(""), F.lit("k"), F.lit("M"), F.lit("g")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return t.orders.select("o_orderkey", expr.bandwidth_kib(F.concat(F.lit(" "), "o_custkey", unit)).alias("kib"))
+    forms = [F.concat(F.lit(" "), "o_custkey"), F.concat("o_custkey", F.lit("k")), F.concat("o_custkey", F.lit("M")), F.concat("o_custkey", F.lit("g")), F.concat("o_custkey", F.lit("x")), F.concat("o_custkey", F.lit(" m ")), F.lit("9223372036854775807g")]
+    return t.orders.select("o_orderkey", expr.bandwidth_kib(F.element_at(F.array(*forms), (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("kib"))
 
 
 @query("p14_p15_p30_rates", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 1e-12 THEN l_partkey::DOUBLE * 8.0 / l_discount / 1e6 ELSE 0.0 END AS mbit, CASE WHEN l_discount > 1e-12 THEN l_partkey::DOUBLE / l_discount ELSE l_partkey::DOUBLE END AS per_second, CASE WHEN l_tax = 0 THEN 'inf' ELSE printf('%.2f', l_quantity / l_tax) || 'x' END AS ratio FROM lineitem")
@@ -169,21 +173,33 @@ def rates(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", expr.megabits_per_second(c("l_partkey"), c("l_discount")).alias("mbit"), expr.rate(c("l_partkey"), c("l_discount")).alias("per_second"), expr.ratio_text(c("l_quantity"), c("l_tax")).alias("ratio"))
 
 
-@query("p16_p17_endpoints", """SELECT url, 'local' AS kind, NULL::VARCHAR AS host, url AS path FROM pages UNION ALL
-  SELECT 'sync://' || page_id || '.example:70/p/' || page_id, 'quic', page_id || '.example', '/p/' || page_id FROM pages UNION ALL SELECT 'me@h' || page_id || ':d', 'ssh', 'h' || page_id, 'd' FROM pages""")
+_ENDPOINTS = """e(page_id, text, kind, host, path, error) AS (SELECT page_id, url, 'local', NULL, url, NULL FROM pages WHERE url NOT LIKE '%:%'
+  UNION ALL SELECT page_id, 'sync://' || page_id || '.example:70/p/' || page_id, 'quic', page_id || '.example', '/p/' || page_id, NULL FROM pages UNION ALL SELECT page_id, 'me@h' || page_id || ':d', 'ssh', 'h' || page_id, 'd', NULL FROM pages
+  UNION ALL SELECT page_id, 'u@h:d' || page_id, 'ssh', 'h', 'd' || page_id, NULL FROM pages UNION ALL SELECT page_id, page_id || ':d', 'ssh', page_id::VARCHAR, 'd', NULL FROM pages UNION ALL SELECT page_id, 'h' || page_id || ':', 'local', NULL, 'h' || page_id || ':', NULL FROM pages
+  UNION ALL SELECT page_id, 'sync://h' || page_id, NULL, NULL, NULL, 'missing path' FROM pages UNION ALL SELECT page_id, 'ssh://h' || page_id || '/', NULL, NULL, NULL, 'remote path is empty' FROM pages
+  UNION ALL SELECT page_id, 'ssh://h:' || (65536 + page_id) || '/p', NULL, NULL, NULL, 'invalid remote port' FROM pages)"""
+
+
+@query("p16_p17_endpoints", f""", {_ENDPOINTS} SELECT text, kind, host, path, error, CASE WHEN error IS NOT NULL THEN 'local' ELSE kind END AS automatic, CASE page_id % 3 WHEN 0 THEN 'ssh' WHEN 1 THEN 'local' END AS chosen FROM e""")
 def endpoints(t):
-    n = F.col("page_id")
-    texts = t.pages.select(F.explode(F.array("url", F.concat(F.lit("sync://"), n, F.lit(".example:70/p/"), n), F.concat(F.lit("me@h"), n, F.lit(":d")))).alias("url"))
-    e = expr.endpoint(F.col("url"))
-    return texts.select("url", e["kind"].alias("kind"), e["host"].alias("host"), e["path"].alias("path"))
+    n = F.col("page_id").cast("string")
+    made = [F.concat(F.lit("sync://"), n, F.lit(".example:70/p/"), n), F.concat(F.lit("me@h"), n, F.lit(":d")), F.concat(F.lit("u@h:d"), n), F.concat(n, F.lit(":d")), F.concat(F.lit("h"), n, F.lit(":")), F.concat(F.lit("sync://h"), n), F.concat(F.lit("ssh://h"), n, F.lit("/"))]
+    made.append(F.concat(F.lit("ssh://h:"), (F.col("page_id") + 65536).cast("string"), F.lit("/p")))
+    texts = t.pages.select("page_id", F.explode(F.concat(F.array(*made), F.when(~F.contains("url", F.lit(":")), F.array("url")).otherwise(F.array().cast("array<string>")))).alias("text"))
+    e, k = expr.endpoint(F.col("text")), F.col("page_id") % 3
+    chosen = expr.transport(F.when(k == 0, "ssh").when(k == 1, "local").otherwise("tcp"), e["kind"])
+    return texts.select("text", *(e[c].alias(c) for c in ("kind", "host", "path", "error")), expr.transport(F.lit("auto"), e["kind"]).alias("automatic"), chosen.alias("chosen"))
 
 
 @query("p18_p19_p20_p21_names", r"""SELECT c_custkey, sha256(c_name) AS fingerprint, regexp_replace(c_name, '[^A-Za-z0-9\-_.]', '_', 'g') AS profile, regexp_replace(c_name, '[^A-Za-z0-9\-_]', '-', 'g') AS client, '''' || c_name || '''' AS quoted,
-  CASE c_custkey % 3 WHEN 0 THEN ['/'] WHEN 1 THEN ['a/b', 'c'] ELSE ['/'] END::VARCHAR[] AS prefixes FROM customer""")
+  CASE c_custkey % 5 WHEN 0 THEN ['/'] WHEN 1 THEN ['a/b', 'c'] WHEN 2 THEN ['/'] WHEN 3 THEN NULL ELSE ['/'] END::VARCHAR[] AS prefixes, c_custkey % 5 <> 3 AND (c_custkey % 5 <> 1 OR c_custkey % 2 = 0) AS may_read FROM customer""")
 def names(t):
-    name, k = F.col("c_name"), F.col("c_custkey") % 3
-    raw = F.when(k == 0, F.array(F.lit("a"), F.lit("/"))).when(k == 1, F.array(F.lit("/a/b/"), F.lit("c"), F.lit("a//b"))).otherwise(F.array().cast("array<string>"))
-    return t.customer.select("c_custkey", expr.fingerprint(name.cast("binary")).alias("fingerprint"), expr.profile_component(name).alias("profile"), expr.client_component(name).alias("client"), expr.shell_quoted(name).alias("quoted"), expr.normalized_prefixes(raw).alias("prefixes"))
+    name, k = F.col("c_name"), F.col("c_custkey") % 5
+    of = lambda *p: F.array(*map(F.lit, p)).cast("array<string>")
+    raw = F.when(k == 0, of("a", "/")).when(k == 1, of("/a/b/", "c", "a//b")).when(k == 2, of()).when(k == 3, of("../x", "/")).otherwise(of("b", "", "../x"))
+    allowed = expr.normalized_prefixes(raw)
+    path = F.when(F.col("c_custkey") % 2 == 0, "a/b/c").otherwise("ab/c")
+    return t.customer.select("c_custkey", expr.fingerprint(name.cast("binary")).alias("fingerprint"), expr.profile_component(name).alias("profile"), expr.client_component(name).alias("client"), expr.shell_quoted(name).alias("quoted"), allowed.alias("prefixes"), expr.prefix_allowed(allowed, path).alias("may_read"))
 
 
 @query("p6_o3_xattr_signatures", """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN substr(sha256(CASE WHEN event_id % 3 = 2 THEN unhex('00000006') || encode('user.a') || unhex('00000001') || encode('1') ELSE ''::BLOB END
@@ -268,8 +284,9 @@ def symlink_plan(t):
 
 @query("j15_stale_xattrs", "SELECT user_id, list_sort(list_filter(list_distinct(list(event_type)), lambda x: x <> 'click')) AS stale FROM events GROUP BY user_id")
 def stale(t):
-    have = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
-    return have.select("user_id", F.array_sort(F.array_except("have", F.array(F.lit("click")))).alias("stale"))
+    named = lambda *values: F.transform(F.array(*values) if len(values) > 1 else values[0], lambda v: F.struct(v.alias("name")))
+    have = t.events.groupBy("user_id").agg(named(F.collect_set("event_type")).alias("current")).withColumn("desired", named(F.lit("click"), F.lit("other")))
+    return reconcile.stale_xattrs(have).select("user_id", "stale")
 
 
 @query("a5_action_summary", """SELECT action, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM (SELECT m.size, CASE WHEN c.file_hash = m.file_hash AND c.size = m.size THEN 'SKIP' ELSE 'UPLOAD' END AS action FROM manifest m LEFT JOIN complete c USING (relative_path)) GROUP BY action""")
@@ -365,7 +382,8 @@ def churn(t):
 
 @query("k6_u4_upsert", """SELECT relative_path, file_hash, size FROM complete WHERE relative_path NOT IN (SELECT relative_path FROM manifest WHERE k % 10 IN (1, 5)) UNION ALL SELECT relative_path, 'new', size + 1 FROM manifest WHERE k % 10 IN (1, 5)""")
 def upsert(t):
-    news = t.manifest().filter("k % 10 in (1, 5)").select("relative_path", F.lit("new").alias("file_hash"), (F.col("size") + 1).alias("size"))
+    twice = F.explode(F.array(F.lit("old"), F.lit("new")))  # the last one counts
+    news = t.manifest().filter("k % 10 in (1, 5)").select("relative_path", twice.alias("file_hash"), (F.col("size") + 1).alias("size"))
     return ledger.upsert(t.complete().select("relative_path", "file_hash", "size"), news)
 
 
@@ -381,10 +399,14 @@ def partial_progress(t):
     return ledger.progressed(t.partial(), news).select("relative_path", "completed_chunks")
 
 
-@query("p26_frames", "SELECT event_id, strlen(event_type)::BIGINT AS header_len, strlen(props)::BIGINT AS payload_len, NULL::VARCHAR AS error, event_type AS header FROM events")
+@query("p26_frames", """SELECT event_id, CASE WHEN error IS NULL THEN strlen(event_type) END::BIGINT AS header_len, CASE WHEN error IS NULL THEN strlen(props) END::BIGINT AS payload_len, error, CASE WHEN error IS NULL THEN event_type END AS header
+  FROM (SELECT *, CASE event_id % 9 WHEN 1 THEN 'short prefix' WHEN 2 THEN 'magic' WHEN 3 THEN 'protocol' WHEN 4 THEN 'codec' WHEN 5 THEN 'endianness' WHEN 6 THEN 'length' END AS error FROM events)""")
 def frame_round_trip(t):
-    frame = frames.encoded(F.col("event_type").cast("binary"), F.col("props").cast("binary"))
-    out = t.events.select("event_id", "event_type", frames.decoded(frame).alias("f"))
+    h, p, k = F.col("event_type").cast("binary"), F.col("props").cast("binary"), F.col("event_id") % 9
+    frame = frames.encoded(h, p)
+    bad = F.when(k == 1, F.substring(frame, 1, 15)).when(k == 2, F.concat(F.lit(b"XPS1"), F.substring(frame, 5, 1 << 30))).when(k == 3, frames.encoded(h, p, protocol=3)).when(k == 4, frames.encoded(h, p, codec=2))
+    bad = bad.when(k == 5, frames.encoded(h, p, endianness=2)).when(k == 6, F.concat(frame, F.lit(b"x"))).otherwise(frame)
+    out = t.events.select("event_id", frames.decoded(bad).alias("f"))
     return out.select("event_id", F.octet_length("f.header").cast("long").alias("header_len"), F.octet_length("f.payload").cast("long").alias("payload_len"), "f.error", F.col("f.header").cast("string").alias("header"))
 
 
@@ -420,33 +442,15 @@ def replay(t):
     return streams.replay(rows).select("stream_id", "relative_path", "bytes", "error")
 
 
-@query("t3_t4_progress")
-def progress(t):
-    return streams.progress(t.upload_events())
-
-
-@query("t9_delete_sessions", "SELECT s_nationkey::VARCHAR AS session, count(*) AS keep_paths FROM supplier GROUP BY 1")
+@query("t9_delete_sessions", """, a AS (SELECT s_nationkey AS k, s_suppkey AS seq, s_name FROM supplier)
+  SELECT k::VARCHAR AS session, seq, k % 4 > 0 AS accepted, CASE WHEN k % 4 > 0 THEN 'added' ELSE 'no session' END AS message, CASE WHEN k % 4 > 0 THEN count(*) OVER (PARTITION BY k ORDER BY seq) ELSE 0 END AS keep_paths FROM a
+  UNION ALL SELECT DISTINCT k::VARCHAR, -1, true, 'ready', 0 FROM a WHERE k % 4 > 0
+  UNION ALL SELECT k::VARCHAR, 1099511627776, k % 4 > 0, CASE WHEN k % 4 > 0 THEN 'applied' ELSE 'no session' END, CASE WHEN k % 4 > 0 THEN count(*) ELSE 0 END FROM a GROUP BY k""")
 def delete_sessions(t):
-    key = F.col("s_nationkey").cast("string")
-    none = F.array().cast("array<string>")
-    adds = t.supplier.select(key.alias("session"), F.col("s_suppkey").alias("seq"), F.lit("add").alias("stage"), F.array("s_name").alias("paths"))
-    ends = t.supplier.select(key.alias("session")).distinct().select("session", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("begin").alias("stage")), F.struct(F.lit(1 << 40).cast("long").alias("seq"), F.lit("apply").alias("stage")))).alias("e")).select("session", "e.*", none.alias("paths"))
-    return streams.delete_sessions(adds.unionByName(ends)).filter("message = 'applied'").select("session", "keep_paths")
-
-
-@query("w7_w8_throttled")
-def throttled(t):
-    e = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), (F.col("value") * 1000).cast("long").alias("bytes"))
-    return throttle.throttled(e, rate=2_000)
-
-
-@query("s1_s8_file_tree")
-def file_tree(t):
-    """This package's own files, by the directory source: a real tree that is there wherever the query runs."""
-    import os
-
-    from .sources.filetree import FileTree
-
-    t.spark.dataSource.register(FileTree)
-    root = os.path.dirname(os.path.abspath(__file__))
-    return t.spark.read.format("filetree").option("root", root).load().filter("relative_path like '%.py'").select("relative_path", "kind", "size")
+    """Sessions by nation: begin (every fourth has none, and is refused), adds, apply."""
+    key = F.col("s_nationkey")
+    adds = t.supplier.select(key.alias("k"), F.col("s_suppkey").alias("seq"), F.lit("add").alias("stage"), F.array("s_name", "s_name").alias("paths"))
+    ends = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("begin").alias("stage")), F.struct(F.lit(1 << 40).cast("long").alias("seq"), F.lit("apply").alias("stage")))
+    edges = t.supplier.select(key.alias("k")).distinct().select("k", F.explode(ends).alias("e")).select("k", "e.seq", "e.stage", F.array().cast("array<string>").alias("paths"))
+    rows = adds.unionByName(edges).filter("stage != 'begin' or k % 4 > 0")
+    return streams.delete_sessions(rows.select(F.col("k").cast("string").alias("session"), "seq", "stage", "paths"))

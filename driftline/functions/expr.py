@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,27 +164,42 @@ def endpoint(text: Column, scheme: str = "sync") -> Column:
     A remote endpoint that is malformed has an error and nothing else: no path (or '/' alone) after
     ``scheme://``, an empty user or host, a port that is no number up to 65535."""
     is_quic, is_ssh = F.startswith(text, F.lit(f"{scheme}://")), F.startswith(text, F.lit("ssh://"))
-    is_url = is_quic | is_ssh
-    rest = F.regexp_replace(text, "^[a-z]+://", "")
     # host:path, unless absolute or like a drive (one letter and a colon)
-    is_scp = ~is_url & ~F.startswith(text, F.lit("/")) & ~text.rlike("^[A-Za-z]:") & text.rlike(r"(?s)^[^:/]+:.+$")
-    cut = F.instr(F.when(is_url, rest).otherwise(text), F.when(is_url, "/").otherwise(":"))
-    peer = F.when(is_url, F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest)).when(is_scp, F.substring(text, F.lit(1), cut - 1))
-    path = F.when(is_url, F.substring(rest, cut, F.length(rest))).when(is_scp, F.substring(text, cut + 1, F.length(text))).otherwise(text)
-    at = F.instr(peer, "@")
-    place = F.when(at > 0, F.substring(peer, at + 1, F.length(peer))).otherwise(peer)
-    one_port = place.rlike("^[^:]*:[^:]*$")  # more colons are an address without a port
-    port = F.when(one_port & F.regexp_extract(place, r":\+?(\d+)$", 1).rlike("."), F.regexp_extract(place, r":\+?(\d+)$", 1).try_cast("long"))
-    error = (
-        F.when(is_url & (cut == 0), "missing path").when(at == 1, "remote user is empty").when(peer.isNotNull() & (place == ""), "remote host is empty")
-        .when(one_port & ~F.coalesce(port.between(0, 65535), F.lit(False)), "invalid remote port").when(is_url & (path == "/"), "remote path is empty")
-    )
-    kind = F.when(is_quic, "quic").when(is_ssh | is_scp, "ssh").otherwise("local")
-    sound = lambda c: F.when(error.isNull(), c)
-    host = F.when(one_port, F.regexp_extract(place, "^([^:]*):", 1)).otherwise(place)
-    return F.struct(
-        sound(kind).alias("kind"), sound(F.when(at > 0, F.substring(peer, F.lit(1), at - 1))).alias("user"), sound(host).alias("host"), sound(port).alias("port"), sound(path).alias("path"), error.alias("error")
-    )
+    is_scp = ~F.startswith(text, F.lit("/")) & ~text.rlike("^[A-Za-z]:") & text.rlike(r"(?s)^[^:/]+:.+$")
+    whole = F.struct(F.when(is_quic, "quic").when(is_ssh | is_scp, "ssh").otherwise("local").alias("kind"), (is_quic | is_ssh).alias("url"), F.regexp_replace(text, rf"^(?:{scheme}|ssh)://", "").alias("rest"))
+
+    def cut(w: Column) -> Column:
+        """The peer and the path: a URL's from its first '/', host:path's after its first ':'."""
+        rest, at = w["rest"], F.instr(w["rest"], F.when(w["url"], "/").otherwise(":"))
+        peer = F.when(w["kind"] != "local", F.when(at > 0, F.substring(rest, F.lit(1), at - 1)).otherwise(rest))
+        path = F.when(w["kind"] == "local", rest).when(at > 0, F.substring(rest, F.when(w["url"], at).otherwise(at + 1), F.length(rest)))
+        return F.struct(w["kind"].alias("kind"), peer.alias("peer"), path.alias("path"), F.instr(peer, "@").alias("at"), w["url"].alias("url"))
+
+    def peered(c: Column) -> Column:
+        place = F.substring(c["peer"], c["at"] + 1, F.length(c["peer"]))
+        one_port = place.rlike("^[^:]*:[^:]*$")  # more colons are an address without a port
+        port = F.when(one_port, F.regexp_replace(place, r"^[^:]*:\+?", "").try_cast("long"))
+        host = F.when(one_port, F.regexp_replace(place, ":.*$", "")).otherwise(place)
+        wrong = one_port & ~(place.rlike(r":\+?[0-9]+$") & F.coalesce(port.between(0, 65535), F.lit(False)))
+        return F.struct(*(c[k].alias(k) for k in ("kind", "path", "at", "url", "peer")), place.alias("place"), host.alias("host"), port.alias("port"), wrong.alias("wrong"))
+
+    def checked(p: Column) -> Column:
+        error = (
+            F.when(p["url"] & p["path"].isNull(), "missing path").when(p["at"] == 1, "remote user is empty").when(p["place"] == "", "remote host is empty")
+            .when(p["wrong"], "invalid remote port").when(p["url"] & (p["path"] == "/"), "remote path is empty")
+        )
+        user = F.when(p["at"] > 0, F.substring(p["peer"], F.lit(1), p["at"] - 1))
+        return F.struct(*(p[k].alias(k) for k in ("kind", "host", "port", "path")), user.alias("user"), error.alias("error"))
+
+    def told(r: Column) -> Column:
+        return F.struct(*(F.when(r["error"].isNull(), r[k]).alias(k) for k in ("kind", "user", "host", "port", "path")), r["error"].alias("error"))
+
+    return _then(_then(_then(_then(whole, cut), peered), checked), told)
+
+
+def _then(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), make)[0]
 
 
 def transport(chosen: Column, kind: Column) -> Column:

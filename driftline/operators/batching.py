@@ -75,7 +75,7 @@ PART_BYTES = 64 << 20
 
 def _partitions(df: DataFrame) -> int:
     """As many ranges as the planner's estimate of the table's bytes asks for."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(max(1, -(-size // PART_BYTES)), 1 << 16)
 
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import json
 import struct
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -212,6 +214,29 @@ def delete_sessions(events: DataFrame) -> DataFrame:
     return _ordered(events, "session", DeleteSession, SESSIONS)
 
 
+def idle_connections(events: DataFrame, idle: int) -> DataFrame:
+    """Connections of clients (connection, seq, ts in microseconds): one ends ``idle`` after its last event, and a later event opens the next.
+
+    (connection, run, events, closed_at)."""
+    order = Window.partitionBy("connection").orderBy("ts", "seq")
+    gap = F.coalesce(F.col("ts") - F.lag("ts").over(order) > idle, F.lit(False))
+    runs = events.withColumn("_new", gap.cast("long")).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("connection", "run").agg(F.count("*").alias("events"), (F.max("ts") + idle).alias("closed_at"))
+
+
+def stop_when_idle(query, seconds: float, poll: float = 0.2) -> None:
+    """Stop a streaming query once no rows have come for so long, as a server for one client does."""
+    last, seen = time.monotonic(), None
+    while query.isActive:
+        now = query.lastProgress
+        if now and now["numInputRows"] and now["batchId"] != seen:
+            last, seen = time.monotonic(), now["batchId"]
+        if time.monotonic() - last > seconds and not query.status["isTriggerActive"]:
+            query.stop()
+            return
+        time.sleep(poll)
+
+
 def replay_stream(frames: DataFrame) -> DataFrame:
     """``replay`` on a streaming DataFrame: frames of a stream may come in any order and more than once."""
 
