@@ -5,12 +5,14 @@ at most ``capacity`` counts, however many documents there are. It is solved on
 the driver in three steps:
 
 1. Pieces as long as a sequence fill one each.
-2. Martello-Toth dominance: for the longest piece left, a small set with it is
-   fixed for good when every other set with that piece could be exchanged for
-   it without needing more sequences. With r the room beside a piece of length w:
-   nothing fits in r -> {w}; a piece of length r exists -> {w, r}; or no two
-   pieces fit into r together -> {w, longest piece that fits}. Many equal pieces
-   are fixed at once, as long as the rule still holds for what is left.
+2. Martello-Toth reduction: for a piece of length w, a set of at most three with it
+   is fixed for good when every other set with that piece could be exchanged for
+   it without needing more sequences. With r the room beside it: nothing fits
+   in r -> {w}; b, the longest that fits, is r long, or no two fit together, or no
+   three fit and no two are longer than b together -> {w, b}; no three fit, and with s
+   the longest that fits beside b no two pieces longer than s fit -> {w, b, s}. All
+   lengths are tried, longest first, again and again until none can be fixed. Many equal
+   pieces are fixed at once, as the rule holds on for what is left.
 3. The remainder goes by best fit in falling order, whole groups of equal pieces
    and equal rooms at a time.
 
@@ -101,44 +103,77 @@ class Plan:
         self.sequences += count
 
     def _reduce(self, left: dict[int, int]) -> None:
-        """Fix dominating sets, longest piece first, and stop at the first piece for which none is proven."""
+        """Fix dominating sets until no length has one; what is left stays in ``left``."""
         sizes = sorted(left)
 
-        def use(w: int, n: int) -> None:
-            left[w] -= n
-            if not left[w]:
-                del left[w]
-                sizes.pop(bisect.bisect_left(sizes, w))
-
-        # exact pairs dominate wherever the longer piece stands, since no set beside it can exceed the room
+        def use(own: tuple[int, ...]) -> None:
+            times = {w: own.count(w) for w in own}
+            n = min(left[w] // k for w, k in times.items())
+            self._open(n, *own)
+            for w, k in times.items():
+                left[w] -= n * k
+                if not left[w]:
+                    del left[w]
+                    sizes.pop(bisect.bisect_left(sizes, w))
+
+        # exact pairs first: they dominate wherever they stand
         for w in sorted(left, reverse=True):
-            if 2 * w <= self.capacity:
-                break
-            if self.capacity - w in left:
-                n = min(left[w], left[self.capacity - w])
-                self._open(n, w, self.capacity - w)
-                use(w, n)
-                use(self.capacity - w, n)
-        while sizes:
-            w = sizes[-1]
-            room = self.capacity - w
-            k = bisect.bisect_right(sizes, room)
-            if not k:
-                n = left[w]
-                self._open(n, w)
-                use(w, n)
-                continue
-            if 2 * w <= self.capacity:
-                return
-            mate, least = sizes[k - 1], sizes[0]
-            second = least if left[least] > 1 else sizes[1] if len(sizes) > 1 else self.capacity
-            if mate != room and least + second <= room:
-                return
-            # removing pieces only makes the least ones longer, so the rule holds on for as many as there are
-            n = min(left[w], left[mate])
-            self._open(n, w, mate)
-            use(w, n)
-            use(mate, n)
+            mate = self.capacity - w
+            if w in left and mate in left and (w != mate or left[w] > 1):
+                use((w, mate))
+        moved = True
+        while moved:
+            moved = False
+            for w in sorted(left, reverse=True):
+                while w in left and (own := self._dominating(left, sizes, w)):
+                    use(own)
+                    moved = True
+
+    def _dominating(self, left: dict[int, int], sizes: list[int], w: int) -> tuple[int, ...] | None:
+        """A set with a piece of length w that dominates all others with it, if one is proven."""
+        room = self.capacity - w
+
+        def free(x: int, *used: int) -> int:
+            return left[x] - (w, *used).count(x)
+
+        def shortest(n: int, above: int = 0) -> list[int]:
+            """The n shortest other pieces longer than ``above``."""
+            out: list[int] = []
+            for x in sizes[bisect.bisect_right(sizes, above) :]:
+                out += [x] * min(free(x), n - len(out))
+                if len(out) == n:
+                    break
+            return out
+
+        def longest(most: int, *used: int) -> int | None:
+            k = bisect.bisect_right(sizes, most) - 1
+            while k >= 0 and free(sizes[k], *used) < 1:
+                k -= 1
+            return sizes[k] if k >= 0 else None
+
+        few = shortest(3)
+        if not few or few[0] > room:
+            return (w,)
+        b = longest(room)
+        if b == room or len(few) < 2 or few[0] + few[1] > room:
+            return (w, b)
+        if len(few) == 3 and sum(few) <= room:
+            return None
+        if (s := longest(room - b, b)) is not None:
+            two = shortest(2, s)
+            if len(two) < 2 or sum(two) > room:
+                return (w, b, s)
+        best, i, j = 0, 0, bisect.bisect_right(sizes, room) - 1
+        while i <= j:  # the longest two that fit together
+            pair = sizes[i] + sizes[j]
+            if pair > room or free(sizes[j]) < 1:
+                j -= 1
+            elif free(sizes[i]) < 1 or i == j and free(sizes[i]) < 2:
+                i += 1
+            else:
+                best = max(best, pair)
+                i += 1
+        return (w, b) if best <= b else None
 
     def _best_fit(self, left: dict[int, int]) -> None:
         rooms: dict[int, list[tuple[int, int]]] = {}  # room -> (first sequence, count) of the sequences with it

@@ -2,7 +2,7 @@
 
 import shutil
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -116,6 +116,44 @@ def test_plan_is_a_packing(case):
     assert least <= plan.sequences <= max(least, int(11 / 9 * least) + 1 + least // 2)
 
 
+def optimum(capacity, pieces_):
+    """Fewest sequences, by trying every sequence for every piece."""
+    best = len(pieces_)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces_):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces_[k]}:
+            i = rooms.index(room)
+            put(k + 1, [*rooms[:i], room - pieces_[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - pieces_[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(4, 24).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), min_size=1, max_size=9))))
+def test_reduction_keeps_the_optimum(case):
+    capacity, lengths = case
+    left = Counter(lengths)
+    plan = Plan({}, capacity)
+    plan._reduce(left)
+    rest = sorted(left.elements(), reverse=True)
+    assert plan.sequences + optimum(capacity, rest) == optimum(capacity, sorted(lengths, reverse=True))
+    assert sum(r.count for r in plan.runs) + len(rest) == len(lengths)
+
+
+def test_reduction_fixes_three():
+    plan, left = Plan({}, 20), Counter({10: 1, 6: 1, 4: 1, 9: 1, 8: 1})
+    plan._reduce(left)
+    assert not +left and plan.sequences == 2  # 10 6 4 and 9 8
+
+
 def test_dominance_keeps_the_optimum():
     # exact pairs and lone large pieces are fixed, nothing is left to best fit
     plan = Plan({7: 2, 3: 2, 9: 1, 6: 1, 4: 1}, 10)
