@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (a local session), an own temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder of its own; a cluster's
+    executors would not find it, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 

@@ -3,8 +3,9 @@
     spark.dataSource.register(FileTree)
     spark.read.format("filetree").option("root", root).option("symlinks", "true").load()
 
-Each first-level folder is one input partition. A root that is missing or no
-folder gives no rows. Content is not read; join with ``binaryFile`` for it.
+Folders are opened from the root down until there are ``splits`` of them (64 by
+default) or no deeper ones; each is one input partition with all below it, and the
+opened ones together are one more. A root that is missing or no folder gives no rows. Content is not read; join with ``binaryFile`` for it.
 """
 
 from __future__ import annotations
@@ -34,23 +35,28 @@ class TreeReader(DataSourceReader):
         self.root = options["root"]
         self.symlinks = options.get("symlinks", "true") == "true"
         self.xattrs = options.get("xattrs", "false") == "true"
+        self.splits = int(options.get("splits", "64"))
 
     def partitions(self):
         if not os.path.isdir(self.root):
             return [InputPartition(None)]
-        names = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [InputPartition(""), *map(InputPartition, names)]
+        opened, closed = [], [""]
+        while closed and len(closed) < self.splits:
+            below = [f"{folder}/{e.name}".lstrip("/") for folder in closed for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=False)]
+            opened += closed
+            closed = below
+        return [InputPartition((False, sorted(opened))), *(InputPartition((True, [folder])) for folder in sorted(closed))]
 
     def read(self, partition):
         if partition.value is None:
             return
-        stack = [partition.value]
+        deep, stack = partition.value
         while stack:
             folder = stack.pop()
             for e in os.scandir(os.path.join(self.root, folder)):
                 path = f"{folder}/{e.name}" if folder else e.name
                 if e.is_dir(follow_symlinks=False):
-                    if partition.value:
+                    if deep:
                         stack.append(path)
                 elif e.is_file(follow_symlinks=False) or self.symlinks and e.is_symlink():
                     yield self._row(path, e)

@@ -1,6 +1,9 @@
 """Plans, ledger, batches, chunks, streams and sources on small tables."""
 
 import os
+import random
+import statistics
+import time
 
 import numpy as np
 import pytest
@@ -8,11 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftline.operators import batching, chunks, throttle
+from driftline.operators import batching, chunks, ordering, reports, throttle
 from driftline.plans import ledger, reconcile
-from driftline.sources import tables
+from driftline.sources import effects, tables
 from driftline.sources.filetree import FileTree
-from driftline.streaming.frames import DeleteSession, FrameBuffer, Progress, Replay, progress_stream, replay_stream
+from driftline.streaming.frames import DeleteSession, FrameBuffer, Progress, Replay, framed_stream, progress_stream, replay_stream, stop_when_idle
 
 MANIFEST = "relative_path string, size long, mode long, mtime_sec long, file_hash string, total_chunks long, xattr_sig string"
 
@@ -191,3 +194,75 @@ def test_json_tables(spark, tmp_path):
         tables.read_json(spark, str(tmp_path / "bad.json"), tables.POLICY).collect()
     with pytest.raises(Exception, match="unsafe"):
         tables.keep_list(spark.createDataFrame([("../x",)], "value string")).collect()
+
+
+def test_effects_stay_below_the_root(spark, tmp_path):
+    root, outside = tmp_path / "root", tmp_path / "outside"
+    root.mkdir(), outside.mkdir()
+    os.symlink(outside, root / "way")
+    rows = [("../x", b"1"), ("/abs", b"2"), ("way/y", b"3"), ("a/b", b"4"), ("a/b/c", b"5"), ("e", None)]
+    got = {r["relative_path"]: (r["accepted"], r["message"]) for r in effects.write_files(spark.createDataFrame(rows, "relative_path string, content binary").coalesce(1), str(root)).collect()}
+    assert got["../x"] == got["/abs"] == got["way/y"] == (False, "unsafe path") and got["a/b"] == got["e"] == (True, "written")
+    assert not got["a/b/c"][0] and list(outside.iterdir()) == [] and (root / "a" / "b").read_bytes() == b"4" and (root / "e").read_bytes() == b""
+    with pytest.raises(Exception, match="is no File"):
+        effects.stat_paths(spark.createDataFrame([("way",)], "relative_path string"), str(root)).collect()
+    links = spark.createDataFrame([("a", "e"), ("new/l", "../e")], "relative_path string, target string")
+    assert sorted(r["message"] for r in effects.make_links(links, str(root)).collect()) == ["created", "replaced"] and os.path.islink(root / "a")
+
+
+def test_profiles_and_documents(spark, tmp_path):
+    path = str(tmp_path / "profiles")
+    assert tables.read_document(spark, path, "profiles", tables.PROFILE).collect() == []
+    store = spark.createDataFrame([("a", "s1"), ("a", "s2")], "name string, server string").coalesce(1)
+    ask = lambda name: reconcile.named_profiles(spark.createDataFrame([(name,)], "name string"), store)
+    assert [r["server"] for r in ask("a").collect()] == ["s1"]
+    with pytest.raises(Exception, match="profile 'b' not found"):
+        ask("b").collect()
+    with pytest.raises(Exception, match="cannot be empty"):
+        tables.upsert_profiles(store, spark.createDataFrame([(" ", "s")], "name string, server string")).collect()
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(Exception):
+        tables.read_document(spark, str(tmp_path / "bad.json"), "entries", tables.POLICY).collect()
+
+
+def test_streams_of_frames(spark, tmp_path):
+    frame = b"SPS1\0\2\1\1" + (2).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"hhppp"
+    data = frame * 3
+    rows = [("s", i, data[i * 8 : i * 8 + 8]) for i in range(-(-len(data) // 8))] + [("bad", 0, b"XXXX" + frame)]
+    schema = "stream_id string, seq long, data binary"
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read by age
+    q = framed_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 64).writeStream.format("memory").queryName("framed").outputMode("append").start()
+    stop_when_idle(q, 6)
+    assert not q.isActive
+    got = sorted((r["stream_id"], r["frame_no"], bytes(r["frame"] or b""), (r["error"] or "")[:5]) for r in spark.sql("select * from framed").collect())
+    assert got == [("bad", 0, b"", "magic"), *(("s", k, frame, "") for k in range(3))]
+
+
+def test_running_does_not_depend_on_partitions(spark):
+    rows = [(i * 7919 % 501, i % 5 if i % 3 else None) for i in range(501)]
+    df = spark.createDataFrame(rows, "k long, n long")
+    want, total = [], 0
+    for place, (k, n) in enumerate(sorted(rows)):
+        want.append((k, place, total))
+        total += n or 0
+    for parts in (1, 6):
+        got = ordering.running(df.repartition(parts), ["k"], "row", start=F.col("n")).orderBy("k").select("k", "row", "start").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(2)
+    rows = [("t", k, v) for k, n in (("odd", 501), ("even", 500), ("one", 1), ("tied", 300)) for v in ([rng.choice([1.0, 2.0, 5.0]) if k == "tied" else rng.gauss(0, 1) for _ in range(n)])] + [("t", "odd", None)]
+    got = {r["key"]: r["median"] for r in reports.medians(spark.createDataFrame(rows, "transport string, key string, value double").repartition(5)).collect()}
+    for key in ("odd", "even", "one", "tied"):
+        assert got[key] == statistics.median(v for _, k, v in rows if k == key and v is not None)
+
+
+def test_batches_of_empty_files(spark):
+    rows = [(i, None if i % 2 else 0) for i in range(300)] + [(300 + i, 7) for i in range(5)]
+    got = batching.greedy_batches(spark.createDataFrame(rows, "k long, s long"), ["k"], F.col("s"), batching.Limit(20, 1 << 62), 4).orderBy("k").collect()
+    assert [(r["batch_id"], r["pos"], r["offset"]) for r in got] == naive([s or 0 for _, s in rows], batching.Limit(20, 1 << 62))
+    with pytest.raises(Exception, match="exceeds the limit"):
+        batching.greedy_batches(spark.createDataFrame(rows, "k long, s long"), ["k"], F.col("s"), batching.framed_limit(10, 5), strict=True).collect()
