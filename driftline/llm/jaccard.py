@@ -133,8 +133,9 @@ def frequent_shingles(df: DataFrame, width: int, size: int = FREQUENT) -> np.nda
         yield row(held)
 
     n = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) or 1
-    held = none
-    for r in df.mapInArrow(summed, "values binary, counts binary").repartition(n).mapInArrow(merged, "values binary, counts binary").collect():
+    names = "values binary, counts binary"
+    held = none  # two levels of merging, so that one summary of bounded size is all that comes to the driver
+    for r in df.mapInArrow(summed, names).repartition(n).mapInArrow(merged, names).repartition(1).mapInArrow(merged, names).collect():
         held = fold(held, np.frombuffer(r["values"], np.uint64), np.frombuffer(r["counts"], np.int64))
     return held[0][np.lexsort((held[0], held[1]))]
 
@@ -290,25 +291,31 @@ def _met(percent: int, blocks: bool):
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["a", "b"])
 
     def task(batches):
-        held, long_list = np.zeros((4, 0), np.int64), None
+        # the rows of the list that is open: pieces are put together once, when it ends
+        held, size, long_list = [np.zeros((4, 0), np.int64)], 0, None
         for batch in batches:
             rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
             if not blocks:  # one row for each class of a list, however many documents there are of it
                 rows = rows[:, np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])])] if rows.shape[1] else rows
-            rows = np.concatenate([held, rows], 1)
             if not rows.shape[1]:
                 continue
             cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if size and held[-1][0, -1] != rows[0, 0]:
+                yield batch_of(pairs(np.concatenate(held, 1)))
+                held, size = [rows[:, :0]], 0
             if cut:
-                yield batch_of(pairs(rows[:, :cut]))
-            held = rows[:, cut:]
-            if not blocks and held.shape[1] and (held.shape[1] > small or held[0, 0] == long_list):
-                if held[0, 0] != long_list:  # a long list is told once and never held
-                    long_list = held[0, 0]
+                yield batch_of(pairs(np.concatenate([*held, rows[:, :cut]], 1)))
+                held, size = [rows[:, :0]], 0
+            held.append(rows[:, cut:])
+            size += rows.shape[1] - cut
+            now = int(rows[0, -1])
+            if not blocks and size and (size > small or now == long_list):
+                if now != long_list:  # a long list is told once and never held
+                    long_list = now
                     yield batch_of(np.array([[long_list, long_list]]))
-                held = held[:, :0]
-        if held.shape[1]:
-            yield batch_of(pairs(held))
+                held, size = [rows[:, :0]], 0
+        if size:
+            yield batch_of(pairs(np.concatenate(held, 1)))
 
     return task
 

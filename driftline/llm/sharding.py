@@ -8,11 +8,12 @@ the corpus's mixture of sources within one row or so of each source.
 Both ranks come in two levels, so no source and no shard is one task's work:
 counts of buckets are summed up first, then rows are numbered inside buckets
 of a few thousand rows. Buckets of the first level are prefixes of the
-shuffling digest, which is uniform, so a hot source fills its buckets evenly.
+shuffling digest (of id and text), which is uniform, so a hot source fills its
+buckets evenly.
 
 Defined cases: null sources form one stratum of their own; null texts have no
 bytes and crc32 0; repeated rows keep their number and take consecutive ranks;
-ties of the digest (equal ids) go by checksum and size; shards beyond the number
+ties of the digest (equal ids and texts) take any order among themselves; shards beyond the number
 of rows stay empty; other input columns are carried along, and one that has a
 result's name is replaced.
 """
@@ -35,7 +36,7 @@ FIELDS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", stratum: str = "source", seed: int = SEED) -> DataFrame:
     """``df`` without the text, with size, text_crc32, law, shard, slot and grown_shard (null under this law).
 
-    A row's place depends on seed, key and the set of rows, not on partitions.
+    A row's place depends on seed, key, text and the set of rows, not on partitions.
     """
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -53,12 +54,16 @@ def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "tex
     digits = max(1, math.ceil(math.log(max(total, 1) / BUCKET_ROWS, 16))) if total > BUCKET_ROWS else 0
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, digits))
     by_bucket = rows.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_stratum")
-    base = by_bucket.select(
-        F.col("_stratum").alias("_s"), F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("_of"),
+    # running sums over a stratum's buckets in two levels, by prefixes of half the digits
+    by_bucket = by_bucket.withColumn("_prefix", F.substring("_bucket", 1, digits // 2))
+    upto = lambda *keys: Window.partitionBy("_stratum", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    by_prefix = by_bucket.groupBy("_stratum", "_prefix").agg(F.sum("_n").alias("_pn"))
+    by_prefix = by_prefix.select(
+        F.col("_stratum").alias("_ps"), F.col("_prefix").alias("_pp"), F.coalesce(F.sum("_pn").over(upto("_prefix")), F.lit(0)).alias("_pbase"), F.sum("_pn").over(Window.partitionBy("_stratum")).alias("_of")
     )
+    base = by_bucket.withColumn("_in", F.coalesce(F.sum("_n").over(upto("_prefix", "_bucket")), F.lit(0)))
+    base = base.join(by_prefix, F.col("_stratum").eqNullSafe(F.col("_ps")) & (F.col("_prefix") == F.col("_pp")))
+    base = base.select(F.col("_stratum").alias("_s"), F.col("_bucket").alias("_b"), (F.col("_pbase") + F.col("_in")).alias("_base"), "_of")
     inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", "text_crc32", "size")
     ranked = rows.withColumn("_rn", F.row_number().over(inside))
     ranked = ranked.join(base, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))

@@ -164,12 +164,9 @@ def frequent_pieces(df: DataFrame, text: str = "text", size: int = FREQUENT) ->
     schema = "pieces array<string>, counts array<long>"
     parts = df.select(F.col(text)).mapInArrow(summed, schema)
     n = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) or 1
-    rows = parts.repartition(n).mapInArrow(merged, schema).collect()
-    total = HeavyHitters(size)
-    for r in rows:
-        total.add(r["pieces"], r["counts"])
-    total.shrink()
-    return [p for p in total.counts if p]
+    # two levels of merging, so that one summary of bounded size is all that comes to the driver
+    rows = parts.repartition(n).mapInArrow(merged, schema).repartition(1).mapInArrow(merged, schema).collect()
+    return [p for r in rows for p in r["pieces"] if p]
 
 
 COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
