@@ -1,6 +1,7 @@
 """Globs, endpoints, tokens, digests, codecs and frames against tables of cases."""
 
 import hashlib
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,42 @@ def test_bandwidth_and_rates(spark):
     assert one(spark, expr.rate(F.lit(0), F.lit(1.0))) == 0 and one(spark, expr.ratio_text(F.lit(1.0), F.lit(0.0))) == "inf"
 
 
+def plain_blake3(data):
+    """The published algorithm, word by word."""
+    mask = 0xFFFFFFFF
+
+    def compress(cv, block, counter, length, flags):
+        m = list(struct.unpack("<16I", block.ljust(64, b"\0")))
+        v = [*cv, *digests.IV[:4], counter & mask, counter >> 32, length, flags]
+        for _ in range(7):
+            for k, (a, b, c, d) in enumerate(digests.ROUNDS):
+                for x, s, t in ((m[2 * k], 16, 12), (m[2 * k + 1], 8, 7)):
+                    v[a] = (v[a] + v[b] + x) & mask
+                    v[d] = ((v[d] ^ v[a]) >> s | (v[d] ^ v[a]) << 32 - s) & mask
+                    v[c] = (v[c] + v[d]) & mask
+                    v[b] = ((v[b] ^ v[c]) >> t | (v[b] ^ v[c]) << 32 - t) & mask
+            m = [m[i] for i in digests.PERMUTATION]
+        return [v[i] ^ v[i + 8] for i in range(8)]
+
+    def tree(part, first, root):
+        if len(part) <= 1024:
+            cv, n = digests.IV, max(1, -(-len(part) // 64))
+            for k in range(n):
+                block = part[64 * k : 64 * k + 64]
+                cv = compress(cv, block, first, len(block), (k == 0) * 1 | (k == n - 1) * (2 | root))
+            return cv
+        left = 1 << ((-(-len(part) // 1024) - 1).bit_length() - 1)
+        both = [*tree(part[: 1024 * left], first, 0), *tree(part[1024 * left :], first + left, 0)]
+        return compress(digests.IV, struct.pack("<16I", *both), 0, 64, 4 | root)
+
+    return struct.pack("<8I", *tree(data, 0, 8))
+
+
+def test_blake3_of_many_contents():
+    contents = [bytes((i * n) % 253 for i in range(n)) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 5000, 7 * 1024, 8193, 31_745)]
+    assert digests.blake3_many(contents) == [plain_blake3(c) for c in contents] and digests.blake3_many([]) == []
+
+
 def test_blake3_vectors():
     # published test vectors: input bytes 0, 1, ..., 250, 0, ... of several lengths
     data = bytes(i % 251 for i in range(5000))
