@@ -7,7 +7,9 @@ digest alone. A document's recipe lists its chunks in order and has their Merkle
 root; a part's manifest has the root over its documents.
 
 File format, a folder:
-    recipes/part=P/*.parquet  ascending by doc_id; P ascends with doc_id.
+    recipes/part=P/state=S/*.parquet  ascending by doc_id; P ascends with doc_id. S is 0
+        for documents that hold all their chunks, 1 if later documents refer to
+        some of them, 2 for documents that lack chunks of earlier ones.
         doc_id, rid, start, n_tokens, root, chunks: array of
         (digest, n, ids): ids are little-endian unsigned integers of WIDTH bytes,
         null where an earlier document stores the chunk; ``shared`` tells that
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import drop, new_path, stored
-from .arrowtext import lists_of, texts_of
+from .arrowtext import lists_of, sums, texts_of
 from .skew import join_by_size
 from .tokens import encoded_slices
 
@@ -53,7 +55,7 @@ SAMPLES = 8
 GEAR = np.uint32(0x9E3779B1)
 STAGED = "part int, doc_id long, rid long, n long, ids binary, lengths array<int>, digests binary"
 CHUNKS = "array<struct<digest:binary,n:int,shared:boolean,ids:binary>>"
-RECIPES = f"part int, doc_id long, rid long, start long, n_tokens long, root binary, chunks {CHUNKS}"
+RECIPES = f"part int, state int, doc_id long, rid long, start long, n_tokens long, root binary, chunks {CHUNKS}"
 DIGEST = 16
 
 
@@ -182,13 +184,14 @@ def _recipes(starts: dict[int, int], width: int):
         )
         chunks = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), chunk)
         start = starts[part] + np.cumsum(n) - n
-        return pa.Table.from_arrays([pa.array(np.full(len(n), part), pa.int32()), docs["doc_id"], docs["rid"], pa.array(start), docs["n"], pa.array(roots, pa.binary()), chunks], schema=ARROW)
+        state = np.where(sums(~here, edges) > 0, 2, np.where(sums(shared, edges) > 0, 1, 0))
+        return pa.Table.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(state, pa.int32()), docs["doc_id"], docs["rid"], pa.array(start), docs["n"], pa.array(roots, pa.binary()), chunks], schema=ARROW)
 
     return group
 
 
 ARROW = pa.schema(
-    [("part", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]
+    [("part", pa.int32()), ("state", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]
     + [("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("shared", pa.bool_()), ("ids", pa.binary())])))]
 )
 
@@ -226,7 +229,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, text:
     owners = stored(owners.select("digest", "times", F.col("first.rid").alias("owner"), F.col("first.pos").alias("owner_pos")), "owners")
     told = join_by_size(places, owners, "digest", "times").select(F.col("part").alias("in_part"), F.col("rid").alias("in_rid"), "pos", ((F.col("rid") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))).alias("own"))
     recipes = staged.groupBy("part").cogroup(told.groupBy("in_part")).applyInArrow(_recipes(starts, width), RECIPES)
-    recipes.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
+    recipes.sortWithinPartitions("part", "state", "start").write.option("compression", "zstd").partitionBy("part", "state").parquet(f"{path}/recipes")
     drop(spark, at)
     written = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
     _summed(written).write.parquet(f"{path}/manifest")
@@ -294,7 +297,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2, as_crc: bool = Fa
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     _check_manifest(recipes.select("part", "start", "n_tokens", "root"), path)
     last = ("ids_crc32", pa.int64()) if as_crc else ("ids", pa.binary())
-    made = pa.schema([*list(ARROW)[:6], pa.field(*last)])
+    made = pa.schema([f for f in ARROW if f.name not in ("state", "chunks")] + [pa.field(*last)])
 
     def bodies_of(docs: pa.Table) -> list[bytes | None]:
         return lists_of(docs["chunks"].combine_chunks())[0].field("ids").to_pylist()
@@ -312,11 +315,10 @@ def read_store(spark: SparkSession, path: str, width: int = 2, as_crc: bool = Fa
         return _rebuilt(docs, bodies, width, as_crc, made)
 
     schema = DIGESTED if as_crc else READ
-    lacking = F.exists("chunks", lambda c: c["ids"].isNull())
-    complete = recipes.filter(~lacking).mapInArrow(whole, schema)
-    partial = recipes.filter(lacking)
+    complete = recipes.filter("state < 2").mapInArrow(whole, schema)
+    partial = recipes.filter("state = 2")
     wanted = partial.select("part", "rid", F.posexplode("chunks").alias("pos", "c")).filter("c.ids is null").select(F.col("part").alias("in_part"), F.col("rid").alias("in_rid"), "pos", F.col("c.digest").alias("digest"))
-    stock = recipes.select(F.explode(F.filter("chunks", lambda c: c["shared"])).alias("c")).select(F.col("c.digest").alias("digest"), F.col("c.ids").alias("ids"))
+    stock = recipes.filter("state > 0").select(F.explode(F.filter("chunks", lambda c: c["shared"])).alias("c")).select(F.col("c.digest").alias("digest"), F.col("c.ids").alias("ids"))
     found = wanted.join(stock, "digest").select("in_part", "in_rid", "pos", "ids")
     rest = partial.groupBy("part").cogroup(found.groupBy("in_part")).applyInArrow(filled, schema)
     return complete.unionByName(rest)

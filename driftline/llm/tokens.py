@@ -13,6 +13,7 @@ import gc
 import json
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ class WordEncoder:
     def _append(self, words: list[str], answers: list[list[int]]) -> None:
         first = len(self.known)
         counts = np.fromiter(map(len, answers), np.int64, len(answers))
-        flat = np.fromiter((i for ids in answers for i in ids), np.uint32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(answers), np.uint32, int(counts.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(words) > len(self.counts):
@@ -91,7 +92,12 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         gc.disable()  # hundreds of thousands of small lists, none in a cycle
         try:
-            answers = [self._word(w) for w in words]
+            kind = pa.array(words, pa.string())
+            plain, latin = (pc.match_substring_regex(kind, f"^[a-z{more}]+$").to_pylist() for more in ("", "\u00df-\u00f6\u00f8-\u00ff"))
+            tokenize, spelling = self.model.tokenize, self.spelling
+            # lower-case Latin-1 letters are composed and stay as they are: the model alone says all
+            spelt = [w if p else w.encode().decode("latin-1").translate(spelling) if q else None for w, p, q in zip(words, plain, latin)]
+            answers = [self._word(w) if x is None else [t.id for t in tokenize(x)] for w, x in zip(words, spelt)]
         finally:
             gc.enable()
         rest = [k for k, ids in enumerate(answers) if ids is None]

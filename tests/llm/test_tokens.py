@@ -55,8 +55,8 @@ def test_store_round_trip(docs, rows, spark, tmp_path):
 def test_store_finds_damage(spark, docs, tmp_path):
     path = str(tmp_path / "store")
     write_store(docs.limit(20), path, WORD)
-    bad = spark.read.parquet(f"{path}/recipes").selectExpr("part", "doc_id", "rid", "start", "n_tokens + 1 as n_tokens", "root", "chunks")
-    bad.write.partitionBy("part").parquet(f"{path}2/recipes")
+    bad = spark.read.parquet(f"{path}/recipes").selectExpr("part", "state", "doc_id", "rid", "start", "n_tokens + 1 as n_tokens", "root", "chunks")
+    bad.write.partitionBy("part", "state").parquet(f"{path}2/recipes")
     with pytest.raises(Exception, match="damaged"):
         read_store(spark, f"{path}2").collect()
 
@@ -70,7 +70,7 @@ def test_store_compares_the_manifest(spark, tmp_path, lost):
     assert len(parts) > 2 and read_store(spark, str(path)).count() == 30
     if lost == "row":
         last = spark.read.parquet(str(parts[1])).orderBy("start")
-        last.limit(last.count() - 1).write.parquet(str(tmp_path / "less"))
+        last.limit(last.count() - 1).write.partitionBy("state").parquet(str(tmp_path / "less"))
     if lost != "manifest":
         shutil.rmtree(parts[1])
     if lost == "row":
