@@ -48,9 +48,9 @@ CACHE, FREQUENT = 1 << 20, 1 << 18
 END, PAD, BITS, SYMBOLS = 256, 257, 9, 257
 WORD, GRAM, DOCS = 0, 1, 2
 #: A task sorts the windows of so many bytes at once, and scores so many; both take about 40 times the memory.
-TRAIN_BYTES, SCORE_BYTES = 4 << 20, 3 << 20
+TRAIN_BYTES, SCORE_BYTES = 3 << 20, 2 << 20
 #: Distinct windows that a counting task holds before it hands them on.
-HELD = 3 << 19
+HELD = 1 << 20
 
 
 def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:
@@ -229,11 +229,10 @@ class Cache:
     MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
     def __init__(self, code: np.ndarray, cost: np.ndarray):
-        self.code, self.cost = code, cost
-        self.tables = None
+        self.given, self.tables = (code, cost), None
 
     def __getstate__(self):
-        return self.code, self.cost
+        return self.given
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -242,17 +241,16 @@ class Cache:
         return ((code.view(np.uint64) * self.MIX[k]) >> np.uint64(64 - bits)).astype(np.int64)
 
     def _build(self) -> None:
-        code, cost = self.code, self.cost
-        self.tables = []
+        (code, cost), self.given, self.tables = self.given, None, []
         for k in range(2):
-            bits = max(4, int(4 * len(code)).bit_length())
+            bits = max(4, int(2 * len(code)).bit_length())
             names, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float64)
             slot = self._slot(k, bits, code)
-            names[slot], values[slot] = code, cost
-            values[slot] = np.where(names[slot] == code, cost, values[slot])
+            names[slot] = code  # of those with one slot the last stays
+            mine = names[slot] == code
+            values[slot[mine]] = cost[mine]
             self.tables.append((bits, names, values))
-            out = names[slot] != code
-            code, cost = code[out], cost[out]
+            code, cost = code[~mine], cost[~mine]
         order = np.argsort(code)
         self.rest = code[order], cost[order]
 
@@ -266,7 +264,7 @@ class Cache:
             slot = self._slot(k, bits, asked)
             hit = names[slot] == asked
             if open_ is None:
-                cost = np.where(hit, values[slot], 0)
+                np.multiply(values[slot], hit, out=cost)
                 open_ = np.flatnonzero(~hit)
             else:
                 cost[open_[hit]] = values[slot[hit]]
@@ -282,11 +280,9 @@ class Cache:
     def opened(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each (lower-cased) text without its windows that are not here, and text and code of each of these."""
         raw, ends = symbols(texts)
-        own = raw[ORDER:] != PAD
         code = grams(raw).view(np.int64)
         cost, open_ = self.costs(code)
         edges = np.concatenate([[0], np.cumsum(np.diff(ends) - ORDER)])
-        assert edges[-1] == len(code) == own.sum()
         return sums(cost, edges), np.searchsorted(edges, open_, "right") - 1, code[open_]
 
 
