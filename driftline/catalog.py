@@ -380,6 +380,26 @@ def churn(t):
     return t.manifest().orderBy("relative_path").limit(100).select("relative_path", (F.col("size") + 8).alias("size"))
 
 
+_SYNCED = "SELECT {action} AS action, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM manifest GROUP BY 1"
+
+
+@query("o5_full_sync", _SYNCED.format(action="'COPY'"))
+def full_sync(t):
+    return reports.action_summary(reconcile.compare_plan(t.manifest(), t.manifest().limit(0)))
+
+
+@query("o5_no_change_sync", _SYNCED.format(action="'SKIP'"))
+def no_change_sync(t):
+    return reports.action_summary(reconcile.compare_plan(t.manifest(), t.manifest()))
+
+
+@query("o5_churn_sync", _SYNCED.format(action="CASE WHEN k % 10 = 0 THEN 'COPY' ELSE 'SKIP' END"))
+def churn_sync(t):
+    """A tenth of the files has grown since."""
+    before = t.manifest().withColumn("size", F.col("size") - F.when(F.col("k") % 10 == 0, 8).otherwise(0))
+    return reports.action_summary(reconcile.compare_plan(t.manifest(), before))
+
+
 @query("k6_u4_upsert", """SELECT relative_path, file_hash, size FROM complete WHERE relative_path NOT IN (SELECT relative_path FROM manifest WHERE k % 10 IN (1, 5)) UNION ALL SELECT relative_path, 'new', size + 1 FROM manifest WHERE k % 10 IN (1, 5)""")
 def upsert(t):
     twice = F.explode(F.array(F.lit("old"), F.lit("new")))  # the last one counts

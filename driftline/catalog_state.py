@@ -422,7 +422,7 @@ def metadata_applied(t):
     return effects.stat_paths(files, where).select("relative_path", "kind", "size", "mode", "mtime_sec")
 
 
-@query("s1_s3_file_tree", "SELECT relative_path, 'File' AS kind, NULL::VARCHAR AS target, size, 0::BIGINT AS missing FROM manifest UNION ALL SELECT relative_path, 'Symlink', target, NULL, 0 FROM symlinks")
+@query("s1_s2_s3_s18_file_tree", "SELECT relative_path, 'File' AS kind, NULL::VARCHAR AS target, size, 0::BIGINT AS missing FROM manifest UNION ALL SELECT relative_path, 'Symlink', target, NULL, 0 FROM symlinks")
 def file_tree(t):
     where = folder(t, "tree")
     run(effects.write_files(t.manifest(content=True).select("relative_path", "content"), where))

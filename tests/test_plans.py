@@ -266,3 +266,16 @@ def test_batches_of_empty_files(spark):
     assert [(r["batch_id"], r["pos"], r["offset"]) for r in got] == naive([s or 0 for _, s in rows], batching.Limit(20, 1 << 62))
     with pytest.raises(Exception, match="exceeds the limit"):
         batching.greedy_batches(spark.createDataFrame(rows, "k long, s long"), ["k"], F.col("s"), batching.framed_limit(10, 5), strict=True).collect()
+
+
+def test_attributes_are_set_and_scanned(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    try:
+        os.setxattr(tmp_path / "a", "user.old", b"1")
+    except OSError:
+        pytest.skip("no attributes on this file system")
+    rows = spark.createDataFrame([("a", 0o640, 5, [("user.z", b"2"), ("user.b", b"3")])], "relative_path string, mode int, mtime_sec long, xattrs array<struct<name:string,value:binary>>")
+    assert [r["message"] for r in effects.apply_metadata(rows, str(tmp_path)).collect()] == ["metadata updated"]
+    spark.dataSource.register(FileTree)
+    got = spark.read.format("filetree").options(root=str(tmp_path), xattrs="true").load().first()
+    assert [(x["name"], bytes(x["value"])) for x in got["xattrs"]] == [("user.b", b"3"), ("user.z", b"2")] and got["mtime_sec"] == 5 and got["mode"] & 0o7777 == 0o640
