@@ -222,29 +222,6 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, sm
     return np.concatenate(out_i or none), np.concatenate(out_j or none), np.flatnonzero(large)
 
 
-def block_pairs(n: np.ndarray, pos: np.ndarray, percent: int, block: int):
-    """The same for one long list, in pairs of blocks.
-
-    The list is cut into bands of like size, and in a band sorted by position: a block's
-    sizes and the most shingles that any of its rows has left are narrow. Blocks whose
-    sizes are too far apart, or whose rows stand too late in their sets, are skipped whole.
-    """
-    band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
-    order = np.lexsort((pos, band))
-    blocks = []
-    for run in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-        blocks += [run[k : k + block] for k in range(0, len(run), block)]
-    least, most, room = (np.array([f(rows) for rows in blocks]) for f in (lambda r: n[r].min(), lambda r: n[r].max(), lambda r: (n[r] - pos[r]).max()))
-    for k, rows in enumerate(blocks):
-        far = (least[k:] * percent > most[k] * 100) | (least[k] * percent > most[k:] * 100)
-        late = np.minimum(room[k:], room[k]) < -(-percent * (least[k:] + least[k]) // (100 + percent))
-        for m in np.flatnonzero(~(far | late)) + k:
-            own = rows if m == k else np.concatenate([rows, blocks[m]])
-            own = own[np.argsort(n[own], kind="stable")]
-            i, j = partners(n[own], pos[own], percent)
-            yield own[i], own[j]
-
-
 def partners(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one list, sorted by size, that size and position allow."""
     last = np.searchsorted(n, n * 100 // percent, side="right")
@@ -256,70 +233,93 @@ def partners(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray,
     return i[ok], j[ok]
 
 
-def _met(percent: int, blocks: bool):
-    """Distinct pairs (a < b) of ids that meet in a list, from postings (hash, n, pos, id) sorted by hash and size.
+def distinct_pairs(pair: np.ndarray) -> np.ndarray:
+    """Rows (a, b) of different a and b, smaller first, each once."""
+    pair = pair[pair[:, 0] != pair[:, 1]] if len(pair) else pair.reshape(0, 2)
+    pair = np.stack([pair.min(1), pair.max(1)], 1) if len(pair) else pair
+    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = (pair[1:] != pair[:-1]).any(1)
+    return pair[fresh]
+
+
+def _pair_batch(pair: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["a", "b"])
 
-    Long lists: with ``blocks`` in pairs of blocks, else (hash, hash) tells that there is one."""
 
-    small, block = SMALL_LIST, BLOCK  # the driver's values, whatever a worker's module says
+def _met(percent: int):
+    """Distinct pairs (a < b) of ids that meet in a list, from postings (hash, n, pos, id) sorted by hash and size; (hash, hash) tells of a long list."""
 
-    def distinct(pair):
-        pair = np.stack([pair.min(1), pair.max(1)], 1) if len(pair) else pair.reshape(0, 2)
-        pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-        fresh = np.ones(len(pair), bool)
-        fresh[1:] = (pair[1:] != pair[:-1]).any(1)
-        return pair[fresh]
+    small = SMALL_LIST  # the driver's value, whatever a worker's module says
 
     def pairs(rows):
         key, n, pos, name = rows
         i, j, large = list_pairs(key, n, pos, percent, small)
-        pair = np.stack([name[i], name[j]], 1)
-        found = [pair[pair[:, 0] != pair[:, 1]]]
-        if len(large) and blocks:
-            edges = np.flatnonzero(np.concatenate([[True], key[large][1:] != key[large][:-1], [True]]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                own = large[a:b]
-                if (name[own] != name[own[0]]).any():
-                    for x, y in block_pairs(n[own], pos[own], percent, block):
-                        pair = np.stack([name[own[x]], name[own[y]]], 1)
-                        found.append(distinct(pair[pair[:, 0] != pair[:, 1]]))
-        elif len(large):
-            found.append(np.stack([key[large], key[large]], 1))
-        return distinct(np.concatenate(found))
-
-    def batch_of(pair):
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["a", "b"])
+        found = distinct_pairs(np.stack([name[i], name[j]], 1))
+        told = np.unique(key[large])
+        return np.concatenate([found, np.stack([told, told], 1)])
 
     def task(batches):
         # the rows of the list that is open: pieces are put together once, when it ends
         held, size, long_list = [np.zeros((4, 0), np.int64)], 0, None
         for batch in batches:
             rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-            if not blocks:  # one row for each class of a list, however many documents there are of it
-                rows = rows[:, np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])])] if rows.shape[1] else rows
             if not rows.shape[1]:
                 continue
+            # one row for each class of a list, however many documents there are of it
+            rows = rows[:, np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])])]
             cut = int(np.searchsorted(rows[0], rows[0, -1]))
             if size and held[-1][0, -1] != rows[0, 0]:
-                yield batch_of(pairs(np.concatenate(held, 1)))
+                yield _pair_batch(pairs(np.concatenate(held, 1)))
                 held, size = [rows[:, :0]], 0
             if cut:
-                yield batch_of(pairs(np.concatenate([*held, rows[:, :cut]], 1)))
+                yield _pair_batch(pairs(np.concatenate([*held, rows[:, :cut]], 1)))
                 held, size = [rows[:, :0]], 0
             held.append(rows[:, cut:])
             size += rows.shape[1] - cut
             now = int(rows[0, -1])
-            if not blocks and size and (size > small or now == long_list):
+            if size > small or now == long_list:
                 if now != long_list:  # a long list is told once and never held
                     long_list = now
-                    yield batch_of(np.array([[long_list, long_list]]))
+                    yield _pair_batch(np.array([[long_list, long_list]]))
                 held, size = [rows[:, :0]], 0
         if size:
-            yield batch_of(pairs(np.concatenate(held, 1)))
+            yield _pair_batch(pairs(np.concatenate(held, 1)))
 
     return task
 
 
+def long_pairs(entries: DataFrame, percent: int, shuffle: int) -> DataFrame:
+    """Distinct pairs (a < b) of ids that meet in long lists, from stored entries (hash, n, pos, id).
+
+    A list is cut into cells of like size and position, and a large cell into blocks by the ids' hashes. Of blocks
+    only bounds meet: two whose sizes are too far apart, or whose rows stand too late in their sets, are skipped whole.
+    Each pair of blocks left is one task's, so a list of any length is many tasks' work. Lists of one id are left out."""
+    several = entries.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most").select("hash")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
+    own = stored(entries.join(several, "hash", "left_semi").withColumns({"band": band, "late": F.floor(F.log2(F.col("pos") + 1.0)).cast("long")}), "banded")
+    cells = own.groupBy("hash", "band", "late").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    cells = stored(cells, "cells")
+    code = lambda part: F.shiftleft("band", 44) + F.shiftleft("late", 36) + part
+    blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("hash", code(F.col("part")).alias("block"), "low", "high", "room")
+    left, right = (blocks.select("hash", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high", "room"))) for side in "ij")
+    least = F.ceil(percent * (F.col("low_i") + F.col("low_j")) / (100 + percent))
+    near = (F.col("low_i") * percent <= F.col("high_j") * 100) & (F.col("low_j") * percent <= F.col("high_i") * 100)
+    pairs = left.join(right, "hash").filter((F.col("block_i") <= F.col("block_j")) & near & (F.least("room_i", "room_j") >= least))
+    pairs = pairs.select("hash", F.col("block_i").alias("i"), F.col("block_j").alias("j"), F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
+    placed = own.join(cells.select("hash", "band", "late", "parts"), ["hash", "band", "late"])
+    placed = placed.select("hash", code(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "n", "pos", "id")
+    dealt = pairs.join(placed, ["hash", "block"]).select("hash", "i", "j", "n", "pos", "id").repartition(shuffle, "hash", "i", "j").sortWithinPartitions("hash", "i", "j", "n")
+
+    def task(batches):
+        for table in _grouped(batches, 3):
+            n, pos, name = (table.column(c).to_numpy() for c in ("n", "pos", "id"))
+            i, j = partners(n, pos, percent)
+            yield _pair_batch(distinct_pairs(np.stack([name[i], name[j]], 1)))
+
+    return dealt.mapInArrow(task, "a long, b long").distinct()
+
+
 def map_bits(n: np.ndarray) -> np.ndarray:
     """Bits of the parity map of a set of n shingles: a power of two from n / 2 on, 64 at least."""
     return 64 << np.ceil(np.log2(np.maximum(n, 128) / 128)).astype(np.int64)
@@ -494,7 +494,7 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     indexed = signed.filter("size(prefix) > 0")
     postings = indexed.select("cid", "n", F.posexplode("prefix").alias("pos", "hash")).select("hash", "n", "pos", "cid")
     dealt = postings.repartition(shuffle, "hash").sortWithinPartitions("hash", "n", "cid")
-    found = stored(dealt.mapInArrow(_met(percent, False), "a long, b long").distinct(), "candidates")
+    found = stored(dealt.mapInArrow(_met(percent), "a long, b long").distinct(), "candidates")
     classes = indexed.select("cid", "n", "bits").dropDuplicates(["cid"])
     near = stored(may_link(found.filter("a != b"), classes, percent), "near")
     long_lists = found.filter("a = b").select(F.col("a").alias("hash"))
@@ -525,8 +525,8 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, key: st
     left = stored(near.join(comp_of("a"), "a").join(comp_of("b"), "b").filter("comp_a != comp_b").select("a", "b"), "left")
     links = compared(left, members.select(F.col("cid").alias("unit"), "cid", "n", "text"), width, percent, shuffle)
     if any_long:
-        entries = crowded.join(labelled.select("cid", "comp"), "cid").select("hash", "n", "pos", "comp").repartition(shuffle, "hash").sortWithinPartitions("hash", "n", "comp")
-        met = stored(entries.mapInArrow(_met(percent, True), "a long, b long").distinct(), "met")
+        entries = stored(crowded.join(labelled.select("cid", "comp"), "cid").select("hash", "n", "pos", F.col("comp").alias("id")), "entries")
+        met = stored(long_pairs(entries, percent, shuffle), "met")
         units = members.join(labelled.select("cid", "comp"), "cid").select(F.col("comp").alias("unit"), "cid", "n", "text")
         links = links.unionByName(compared(met, units, width, percent, shuffle))
     links = links.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")

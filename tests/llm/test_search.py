@@ -83,16 +83,22 @@ def test_near_duplicates_keep_wordless_rows_and_columns(spark):
     assert len(got) == 5 and got[4]["rid"] in "ef"
 
 
-def test_position_blocks_lose_no_pair():
-    from driftline.llm.jaccard import block_pairs
+def test_long_lists_lose_no_pair(spark, monkeypatch):
+    from driftline.llm import jaccard
 
     rng = np.random.default_rng(4)
     n = rng.integers(1, 200, 300)
     pos = (rng.random(300) ** 2 * n).astype(int)
-    for block in (7, 64, 1000):
-        got = {tuple(sorted((int(i), int(j)))) for x, y in block_pairs(n, pos, 80, block) for i, j in zip(x, y)}
-        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if min(n[i], n[j]) * 100 >= 80 * max(n[i], n[j]) and min(n[i] - pos[i], n[j] - pos[j]) * 180 >= 80 * (n[i] + n[j])}
-        assert want == got
+    key = rng.integers(0, 3, 300)
+    rows = [(int(k), int(a), int(b), i) for i, (k, a, b) in enumerate(zip(key, n, pos))] + [(7, 5, 0, 1), (7, 5, 1, 1)]
+    want = {
+        (i, j) for i in range(300) for j in range(i + 1, 300)
+        if key[i] == key[j] and min(n[i], n[j]) * 100 >= 80 * max(n[i], n[j]) and min(n[i] - pos[i], n[j] - pos[j]) * 180 >= 80 * (n[i] + n[j])
+    }
+    entries = spark.createDataFrame(rows, "hash long, n long, pos long, id long")
+    for block in (5, 2048):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert {(r["a"], r["b"]) for r in jaccard.long_pairs(entries, 80, 4).collect()} == want
 
 
 def test_partners_keep_every_pair_that_may_link():
