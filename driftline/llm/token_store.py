@@ -45,13 +45,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import drop, new_path, stored
-from .arrowtext import lists_of, sums, texts_of
+from .arrowtext import given_back, lists_of, sums, texts_of
 from .skew import join_by_size
 from .tokens import encoded_slices
 
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 1024
 PART_BYTES = (8 << 20, 128 << 20)
 SAMPLES = 8
+#: Rows of a batch that goes back to the JVM.
+BATCH_ROWS = 256
 GEAR = np.uint32(0x9E3779B1)
 STAGED = "part int, doc_id long, rid long, n long, ids binary, lengths array<int>, digests binary"
 CHUNKS = "array<struct<digest:binary,n:int,shared:boolean,ids:binary>>"
@@ -124,6 +126,7 @@ def _encode(path: str, end_id: int, width: int, parts: Parts):
                     [part.slice(lo, hi - lo), doc_ids.slice(lo, hi - lo), rids.slice(lo, hi - lo), pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.binary())],
                     ["part", "doc_id", "rid", "n", "ids", "lengths", "digests"],
                 )
+        given_back()
 
     return task
 
@@ -185,7 +188,8 @@ def _recipes(starts: dict[int, int], width: int):
         chunks = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), chunk)
         start = starts[part] + np.cumsum(n) - n
         state = np.where(sums(~here, edges) > 0, 2, np.where(sums(shared, edges) > 0, 1, 0))
-        return pa.Table.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(state, pa.int32()), docs["doc_id"], docs["rid"], pa.array(start), docs["n"], pa.array(roots, pa.binary()), chunks], schema=ARROW)
+        made = pa.Table.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(state, pa.int32()), docs["doc_id"], docs["rid"], pa.array(start), docs["n"], pa.array(roots, pa.binary()), chunks], schema=ARROW)
+        return pa.Table.from_batches(made.to_batches(BATCH_ROWS), ARROW)
 
     return group
 
