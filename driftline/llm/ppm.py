@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import new_path, stored
-from .arrowtext import bytes_of, coded, hashes, owners, slices, summed, sums, texts_of, words_of
+from .arrowtext import bytes_of, coded, given_back, hashes, owners, slices, summed, sums, texts_of, words_of
 
 ORDER, SPLIT = 5, 3
 #: Prices of windows and counts of words that are broadcast; the others are joined.
@@ -116,6 +116,8 @@ def _counted(batches):
                     yield _counts(GRAM, *held.pop())
     if held:
         yield _counts(GRAM, *merged())
+    held.clear()
+    given_back()
 
 
 class Level:
@@ -337,6 +339,7 @@ def _scored(model):
                      _listed(owners(offsets)[rare], codes[rare], h, hi - lo), _listed(row, which, code, hi - lo)],
                     ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "open"],
                 )
+        given_back()
 
     return task
 
