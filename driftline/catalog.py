@@ -432,13 +432,9 @@ def frame_round_trip(t):
 
 @query("p10_p11_p27_chunk_packets", "SELECT relative_path, c AS chunk_index, least(4096, size - c * 4096)::BIGINT AS raw_len FROM (SELECT relative_path, size, unnest(range(total_chunks)) AS c FROM manifest)")
 def chunk_packets(t):
-    made = chunks.chunk_contents(t.manifest(content=True), CHUNK).select("relative_path", "chunk_index", "length", digests.compressed(F.col("data"), 3).alias("z"))
-    packets = made.select("relative_path", "chunk_index", F.struct("chunk_index", frames.packet(F.col("length"), F.col("z.compressed"), F.col("z.data")).alias("p")).alias("p"))
-    batches = packets.groupBy("relative_path").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.count("*").cast("int").alias("n")).select("relative_path", F.aggregate("ps", F.lit(b""), lambda a, x: F.concat(a, x["p"])).alias("batch"), "n")
-    t.spark.udtf.register("chunk_packets", frames.ChunkPackets)
-    out = batches.lateralJoin(frames.ChunkPackets(F.col("batch").outer(), F.col("n").outer()))
-    checked = out.withColumn("content", digests.decoded(F.col("data"), F.col("compressed"), F.col("raw_len")))
-    return checked.select("relative_path", F.col("chunk_index").cast("long").alias("chunk_index"), F.octet_length("content").cast("long").alias("raw_len"))
+    pieces = chunks.chunk_contents(t.manifest(content=True), CHUNK)
+    checked = chunks.packet_contents(chunks.packet_batches(pieces, 3))
+    return checked.select("relative_path", "chunk_index", F.octet_length("content").cast("long").alias("raw_len"))
 
 
 @query("t12_handshake", """SELECT user_id, event_id, msg IS NULL AS accepted, coalesce(msg, 'ok') AS message FROM events, LATERAL (SELECT CASE WHEN event_id % 5 = 0 THEN 'protocol mismatch' WHEN event_id % 7 = 0 THEN 'codec mismatch' WHEN event_id % 11 = 0 THEN 'endianness mismatch' WHEN event_id % 13 = 0 THEN 'version mismatch' END AS msg)""")

@@ -264,6 +264,25 @@ def encoded_frames(t):
     return f.select("seq", F.get_json_object(F.col("f.header").cast("string"), "$.frame_type").alias("frame_type"), F.octet_length("f.payload").cast("long").alias("payload_len"), "f.error")
 
 
+@query("t2_replay_errors", """, f AS (SELECT c_custkey AS k, 'c' || c_custkey AS stream_id, 'f' || c_custkey AS path FROM customer)
+  SELECT stream_id, path AS relative_path, 10::BIGINT AS bytes, NULL::VARCHAR AS error FROM f WHERE k % 7 IN (0, 5) UNION ALL SELECT stream_id, NULL, NULL, 'file count differs' FROM f WHERE k % 7 = 5
+  UNION ALL SELECT stream_id, CASE WHEN k % 7 = 4 THEN 'other' WHEN k % 7 < 3 THEN path END, NULL, CASE k % 7 WHEN 1 THEN 'size differs' WHEN 2 THEN 'start within a file' WHEN 3 THEN 'chunk for a symlink' WHEN 4 THEN 'end of another file' ELSE 'more bytes than announced' END
+  FROM f WHERE k % 7 NOT IN (0, 5)""")
+def replay_errors(t):
+    """One file a stream; most streams break a rule, each its own."""
+    k, path, n = F.col("c_custkey") % 7, F.concat(F.lit("f"), F.col("c_custkey").cast("string")), F.lit(None).cast("long")
+    size = F.lit(10).cast("long")
+
+    def frame(kind, name, chunk=n, files=n):
+        return F.struct(F.lit(kind).alias("frame_type"), name.alias("relative_path"), F.when(k == 3, "Symlink").otherwise("File").alias("kind"), size.alias("size"), chunk.cast("long").alias("chunk_len"), files.cast("long").alias("files"))
+
+    chunk = frame("chunk", F.lit(None).cast("string"), F.when(k == 1, 7).when(k == 6, 12).otherwise(10))
+    second = F.when(k == 2, frame("start", path)).otherwise(chunk)
+    whole = F.array(frame("start", path), second, frame("end", F.when(k == 4, "other").otherwise(path)), frame("done", F.lit(None).cast("string"), files=F.when(k == 5, 2).otherwise(1)))
+    rows = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stream_id"), F.posexplode(whole).alias("seq", "f")).select("stream_id", F.col("seq").cast("long").alias("seq"), "f.*")
+    return streams.replay(rows).select("stream_id", "relative_path", "bytes", "error")
+
+
 @query("t1_framed_reads", """, f AS (SELECT user_id::VARCHAR AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_no, 16 + strlen(event_type) + strlen(props) AS size, user_id AS u FROM events)
   SELECT stream_id, frame_no, size::BIGINT AS size, NULL::VARCHAR AS error FROM f WHERE u % 5 <> 1 UNION ALL SELECT stream_id, count(*), NULL, 'stream ends within a frame' FROM f WHERE u % 5 = 0 GROUP BY stream_id
   UNION ALL SELECT DISTINCT stream_id, 0, NULL, 'protocol mismatch: 9' FROM f WHERE u % 5 = 1""")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import compressed, decoded
 from ..functions.expr import total_chunks
+from ..functions.frames import ChunkPackets, packet
 
 
 def chunk_ranges(df: DataFrame, chunk: int, size: str = "size", first: Column | None = None) -> DataFrame:
@@ -66,3 +68,17 @@ def routed(df: DataFrame, small_max: int, direct_max: int, chunk: int) -> DataFr
 def size_checked(df: DataFrame, read: str = "read_len", size: str = "size") -> DataFrame:
     """df + size_changed, for files whose length on reading is not the manifest's."""
     return df.withColumn("size_changed", F.col(read) != F.col(size))
+
+
+def packet_batches(pieces: DataFrame, level: int, key: str = "relative_path") -> DataFrame:
+    """Of each file its chunks (chunk_index, length, data) as one batch of packets, compressed where that saves something: (key, batch, n)."""
+    made = pieces.select(key, "chunk_index", "length", compressed(F.col("data"), level).alias("z"))
+    one = F.struct("chunk_index", packet(F.col("length"), F.col("z.compressed"), F.col("z.data")).alias("p"))
+    whole = F.aggregate(F.array_sort(F.collect_list(one)), F.lit(b""), lambda a, x: F.concat(a, x["p"]))
+    return made.groupBy(key).agg(whole.alias("batch"), F.count("*").cast("int").alias("n"))
+
+
+def packet_contents(batches: DataFrame, key: str = "relative_path") -> DataFrame:
+    """The chunks of packet batches (key, chunk_index, raw_len, content), checked: no byte is left over, no packet lacks, lengths are as told."""
+    out = batches.lateralJoin(ChunkPackets(F.col("batch").outer(), F.col("n").outer()))
+    return out.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), "raw_len", decoded(F.col("data"), F.col("compressed"), F.col("raw_len")).alias("content"))
