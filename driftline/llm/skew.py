@@ -16,5 +16,7 @@ def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str) -> Data
     total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     cut = max(1, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hot, rest = table.filter(F.col(size) > cut), table.filter(F.col(size) <= cut)
+    if not hot.limit(1).count():
+        return rows.join(table, key)
     spread = rows.join(F.broadcast(hot), key)
     return spread.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))

@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ RECIPES = f"part int, state int, doc_id long, rid long, start long, n_tokens lon
 DIGEST = 16
 
 
-def digest(data: bytes) -> bytes:
+def digest(data: bytes | memoryview) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
@@ -113,17 +114,17 @@ def _encode(path: str, end_id: int, width: int, parts: Parts):
                 ends = ends + np.arange(len(ends))
                 marks = np.flatnonzero((rolling(flat) & np.uint32(MASK)) == 0) + 1
                 at = np.searchsorted(marks, ends, side="right")
-                ids, lengths, digests = [], [], []
-                for k in range(hi - lo):
-                    a, b = int(ends[k]), int(ends[k + 1])
-                    own = chunk_lengths(marks[at[k] : at[k + 1]] - a, b - a)
-                    data = flat[a:b].tobytes()
-                    edges = np.concatenate([[0], np.cumsum(own)]) * width
-                    ids.append(data)
-                    lengths.append(own)
-                    digests.append(b"".join(digest(data[x:y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())))
+                marks = marks[at[0] :]
+                at = at - at[0]
+                data = pa.py_buffer(flat.tobytes())
+                view, lengths, digests = memoryview(data), [], []
+                for a, b, own in zip(ends[:-1].tolist(), ends[1:].tolist(), np.split(marks, at[1:-1])):
+                    lengths.append(chunk_lengths(own - a, b - a))
+                    edges = list(accumulate(lengths[-1], initial=a))
+                    digests.append(b"".join([digest(view[x * width : y * width]) for x, y in pairwise(edges)]))
+                n = np.diff(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [part.slice(lo, hi - lo), doc_ids.slice(lo, hi - lo), rids.slice(lo, hi - lo), pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.binary())],
+                    [part.slice(lo, hi - lo), doc_ids.slice(lo, hi - lo), rids.slice(lo, hi - lo), pa.array(n, pa.int64()), _binaries(n * width, data), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.binary())],
                     ["part", "doc_id", "rid", "n", "ids", "lengths", "digests"],
                 )
         given_back()

@@ -13,7 +13,7 @@ import gc
 import json
 import os
 import unicodedata
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +108,7 @@ class WordEncoder:
     def _entries(self, keys: pa.Array) -> np.ndarray:
         """Cache entries of distinct strings, encoding those that are new."""
         words = strings(keys)
-        get = self.known.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = found < 0
         if new.any():
             self._learn(words[new].tolist())
@@ -167,7 +166,7 @@ class WordEncoder:
         return pa.array(out, pa.string())
 
 
-def encoded_slices(path: str, texts: pa.Array, limit: int = 4 << 20):
+def encoded_slices(path: str, texts: pa.Array, limit: int = 8 << 20):
     """(lo, hi, flat ids, ranges) for row ranges of about ``limit`` bytes."""
     own = encoder(path)
     for lo, hi in slices(texts, limit):
