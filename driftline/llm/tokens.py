@@ -24,7 +24,10 @@ from .arrowtext import coded, slices, strings, sums, words_of
 
 #: Distinct words that one worker keeps; beyond, the cache starts afresh. Bounds its memory at about 100 MB.
 CACHE_WORDS = 600_000
-MARKS = ".,;:!?"
+#: Marks that are split off after a letter or digit, where the tokenizer splits, too; none of them is in a special token.
+MARKS = ".,;:!?#*$%&"
+#: Words of Latin-1 letters and marks: composed, and lowered letter by letter.
+LATIN = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff{MARKS}]+$"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would cost memory only
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -116,12 +119,15 @@ class WordEncoder:
         return found
 
     def _pieces(self, distinct: pa.Array) -> np.ndarray:
-        """For each distinct word the cache entries of its core and of the sentence marks after it."""
+        """For each distinct word the cache entries of its core and of the marks after it."""
         if len(self.known) > CACHE_WORDS:
             self.reset()
-        # ASCII words are lowered here already, and sentence marks after a letter or digit split off: fewer distinct keys
+        # ASCII and Latin-1 words are lowered here already, and marks after a letter or digit split off: fewer distinct keys
         plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<")))
         lowered = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+        others = pc.invert(plain)
+        rest = distinct.filter(others)
+        lowered = pc.replace_with_mask(lowered, others, pc.if_else(pc.match_substring_regex(rest, LATIN), pc.utf8_lower(rest), rest))
         core = pc.ascii_rtrim(lowered, characters=MARKS)
         split = pc.match_substring_regex(core, "[\\pL\\pN]$")  # I with a dot above is the one letter whose lower case ends in a mark
         core = pc.if_else(pc.and_(split, pc.invert(pc.ends_with(core, "\u0130"))), core, lowered)
