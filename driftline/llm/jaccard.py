@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop, new_path, stored
-from .arrowtext import coded, hashes, mixed, owners, slices, texts_of, windows, words_of
+from .arrowtext import coded, given_back, hashes, mixed, owners, slices, texts_of, windows, words_of
 from .components import components
 from .names import fresh
 from .skew import join_by_size
@@ -124,6 +124,7 @@ def frequent_shingles(df: DataFrame, width: int, size: int = FREQUENT) -> np.nda
                 values, counts = np.unique(values, return_counts=True)
                 held = fold(held, values[counts > 1], counts[counts > 1])
         yield row(held)
+        given_back()
 
     def merged(batches):
         held = none
@@ -193,6 +194,7 @@ def _signed(order, width: int, percent: int):
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), as_long(values[inside]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(n, pa.int64()), as_long(cls), as_long(check), as_long(low), prefix, bits], ["rid", "doc_id", "n", "cid", "check", "low", "prefix", "bits"])
+        given_back()
 
     return task
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import stored
-from .arrowtext import texts_of
+from .arrowtext import given_back, texts_of
 from .names import fresh
 from .tokens import encoded_slices
 
@@ -70,6 +70,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
                 body = pa.array([zlib.crc32(x) for x in parts], pa.int64()) if digest_only else pa.array([bytes(x) for x in parts], pa.binary())
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(rest))), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), body], schema.names)
+        given_back()
 
     return df.select(*rest, text).mapInArrow(task, schema)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import stored
-from .arrowtext import bytes_of, coded, hashes, lists_of, mixed, owners, slices, summed, sums, texts_of, windows, words_of
+from .arrowtext import bytes_of, coded, given_back, hashes, lists_of, mixed, owners, slices, summed, sums, texts_of, windows, words_of
 
 #: Distinct words that a counting task holds before it hands them on, and languages with a reference of their own.
 HELD, MAX_LANGS = 1 << 20, 1 << 14
@@ -210,6 +210,8 @@ def _counted(batches):
         yield rows(lang, TOTAL, np.zeros(1, np.int64), n[CLASSES:])
     for lang, own in merged():
         yield rows(lang, COMMON, *own)
+    held.clear()
+    given_back()
 
 
 def references(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -312,5 +314,6 @@ def quality_rules(df: DataFrame, rules: Rules = Rules(), text: str = "text", lan
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
                 made = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], MEASURES.names)
                 yield pa.RecordBatch.from_arrays([*rest, made], [*names, out])
+        given_back()
 
     return df.mapInArrow(task, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import coded, hashes, slices, texts_of, words_of
+from .arrowtext import coded, given_back, hashes, slices, texts_of, words_of
 from .tokens import encoder
 
 TRAIN_ROWS, BUCKETS = 20_000, 1 << 16
@@ -95,5 +95,6 @@ def with_topics(df: DataFrame, model: TopicModel, text: str = "text", topic: str
                 if tokenizer:
                     columns.append(pa.array(encoder(tokenizer).counted(codes, distinct, offsets), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(rest))), *columns], schema.names)
+        given_back()
 
     return df.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("_")).mapInArrow(task, schema)
