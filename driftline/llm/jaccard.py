@@ -52,7 +52,7 @@ from .skew import join_by_size
 FREQUENT = 1 << 18
 SMALL_LIST = 64
 #: A block holds about so many sets, and shingles.
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Up to so many rows of four numbers (32 MB) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 64
