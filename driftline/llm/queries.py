@@ -15,12 +15,15 @@ from .jaccard import jaccard_components
 from .mixing import Mix, mix_sources
 from .packing import pack, pieces
 from .ppm import score_documents
+from .prefixes import conversation_trie
 from .quality import quality_rules
 from .sharding import shard
 from .token_counts import token_counts
 from .token_store import read_store, write_store
 from .topics import TopicModel, with_topics
 from .topk import top_k
+from .urls import url_filter
+from .whitening import whiten
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -92,6 +95,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "quality.*")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: The rules of the registered query, and hosts to block where no rule fits: names under every example domain.
+ALLOW, BLOCK = ["example.net/en/", "org/fr/"], ["net/", "example.com/de/"]
+BLOCKED = [f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for top in ("com", "net", "org")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(host,) for host in BLOCKED], "host string")
+    return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), ALLOW, BLOCK, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
+    each = white.select("vec_id", "white", F.posexplode(F.arrays_zip("white.whitened", "white.explained")).alias("at", "own"))
+    deviation = F.col("white.deviation").try_cast("long")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "white.n", deviation.alias("deviation"), "own.whitened", "own.explained", "white.identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
@@ -103,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": """
@@ -121,6 +148,53 @@ WITH RECURSIVE w AS (
   SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.r
 )
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.r) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.d = d.doc_id GROUP BY ALL
+""",
+    "op11_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list(x ORDER BY i) AS xs, c - ((c % 20) + 20) % 20 AS b,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc
+  FROM turns GROUP BY c
+), heads AS (
+  SELECT c, xs, b, xor(crc, 4294967295) % 4 AS h FROM own
+), whole AS (
+  SELECT o.c, list_concat(coalesce(p.xs, [])[1:o.h], o.xs[o.h + 1:]) AS xs FROM heads o LEFT JOIN own p ON p.c = o.b
+), prefixes AS (
+  SELECT c, xs[1:d] AS p, d, len(xs) AS l FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT p, d, min(c) AS m, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (l = d), '')) AS ends,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS w
+  FROM prefixes GROUP BY p, d
+), children AS (
+  SELECT p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL
+), made AS (
+  SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN children ON children.p = nodes.p
+), below AS (
+  SELECT p[1:a] AS p, sum((k = 0)::BIGINT)::BIGINT AS leaves, sum((n - 1) * w)::BIGINT AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM made) GROUP BY ALL
+)
+SELECT made.m AS conv_id, made.d AS depth, up.m AS parent_conv_id, made.n AS n_convs, made.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, made.ends AS ends_sha256
+FROM made JOIN below ON below.p = made.p LEFT JOIN made up ON made.d > 0 AND up.p = made.p[1:made.d - 1]
+""",
+    "op12_url_filter": f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), k AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r(verdict, rule) AS (
+  VALUES {", ".join(f"('{verdict}', '{rule}')" for verdict, rules in (("allow", ALLOW), ("block", BLOCK)) for rule in rules)}
+), s AS (
+  SELECT verdict, rule, split_part(rule, '/', 1) AS top, substr(rule, instr(rule, '/')) AS rest FROM r
+), best AS (
+  SELECT page_id, arg_max(struct_pack(rule := rule, verdict := verdict), length(rule)) AS x
+  FROM k JOIN s ON (host = top OR ends_with(host, '.' || top)) AND starts_with(path, rest) GROUP BY page_id
+), listed AS (
+  SELECT DISTINCT page_id FROM k JOIN (SELECT unnest({BLOCKED}) AS h) ON host = h OR ends_with(host, '.' || h)
+)
+SELECT k.page_id, k.host, k.path, x.rule AS rule, CASE WHEN x.verdict IS NOT NULL THEN x.verdict WHEN listed.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM k LEFT JOIN best ON best.page_id = k.page_id LEFT JOIN listed ON listed.page_id = k.page_id
 """,
     "op5_topk": """
 WITH v AS (
