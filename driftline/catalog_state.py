@@ -452,7 +452,7 @@ def file_tree(t):
     return read(where).select("relative_path", "kind", "target", F.when(F.col("kind") == "File", F.col("size")).alias("size")).crossJoin(F.broadcast(none))
 
 
-@query("k10_deleted", "SELECT relative_path, CASE WHEN k % 2 = 0 THEN 'deleted' ELSE 'already gone' END AS message FROM manifest")
+@query("k12_deleted", "SELECT relative_path, CASE WHEN k % 2 = 0 THEN 'deleted' ELSE 'already gone' END AS message FROM manifest")
 def deleted(t):
     where = folder(t, "deleted")
     run(effects.write_files(t.manifest(content=True).filter("k % 2 = 0").select("relative_path", "content"), where))

@@ -1,17 +1,19 @@
 """Greedy batches of ordered rows, exact and without a single-task fold.
 
 A batch takes rows in order until the next one would break a limit, so where a
-batch ends depends only on where it starts. Rows are range-partitioned in order.
-Each partition works out, from its end backwards, where the first batch of the
-next partition starts for each possible first start of its own; a batch spans at
-most ``max_count`` rows or one limit's worth, so only starts near the partition's
-head matter and are kept. Chaining these short tables over the partitions gives
-each its true first start, and a second pass cuts the batches in parallel.
+batch ends depends only on where it starts. Rows are stored in ranges of order. A
+first pass over the sizes alone gives each range's jump function: for every row at
+which a batch from before may close, the batch that is then left open at the
+range's end. A batch spans at most ``max_count`` rows or one limit's worth, so only
+rows near the head matter. Jump functions of neighbours compose to one of the same
+kind, so they are scanned as a tree, FAN at a time, up to one and down again; each
+range then knows the batch that is open where it begins. A second pass streams the
+ranges and cuts batches in parallel.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import stored
+from .ordering import ordered, runs
+
+
+#: As a count of rows: no limit.
+UNLIMITED = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -43,16 +50,16 @@ def init_limit(payload: int) -> Limit:
 
 def split_limit(total: int, connections: int, payload: int) -> Limit:
     """Batches small enough that every connection gets some."""
-    return Limit(min(payload, max(-(-total // max(connections, 1)), 4 << 20)), 1 << 62)
+    return Limit(min(payload, max(-(-total // max(connections, 1)), 4 << 20)), UNLIMITED)
 
 
 def keep_limit(payload: int) -> Limit:
-    return Limit(max(payload - (128 << 10), 8 << 10), 1 << 62)
+    return Limit(max(payload - (128 << 10), 8 << 10), UNLIMITED)
 
 
 def framed_limit(payload: int, overhead: int) -> Limit:
     """Entries whose encoded sizes, with the frame's own ``overhead``, fit one payload."""
-    return Limit(payload - overhead, 1 << 62)
+    return Limit(payload - overhead, UNLIMITED)
 
 
 def chunk_limit(payload: int, chunk: int) -> Limit:
@@ -70,98 +77,180 @@ def next_starts(sizes: np.ndarray, limit: Limit) -> np.ndarray:
     return np.clip(np.maximum(out, np.arange(n) + 1), 0, n)
 
 
-PART_BYTES = 64 << 20
-
-
-def _partitions(df: DataFrame) -> int:
-    """As many ranges as the planner's estimate of the table's bytes asks for."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(1, -(-size // PART_BYTES)), 1 << 16)
+#: Ranges whose jump functions are composed in one task.
+FAN = 64
+RESULTS = ("batch_id", "pos", "offset")
+#: A batch that is open: its rows and bytes so far, and the batches before it.
+State = tuple[int, int, int]
 
 
 def greedy_batches(df: DataFrame, order: list[str], size: Column, limit: Limit, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """``df`` + batch_id (from 0, in order), pos (in the batch, from 0) and offset (bytes before it in the batch).
 
-    ``order`` must identify rows; a null size counts as 0. With ``strict`` a row that is larger than ``max_bytes`` alone fails
-    the query. Two passes over the sizes; between them a few numbers a range come to the driver: of sizes only those at its
-    head that are above 0, up to one limit's worth.
+    ``df`` may be any plan: it runs once, and ranges go by the bytes that it gives. ``order`` must identify rows; a null size
+    counts as 0. With ``strict`` a row that is larger than ``max_bytes`` alone fails the query. Columns of ``df`` that have a
+    result's name are replaced. To the driver come three numbers a range.
     """
     spark = df.sparkSession
-    n = partitions or _partitions(df)
     own = F.coalesce(size, F.lit(0)).cast("long")
     if strict:
         own = F.when(own > limit.max_bytes, F.raise_error(F.lit("a single row exceeds the limit")).cast("long")).otherwise(own)
-    dealt = df.withColumn("_size", own).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = stored(dealt, "ordered")
-    # pass 1: (part, rows, table of the entries that matter: start -> start in the next partition)
-    light = dealt.select("_part", *order, "_size")
-
-    def tails(key, table):
-        sizes = table.sort_by([(c, "ascending") for c in order])["_size"].to_numpy()
-        at, heads = _head(sizes, limit)
-        opens = _opens(sizes, next_starts(sizes, limit), limit)
-        return pa.table({"part": [key[0].as_py()], "rows": [len(sizes)], "bytes": [int(sizes.sum())], "at": [at], "sizes": [heads], "open": [opens]}, _TAILS)
-
-    # a partition's entry is the row at which the batch carried over from before closes; the carry is (rows, bytes)
-    rows = light.groupBy("_part").applyInArrow(tails, "part int, rows long, bytes long, at array<long>, sizes array<long>, open array<struct<start:long,rows:long,bytes:long,batches:long>>").collect()
-    entry, first = {}, {}
-    carry_rows, carry_bytes, batches = 0, 0, 0
-    for r in sorted(rows, key=lambda x: x["part"]):
-        start = _closes(np.array(r["at"], np.int64), np.array(r["sizes"], np.int64), r["rows"], carry_rows, carry_bytes, limit) if carry_rows else 0
-        entry[r["part"]] = (start, carry_rows, carry_bytes)
-        first[r["part"]] = batches
-        if start < r["rows"]:
-            o = next(o for o in r["open"] if o["start"] == start)
-            batches += o["batches"] + (carry_rows > 0)
-            carry_rows, carry_bytes = o["rows"], o["bytes"]
-        else:  # the carried batch swallows the whole partition
-            carry_rows, carry_bytes = carry_rows + r["rows"], carry_bytes + r["bytes"]
-    plan = spark.sparkContext.broadcast((entry, first))
-    fields = df.schema.fields
-    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("batch_id", "pos", "offset"))])
-
-    def cut(key, table):
-        part = key[0].as_py()
-        start, rows_before, bytes_before = plan.value[0][part]
-        table = table.sort_by([(c, "ascending") for c in order])
-        sizes = table["_size"].to_numpy()
-        step, total = next_starts(sizes, limit), len(sizes)
-        starts, at = [], start
-        while at < total:
-            starts.append(at)
-            at = int(step[at])
-        which = np.searchsorted(np.array(starts, np.int64), np.arange(total), side="right") - 1
-        begin = np.where(which >= 0, np.array([*starts, 0])[which], 0)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        carried = which < 0
-        pos = np.arange(total) - begin + np.where(carried, rows_before, 0)
-        offset = ends[:-1] - ends[begin] + np.where(carried, bytes_before, 0)
-        batch = plan.value[1][part] + which + (rows_before > 0)
-        out = [table[f.name] for f in fields]
-        return pa.table([*out, pa.array(batch, pa.int64()), pa.array(pos, pa.int64()), pa.array(offset, pa.int64())], schema.names)
-
-    return dealt.groupBy("_part").applyInArrow(cut, schema)
-
-
-_OPEN = pa.struct([("start", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("batches", pa.int64())])
-_TAILS = pa.schema([("part", pa.int32()), ("rows", pa.int64()), ("bytes", pa.int64()), ("at", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("open", pa.list_(_OPEN))])
-
-
-def _head(sizes: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with bytes at the head, and their sizes, until a batch from before must have closed."""
+    table = ordered(df, order, {"size": own}, partitions)
+    jumps = stored(table.select("at", "s0").mapInArrow(_jumps(limit), JUMP), "jumps")
+    found = _entries(jumps, limit).toArrow().sort_by("part")
+    entries = spark.sparkContext.broadcast(tuple(found.column(c).to_numpy() for c in ("part", "rows", "bytes", "closed")))
+    fields = [(f"c{i}", f) for i, f in enumerate(df.schema.fields) if f.name.lower() not in RESULTS]
+    kept = [c for c, _ in fields]
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in fields), *(T.StructField(c, T.LongType()) for c in RESULTS)])
+
+    def task(batches):
+        state: State = (0, 0, 0)
+        for part, begins, rows in runs(batches):
+            if begins:
+                parts, *states = entries.value
+                k = int(np.searchsorted(parts, part))
+                state = tuple(int(s[k]) for s in states)
+            made, state = cut(rows.column("s0").to_numpy(), state, limit)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *map(pa.array, made)], names=schema.names)
+
+    return table.select(*kept, "s0", "at").mapInArrow(task, schema).toDF(*[f.name for _, f in fields], *RESULTS)
+
+
+def cut(sizes: np.ndarray, state: State, limit: Limit) -> tuple[list[np.ndarray], State]:
+    """batch_id, pos and offset of the next rows, and the batch that they leave open."""
+    total, (rows, size, closed) = len(sizes), state
     at = np.flatnonzero(sizes)
-    at = at[: np.searchsorted(at, limit.max_count, side="right")]
-    most = max(limit.max_bytes, limit.close_after or 0)
-    return at[: np.searchsorted(np.cumsum(sizes[at]), most, side="right") + 1], sizes[at[: np.searchsorted(np.cumsum(sizes[at]), most, side="right") + 1]]
+    start = _closes(at, sizes[at], total, rows, size, limit) if rows else 0
+    step, starts = next_starts(sizes, limit), []
+    while start < total:
+        starts.append(start)
+        start = int(step[start])
+    which = np.searchsorted(np.array(starts, np.int64), np.arange(total), side="right") - 1
+    begin = np.where(which >= 0, np.array([*starts, 0])[which], 0)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    carried = which < 0
+    pos = np.arange(total) - begin + np.where(carried, rows, 0)
+    offset = ends[:-1] - ends[begin] + np.where(carried, size, 0)
+    batch = closed + which + (rows > 0)
+    if not starts:
+        return [batch, pos, offset], (rows + total, size + int(ends[-1]), closed)
+    return [batch, pos, offset], (total - starts[-1], int(ends[-1] - ends[starts[-1]]), int(batch[-1]))
+
 
+#: A range's rows and bytes, its rows with bytes until a batch from before must have closed, and by the row at which one closes: the batch left open and how many closed.
+JUMP = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "rows", "bytes", "reach")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("at", "sizes", "start", "open_rows", "open_bytes", "closed")])
+ENTRY = "part long, rows long, bytes long, closed long"
 
-def _opens(sizes: np.ndarray, step: np.ndarray, limit: Limit) -> list[dict]:
-    """For each possible first start: the batch left open at the partition's end, and how many closed before it.
+
+@dataclass(frozen=True)
+class Jump:
+    """What a range of rows does to the batch that is open before it."""
+
+    part: int
+    rows: int
+    bytes: int
+    reach: int  # a batch from before has closed at this row at the latest
+    at: np.ndarray
+    sizes: np.ndarray
+    start: np.ndarray
+    open_rows: np.ndarray
+    open_bytes: np.ndarray
+    closed: np.ndarray
+
+    @staticmethod
+    def of(part: int, sizes: np.ndarray, limit: Limit) -> Jump:
+        at, heads = _head(np.flatnonzero(sizes), sizes[sizes != 0], limit)
+        step = next_starts(sizes, limit)
+        return Jump(part, len(sizes), int(sizes.sum()), int(step[0]), at, heads, *_opens(sizes, step, limit))
+
+    @staticmethod
+    def read(row: dict) -> Jump:
+        return Jump(**{k: np.array(v, np.int64) if isinstance(v, list) else v for k, v in row.items()})
+
+    def after(self, state: State, limit: Limit) -> State:
+        rows, size, closed = state
+        start = _closes(self.at, self.sizes, self.rows, rows, size, limit) if rows else 0
+        if start >= self.rows:  # it takes the whole range
+            return rows + self.rows, size + self.bytes, closed
+        k = int(np.searchsorted(self.start, start))
+        return int(self.open_rows[k]), int(self.open_bytes[k]), closed + int(self.closed[k]) + (rows > 0)
+
+
+def composed(jumps: list[Jump], part: int, limit: Limit) -> Jump:
+    """The jump function of neighbouring ranges."""
+    out = jumps[0]
+    for right in jumps[1:]:
+        states = np.stack([out.open_rows, out.open_bytes], 1)
+        distinct, which = np.unique(states, axis=0, return_inverse=True)  # batches that once meet stay together
+        moved = np.array([right.after((int(r), int(b), 0), limit) for r, b in distinct], np.int64).reshape(-1, 3)[which.ravel()]
+        swallowed = out.reach >= out.rows  # a batch from before may reach into the right one
+        more = slice(0, None if swallowed else 0)
+        parts = [(out.start, right.start[more] + out.rows), (moved[:, 0], right.open_rows[more]), (moved[:, 1], right.open_bytes[more]), (out.closed + moved[:, 2], right.closed[more])]
+        start, *opened = (np.concatenate(p) for p in parts)
+        reach = out.rows + right.reach if swallowed else out.reach
+        at, sizes = np.concatenate([out.at, right.at + out.rows]), np.concatenate([out.sizes, right.sizes])
+        out = Jump(out.part, out.rows + right.rows, out.bytes + right.bytes, reach, *_head(at, sizes, limit), start, *opened)
+    return replace(out, part=part)
+
+
+def _jumps(limit: Limit):
+    def table(part: int, sizes: list[np.ndarray]) -> pa.RecordBatch:
+        jump = Jump.of(part, np.concatenate(sizes), limit)
+        return pa.RecordBatch.from_arrays([pa.array([getattr(jump, f.name)], pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64()) for f in JUMP.fields], names=JUMP.names)
+
+    def task(batches):
+        now, sizes = None, []
+        for part, begins, rows in runs(batches):
+            if begins and sizes:
+                yield table(now, sizes)
+                sizes = []
+            now = part
+            sizes.append(rows.column("s0").to_numpy())
+        if sizes:
+            yield table(now, sizes)
+
+    return task
+
+
+def _entries(jumps: DataFrame, limit: Limit) -> DataFrame:
+    """(part, rows, bytes, closed): the batch that is open where each range begins."""
+    highest = jumps.agg(F.max("part")).first()[0]
+    grouped = jumps.withColumn("of", F.floor(F.col("part") / FAN))
+    if highest is None or highest < FAN:
+        with_state = grouped.withColumns({c: F.lit(0).cast("long") for c in ("e_rows", "e_bytes", "e_closed")})
+    else:
+
+        def up(table: pa.Table) -> pa.Table:
+            found = sorted((Jump.read(r) for r in table.drop_columns(["of"]).to_pylist()), key=lambda j: j.part)
+            one = composed(found, found[0].part // FAN, limit)
+            return pa.Table.from_pylist([{c: v.tolist() if isinstance(v := getattr(one, c), np.ndarray) else v for c in JUMP.names}])
+
+        above = _entries(stored(grouped.groupBy("of").applyInArrow(up, JUMP), "composed"), limit)
+        with_state = grouped.join(above.select(F.col("part").alias("of"), F.col("rows").alias("e_rows"), F.col("bytes").alias("e_bytes"), F.col("closed").alias("e_closed")), "of")
+
+    def down(table: pa.Table) -> pa.Table:
+        state = tuple(table.column(c)[0].as_py() for c in ("e_rows", "e_bytes", "e_closed"))
+        out = []
+        for jump in sorted((Jump.read({k: r[k] for k in JUMP.names}) for r in table.to_pylist()), key=lambda j: j.part):
+            out.append((jump.part, *state))
+            state = jump.after(state, limit)
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], ["part", "rows", "bytes", "closed"])
+
+    return with_state.groupBy("of").applyInArrow(down, ENTRY)
+
+
+def _head(at: np.ndarray, sizes: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows with bytes and their sizes, those until a batch from before must have closed."""
+    n = int(np.searchsorted(at, limit.max_count, side="right"))
+    n = min(n, int(np.searchsorted(np.cumsum(sizes[:n]), max(limit.max_bytes, limit.close_after or 0), side="right")) + 1)
+    return at[:n], sizes[:n]
+
+
+def _opens(sizes: np.ndarray, step: np.ndarray, limit: Limit) -> tuple[np.ndarray, ...]:
+    """For each possible first start: the batch left open at the range's end (rows, bytes), and how many closed before it.
 
     A batch from before closes by count within ``max_count`` rows, or by bytes at a row that has some, or right after one."""
     n = len(sizes)
-    if not n:
-        return []
     last, closed = np.where(step < n, step, np.arange(n)), (step < n).astype(np.int64)
     while True:  # each pass doubles the number of batches gone through
         further = last[last]
@@ -171,9 +260,9 @@ def _opens(sizes: np.ndarray, step: np.ndarray, limit: Limit) -> list[dict]:
     ends = np.concatenate([[0], np.cumsum(sizes)])
     head = min(n, int(step[0]) + 1)
     starts = np.arange(head)
-    if limit.max_count >= n:
+    if limit.max_count >= UNLIMITED:
         starts = starts[(starts == 0) | (sizes[:head] > 0) | np.concatenate([[False], sizes[: head - 1] > 0])]
-    return [{"start": int(i), "rows": int(n - last[i]), "bytes": int(ends[n] - ends[last[i]]), "batches": int(closed[i])} for i in starts]
+    return starts, n - last[starts], ends[n] - ends[last[starts]], closed[starts]
 
 
 def _closes(at: np.ndarray, sizes: np.ndarray, total: int, rows: int, size: int, limit: Limit) -> int:

@@ -7,15 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..names import column, fresh
+
 KEY = "relative_path"
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = KEY, order: str | None = None) -> DataFrame:
     """``table`` with rows replaced or added by key; of several new rows of a key the last one wins, by ``order`` or as they come."""
-    rest = [c for c in rows.columns if c != key]
-    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.col(order) if order else F.col("_at"))
-    news = (rows if order else rows.withColumn("_at", F.monotonically_increasing_id())).groupBy(key).agg(last.alias("_r")).select(key, "_r.*")
-    return table.join(news.select(key), key, "left_anti").unionByName(news.select(*rows.columns))
+    rest = [column(c) for c in rows.columns if c != key]
+    at, r = fresh(rows, "at", "r")
+    last = F.max_by(F.struct(*rest), column(order or at))
+    news = (rows if order else rows.withColumn(at, F.monotonically_increasing_id())).groupBy(column(key)).agg(last.alias(r)).select(column(key), f"{r}.*")
+    return table.join(news.select(column(key)), key, "left_anti").unionByName(news.select(*map(column, rows.columns)))
 
 
 def completed(complete: DataFrame, partial: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,9 +28,10 @@ def completed(complete: DataFrame, partial: DataFrame, done: DataFrame) -> tuple
 
 def progressed(partial: DataFrame, updates: DataFrame) -> DataFrame:
     """Partial rows after progress reports (relative_path, completed_chunks): never back, never beyond the total."""
-    news = updates.groupBy(KEY).agg(F.max("completed_chunks").alias("_new"))
-    at = F.least("total_chunks", F.greatest("completed_chunks", F.coalesce("_new", F.lit(0))))
-    return partial.join(news, KEY, "left").withColumn("completed_chunks", at.cast("long")).drop("_new")
+    (new,) = fresh(partial, "new")
+    news = updates.groupBy(KEY).agg(F.max("completed_chunks").alias(new))
+    at = F.least("total_chunks", F.greatest("completed_chunks", F.coalesce(new, F.lit(0))))
+    return partial.join(news, KEY, "left").withColumn("completed_chunks", at.cast("long")).drop(new)
 
 
 def _fs(spark: SparkSession, path: str):

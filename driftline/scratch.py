@@ -42,9 +42,15 @@ def drop(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def stored(df: DataFrame, name: str, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, and a lost executor costs only a read."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

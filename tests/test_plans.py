@@ -84,6 +84,55 @@ def test_greedy_batches_do_not_depend_on_partitions(spark, sizes, most, count, p
     assert [(r["batch_id"], r["pos"], r["offset"]) for r in got] == naive(sizes, limit)
 
 
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=1, max_size=9), st.integers(3, 40), st.sampled_from([1, 2, 7, 1 << 62]), st.one_of(st.none(), st.integers(1, 20)), st.integers(2, 4))
+def test_jump_functions_compose(ranges, most, count, after, fan):
+    """The batch open before each range is the same by composed jump functions as by walking all rows."""
+    limit = batching.Limit(most, count, after)
+    jumps = [batching.Jump.of(i, np.array(r, np.int64), limit) for i, r in enumerate(ranges)]
+    state, states = (0, 0, 0), []
+    for r in ranges:
+        states.append(state)
+        state = batching.cut(np.array(r, np.int64), state, limit)[1]
+    for lo in range(0, len(jumps), fan):
+        part = jumps[lo : lo + fan]
+        one = batching.composed(part, 0, limit)
+        after_it = states[lo + fan] if lo + fan < len(states) else state
+        assert one.after(states[lo], limit) == after_it and one.rows == sum(j.rows for j in part)
+        assert batching.composed([*part[:1], batching.composed(part[1:], 0, limit)] if part[1:] else part, 0, limit).after(states[lo], limit) == after_it
+
+
+@pytest.mark.parametrize("limit", [batching.Limit(40, 9), batching.Limit(60, batching.UNLIMITED), batching.Limit(1 << 62, 7, 30)])
+def test_batches_in_a_tree_of_many_ranges(spark, monkeypatch, limit):
+    monkeypatch.setattr(batching, "FAN", 3)
+    sizes = [(i * 7919) % 23 if i % 3 else 0 for i in range(500)]
+    rows = [(i, s, "a", 5, "x") for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i long, size long, _part string, Batch_ID int, `a.b` string").withColumn("_size", F.lit(3))
+    made = batching.greedy_batches(df, ["i"], F.col("size"), limit, 31)
+    assert made.columns == ["i", "size", "_part", "a.b", "_size", "batch_id", "pos", "offset"]
+    got = made.orderBy("i").collect()
+    assert [(r["batch_id"], r["pos"], r["offset"]) for r in got] == naive(sizes, limit)
+    assert {(r["_part"], r["a.b"], r["_size"]) for r in got} == {("a", "x", 3)}
+
+
+def test_ranges_go_by_written_bytes(spark, monkeypatch):
+    """A join without statistics gets as many ranges as its rows fill, and the same batches as its stored copy."""
+    monkeypatch.setattr(ordering, "RANGE_BYTES", 2000)
+    left = spark.range(2000).select("id", F.concat(F.lit("p/"), "id").alias("relative_path"), (F.col("id") % 50).alias("size"))
+    joined = left.join(spark.range(0, 2000, 2).withColumnRenamed("id", "k"), F.col("id") == F.col("k"))
+    counts = []
+    monkeypatch.setattr(batching, "ordered", lambda *a: counts.append(made := ordering.ordered(*a)) or made)
+    own = batching.greedy_batches(joined, ["relative_path"], F.col("size"), batching.Limit(300, 40)).select("id", "batch_id", "pos", "offset").orderBy("id").collect()
+    assert 1 < counts[0].select(F.shiftright("at", 33)).distinct().count() < 100
+    assert own == batching.greedy_batches(spark.createDataFrame(joined.collect(), joined.schema), ["relative_path"], F.col("size"), batching.Limit(300, 40), 3).select("id", "batch_id", "pos", "offset").orderBy("id").collect()
+
+
+def test_running_sums_keep_other_columns(spark):
+    df = spark.createDataFrame([(i, i % 5, 5, 7, "x") for i in range(50)], "k long, n long, _part int, row int, `a.b` string")
+    got = ordering.running(df, ["k"], "row", start=F.col("n")).orderBy("k")
+    assert got.columns == ["k", "n", "_part", "a.b", "row", "start"]
+    assert [tuple(r)[2:] for r in got.collect()] == [(5, "x", i, sum(j % 5 for j in range(i))) for i in range(50)]
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([("a", 0, bytearray()), ("b", 4, b"abcd"), ("c", 9, b"abcdefghi")], "relative_path string, size long, content binary")
     made = chunks.chunk_contents(df, 4)
