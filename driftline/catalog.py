@@ -444,9 +444,8 @@ def handshake(t):
     return t.events.select("user_id", "event_id", said["accepted"].alias("accepted"), said["message"].alias("message"))
 
 
-@query("s13_t2_j16_replay", "SELECT source AS stream_id, relative_path, size AS bytes, NULL::VARCHAR AS error FROM manifest JOIN documents ON doc_id = k")
-def replay(t):
-    """Each source's files as one framed stream, and its replay: every file back, no error."""
+def source_streams(t: Tables) -> DataFrame:
+    """Each source's files as one framed stream."""
     from pyspark.sql import Window
 
     m = t.manifest().withColumn("stream_id", F.split("relative_path", "/")[0])
@@ -454,19 +453,34 @@ def replay(t):
     edge = m.select("stream_id", "relative_path", "size", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit("start").alias("frame_type")), F.struct((F.col("total_chunks") + 1).alias("part"), F.lit("end").alias("frame_type")))).alias("e")).select("stream_id", "relative_path", "size", "e.*")
     done = m.groupBy("stream_id").agg(F.count("*").alias("files")).select("stream_id", "files", F.lit("done").alias("frame_type"), F.lit("\U0010ffff").alias("relative_path"), F.lit(0).cast("long").alias("part"))
     rows = edge.withColumn("kind", F.lit("File")).unionByName(chunk, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("stream_id").orderBy("relative_path", "part")).cast("long") - 1)
-    return streams.replay(rows).select("stream_id", "relative_path", "bytes", "error")
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("stream_id").orderBy("relative_path", "part")).cast("long") - 1)
 
 
-@query("t9_delete_sessions", """, a AS (SELECT s_nationkey AS k, s_suppkey AS seq, s_name FROM supplier)
-  SELECT k::VARCHAR AS session, seq, k % 4 > 0 AS accepted, CASE WHEN k % 4 > 0 THEN 'added' ELSE 'no session' END AS message, CASE WHEN k % 4 > 0 THEN count(*) OVER (PARTITION BY k ORDER BY seq) ELSE 0 END AS keep_paths FROM a
-  UNION ALL SELECT DISTINCT k::VARCHAR, -1, true, 'ready', 0 FROM a WHERE k % 4 > 0
-  UNION ALL SELECT k::VARCHAR, 1099511627776, k % 4 > 0, CASE WHEN k % 4 > 0 THEN 'applied' ELSE 'no session' END, CASE WHEN k % 4 > 0 THEN count(*) ELSE 0 END FROM a GROUP BY k""")
-def delete_sessions(t):
+REPLAY_SQL = "SELECT source AS stream_id, relative_path, size AS bytes, NULL::VARCHAR AS error FROM manifest JOIN documents ON doc_id = k"
+
+
+@query("s13_t2_j16_replay", REPLAY_SQL)
+def replay(t):
+    """The replay of each source's stream: every file back, no error."""
+    return streams.replay(source_streams(t)).select("stream_id", "relative_path", "bytes", "error")
+
+
+def session_events(t: Tables) -> DataFrame:
     """Sessions by nation: begin (every fourth has none, and is refused), adds, apply."""
     key = F.col("s_nationkey")
     adds = t.supplier.select(key.alias("k"), F.col("s_suppkey").alias("seq"), F.lit("add").alias("stage"), F.array("s_name", "s_name").alias("paths"))
     ends = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("begin").alias("stage")), F.struct(F.lit(1 << 40).cast("long").alias("seq"), F.lit("apply").alias("stage")))
     edges = t.supplier.select(key.alias("k")).distinct().select("k", F.explode(ends).alias("e")).select("k", "e.seq", "e.stage", F.array().cast("array<string>").alias("paths"))
     rows = adds.unionByName(edges).filter("stage != 'begin' or k % 4 > 0")
-    return streams.delete_sessions(rows.select(F.col("k").cast("string").alias("session"), "seq", "stage", "paths"))
+    return rows.select(F.col("k").cast("string").alias("session"), "seq", "stage", "paths")
+
+
+SESSIONS_SQL = """, a AS (SELECT s_nationkey AS k, s_suppkey AS seq, s_name FROM supplier)
+  SELECT k::VARCHAR AS session, seq, k % 4 > 0 AS accepted, CASE WHEN k % 4 > 0 THEN 'added' ELSE 'no session' END AS message, CASE WHEN k % 4 > 0 THEN count(*) OVER (PARTITION BY k ORDER BY seq) ELSE 0 END AS keep_paths FROM a
+  UNION ALL SELECT DISTINCT k::VARCHAR, -1, true, 'ready', 0 FROM a WHERE k % 4 > 0
+  UNION ALL SELECT k::VARCHAR, 1099511627776, k % 4 > 0, CASE WHEN k % 4 > 0 THEN 'applied' ELSE 'no session' END, CASE WHEN k % 4 > 0 THEN count(*) ELSE 0 END FROM a GROUP BY k"""
+
+
+@query("t9_delete_sessions", SESSIONS_SQL)
+def delete_sessions(t):
+    return streams.delete_sessions(session_events(t))

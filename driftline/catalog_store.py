@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _GREEDY, _PLACES, _PUSH, _SAME, BATCH, CHUNK, query
+from .catalog import _GREEDY, _PLACES, _PUSH, _SAME, BATCH, CHUNK, REPLAY_SQL, SESSIONS_SQL, query, session_events, source_streams
+from .catalog_state import _EVENTS
 from .operators import batching
 from .plans import reconcile
 from .plans.colocated import CoLocated
 from .plans.log import LedgerLog
 from .scratch import new_path
+from .streaming import keyed
 
 _PLAN = ("relative_path", "action", "next_chunk", "metadata_sync_required", "message")
 
@@ -53,3 +56,31 @@ def colocated_plan(t):
     store = CoLocated(t.spark, new_path(t.spark, "store"), 8)
     made = [store.save(df, name) for df, name in ((t.source(), "manifest"), (t.complete(), "complete"), (t.partial(), "partial"), (t.on_disk(), "disk"))]
     return reconcile.push_plan(*made, chunk_size=CHUNK).select(*_PLAN)
+
+
+def streamed(t, rows: DataFrame, first: Column, answers) -> DataFrame:
+    """The answers of a keyed stream to ``rows``: those for which ``first`` holds come in a run of their own, the others after a restart from its checkpoint."""
+    arrived, path, checkpoint = (new_path(t.spark, n) for n in ("arrived", "answers", "checkpoint"))
+    for part in (first, ~first):
+        rows.filter(part).write.mode("append").parquet(arrived)
+        keyed.run_available(answers(t.spark.readStream.schema(rows.schema).parquet(arrived)), path, checkpoint)
+    return t.spark.read.parquet(path)
+
+
+@query("t9_session_stream", SESSIONS_SQL)
+def session_stream(t):
+    """Delete sessions on a stream, with a restart among the adds."""
+    return streamed(t, session_events(t), F.col("seq") <= 40, keyed.keyed_sessions)
+
+
+@query("t2_replay_stream", REPLAY_SQL)
+def replay_stream(t):
+    """Replay on a stream whose frames come in any order: about half of them before a restart, the others after it."""
+    answers = streamed(t, source_streams(t), F.pmod(F.xxhash64("stream_id", "seq"), F.lit(2)) == 0, keyed.keyed_replay)
+    return answers.select("stream_id", "relative_path", "bytes", "error")
+
+
+@query("t3_progress_stream", f", {_EVENTS} SELECT * FROM p")
+def progress_stream(t):
+    """Upload progress on a stream, with a restart after each path's fourth event."""
+    return streamed(t, t.upload_events(), F.col("seq") <= 4, keyed.keyed_progress)

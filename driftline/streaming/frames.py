@@ -210,8 +210,23 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def delete_sessions(events: DataFrame) -> DataFrame:
-    """Answers to delete sessions (session, seq, stage, paths) at rest."""
-    return _ordered(events, "session", DeleteSession, SESSIONS)
+    """Answers to delete sessions (session, seq, stage, paths) at rest, for keep sets of any size: a path counts at the first
+    event of its session that adds it, and running sums over those events give the sizes."""
+    named = events.select("session", "seq", "stage", "paths")
+    order = Window.partitionBy("session").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.when(F.col("stage").isin("begin", "apply"), F.col("stage"))
+    known = named.withColumns({
+        "i": F.row_number().over(order), "in_session": F.coalesce(F.last(edge, ignorenulls=True).over(before) == "begin", F.lit(False)),
+        "run": F.count_if(F.col("stage") == "begin").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    adds = known.filter("in_session AND stage = 'add'").select("session", "run", "i", F.explode("paths").alias("path"))
+    firsts = adds.groupBy("session", "run", "path").agg(F.min("i").alias("i")).groupBy("session", "i").agg(F.count("*").alias("news"))
+    sums = Window.partitionBy("session", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sized = known.drop("paths").join(firsts, ["session", "i"], "left").withColumn("kept", F.coalesce(F.sum("news").over(sums), F.lit(0)))
+    begins, ok = F.col("stage") == "begin", F.col("in_session") | (F.col("stage") == "begin")
+    message = F.when(begins, "ready").when(~ok, "no session").when(F.col("stage") == "add", "added").otherwise("applied")
+    return sized.select("session", "seq", ok.alias("accepted"), message.alias("message"), F.when(ok & ~begins, F.col("kept")).otherwise(0).cast("long").alias("keep_paths"))
 
 
 def idle_connections(events: DataFrame, idle: int) -> DataFrame:

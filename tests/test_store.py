@@ -1,6 +1,7 @@
 """The ledger as a log, co-located tables, and keyed state on streams."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from driftline.plans import reconcile
 from driftline.plans.colocated import CoLocated, buckets_for
 from driftline.plans.log import Entry, LedgerLog
 from driftline.scratch import bytes_of
+from driftline.streaming.frames import DeleteSession, delete_sessions
+from driftline.streaming.keyed import keyed_progress, keyed_sessions, run_available
 
 SCHEMA = "relative_path string, n long, `a.b` string"
 
@@ -107,3 +110,50 @@ def test_second_sync_has_no_exchange(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert buckets_for(spark, str(tmp_path / "store")) == 1
+
+
+def sessions(rng, n):
+    return [(f"s{rng.randrange(3)}", i, rng.choice(["begin", "add", "add", "add", "apply"]), [rng.choice("abcdef") for _ in range(rng.randrange(4))]) for i in range(n)]
+
+
+EVENTS = "session string, seq long, stage string, paths array<string>"
+
+
+def test_keep_sets_at_rest_and_on_a_stream(spark, tmp_path):
+    """Windows, the state machine, and RocksDB over three runs with restarts say the same."""
+    events = sessions(random.Random(1), 120)
+    machines, expected = {}, []
+    for session, seq, stage, paths in events:
+        said = machines.setdefault(session, DeleteSession()).step({"stage": stage, "paths": paths})
+        expected.append((session, seq, *said.values()))
+    assert sorted(map(tuple, delete_sessions(spark.createDataFrame(events, EVENTS).repartition(3)).collect())) == sorted(expected)
+    where = lambda name: str(tmp_path / name)
+    for lo in (0, 40, 80):
+        spark.createDataFrame(events[lo : lo + 40], EVENTS).write.mode("append").parquet(where("in"))
+        run_available(keyed_sessions(spark.readStream.schema(EVENTS).parquet(where("in"))), where("out"), where("at"))
+    assert sorted(map(tuple, spark.read.parquet(where("out")).collect())) == sorted(expected)
+
+
+def test_large_keep_set_streams_through_state(spark, tmp_path):
+    """Twenty thousand paths of one session in several adds: the value holds a count, the paths are entries of their own."""
+    adds = [("s", 1 + i, "add", [f"p/{i * 4000 + j}" for j in range(5000)]) for i in range(5)]
+    events = [("s", 0, "begin", []), *adds, ("s", 9, "apply", [])]
+    spark.createDataFrame(events, EVENTS).write.parquet(str(tmp_path / "in"))
+    run_available(keyed_sessions(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "at"))
+    assert sorted((r.seq, r.keep_paths) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0), *((1 + i, 5000 + 4000 * i) for i in range(5)), (9, 21000)]
+
+
+def test_idle_progress_ends_by_a_timer(spark, tmp_path):
+    schema = "key string, seq long, event string, start_chunk long, sent_chunks long, total_chunks long, finalize boolean, bytes long"
+    where = lambda name: str(tmp_path / name)
+    def run(key, seq, event, start):
+        spark.createDataFrame([(key, seq, event, start, 1, 4, False, 10)], schema).write.mode("append").parquet(where("in"))
+        run_available(keyed_progress(spark.readStream.schema(schema).parquet(where("in")), idle_ms=2000), where("out"), where("at"), timed=True)
+
+    run("k", 0, "init", 0)
+    run("k", 1, "chunk", 0)
+    time.sleep(2.2)
+    run("other", 9, "init", 0)  # the batch in which the timer of k ends its state
+    run("k", 2, "chunk", 1)
+    said = {(r.key, r.seq): r.message for r in spark.read.parquet(where("out")).collect()}
+    assert said == {("k", 0): "ready", ("k", 1): "applied", ("other", 9): "ready", ("k", 2): "no init"}
