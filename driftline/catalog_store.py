@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .catalog import _GREEDY, _PLACES, _PUSH, _SAME, BATCH, CHUNK, REPLAY_SQL, SESSIONS_SQL, query, session_events, source_streams
 from .catalog_state import _EVENTS
-from .operators import batching
-from .plans import reconcile
+from .operators import batching, counters
+from .plans import digest_tree, reconcile, rights
 from .plans.colocated import CoLocated
 from .plans.log import LedgerLog
-from .scratch import new_path
+from .scratch import new_path, stored
 from .streaming import keyed
 
 _PLAN = ("relative_path", "action", "next_chunk", "metadata_sync_required", "message")
@@ -84,3 +84,49 @@ def replay_stream(t):
 def progress_stream(t):
     """Upload progress on a stream, with a restart after each path's fourth event."""
     return streamed(t, t.upload_events(), F.col("seq") <= 4, keyed.keyed_progress)
+
+
+@query("f4_many_prefixes", """, p AS (SELECT k % 25 AS client_id, CASE WHEN k % 7 = 0 THEN source || '/' || lang ELSE relative_path END AS prefix FROM manifest JOIN documents ON doc_id = k WHERE k % 7 = 0 OR k % 3 = 0 UNION ALL SELECT 3, '/')
+  SELECT k * 7 % 25 AS client_id, relative_path, k FROM manifest m WHERE EXISTS (SELECT 1 FROM p WHERE p.client_id = m.k * 7 % 25 AND (prefix = '/' OR prefix = relative_path OR starts_with(relative_path, prefix || '/')))""")
+def many_prefixes(t):
+    """What clients may see by rights on folders, single files and the root."""
+    m, k = t.manifest(), F.col("k")
+    folder = F.when(k % 7 == 0, F.substring_index("relative_path", "/", 2)).otherwise(F.col("relative_path"))
+    listed = m.filter((k % 7 == 0) | (k % 3 == 0)).select((k % 25).alias("client_id"), folder.alias("prefix"))
+    every = listed.unionByName(m.limit(1).select(F.lit(3).cast("long").alias("client_id"), F.lit("/").alias("prefix")))
+    return rights.permitted(m.select((k * 7 % 25).alias("client_id"), "relative_path", "k"), every)
+
+
+@query("o5_digest_tree_sync", """SELECT relative_path, CASE WHEN d.relative_path IS NULL THEN 'COPY' WHEN m.relative_path IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action
+  FROM manifest m FULL JOIN destination d USING (relative_path) WHERE m.size IS DISTINCT FROM d.size OR m.mtime_sec IS DISTINCT FROM d.mtime_sec OR m.mode IS DISTINCT FROM d.mode""")
+def digest_tree_sync(t):
+    """The differences of source and destination by their trees of digests."""
+    return _by_tree(t.destination(), t.manifest()).rows
+
+
+@query("o5_digest_tree_churn", "SELECT relative_path, 'UPDATE' AS action FROM manifest WHERE k % 100 = 0")
+def digest_tree_churn(t):
+    """One file of a hundred has changed: most blocks are never read again."""
+    before = t.manifest().withColumn("size", F.col("size") - F.when(F.col("k") % 100 == 0, 8).otherwise(0))
+    return _by_tree(before, t.manifest()).rows
+
+
+def _by_tree(old: DataFrame, new: DataFrame) -> digest_tree.Changes:
+    used, blocks = ["size", "mtime_sec", "mode"], digest_tree.blocks_for(new.count(), 16)
+    made = [digest_tree.snapshot(df.select("relative_path", *used), used, blocks) for df in (old, new)]
+    return digest_tree.changes(*made)
+
+
+@query("a13_observed_plan", """, plan AS (""" + _PUSH.format(newer="false", same=_SAME, guard=f"AND {_SAME}") + """)
+  SELECT count(*) AS files, count(*) FILTER (action = 'SKIP') AS skipped, count(*) FILTER (next_chunk > 0 AND action = 'UPLOAD') AS resumed, count(*) FILTER (metadata_sync_required) AS metadata, sum(CASE WHEN action = 'UPLOAD' THEN size ELSE 0 END)::BIGINT AS upload_bytes
+  FROM plan JOIN manifest USING (relative_path)""")
+def observed_plan(t):
+    """Counters that a push plan fills in while its rows are written."""
+    plan = reconcile.push_plan(t.source(), t.complete(), t.partial(), t.on_disk(), chunk_size=CHUNK)
+    upload = F.col("action") == "UPLOAD"
+    made = counters.Counted(
+        plan, files=F.count(F.lit(1)), skipped=F.count_if(~upload), resumed=F.count_if(upload & (F.col("next_chunk") > 0)), metadata=F.count_if(F.col("metadata_sync_required")),
+        upload_bytes=F.sum(F.when(upload, F.col("size")).otherwise(0)),
+    )
+    stored(made.rows.select(*_PLAN), "plan")
+    return t.spark.createDataFrame([made.values], "files long, skipped long, resumed long, metadata long, upload_bytes long")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.expr import human_bytes, megabits_per_second
 
@@ -25,6 +26,38 @@ def counters(log: DataFrame, names: dict[str, tuple[str, str]], *by: str) -> Dat
     return log.groupBy(*by).agg(*made) if by else log.agg(*made)
 
 
+class Counted:
+    """Counters of a plan that it fills in while it runs, with no pass of its own: after an action on ``rows``, ``values`` has them."""
+
+    def __init__(self, df: DataFrame, **made: Column):
+        self._seen = Observation()
+        self.rows = df.observe(self._seen, *(c.alias(name) for name, c in made.items()))
+
+    @property
+    def values(self) -> dict:
+        return dict(self._seen.get)
+
+
+class StreamCounters(StreamingQueryListener):
+    """Running totals of a stream's observed counters (``rows.observe(name, ...)``), batch by batch; add it to ``spark.streams``."""
+
+    def __init__(self, name: str):
+        self.name, self.totals, self.batches = name, {}, 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.batches += 1
+            for counter, n in seen.asDict().items():
+                self.totals[counter] = self.totals.get(counter, 0) + (n or 0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def summary_line(prefix: str, files: Column, skipped: Column, sent: Column, raw: Column, millis: Column, human: bool = False) -> Column:
     """The closing line of a push: counts, bytes, time and throughput."""
     size = lambda c: F.concat(c.cast("string"), F.lit(" ("), human_bytes(c), F.lit(")")) if human else c.cast("string")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_quick_token, parsed_token
+from ..names import column, fresh
 
 KEY = "relative_path"
 
@@ -134,8 +135,8 @@ def cached_hashes(manifest: DataFrame, cache: DataFrame, chunk_size: int) -> Dat
 
 def first_of(df: DataFrame, key: str) -> DataFrame:
     """The first row of each key, in the order in which ``df`` comes."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != key]
-    return df.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.min_by(F.struct(*rest), "_at").alias("_r")).select(key, "_r.*")
+    rest, (at, r) = [column(c) for c in df.columns if c != key], fresh(df, "at", "r")
+    return df.withColumn(at, F.monotonically_increasing_id()).groupBy(column(key)).agg(F.min_by(F.struct(*rest), at).alias(r)).select(column(key), f"{r}.*")
 
 
 def authorized(connections: DataFrame, policy: DataFrame) -> DataFrame:

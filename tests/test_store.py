@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.plans import log as logs
-from driftline.plans import reconcile
+from driftline.operators.counters import Counted, StreamCounters
+from driftline.plans import digest_tree, reconcile, rights
 from driftline.plans.colocated import CoLocated, buckets_for
 from driftline.plans.log import Entry, LedgerLog
 from driftline.scratch import bytes_of
@@ -157,3 +158,51 @@ def test_idle_progress_ends_by_a_timer(spark, tmp_path):
     run("k", 2, "chunk", 1)
     said = {(r.key, r.seq): r.message for r in spark.read.parquet(where("out")).collect()}
     assert said == {("k", 0): "ready", ("k", 1): "applied", ("other", 9): "ready", ("k", 2): "no init"}
+
+
+def test_rights_by_prefix_in_numbers(spark):
+    """A hundred thousand prefixes, no nested loop, and the same as plain prefixes."""
+    rng = random.Random(8)
+    path = lambda: "/".join(rng.choice("abc") + rng.choice("xyz") for _ in range(rng.randrange(1, 5)))
+    some = [(rng.randrange(6), path()) for _ in range(40)] + [(7, "/"), (None, "ax"), (2, None)]
+    asked = [(rng.randrange(9), path(), i) for i in range(300)] + [(None, "ax", 1), (7, None, 2), (7, "q", 3), (7, "q", 3)]
+    many = spark.range(100_000).select((F.col("id") + 100).alias("client_id"), F.concat(F.lit("p/"), "id").alias("prefix"))
+    given = spark.createDataFrame(some, "client_id long, prefix string").unionByName(many)
+    got = rights.permitted(spark.createDataFrame(asked, "client_id long, relative_path string, ancestor long"), given)
+    ok = lambda c, p: c is not None and p is not None and any(c == k and q and (q == "/" or p == q or p.startswith(q + "/")) for k, q in some)
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in asked if ok(r[0], r[1]))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_compared_go_with_the_change(spark):
+    old = spark.range(20_000).select(F.concat(F.lit("p/"), "id").alias("relative_path"), F.col("id").alias("size"), F.lit(None).cast("long").alias("mode"))
+    k = F.substring("relative_path", 3, 9).cast("long")
+    new = old.filter(k != 17).withColumn("size", F.when(k == 5, -1).otherwise(F.col("size"))).unionByName(spark.createDataFrame([("p/new", 1, None)], old.schema))
+    n = digest_tree.blocks_for(20_000, 100)
+    a, b, same = (digest_tree.snapshot(df, ["size", "mode"], n) for df in (old, new, old.repartition(7)))
+    found = digest_tree.changes(a, b)
+    assert sorted(map(tuple, found.rows.collect())) == [("p/17", "DELETE"), ("p/5", "UPDATE"), ("p/new", "COPY")]
+    assert found.rows_compared <= 3 * 250 and found.nodes_compared <= 1 + 3 * 16 * 2
+    nothing = digest_tree.changes(a, same)
+    assert nothing.rows.collect() == [] and nothing.rows_compared == 0 and nothing.nodes_compared == 1
+    swapped = old.withColumns({"mode": F.col("size"), "size": F.lit(None).cast("long")})
+    assert digest_tree.changes(a, digest_tree.snapshot(swapped, ["size", "mode"], n)).rows.count() == 20_000
+
+
+def test_counters_while_running(spark, tmp_path):
+    df = spark.range(1000).withColumn("bytes", F.col("id") * 3)
+    made = Counted(df, files=F.count(F.lit(1)), bytes=F.sum("bytes"))
+    made.rows.write.parquet(str(tmp_path / "in"))
+    assert made.values == {"files": 1000, "bytes": 3 * 999 * 500}
+    seen = StreamCounters("transfer")
+    spark.streams.addListener(seen)
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).observe("transfer", F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+        run_available(stream, str(tmp_path / "out"), str(tmp_path / "at"))
+        for _ in range(100):
+            if seen.totals.get("files") == 1000:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.totals == {"files": 1000, "bytes": 3 * 999 * 500} and seen.batches > 1
