@@ -10,15 +10,17 @@ too. What an element's name, role, class or id says is a prior: blocks in
 navigation, footers, asides, forms, page headers and elements whose class or id
 reads like boilerplate (advert, comments, widget ...) count LOW times their score.
 A class or id is not believed where the element holds a block, not mostly links, of
-the page's best path, nor is a form that holds most of the page's text, nor the
+the page's best path and that path half of the text or more, nor is a form that holds most of the page's text, nor the
 class of an ``article`` or ``main``. Only what is not shown is left out at once:
-scripts, styles, the head, hidden elements, and inline elements with such names.
+scripts, styles, the head and hidden elements; running text is never cut by the name
+of an inline element.
 The chosen nodes
 then vote for their container: the ``article`` or ``main`` elements whose mean
 score by text is above the threshold (of nested ones the innermost that holds most of
-the chosen text), else the deepest element with most of it. Of the other blocks in
-there its headings and short ones join, unless they are mostly links or have the
-low prior.
+the chosen text), else the deepest element with most of it, widened to its parent as
+long as all that this adds is content as well: text, lists and tables beside it, and
+other elements with mostly chosen text. All blocks of the container stay, unless they
+are mostly links or have the low prior.
 
 Text: character references decoded, white space inside a block made one space,
 trimmed, blocks joined in page order by one space.
@@ -38,6 +40,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -45,9 +48,9 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Element names of HTML by their role.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object audio video canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select canvas annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics object audio video".split())
 ASIDE = frozenset("nav footer aside form button menu dialog".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -68,9 +71,8 @@ LOW, FLOOR = 0.05, 2.0
 FRAME = 0.8
 KERNEL = (0.25, 0.5, 0.25)
 MOST_LINKS = 0.6
-#: Characters of a block that joins without a ratio of its own; headings may be longer.
-SHORT = 200
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are text beside an article's other text, without a ratio of their own.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol dl table figure figcaption hgroup details address".split())
 _ATTRIBUTES: dict[tuple[str, str], tuple[bool, bool, bool, bool]] = {}
 
 
@@ -102,25 +104,48 @@ def _judge(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
 class Block:
     __slots__ = ("links", "low", "marks", "parent", "path", "size", "text")
 
-    def __init__(self, text: str, links: int, parent: int, path: tuple[str, ...], low: bool = False):
+    def __init__(self, text: str, links: int, parent: int, path, low: bool = False):
         self.text, self.links, self.parent, self.path, self.low = text, links, parent, path, low
         self.size = len(text)
         self.marks = sum(c in PUNCTUATION for c in text)
 
+    def plain(self) -> bool:
+        """Neither low nor mostly links."""
+        return not self.low and self.links <= MOST_LINKS * self.size
+
 
 class Page:
-    """Blocks of a page that are shown, and the tree of block elements above them."""
+    """Blocks of a page that are shown, and the tree of block elements above them.
+
+    Elements are numbered as they open, so what is below one is the range of numbers up to its ``ends``."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.parents, self.mains, self.named, self.beside = [-1], [False], [False], [""]
+        self.parents, self.mains, self.named, self.beside, self.tags, self.paths = [-1], [False], [False], [""], [""], [0]
+        self._path_of: dict[tuple[int, str], int] = {}
         self._names: list[str] = []
+        self._count: dict[str, int] = {}
         self._out: list[bool] = []
         self._nodes: list[int] = []
         self._text: list[str] = []
         self._links, self._link = 0, False
         self._scan(html)
         self._flush()
+        self.ends = [n + 1 for n in range(len(self.parents))]
+        for n in range(len(self.parents) - 1, 0, -1):
+            self.ends[self.parents[n]] = max(self.ends[self.parents[n]], self.ends[n])
+
+    def holds(self, node: int, block: Block) -> bool:
+        return node <= block.parent < self.ends[node]
+
+    def below(self, values: list[int]) -> list[int]:
+        """For each element the sum over the blocks in it."""
+        out = [0] * len(self.parents)
+        for b, v in zip(self.blocks, values):
+            out[b.parent] += v
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parents[n]] += out[n]
+        return out
 
     def _scan(self, html: str) -> None:
         at, end = 0, len(html)
@@ -140,9 +165,14 @@ class Page:
             if slash:
                 self._close(name)
             elif name in RAW:
-                if attributes.endswith("/") and name in ("svg", "math"):
+                if attributes.endswith("/") and name == "svg":
                     continue
                 done = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                if name == "xmp":  # shown as it stands
+                    self._flush()
+                    if not (self._out and self._out[-1]):
+                        self._text.append(html[at : done.start() if done else end])
+                    self._flush()
                 at = done.end() if done else end
             else:
                 self._open(name, attributes)
@@ -158,7 +188,8 @@ class Page:
         if self._text:
             text = SPACE.sub(" ", "".join(self._text)).strip()
             if text:
-                self.blocks.append(Block(text, self._links, self._nodes[-1] if self._nodes else 0, tuple(self._names)))
+                node = self._nodes[-1] if self._nodes else 0
+                self.blocks.append(Block(text, self._links, node, self.paths[node]))
             self._text, self._links = [], 0
 
     def _open(self, name: str, attributes: str) -> None:
@@ -171,22 +202,21 @@ class Page:
         if name in INLINE:
             if name == "a":
                 self._link = True
-            hidden, beside, _, named = judged(name, attributes) if attributes else (False,) * 4
-            if (hidden or beside or named) and not (self._out and self._out[-1]):
+            if attributes and judged(name, attributes)[0] and not (self._out and self._out[-1]):
                 self._push(name, True, False)
             return
         self._flush()
-        if name in CLOSES_P and "p" in self._names:
+        if name in CLOSES_P and self._count.get("p"):
             self._pop("p", ("article", "section", "div", "td", "th", "li", "blockquote"))
         for other in SIBLINGS.get(name, ()):
-            if other in self._names:
+            if self._count.get(other):
                 self._pop(other, SCOPE[name])
         hidden, beside, main, named = judged(name, attributes) if attributes else (False,) * 4
         out = bool(self._out and self._out[-1]) or hidden or name == "head"
-        beside = beside or name in ASIDE or name == "header" and not any(n in MAIN for n in self._names)
+        beside = beside or name in ASIDE or name == "header" and not any(self._count.get(n) for n in MAIN)
         if name == "body":
-            while "head" in self._names:
-                self._names.pop(), self._out.pop(), self._nodes.pop()
+            while self._count.get("head"):
+                self._cut(len(self._names) - 1)
             out = hidden
         self._push(name, out, main or name in MAIN, named, name if beside else "")
 
@@ -195,15 +225,24 @@ class Page:
         self.mains.append(main and not out)
         self.named.append(named)
         self.beside.append(beside)
+        self.tags.append(name)
+        above = self.paths[self.parents[-1]]
+        self.paths.append(self._path_of.setdefault((above, name), len(self._path_of) + 1))
         self._names.append(name)
+        self._count[name] = self._count.get(name, 0) + 1
         self._out.append(out)
         self._nodes.append(len(self.parents) - 1)
 
+    def _cut(self, k: int) -> None:
+        for name in self._names[k:]:
+            self._count[name] -= 1
+        del self._names[k:], self._out[k:], self._nodes[k:]
+
     def _pop(self, name: str, barriers: tuple[str, ...] = ()) -> None:
         """Close the nearest open ``name`` and all within it, unless a barrier stands between."""
         for k in range(len(self._names) - 1, -1, -1):
             if self._names[k] == name:
-                del self._names[k:], self._out[k:], self._nodes[k:]
+                self._cut(k)
                 return
             if self._names[k] in barriers:
                 return
@@ -219,17 +258,10 @@ class Page:
             self._text.append(" ")
             return
         self._flush()
-        if name in self._names:
+        if self._count.get(name):
             self._link = False
             self._pop(name, ("td", "th", "table") if name in ("div", "p", "li") else ())
 
-    def chain(self, node: int) -> list[int]:
-        out = []
-        while node > 0:
-            out.append(node)
-            node = self.parents[node]
-        return out
-
 
 def smoothed(values: list[float]) -> list[float]:
     """A three-point kernel; the ends repeat their value."""
@@ -266,44 +298,83 @@ def threshold(blocks: list[Block], score: list[float]) -> float:
 
 def weigh(page: Page) -> None:
     """Tell which blocks have the low prior."""
-    chains = [page.chain(b.parent) for b in page.blocks]
-    plain = [max(0, b.size - b.links) for b in page.blocks]
-    held: dict[int, int] = {}
-    for nodes, n in zip(chains, plain):
-        for node in nodes:
-            if page.beside[node] == "form":
-                held[node] = held.get(node, 0) + n
-    frames = {node for node, n in held.items() if n >= FRAME * sum(plain)}
-    for b, nodes in zip(page.blocks, chains):
-        b.low = any(page.beside[node] and node not in frames for node in nodes)
-    hints = [[] if b.low else [n for n in nodes if page.named[n]] for b, nodes in zip(page.blocks, chains)]
+    blocks, parents = page.blocks, page.parents
+    plain = [max(0, b.size - b.links) for b in blocks]
+    held, total = page.below(plain), sum(plain)
+    low, names = [False] * len(parents), [0] * len(parents)  # of an element and all above it: whether one is beside the content, how many are named
+    for n in range(1, len(parents)):
+        up = parents[n]
+        low[n] = low[up] or bool(page.beside[n]) and not (page.beside[n] == "form" and held[n] >= FRAME * total)
+        names[n] = names[up] + page.named[n]
+    for b in blocks:
+        b.low = low[b.parent]
+    hints = [0 if b.low else names[b.parent] for b in blocks]
     if not any(hints):
         return
-    keys = [(b.path, b.low, len(names)) for b, names in zip(page.blocks, hints)]
-    ratio = {key: text * math.sqrt(1 + marks) for key, (text, marks) in ratios(page.blocks, keys).items() if not key[1]}
+    keys = [(b.path, b.low, n) for b, n in zip(blocks, hints)]
+    ratio = {key: text * math.sqrt(1 + marks) for key, (text, marks) in ratios(blocks, keys).items() if not key[1]}
     best = max(ratio.values())
-    kept = {n for key, b, names in zip(keys, page.blocks, hints) if names and ratio[key] >= best and b.links <= MOST_LINKS * b.size for n in names}
-    for b, names in zip(page.blocks, hints):
-        b.low = b.low or not kept.issuperset(names)
-
-
-def containers(page: Page, blocks: list[Block], score: list[float], limit: float, weight: dict[int, int], chains: list[list[int]]) -> list[int]:
+    mass: dict = {}
+    for key, n in zip(keys, plain):
+        mass[key] = mass.get(key, 0) + n
+    most = sum(n for n, b in zip(plain, blocks) if not b.low) / 2
+    kept = [True] + [not named for named in page.named[1:]]
+    seen: set[int] = set()
+    for key, b, n in zip(keys, blocks, hints):
+        if n and ratio[key] >= best and mass[key] >= most and b.links <= MOST_LINKS * b.size:
+            at = b.parent
+            while at > 0 and at not in seen:
+                seen.add(at)
+                kept[at], at = True, parents[at]
+    for n in range(1, len(parents)):
+        kept[n] = kept[n] and kept[parents[n]]
+    for b in blocks:
+        b.low = b.low or not kept[b.parent]
+
+
+def containers(page: Page, score: list[float], limit: float, weight: list[int]) -> list[int]:
     """The main elements, none within another, that hold chosen text (``weight``) and have a mean score by text above the limit."""
-    mains = [n for n in weight if page.mains[n] and weight[n]]
-    above = {n: [a for a in page.chain(page.parents[n]) if page.mains[a]] for n in mains}
-    found, open_ = [], [n for n in mains if not above[n]]
-    while open_:
-        n = open_.pop()
-        below = [m for m in mains if n in above[m] and 10 * weight[m] >= 7 * weight[n]]
-        if below:
-            open_.append(max(below, key=lambda m: (-len(above[m]), weight[m])))
-            continue
-        own = [k for k, nodes in enumerate(chains) if n in nodes]
-        if sum(score[k] * blocks[k].size for k in own) >= limit * sum(blocks[k].size for k in own if not blocks[k].low):
-            found.append(n)
+    mains = [n for n in range(1, len(page.parents)) if page.mains[n] and weight[n]]
+    inner: dict[int, list[int]] = {}
+    open_: list[int] = []
+    for n in mains:
+        while open_ and page.ends[open_[-1]] <= n:
+            open_.pop()
+        inner.setdefault(open_[-1] if open_ else 0, []).append(n)
+        open_.append(n)
+    found = []
+    for n in inner.get(0, []):
+        base = at = n
+        while True:
+            below = [m for m in inner.get(at, []) if 10 * weight[m] >= 7 * weight[base]]
+            if below:
+                at = max(below, key=lambda m: weight[m])
+            elif at == base:
+                break
+            else:
+                base = at
+        own = [k for k, b in enumerate(page.blocks) if page.holds(at, b)]
+        if sum(score[k] * page.blocks[k].size for k in own) >= limit * sum(page.blocks[k].size for k in own if not page.blocks[k].low):
+            found.append(at)
     return found
 
 
+def home(page: Page, chosen: list[bool], weight: list[int]) -> int:
+    """The deepest element with most of the chosen text, widened while all that a parent adds is content."""
+    at = max((n for n in range(len(weight)) if 10 * weight[n] >= 7 * weight[0]), default=0)  # these are one below another
+    text = page.below([b.size if b.plain() else 0 for b in page.blocks])
+    children: dict[int, list[int]] = {}
+    for n in range(1, len(page.parents)):
+        if text[n]:
+            children.setdefault(page.parents[n], []).append(n)
+    while at > 0:
+        up = page.parents[at]
+        if not all(n == at or page.tags[n] in TEXTUAL or 2 * weight[n] >= text[n] for n in children.get(up, [])):
+            break
+        at = up
+    return at
+
+
 def main_text(html: str | None) -> str:
     page = Page(html or "")
     blocks = page.blocks
@@ -313,45 +384,23 @@ def main_text(html: str | None) -> str:
     score = scores(blocks)
     limit = threshold(blocks, score)
     chosen = [s >= limit and b.links <= MOST_LINKS * b.size for s, b in zip(score, blocks)]
-    weight: dict[int, int] = {}
-    chains = [page.chain(b.parent) for b in blocks]
-    for b, own, nodes in zip(blocks, chosen, chains):
-        for node in nodes:
-            weight[node] = weight.get(node, 0) + (b.size if own else 0)
-    inside = containers(page, blocks, score, limit, weight, chains)
-    if inside:
-        out = []
-        for n in inside:
-            own = [k for k, nodes in enumerate(chains) if n in nodes]
-            first, last = (f(k for k in own if chosen[k]) for f in (min, max))
-            for k in own:
-                b = blocks[k]
-                tag = b.path[-1] if b.path else ""
-                near = tag in HEADINGS or b.size <= SHORT and (first <= k <= last or tag == "p")
-                if chosen[k] or near and not b.low and b.links <= MOST_LINKS * b.size:
-                    out.append(k)
-        return " ".join(blocks[k].text for k in sorted(out))
-    total = sum(b.size for b, own in zip(blocks, chosen) if own)
-    holders = [n for n in weight if 10 * weight[n] >= 7 * total and total]
-    home = max(holders, key=lambda n: len(page.chain(n)), default=0)
-    first = next((k for k, own in enumerate(chosen) if own), 0)
-    last = next((k for k in range(len(chosen) - 1, -1, -1) if chosen[k]), -1)
-    out = []
-    for k, (b, nodes) in enumerate(zip(blocks, chains)):
-        near = home in nodes and (first <= k <= last or b.path[-1:] and b.path[-1] in ("h1", "h2", "h3", "p"))
-        if chosen[k] and (home in nodes or home == 0) or near and not b.low and b.links <= MOST_LINKS * b.size:
-            out.append(b.text)
-    return " ".join(out)
+    weight = page.below([b.size if own else 0 for b, own in zip(blocks, chosen)])
+    if not weight[0]:
+        return ""
+    inside = containers(page, score, limit, weight) or [home(page, chosen, weight)]
+    return " ".join(b.text for b, own in zip(blocks, chosen) if (own or b.plain()) and any(page.holds(n, b) for n in inside))
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` without its html, with text and n_chars (code points)."""
-    rest = [c for c in df.columns if c not in (html, "text", "n_chars")]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    rest = [f for f in df.schema.fields if f.name not in (html, "text", "n_chars")]
+    plain = [f"c{i}" for i in range(len(rest))]
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, rest)), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def task(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(len(rest)).to_pylist()]
+            texts = [main_text(x) for x in batch.column(len(plain)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return df.select(*rest, html).mapInArrow(task, schema)
+    named = df.select(*(F.col(f"`{f.name}`").alias(c) for f, c in zip(rest, plain)), F.col(f"`{html}`").alias("html"))
+    return named.mapInArrow(task, schema).toDF(*[f.name for f in rest], "text", "n_chars")

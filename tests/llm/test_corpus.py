@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -368,6 +369,66 @@ def test_html_scores_decide(monkeypatch):
     assert main_text(PAGE) != want and "Buy this" in main_text(PAGE)
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>The <span class='search-term'>apple</span> fell. <em class='related'>Really</em> it did.</p>", "The apple fell. Really it did."),
+        ("<p>See <a class='reply' href='/r'>the earlier report</a> for more, and all else.</p>", "See the earlier report for more, and all else."),
+        ("<table><tr><td>1<td>2<tr><td>3<td>4</table>", "1 2 3 4"),
+        ("<h2>References</h2><ul><li>Smith 1999<li>Jones 2001</ul>", "References Smith 1999 Jones 2001"),
+        ("<ul><li>Ingredient one<li>Ingredient two</ul>", "Ingredient one Ingredient two"),
+        ("<p>where <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is</p>", "where x+1 is"),
+        ("<xmp><b>as it stands</b></xmp>", "<b>as it stands</b>"),
+        ("<p>A <video src='v'>film of it</video> here.</p>", "A film of it here."),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_keeps_the_whole_article(inner, want, tag):
+    """Named inline elements, tables, lists and formulas, at the end of an article with and without its element's name."""
+    page = f"<body><nav><a href='/'>Home</a></nav><div><{tag}><h1>Head</h1>{PARAGRAPHS}{inner}</{tag}></div><footer>Imprint</footer></body>"
+    text = main_text(page)
+    assert text.startswith("Head Sentence 0,") and text.endswith(f"for a while. {want}")
+
+
+def page_by_ratio(rng):
+    """A page without any telling name: an article's div among columns of short texts; the article's words."""
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+    body = [f"<p>{sentence(rng.randint(20, 60))} {sentence(12)}</p>" for _ in range(rng.randint(3, 8))]
+    if rng.random() < 0.5:
+        body.insert(2, "<ul>" + "".join(f"<li>{sentence(3)}</li>" for _ in range(4)) + "</ul>")
+    inner = f"<h1>{sentence(5)}</h1>" + "".join(body)
+    column = lambda: "<div>" + "".join(f"<div><span>side {rng.randint(0, 99)}</span> {rng.choice(['more', 'top ten', 'new today'])}</div>" for _ in range(rng.randint(2, 12))) + "</div>"
+    own = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    return f"<body><div>{column()}<div>{inner}</div>{column()}</div>{column()}</body>", own
+
+
+def test_html_ratios_separate_where_no_name_does(monkeypatch):
+    rng = random.Random(3)
+    pages = [page_by_ratio(rng) for _ in range(60)]
+    assert [main_text(page) for page, _ in pages] == [own for _, own in pages]
+    monkeypatch.setattr(html, "scores", lambda blocks: [100.0] * len(blocks))
+    assert sum(main_text(page) == own for page, own in pages) == 0
+
+
+def test_html_test_pages_without_the_article_element(spark):
+    """The test pages' articles to the last word, with the element and without its name."""
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        inner = re.search(r"<article>(.*)</article>", row.html, re.S)[1]
+        plain = row.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        words = re.sub(r"<[^>]*>", " ", inner)
+        own = html.unescape(words).split()
+        assert main_text(row.html).split() == own and main_text(plain).split() == own
+
+
+def test_html_deep_nesting_is_linear():
+    began = time.time()
+    for tag in ("div", "article", "section class='widget'", "blockquote"):
+        name = tag.split()[0]
+        text = main_text("".join(f"<{tag}>t{i} " for i in range(20_000)) + PARAGRAPHS + f"</{name}>" * 20_000)
+        assert text.count("for a while.") == 6 or "widget" in tag
+    assert time.time() - began < 20
+
+
 def test_html_scores_by_brute_force():
     rng = random.Random(5)
     for _ in range(200):
