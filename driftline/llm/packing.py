@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from ..scratch import stored
 from .arrowtext import given_back, texts_of
-from .names import fresh
+from .names import fresh, with_plain_names
 from .tokens import encoded_slices
 
 CAPACITY = 2048
@@ -50,7 +50,11 @@ PIECE = ("piece", "start", "length", "ids", "ids_crc32")
 def pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", digest_only: bool = False) -> DataFrame:
     """One row for each piece: the input's columns but ``text``, then piece, start, length and ids
     (little-endian unsigned 32-bit), or with ``digest_only`` ids_crc32 in their place."""
-    rest = [c for c in df.columns if c != text and c not in PIECE]
+    return with_plain_names(df, lambda d, n: _cut(d, tokenizer, end_id, capacity, n[text], digest_only), (text,), PIECE)
+
+
+def _cut(df: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str, digest_only: bool) -> DataFrame:
+    rest = [c for c in df.columns if c != text]
     last = T.StructField("ids_crc32", T.LongType()) if digest_only else T.StructField("ids", T.BinaryType())
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), last])
 

@@ -16,7 +16,7 @@ text strays from its language's by chance alone. So short clean texts stay.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 null or unknown language is compared with the pooled reference of all
-languages; more than MAX_LANGS languages are an error; each repeated row is judged
+languages; beyond the MAX_LANGS languages of most words a text is judged by the pool, too; each repeated row is judged
 by itself; an empty table gives an empty result; an input column that has the name of the result column is replaced.
 """
 
@@ -34,9 +34,10 @@ from pyspark.sql import types as T
 
 from ..scratch import stored
 from .arrowtext import bytes_of, coded, given_back, hashes, lists_of, mixed, owners, slices, summed, sums, texts_of, windows, words_of
+from .names import with_plain_names
 
 #: Distinct words that a counting task holds before it hands them on, and languages with a reference of their own.
-HELD, MAX_LANGS = 1 << 20, 1 << 14
+HELD, MAX_LANGS = 1 << 20, 1 << 11
 SYMBOLS = "#*$%&|<>"
 #: Character classes: lower, upper, digit, white space, sentence marks, other marks, symbols, other letters.
 CLASSES = 8
@@ -219,7 +220,8 @@ def references(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lan
     parts = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(_counted, "lang string, kind int, item long, n long")
     own = stored(parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
     pool = own.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "kind", "item", "n")
-    every = own.filter(F.col("lang") != POOL).unionByName(pool)
+    most = own.filter((F.col("kind") == TOTAL) & (F.col("lang") != POOL)).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
+    every = own.join(F.broadcast(most), "lang", "left_semi").unionByName(pool)  # MAX_LANGS names at most
     common = every.filter(F.col("kind") == COMMON)
     for by in (["lang", F.pmod("item", F.lit(32))], ["lang"]):  # first among a 32nd of the words, so that few meet in one task
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "item"))
@@ -281,12 +283,13 @@ def quality_rules(df: DataFrame, rules: Rules = Rules(), text: str = "text", lan
     """``df`` with a struct column ``out`` of MEASURES; with ``only_kept``, the kept rows as they came, without it.
 
     The references are collected to the driver: CLASSES + common_words + 1
-    numbers for each of at most MAX_LANGS languages, whatever the number of documents.
+    numbers for each of the MAX_LANGS languages of most words, whatever the number of documents.
     """
-    found = references(df, rules, text, lang).limit((CLASSES + rules.common_words + 1) * (MAX_LANGS + 1)).collect()
-    reference = Reference(found)
-    if len(reference.chars) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages in {lang}")
+    return with_plain_names(df, lambda d, n: _judged(d, rules, n[text], n[lang], out, only_kept), (text, lang), () if only_kept else (out,))
+
+
+def _judged(df: DataFrame, rules: Rules, text: str, lang: str, out: str, only_kept: bool) -> DataFrame:
+    reference = Reference(references(df, rules, text, lang).collect())
     names = [c for c in df.columns if only_kept or c != out]
     at_text, at_lang = df.columns.index(text), df.columns.index(lang)
     keep_at = [df.columns.index(c) for c in names]

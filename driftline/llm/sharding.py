@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stored
+from .names import with_plain_names
 
 SEED = 20240607
 BUCKET_ROWS = 4096
@@ -38,6 +39,10 @@ def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "tex
 
     A row's place depends on seed, key, text and the set of rows, not on partitions.
     """
+    return with_plain_names(df, lambda d, n: _placed(d, shards, n[key], n[text], n[stratum], seed), (key, text, stratum), FIELDS)
+
+
+def _placed(df: DataFrame, shards: int, key: str, text: str, stratum: str, seed: int) -> DataFrame:
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in df.columns if c not in FIELDS and c not in (text, key, stratum)]
@@ -47,7 +52,7 @@ def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "tex
         F.struct(*rest).alias("_rest") if rest else F.lit(None).cast("string").alias("_rest"),
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")).alias("_digest"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.xxhash64(body).cast("string")).cast("binary")).alias("_digest"),
     )
     rows = stored(rows, "sharding")
     total = rows.count()

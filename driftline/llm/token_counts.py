@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .arrowtext import HeavyHitters, coded, lists_of, slices, strings, sums, texts_of
+from .names import with_plain_names
 from .tokens import CACHE_WORDS, MARKS
 
 FREQUENT = 32_768
@@ -174,6 +175,10 @@ COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_
 
 def token_counts(df: DataFrame, tokenizer: str, text: str = "text", out: str = "tokens", size: int = FREQUENT) -> DataFrame:
     """``df`` without the text, with a struct column ``out`` of n_bytes and n_tokens."""
+    return with_plain_names(df, lambda d, n: _counted(d, tokenizer, n[text], out, size), (text,), (out,))
+
+
+def _counted(df: DataFrame, tokenizer: str, text: str, out: str, size: int) -> DataFrame:
     common = frequent_pieces(df, text, size)
     lengths = counter(tokenizer).count(common)
     table = df.sparkSession.sparkContext.broadcast((common, lengths))

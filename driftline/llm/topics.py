@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import coded, given_back, hashes, slices, texts_of, words_of
+from .names import with_plain_names
 from .tokens import encoder
 
 TRAIN_ROWS, BUCKETS = 20_000, 1 << 16
@@ -79,6 +80,11 @@ class TopicModel:
 
 def with_topics(df: DataFrame, model: TopicModel, text: str = "text", topic: str = "topic", tokens: str | None = "n_tokens", tokenizer: str | None = None, keep_text: bool = True) -> DataFrame:
     """``df`` with the column ``topic`` and, with a ``tokenizer`` file, ``tokens``; both replace columns of these names."""
+    results = (topic, tokens) if tokenizer else (topic,)
+    return with_plain_names(df, lambda d, n: _known(d, model, n[text], topic, tokens, tokenizer, keep_text), (text,), results)
+
+
+def _known(df: DataFrame, model: TopicModel, text: str, topic: str, tokens: str | None, tokenizer: str | None, keep_text: bool) -> DataFrame:
     made = [topic, tokens] if tokenizer else [topic]
     rest = [c for c in df.columns if c not in made and (keep_text or c != text)]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(topic, T.StringType())] + ([T.StructField(tokens, T.LongType())] if tokenizer else []))

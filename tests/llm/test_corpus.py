@@ -457,6 +457,92 @@ def test_html_rows(spark):
     assert extract(df.filter("false")).collect() == []
 
 
+def independently_raked(cells, mix):
+    """Plain raking by dictionaries: kept tokens of each margin value are brought to their target in turn."""
+    total = sum(cells.values())
+    names = ("source", "lang", "topic")
+    goals = []
+    for i, m in enumerate(names):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[i]] += n
+        named = mix.targets.get(m, {})
+        free = {v: n**mix.temperature for v, n in have.items() if v not in named}
+        share = {v: named.get(v, (1 - sum(named.values())) * free.get(v, 0) / sum(free.values()) if free else 0) for v in have}
+        goals.append({v: s / sum(share.values()) * mix.budget * total for v, s in share.items()})
+        assert all(goals[i][v] < have[v] for v in have)  # no value falls short in these tests
+    f = [dict.fromkeys(g, 1.0) for g in goals]
+    chance = lambda c: min(1.0, f[0][c[0]] * f[1][c[1]] * f[2][c[2]])
+    for _ in range(300):
+        for i in range(3):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[i]] += n * chance(c)
+            for v in f[i]:
+                f[i][v] *= goals[i][v] / now[v]
+    return {c: chance(c) for c in cells}
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 10])
+def test_mixing_is_raking(spark, monkeypatch, limit):
+    """On the driver and in Spark: the probabilities of an independent raking."""
+    from driftline.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_CELLS", limit)
+    rng = random.Random(9)
+    rows = [(i, f"s{min(rng.randrange(40), rng.randrange(40))}", rng.choice("abc"), rng.choice("xyy"), rng.randint(1, 50)) for i in range(3000)]
+    mix = Mix(targets={"lang": {"a": 0.4}, "topic": {"x": 0.3}}, budget=0.3)
+    cells = Counter()
+    for _, s, l, t, n in rows:  # noqa: E741
+        cells[s, l, t] += n
+    want = independently_raked(cells, mix)
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, t string, n long")
+    got = mix_sources(df.withColumn("a.b", F.lit(1)).withColumn("cell", F.lit(2)), F.col("n"), F.col("t"), mix)
+    assert got.columns == ["doc_id", "source", "lang", "t", "n", "a.b", "cell", "mix"]
+    found = got.collect()
+    assert len(found) == 3000 and all(r.mix.met and abs(r.mix.probability - want[r.source, r.lang, r.t]) < 1e-4 for r in found)
+
+
+def test_mixing_of_very_many_sources(spark):
+    """Seventy thousand sources, one of them hot: a result, and the margins of what is kept."""
+    n = 140_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id"))).alias("source"), F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("lang"))
+    mix = Mix(targets={"source": {"hot": 0.2}, "lang": {"a": 0.3}}, budget=0.4)
+    made = mix_sources(df, F.lit(10), F.lit(None), mix)
+    kept = made.agg(F.count("*").alias("n"), F.sum("mix.probability").alias("all"), F.sum(F.when(F.col("source") == "hot", F.col("mix.probability"))).alias("hot"), F.sum(F.when(F.col("lang") == "a", F.col("mix.probability"))).alias("a"), F.bool_and("mix.met").alias("met")).first()
+    assert kept["n"] == n and kept["met"] and abs(kept["all"] - 0.4 * n) < 10 and abs(kept["hot"] / kept["all"] - 0.2) < 1e-4 and abs(kept["a"] / kept["all"] - 0.3) < 1e-4
+
+
+def test_operators_take_any_names(spark, docs, monkeypatch):
+    """Columns with dots, with one underscore and with the operators' own names stay as they are."""
+    from driftline.llm import quality as rules
+    from driftline.llm.packing import pieces
+    from driftline.llm.token_counts import token_counts
+
+    monkeypatch.setattr(rules, "MAX_LANGS", 1)  # the others are judged by the pool
+    file = public_tokenizers.path("word_bpe_49k.json")
+    df = docs.select("doc_id", "text", "lang", "source").limit(40).withColumn("a.b", F.col("doc_id") + 1).withColumn("_", F.lit(2)).withColumn("_key", F.lit(3)).withColumn("in0_", F.lit(4))
+    model = TopicModel.fit(docs, docs.select("doc_id", F.lit("t").alias("topic")).filter("doc_id < 20"))
+    made = {
+        "pieces": pieces(df, file), "token_counts": token_counts(df, public_tokenizers.path("byte_bpe_50k.json")), "quality_rules": quality_rules(df), "kept": quality_rules(df, only_kept=True),
+        "with_topics": with_topics(df, model, tokenizer=file), "shard": shard(df, 3), "extract": extract(df, "text"),
+    }
+    for name, out in made.items():
+        assert {"a.b", "_", "_key", "in0_"} <= set(out.columns), name
+        for r in out.collect():
+            assert r["_"] == 2 and r["_key"] == 3 and r["in0_"] == 4 and (r["doc_id"] is None or r["a.b"] == r["doc_id"] + 1), name
+
+
+def test_sharding_of_null_ids_is_split(spark):
+    """Rows without ids are shuffled by their texts, over many buckets."""
+    rows = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    made = shard(rows, 4).select("shard", "slot", "text_crc32").collect()
+    assert sorted(Counter(r.shard for r in made).values()) == [2500] * 4 and len({(r.shard, r.slot) for r in made}) == 10_000
+    assert len({r.text_crc32 for r in made if r.shard == 0}) > 2000
+    again = shard(rows.repartition(7), 4).select("shard", "slot", "text_crc32").collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, again))
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     spark.range(0, 300, 2).selectExpr("id as doc_id", "cast(id % 10 > 0 as int) as quality", "cast(id % 40 = 0 as int) as toxic").write.parquet(str(tmp_path / "labels.parquet"))
     now = docs.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.length("text").cast("long")).withColumn("mix", F.lit("m")).withColumn("topic", F.lit("t"))
