@@ -52,7 +52,7 @@ class CoLocated:
     def _versions(self, table: str) -> list[int]:
         fs, where = _fs(self.spark, f"{self.folder}/{table}")
         names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        return [int(n.removeprefix("CURRENT-v")) for n in names if re.fullmatch(r"CURRENT-v\d+", n)]
+        return [int(n.removeprefix("CURRENT-v")) for n in names if re.match(r"CURRENT-v\d+$", n)]
 
     def load(self, table: str, schema: str) -> DataFrame:
         """The newest version, with its layout known to the planner; without one, an empty table."""
