@@ -224,14 +224,14 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, sm
     return np.concatenate(out_i or none), np.concatenate(out_j or none), np.flatnonzero(large)
 
 
-def partners(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one list, sorted by size, that size and position allow."""
-    last = np.searchsorted(n, n * 100 // percent, side="right")
-    count = np.maximum(last - np.arange(len(n)) - 1, 0)
-    i = np.repeat(np.arange(len(n)), count)
+def partners(low: np.ndarray, high: np.ndarray, room: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list, sorted by least size, that the bounds of their rows allow."""
+    last = np.searchsorted(low, high * 100 // percent, side="right")
+    count = np.maximum(last - np.arange(len(low)) - 1, 0)
+    i = np.repeat(np.arange(len(low)), count)
     j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
-    least = -(-percent * (n[i] + n[j]) // (100 + percent))
-    ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+    least = -(-percent * (low[i] + low[j]) // (100 + percent))
+    ok = np.minimum(room[i], room[j]) >= least
     return i[ok], j[ok]
 
 
@@ -292,15 +292,20 @@ def _met(percent: int):
 
 
 def long_pairs(entries: DataFrame, percent: int, shuffle: int) -> DataFrame:
-    """Distinct pairs (a < b) of ids that meet in long lists, from stored entries (hash, n, pos, id).
+    """Distinct pairs (a < b) of ids that may meet in long lists, from entries (hash, n, pos, id).
 
-    A list is cut into cells of like size and position, and a large cell into blocks by the ids' hashes. Of blocks
-    only bounds meet: two whose sizes are too far apart, or whose rows stand too late in their sets, are skipped whole.
-    Each pair of blocks left is one task's, so a list of any length is many tasks' work. Lists of one id are left out."""
-    several = entries.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most").select("hash")
+    The entries of one id in one cell of a list (like size and position) become one row with bounds of what they hold: least
+    and largest size, and most shingles from the entry's place on. So a list is as long as its ids are many, however many sets
+    an id stands for. Large cells are cut into blocks by the ids' hashes. Of blocks only bounds meet: two whose sizes are too
+    far apart, or whose rows stand too late in their sets, are skipped whole. Each pair of blocks left is one task's, so a list
+    of any length is many tasks' work. Lists of one id are left out."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
-    own = stored(entries.join(several, "hash", "left_semi").withColumns({"band": band, "late": F.floor(F.log2(F.col("pos") + 1.0)).cast("long")}), "banded")
-    cells = own.groupBy("hash", "band", "late").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    late = F.floor(F.log2(F.col("pos") + 1.0)).cast("long")
+    bounds = (F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    folded = stored(entries.groupBy("hash", band.alias("band"), late.alias("late"), "id").agg(*bounds), "folded")
+    several = folded.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most").select("hash")
+    own = stored(folded.join(several, "hash", "left_semi"), "banded")
+    cells = own.groupBy("hash", "band", "late").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("room").alias("room"))
     cells = stored(cells, "cells")
     code = lambda part: F.shiftleft("band", 44) + F.shiftleft("late", 36) + part
     blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("hash", code(F.col("part")).alias("block"), "low", "high", "room")
@@ -310,14 +315,16 @@ def long_pairs(entries: DataFrame, percent: int, shuffle: int) -> DataFrame:
     pairs = left.join(right, "hash").filter((F.col("block_i") <= F.col("block_j")) & near & (F.least("room_i", "room_j") >= least))
     pairs = pairs.select("hash", F.col("block_i").alias("i"), F.col("block_j").alias("j"), F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
     placed = own.join(cells.select("hash", "band", "late", "parts"), ["hash", "band", "late"])
-    placed = placed.select("hash", code(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "n", "pos", "id")
-    dealt = pairs.join(placed, ["hash", "block"]).select("hash", "i", "j", "n", "pos", "id").repartition(shuffle, "hash", "i", "j").sortWithinPartitions("hash", "i", "j", "n")
+    placed = placed.select("hash", code(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "low", "high", "room", "id")
+    dealt = pairs.join(placed, ["hash", "block"]).select("hash", "i", "j", "block", "low", "high", "room", "id").repartition(shuffle, "hash", "i", "j").sortWithinPartitions("hash", "i", "j", "low")
 
     def task(batches):
         for table in _grouped(batches, 3):
-            n, pos, name = (table.column(c).to_numpy() for c in ("n", "pos", "id"))
-            i, j = partners(n, pos, percent)
-            yield _pair_batch(distinct_pairs(np.stack([name[i], name[j]], 1)))
+            block, low, high, room, name = (table.column(c).to_numpy() for c in ("block", "low", "high", "room", "id"))
+            i, j = partners(low, high, room, percent)
+            # two blocks meet each other here, and themselves in a group of their own
+            ok = (name[i] != name[j]) & ((block[i] != block[j]) | (table.column("i")[0] == table.column("j")[0]))
+            yield _pair_batch(distinct_pairs(np.stack([name[i[ok]], name[j[ok]]], 1)))
 
     return dealt.mapInArrow(task, "a long, b long").distinct()
 

@@ -1,6 +1,7 @@
 """Top-k search and the n-gram Jaccard join against brute force."""
 
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -103,7 +104,34 @@ def test_long_lists_lose_no_pair(spark, monkeypatch):
 
 def test_partners_keep_every_pair_that_may_link():
     n, pos = np.array([10, 10, 12, 20]), np.array([0, 9, 1, 0])
-    assert list(zip(*(x.tolist() for x in partners(n, pos, 80)))) == [(0, 2)]
+    assert list(zip(*(x.tolist() for x in partners(n, n, n - pos, 80)))) == [(0, 2)]
+
+
+def test_a_list_of_one_component_is_as_short_as_its_ids(spark):
+    from driftline.llm import jaccard
+
+    rows = spark.range(80_000).selectExpr("5L as hash", "100 + id % 10 as n", "id % 20 as pos", "1L as id")
+    stranger = spark.range(1).selectExpr("5L as hash", "104L as n", "3L as pos", "2L as id")
+    began = time.time()
+    got = jaccard.long_pairs(rows.unionByName(stranger), 85, 4).collect()
+    assert [tuple(r) for r in got] == [(1, 2)] and time.time() - began < 10
+
+
+def test_folded_lists_lose_no_pair(spark, monkeypatch):
+    from driftline.llm import jaccard
+
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 300, 500)
+    pos, key, ids = (rng.random(500) ** 2 * n).astype(int), rng.integers(0, 4, 500), rng.integers(0, 60, 500)
+    want = {
+        (int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i in range(500) for j in range(i)
+        if ids[i] != ids[j] and key[i] == key[j] and min(n[i], n[j]) * 100 >= 80 * max(n[i], n[j]) and min(n[i] - pos[i], n[j] - pos[j]) * 180 >= 80 * (n[i] + n[j])
+    }
+    entries = spark.createDataFrame([tuple(map(int, r)) for r in zip(key, n, pos, ids)], "hash long, n long, pos long, id long")
+    for block in (5, 2048):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = [(r["a"], r["b"]) for r in jaccard.long_pairs(entries, 80, 4).collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
 
 
 def test_block_components():
