@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog import _GREEDY, _PLACES, _PUSH, _SAME, BATCH, CHUNK, REPLAY_SQL, SESSIONS_SQL, query, session_events, source_streams
 from .catalog_state import _EVENTS
-from .operators import batching, counters
+from .functions import rules
+from .operators import batching, chunks, counters
 from .plans import digest_tree, reconcile, rights
 from .plans.colocated import CoLocated
 from .plans.log import LedgerLog
@@ -130,3 +131,30 @@ def observed_plan(t):
     )
     stored(made.rows.select(*_PLAN), "plan")
     return t.spark.createDataFrame([made.values], "files long, skipped long, resumed long, metadata long, upload_bytes long")
+
+
+#: Ten thousand rules: names, endings, folders and whole paths in turn, and one that only its expression tells.
+MANY_RULES = [(f"{i}.txt", f"*7{i}.txt", f"src{i}/", f"src{i % 20}/en/{i}.txt")[i % 4] for i in range(10_000)] + ["src1?/*/*3.txt"]
+
+
+@query("f1_first_of_many_rules", """, rules AS (SELECT range AS rule FROM range(10001)),
+  hits AS (SELECT relative_path, min(rule) AS rule FROM manifest JOIN rules ON CASE WHEN rule = 10000 THEN regexp_full_match(relative_path, 'src1./.*/.*3[.]txt') WHEN rule % 4 = 0 THEN ends_with('/' || relative_path, '/' || rule || '.txt')
+    WHEN rule % 4 = 1 THEN ends_with(relative_path, '7' || rule || '.txt') WHEN rule % 4 = 2 THEN starts_with(relative_path, 'src' || rule || '/') ELSE relative_path = 'src' || (rule % 20) || '/en/' || rule || '.txt' END GROUP BY 1)
+  SELECT relative_path, rule::INTEGER AS rule FROM manifest LEFT JOIN hits USING (relative_path)""")
+def first_of_many_rules(t):
+    """The first of 10,001 rules that matches each path."""
+    return t.manifest().select("relative_path", rules.first_rule(F.col("relative_path"), MANY_RULES).alias("rule"))
+
+
+
+def _level(i: int) -> str:
+    """One level of a digest tree in SQL; a level of one node stays as it is, so more levels than needed change nothing."""
+    return f"""l{i + 1} AS (SELECT relative_path, node AS i, CASE WHEN node = 0 AND count(*) = 1 THEN min(digest) ELSE sha256(unhex('01' || string_agg(digest, '' ORDER BY i))) END AS digest
+  FROM (SELECT relative_path, i // 8 AS node, i, digest FROM l{i}) GROUP BY relative_path, node)"""
+
+
+@query("p7_tree_digest", ", l0 AS (SELECT relative_path, i, sha256(unhex('00' || substr(hex(encode(text)), 1 + 128 * i, 128))) AS digest FROM (SELECT relative_path, text, unnest(range((size + 63) // 64)) AS i FROM manifest)), "
+       + ", ".join(_level(i) for i in range(7)) + " SELECT relative_path, digest AS tree_hash FROM l7")
+def tree_digest(t):
+    """Digests of files as trees over chunks of 64 bytes, eight to a node."""
+    return chunks.tree_digest(chunks.chunk_contents(t.manifest(content=True).select("relative_path", "size", "content"), 64), fanout=8)

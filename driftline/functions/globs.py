@@ -51,7 +51,7 @@ def regex(pattern: str) -> str:
         i += 1
     if depth:
         raise ValueError(f"unclosed '{{' in {pattern!r}")
-    return f"(?s)^{out}$"
+    return f"(?s)^{out}\\z"
 
 
 def allows(path: Column, include: list[str] = (), exclude: list[str] = ()) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import compressed, decoded
 from ..functions.expr import total_chunks
 from ..functions.frames import ChunkPackets, packet
+from ..scratch import stored
 
 
 def chunk_ranges(df: DataFrame, chunk: int, size: str = "size", first: Column | None = None) -> DataFrame:
@@ -34,6 +35,34 @@ def ordered_digest(chunks: DataFrame, key: str = "relative_path", index: str = "
     return chunks.groupBy(key).agg(F.sha2(whole, 256).alias("file_hash"))
 
 
+def tree_digest(chunks: DataFrame, key: str = "relative_path", index: str = "chunk_index", data: str = "data", fanout: int = 1024) -> DataFrame:
+    """Digest of each file as the root of a tree over its chunks: (key, tree_hash).
+
+    A leaf is SHA-256 of a zero byte and the chunk, a node that of a one byte and its children's digests, up to ``fanout`` of
+    them in order; a level of one node is the root, so a file's digest depends on its own chunks alone. Leaves are digested
+    where the chunks are and stored; each level is one aggregation of 64 characters a child by (key, node), so a file of any
+    length is many tasks' work and no row holds more than ``fanout`` digests. Chunks may come in any order; one that is
+    missing between others or comes twice fails the query. A file without chunks has no row."""
+    leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.col(data)), 256)
+    at, one = F.col(index).cast("long"), F.lit(1).cast("long")
+    level = stored(chunks.select(F.col(key).alias("key"), at.alias("at"), leaf.alias("digest"), one.alias("leaves"), at.alias("last")), "leaves")
+    most = level.agg(F.max("at")).first()[0] or 0
+    failed = F.raise_error(F.lit("a chunk is missing or comes twice"))
+    while True:
+        node = F.call_function("div", F.col("at"), F.lit(fanout).cast("long")).alias("node")
+        parts = level.groupBy("key", node).agg(F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("parts"), F.sum("leaves").alias("leaves"), F.max("last").alias("last"))
+        first, n = F.col("node") * fanout, F.size("parts")
+        whole = F.transform("parts", lambda p: p["at"]) == F.sequence(first, first + n - 1)
+        joined = F.sha2(F.unhex(F.concat(F.lit("01"), F.array_join(F.transform("parts", lambda p: p["digest"]), ""))), 256)
+        made = F.when(~whole, failed).when((first == 0) & (n == 1), F.col("parts")[0]["digest"]).otherwise(joined)
+        level = parts.select("key", F.col("node").alias("at"), made.alias("digest"), "leaves", "last")
+        if most < fanout:
+            break
+        most //= fanout
+    level = level.withColumn("digest", F.when(F.col("leaves") == F.col("last") + 1, F.col("digest")).otherwise(failed))
+    return level.select(F.col("key").alias(key), F.col("digest").alias("tree_hash"))
+
+
 def payload_offsets(df: DataFrame, batch: str = "batch_id", pos: str = "pos", length: str = "data_len") -> DataFrame:
     """df + data_offset: where each row's bytes begin in its batch's payload."""
     before = Window.partitionBy(batch).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)

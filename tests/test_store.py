@@ -1,5 +1,6 @@
 """The ledger as a log, co-located tables, and keyed state on streams."""
 
+import hashlib
 import random
 import time
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.plans import log as logs
+from driftline.operators import chunks
 from driftline.operators.counters import Counted, StreamCounters
 from driftline.plans import digest_tree, reconcile, rights
 from driftline.plans.colocated import CoLocated, buckets_for
@@ -206,3 +208,32 @@ def test_counters_while_running(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.totals == {"files": 1000, "bytes": 3 * 999 * 500} and seen.batches > 1
+
+
+def sequential_tree(parts: list[bytes], fanout: int) -> str:
+    level = [hashlib.sha256(b"\0" + p).digest() for p in parts]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + b"".join(level[i : i + fanout])).digest() for i in range(0, len(level), fanout)]
+    return level[0].hex()
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 64])
+def test_tree_digest_is_the_sequential_one(spark, fanout):
+    files = {f"f{n}": [bytes([i % 251, n % 251]) * (1 + i % 5) for i in range(n)] for n in (1, 2, 3, 4, 8, 9, 27, 28, 64, 65, 300)}
+    rows = [(path, i, data) for path, parts in files.items() for i, data in enumerate(parts)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "relative_path string, chunk_index int, data binary").repartition(7)
+    got = {r["relative_path"]: r["tree_hash"] for r in chunks.tree_digest(df, fanout=fanout).collect()}
+    assert got == {path: sequential_tree(parts, fanout) for path, parts in files.items()}
+    assert chunks.tree_digest(df.filter("false")).collect() == []
+    for broken in (df.filter("relative_path = 'f28' and chunk_index != 13"), df.filter("relative_path = 'f4'").unionByName(df.filter("relative_path = 'f4' and chunk_index = 1"))):
+        with pytest.raises(Exception, match="missing or comes twice"):
+            chunks.tree_digest(broken, fanout=fanout).collect()
+
+
+def test_no_row_of_a_tree_digest_holds_a_file(spark):
+    df = spark.range(5_000).select(F.lit("one").alias("relative_path"), F.col("id").alias("chunk_index"), F.encode(F.repeat(F.col("id").cast("string"), 200), "UTF-8").alias("data")).repartition(8)
+    want = sequential_tree([str(i).encode() * 200 for i in range(5_000)], 16)
+    made = chunks.tree_digest(df, fanout=16)
+    assert made.first()["tree_hash"] == want
+    assert "data" not in made._jdf.queryExecution().analyzed().toString()  # above the stored leaves there are digests only
