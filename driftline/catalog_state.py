@@ -12,6 +12,7 @@ from .plans import ledger, reconcile, scan, uploads
 from .scratch import new_path
 from .sources import effects
 from .sources import tables as sources
+from .sources import filetree
 from .sources.filetree import FileTree
 from .sources.fixtures import CHUNK, Tables
 from .streaming import frames as streams
@@ -452,6 +453,16 @@ def file_tree(t):
     return read(where).select("relative_path", "kind", "target", F.when(F.col("kind") == "File", F.col("size")).alias("size")).crossJoin(F.broadcast(none))
 
 
+@query("s1_pushed_tree", "SELECT relative_path, size FROM manifest WHERE relative_path LIKE 'src1/%' AND size > 500 AND NOT relative_path LIKE '%7.txt'")
+def pushed_tree(t):
+    """Files below one folder and above a size: the scan opens no other folder."""
+    where = folder(t, "tree")
+    run(effects.write_files(t.manifest(content=True).select("relative_path", "content"), where))
+    run(effects.make_links(t.symlinks().select("relative_path", "target"), where))
+    kept = filetree.file_tree(t.spark, where).filter("relative_path like 'src1/%' and size > 500 and kind = 'File' and not relative_path like '%7.txt'")
+    return kept.select("relative_path", "size")
+
+
 @query("k12_deleted", "SELECT relative_path, CASE WHEN k % 2 = 0 THEN 'deleted' ELSE 'already gone' END AS message FROM manifest")
 def deleted(t):
     where = folder(t, "deleted")
