@@ -412,16 +412,16 @@ def running_offsets(t):
 @query("k7_k9_written_and_copied", "SELECT relative_path, true AS accepted, 'copied' AS message, size AS bytes_written FROM manifest")
 def written_and_copied(t):
     a, b = folder(t, "written"), folder(t, "copied")
-    run(effects.write_files(t.manifest(content=True).select("relative_path", "content"), a))
-    return effects.copy_files(t.manifest().select("relative_path"), a, b)
+    run(effects.write_files(effects.spread(t.manifest(content=True).select("relative_path", "content")), a))
+    return effects.copy_files(effects.spread(t.manifest().select("relative_path")), a, b)
 
 
 @query("k8_finalized", """SELECT relative_path, k % 3 <> 1 AND k % 3 <> 2 AS accepted, CASE k % 3 WHEN 0 THEN 'file finalized' WHEN 1 THEN 'size mismatch: expected ' || (size + 1) || ' got ' || size ELSE 'no partial file' END AS message,
   CASE k % 3 WHEN 0 THEN size ELSE 0 END AS bytes_written FROM manifest""")
 def finalized(t):
     where, k = folder(t, "partial"), F.col("k") % 3
-    run(effects.write_files(t.manifest(content=True).filter(k < 2).select(expr.partial_name(F.col("relative_path")).alias("relative_path"), "content"), where))
-    return effects.finalize_partials(t.manifest().select("relative_path", (F.col("size") + F.when(k == 1, 1).otherwise(0)).alias("size")), where)
+    run(effects.write_files(effects.spread(t.manifest(content=True).filter(k < 2).select(expr.partial_name(F.col("relative_path")).alias("relative_path"), "content")), where))
+    return effects.finalize_partials(effects.spread(t.manifest().select("relative_path", (F.col("size") + F.when(k == 1, 1).otherwise(0)).alias("size"))), where)
 
 
 @query("k10_links_made", "SELECT relative_path, CASE n % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'already there' ELSE 'replaced' END AS message FROM symlinks")
@@ -437,15 +437,15 @@ def links_made(t):
 def metadata_applied(t):
     where = folder(t, "metadata")
     files = t.manifest(content=True).select("relative_path", "content", F.when(F.col("k") % 2 == 0, 0o100600).otherwise(F.col("mode")).cast("long").alias("mode"), "mtime_sec")
-    run(effects.write_files(files.select("relative_path", "content"), where))
-    run(effects.apply_metadata(files.drop("content"), where))
-    return effects.stat_paths(files, where).select("relative_path", "kind", "size", "mode", "mtime_sec")
+    run(effects.write_files(effects.spread(files.select("relative_path", "content")), where))
+    run(effects.apply_metadata(effects.spread(files.drop("content")), where))
+    return effects.stat_paths(effects.spread(files.select("relative_path")), where).select("relative_path", "kind", "size", "mode", "mtime_sec")
 
 
 @query("s1_s2_s3_s18_file_tree", "SELECT relative_path, 'File' AS kind, NULL::VARCHAR AS target, size, 0::BIGINT AS missing FROM manifest UNION ALL SELECT relative_path, 'Symlink', target, NULL, 0 FROM symlinks")
 def file_tree(t):
     where = folder(t, "tree")
-    run(effects.write_files(t.manifest(content=True).select("relative_path", "content"), where))
+    run(effects.write_files(effects.spread(t.manifest(content=True).select("relative_path", "content")), where))
     run(effects.make_links(t.symlinks().select("relative_path", "target"), where))
     t.spark.dataSource.register(FileTree)
     read = lambda root: t.spark.read.format("filetree").option("root", root).load()
@@ -457,7 +457,7 @@ def file_tree(t):
 def pushed_tree(t):
     """Files below one folder and above a size: the scan opens no other folder."""
     where = folder(t, "tree")
-    run(effects.write_files(t.manifest(content=True).select("relative_path", "content"), where))
+    run(effects.write_files(effects.spread(t.manifest(content=True).select("relative_path", "content")), where))
     run(effects.make_links(t.symlinks().select("relative_path", "target"), where))
     kept = filetree.file_tree(t.spark, where).filter("relative_path like 'src1/%' and size > 500 and kind = 'File' and not relative_path like '%7.txt'")
     return kept.select("relative_path", "size")
@@ -466,5 +466,5 @@ def pushed_tree(t):
 @query("k12_deleted", "SELECT relative_path, CASE WHEN k % 2 = 0 THEN 'deleted' ELSE 'already gone' END AS message FROM manifest")
 def deleted(t):
     where = folder(t, "deleted")
-    run(effects.write_files(t.manifest(content=True).filter("k % 2 = 0").select("relative_path", "content"), where))
-    return effects.delete_paths(t.manifest().select("relative_path"), where).select("relative_path", "message")
+    run(effects.write_files(effects.spread(t.manifest(content=True).filter("k % 2 = 0").select("relative_path", "content")), where))
+    return effects.delete_paths(effects.spread(t.manifest().select("relative_path")), where).select("relative_path", "message")

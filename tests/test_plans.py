@@ -6,6 +6,7 @@ import statistics
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -259,6 +260,43 @@ def test_effects_stay_below_the_root(spark, tmp_path):
     assert sorted(r["message"] for r in effects.make_links(links, str(root)).collect()) == ["created", "replaced"] and os.path.islink(root / "a")
 
 
+def test_effects_are_spread_over_tasks(spark):
+    """The table has one row group, so its scan is one task; the answers come from many, and none has most of them."""
+    from driftline import catalog, catalog_state  # noqa: F401
+
+    for name in ("k7_k9_written_and_copied", "k8_finalized", "k12_deleted"):
+        tasks = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().toArrow().column("count").to_pylist()
+        assert len(tasks) > 4 and max(tasks) < sum(tasks) / 2
+
+
+def test_copies_are_flushed_together(spark, tmp_path, monkeypatch):
+    """No file waits for the disk before the others of its group are written, and one that the disk refuses is not accepted."""
+    n, group = 600, 256
+    (tmp_path / "from").mkdir()
+    for i in range(n):
+        (tmp_path / "from" / f"{i}").write_bytes(b"%d" % i)
+    names = [f"{i}" for i in range(n)] + ["none", "../x"]
+    df = spark.createDataFrame([("x",)], "relative_path string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, task, schema: task)  # the task itself, to run here
+    task = effects.copy_files(df, str(tmp_path / "from"), str(tmp_path / "to"))
+    there, sync, refused = [], os.fsync, os.fspath(tmp_path / "to" / "300")
+
+    def fsync(fd):
+        there.append(len(os.listdir(tmp_path / "to")))
+        if os.readlink(f"/proc/self/fd/{fd}") == refused:
+            raise OSError("no space")
+        sync(fd)
+
+    monkeypatch.setattr(os, "fsync", fsync)
+    opened = len(os.listdir("/proc/self/fd"))
+    batch = pa.table({"relative_path": names, "_safe": [None if x == "../x" else x for x in names]}).to_batches()
+    got = [tuple(r.values()) for b in task(iter(batch)) for r in b.to_pylist()]
+    assert there == [group] * group + [2 * group] * group + [n] * (n - 2 * group) and len(os.listdir("/proc/self/fd")) == opened
+    assert got[300] == ("300", False, "OSError", 0) and got[n:] == [("none", False, "FileNotFoundError", 0), ("../x", False, "unsafe path", 0)]
+    assert got[:300] + got[301:n] == [(x, True, "copied", len(x)) for x in names[:300] + names[301:n]]
+    assert all((tmp_path / "to" / x).read_text() == x for x in names[:n])
+
+
 def test_profiles_and_documents(spark, tmp_path):
     path = str(tmp_path / "profiles")
     assert tables.read_document(spark, path, "profiles", tables.PROFILE).collect() == []
