@@ -249,7 +249,7 @@ def _head(at: np.ndarray, sizes: np.ndarray, limit: Limit) -> tuple[np.ndarray,
 def _opens(sizes: np.ndarray, step: np.ndarray, limit: Limit) -> tuple[np.ndarray, ...]:
     """For each possible first start: the batch left open at the range's end (rows, bytes), and how many closed before it.
 
-    A batch from before closes by count within ``max_count`` rows, or by bytes at a row that has some, or right after one."""
+    A batch from before closes by count within ``max_count`` rows, or by bytes at a row that has some, or right after one; one that is a larger row alone, at once."""
     n = len(sizes)
     last, closed = np.where(step < n, step, np.arange(n)), (step < n).astype(np.int64)
     while True:  # each pass doubles the number of batches gone through
@@ -267,6 +267,8 @@ def _opens(sizes: np.ndarray, step: np.ndarray, limit: Limit) -> tuple[np.ndarra
 
 def _closes(at: np.ndarray, sizes: np.ndarray, total: int, rows: int, size: int, limit: Limit) -> int:
     """The row at which a batch closes that already has ``rows`` rows of ``size`` bytes; ``total`` if it takes them all."""
+    if size > limit.max_bytes:  # a larger row, which is alone: no row joins it, without bytes either
+        return 0
     ends = size + np.cumsum(sizes)
     out = [total, max(0, limit.max_count - rows)]
     over = int(np.searchsorted(ends, limit.max_bytes, side="right"))

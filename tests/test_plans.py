@@ -85,6 +85,20 @@ def test_greedy_batches_do_not_depend_on_partitions(spark, sizes, most, count, p
     assert [(r["batch_id"], r["pos"], r["offset"]) for r in got] == naive(sizes, limit)
 
 
+@pytest.mark.parametrize("after", [None, 4])
+@pytest.mark.parametrize("count", [2, 3, batching.UNLIMITED])
+def test_empty_rows_after_a_larger_row_in_the_range_before(count, after):
+    """A row beyond the limit is a batch alone, also where rows without bytes begin the next range."""
+    limit = batching.Limit(5, count, after)
+    for ranges in ([[6], [0]], [[1, 9], [0, 0, 5], [0]], [[0], [7], [0], [0, 8], [0, 0]]):
+        parts, state, got = [np.array(r, np.int64) for r in ranges], (0, 0, 0), []
+        for part in parts:
+            made, state = batching.cut(part, state, limit)
+            got += zip(*(m.tolist() for m in made))
+        assert got == naive([s for r in ranges for s in r], limit)
+        assert batching.composed([batching.Jump.of(k, p, limit) for k, p in enumerate(parts)], 0, limit).after((0, 0, 0), limit) == state
+
+
 @given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=1, max_size=9), st.integers(3, 40), st.sampled_from([1, 2, 7, 1 << 62]), st.one_of(st.none(), st.integers(1, 20)), st.integers(2, 4))
 def test_jump_functions_compose(ranges, most, count, after, fan):
     """The batch open before each range is the same by composed jump functions as by walking all rows."""
